@@ -32,26 +32,38 @@ def recode(c, mapping: dict) -> Column:
 
 
 def recode_join(df: DataFrame, column: str, table: DataFrame, src: str = "src", dst: str = "dst",
-                out: str | None = None) -> DataFrame:
+                out: str | None = None, unique: bool = False) -> DataFrame:
     """P9 for large maps: left join to a (src, dst) table, then coalesce with the original value.
 
     No broadcast hint: a recode table of unknown size must not be forced into every executor.
     Catalyst broadcasts it when its statistics are under ``autoBroadcastJoinThreshold`` and AQE
     converts the join at run time once the real size is known. The table must have unique
-    ``src`` keys, otherwise the join would multiply rows; duplicates are collapsed to one row
-    (``min(dst)``) by a grouped pre-aggregation, which is a no-op shuffle for a unique table.
+    ``src`` keys, otherwise the join would multiply rows; unless ``unique=True`` (a table built
+    from a dict) duplicates are collapsed to one row (``min(dst)``) by a grouped pre-aggregation.
     """
     out = out or column
-    keyed = (table.groupBy(F.col(src).alias("__rc_src"))
-             .agg(F.min(F.col(dst)).alias("__rc_dst")))
+    if unique:
+        keyed = table.select(F.col(src).alias("__rc_src"), F.col(dst).alias("__rc_dst"))
+    else:
+        keyed = (table.groupBy(F.col(src).alias("__rc_src"))
+                 .agg(F.min(F.col(dst)).alias("__rc_dst")))
     joined = df.join(keyed, df[column] == keyed["__rc_src"], "left")
     return (joined.withColumn(out, F.coalesce(F.col("__rc_dst"), df[column]))
             .drop("__rc_src", "__rc_dst"))
 
 
+# A dict-built table has a row count known on the driver; up to this size it is broadcast.
+MAX_BROADCAST_MAP = 100_000
+
+
 def mapping_frame(spark, mapping: dict, src: str = "src", dst: str = "dst") -> DataFrame:
-    """A (src, dst) DataFrame from a Python dict, for :func:`recode_join`."""
-    return spark.createDataFrame(list(mapping.items()), f"{src} string, {dst} string")
+    """A (src, dst) DataFrame from a Python dict, for :func:`recode_join`.
+
+    Its size is ``len(mapping)``, known before any job runs, so small maps carry a broadcast hint
+    (a frame made from a local list has no size statistics and would otherwise be shuffled).
+    """
+    df = spark.createDataFrame(list(mapping.items()), f"{src} string, {dst} string")
+    return F.broadcast(df) if len(mapping) <= MAX_BROADCAST_MAP else df
 
 
 def parse_timestamp(c, fmt: str | None = None) -> Column:

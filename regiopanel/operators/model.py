@@ -98,7 +98,7 @@ def fit_group_forests(long_df: DataFrame, keys=("region", "pollutant"), label: s
 
     out_path = scratch_path(spark, "group-predictions")
     workers = parallelism or min(len(eligible) or 1, os.cpu_count() or 4, 8)
-    task = inheritable_thread_target(
+    task = inheritable_thread_target(spark)(
         lambda item: _fit_one(spark, table, schema, keys, item[1], features, label, order, params,
                               out_path, item[0]))
     with ThreadPoolExecutor(max_workers=workers) as pool:

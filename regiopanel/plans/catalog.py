@@ -279,7 +279,7 @@ def scalar_recode_map(spark: SparkSession, sf: str) -> DataFrame:
 def join_recode_table(spark: SparkSession, sf: str) -> DataFrame:
     """P9 with the map as a table (left join + coalesce)."""
     rows = _customer_regions(spark, sf)
-    out = recode_join(rows, "r_name", mapping_frame(spark, REGION_CODES), out="region")
+    out = recode_join(rows, "r_name", mapping_frame(spark, REGION_CODES), out="region", unique=True)
     return out.select("c_custkey", "region")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regiopanel.operators.joins import broadcast_if_small
+from regiopanel.session import materialize
 
 # The order priorities of the test data, used as the category (label) list.
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -92,8 +93,13 @@ def exposure_text(c: Column, period: Column) -> Column:
 
 
 def exposure_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per region, one digit-named text column per period (the wide traffic export)."""
-    long = exposure_long(spark, sf_dir)
+    """One row per region, one digit-named text column per period (the wide traffic export).
+
+    The long aggregate has one row per (region, month), so it is small at any scale; it is
+    written once under the checkpoint folder so the pivot's value discovery and the pivot itself
+    read that small table instead of aggregating lineitem twice.
+    """
+    long = materialize(exposure_long(spark, sf_dir), "exposure-long")
     texts = long.select("region", F.col("period").cast("string").alias("period"),
                         exposure_text(F.col("exposure"), F.col("period")).alias("text"))
     return texts.groupBy("region").pivot("period").agg(F.first("text"))

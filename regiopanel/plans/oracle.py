@@ -187,11 +187,11 @@ ORACLE: dict[str, str] = {
         WHERE l.quality IS NOT NULL AND l.toxic IS NOT NULL""",
     "reshape_unpivot_years": f"""
         WITH {EXPOSURE_LONG},
-        wide AS (PIVOT exposure_long ON period USING first(exposure) GROUP BY region),
-        long AS (FROM wide UNPIVOT INCLUDE NULLS (exposure FOR period IN (COLUMNS(* EXCLUDE (region)))))
-        SELECT region, CAST(period AS BIGINT) AS period,
-               CASE WHEN CAST(period AS BIGINT) % 11 = 0 THEN NULL ELSE {r('exposure', 2)} END AS exposure
-        FROM long""",
+        grid AS (SELECT region, unnest((SELECT list(DISTINCT period) FROM exposure_long)) AS period
+                 FROM (SELECT DISTINCT region FROM exposure_long))
+        SELECT g.region, g.period,
+               CASE WHEN g.period % 11 = 0 THEN NULL ELSE {r('e.exposure', 2)} END AS exposure
+        FROM grid g LEFT JOIN exposure_long e ON g.region = e.region AND g.period = e.period""",
     "reshape_pivot_categories": f"""
         WITH {MEASURE}, {PIVOT}
         SELECT region, period, """ + ", ".join(f"{r(chr(34) + n + chr(34), 4)} AS \"{n}\"" for _, n in PRIORITY_COLS)

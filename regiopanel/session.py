@@ -57,3 +57,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 def unique_suffix() -> str:
     return uuid.uuid4().hex[:8]
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as Parquet under the checkpoint root and return a scan of it.
+
+    Cuts the lineage like ``checkpoint()`` but in a single job (a reliable checkpoint computes its
+    plan twice unless the frame is cached first); the files live in the shared folder, so a lost
+    executor does not take the data with it.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
