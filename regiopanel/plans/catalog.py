@@ -29,6 +29,8 @@ from regiopanel.operators.evaluate import hash_split, regression_metrics
 from regiopanel.operators.joins import broadcast_if_small, intersect_values, keep_common, left_join_keys
 from regiopanel.operators.model import ForestParams, fit_group_forests
 from regiopanel.operators.nulls import drop_incomplete, fill_nulls
+from regiopanel.operators.panel import build_panel
+from regiopanel.operators.panel import panel_features as build_long_features
 from regiopanel.operators.report import (
     error_bars,
     metric_summary,
@@ -342,11 +344,7 @@ def reshape_unpivot_years(spark: SparkSession, sf: str) -> DataFrame:
 
 def _panel(spark: SparkSession, sf: str) -> DataFrame:
     """R2 then J1: measure pivoted to one column per category, joined to mean traffic (A1)."""
-    measure = frames.measure(spark, sf)
-    pivot = pivot_categories(measure, ["region", "period"], "category", "value", values=PRIORITIES,
-                             agg="avg", safe=NAME_UNSAFE)
-    traffic = mean_by(traffic_long(spark, sf), ["region", "period"], "traffic", "traffic")
-    return left_join_keys(pivot, traffic, ["region", "period"])
+    return build_panel(frames.measure(spark, sf), traffic_long(spark, sf), PRIORITIES, safe=NAME_UNSAFE)
 
 
 def _label_names():
@@ -374,12 +372,7 @@ def panel_left_join(spark: SparkSession, sf: str) -> DataFrame:
 
 def panel_features_frame(spark: SparkSession, sf: str) -> DataFrame:
     """M1 + P16 + P8 + P17: the long modelling frame (region, pollutant, period, label, traffic, year_feature)."""
-    panel = fill_nulls(_panel(spark, sf), {"traffic": 0.0})
-    panel = panel.withColumn("year_feature", F.col("period").cast("double"))
-    labels = _label_names()
-    long = panel.unpivot(["region", "period", "traffic", "year_feature"], labels, "pollutant", "label")
-    return drop_incomplete(long, ["label", "traffic", "year_feature"]).select(
-        "region", "pollutant", "period", "label", "traffic", "year_feature")
+    return build_long_features(_panel(spark, sf), _label_names())
 
 
 def panel_features(spark: SparkSession, sf: str) -> DataFrame:

@@ -160,3 +160,22 @@ def test_hash_split_is_partition_independent(spark):
 def test_profile_shape(spark):
     row = profile_shape(spark.range(7).withColumn("x", F.lit(1))).first()
     assert (row["n_rows"], row["n_cols"]) == (7, 2)
+
+
+def test_build_panel_trims_keeps_common_and_imputes(spark):
+    from regiopanel.operators import build_panel, panel_features
+
+    measure = spark.createDataFrame(
+        [(" Wien", 1990, "NOX", 1.0), ("Wien", 1990, "NOX", 3.0), ("Wien", 1991, "PM2.5", 2.0),
+         ("Tirol", 1990, "NOX", 5.0), ("AT", 1990, "NOX", 9.0)],
+        "Region string, Jahr int, Schadstoff string, Werte double")
+    traffic = spark.createDataFrame([("Wien ", 1990, 10.0), ("Wien", 1990, 20.0), ("AT", 1990, 1.0)],
+                                    "Region string, Jahr int, t double")
+    panel = build_panel(measure, traffic, ["NOX", "PM2.5", "SO2"], "Region", "Jahr", "Schadstoff", "Werte",
+                        "t", exclude_regions=("AT",))
+    assert panel.columns == ["Region", "Jahr", "NOX", "PM2_5", "SO2", "t"]
+    rows = {r["Jahr"]: r for r in panel.collect()}
+    assert set(rows) == {1990, 1991}  # Tirol has no traffic (J2), AT is excluded (T13)
+    assert rows[1990]["NOX"] == 2.0 and rows[1990]["t"] == 15.0 and rows[1991]["t"] is None
+    long = panel_features(panel, ["NOX", "PM2_5", "SO2"], "Region", "Jahr", "t").collect()
+    assert sorted((r["pollutant"], r["Jahr"], r["t"]) for r in long) == [("NOX", 1990, 15.0), ("PM2_5", 1991, 0.0)]
