@@ -39,6 +39,7 @@ class ForestParams:
     seed: int = 42
     min_rows: int = 10
     train_share: float = 0.8
+    split: str = "hash"  # "hash": md5 buckets of the row keys (T8); "random": randomSplit(seed)
 
 
 @dataclass
@@ -58,11 +59,17 @@ def _fit_one(spark: SparkSession, table: str, schema: T.StructType, keys, key_va
     for k, v in zip(keys, key_values):
         cond = cond & (F.col(k) == F.lit(v))
     rows = spark.read.schema(schema).parquet(table).filter(cond)
-    train = rows.filter(F.col("is_train"))
-    test = rows.filter(~F.col("is_train"))
-    counts = rows.groupBy("is_train").count().collect()
-    n_train = sum(r["count"] for r in counts if r["is_train"])
-    n_test = sum(r["count"] for r in counts if not r["is_train"])
+    if params.split == "random":
+        # the reference's randomSplit; reproducible because the group's rows are one sorted partition
+        ordered = rows.orderBy(order).coalesce(1)
+        train, test = ordered.randomSplit([params.train_share, 1.0 - params.train_share], seed=params.seed)
+        n_train, n_test = train.count(), test.count()
+    else:
+        train = rows.filter(F.col("is_train"))
+        test = rows.filter(~F.col("is_train"))
+        counts = rows.groupBy("is_train").count().collect()
+        n_train = sum(r["count"] for r in counts if r["is_train"])
+        n_test = sum(r["count"] for r in counts if not r["is_train"])
     if n_train == 0 or n_test == 0:
         return key_values, n_train, n_test
     assembler = VectorAssembler(inputCols=list(features), outputCol="__features")

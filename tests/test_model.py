@@ -27,3 +27,10 @@ def test_group_forests_reproducible(spark):
     assert all(m["n_train"] + m["n_test"] == 30 for m in metrics.values())
     gate = {r["region"]: r["eligible"] for r in a.gate.collect()}
     assert gate == {"a": True, "b": True, "c": False}
+
+
+def test_group_forests_random_split_reproducible(spark):
+    params = ForestParams(num_trees=3, max_depth=2, split="random")
+    a = sorted(tuple(r) for r in fit_group_forests(_frame(spark), params=params).predictions.collect())
+    b = sorted(tuple(r) for r in fit_group_forests(_frame(spark), params=params).predictions.collect())
+    assert a == b and len(a) > 0
