@@ -62,7 +62,9 @@ def mapping_frame(spark, mapping: dict, src: str = "src", dst: str = "dst") -> D
     Its size is ``len(mapping)``, known before any job runs, so small maps carry a broadcast hint
     (a frame made from a local list has no size statistics and would otherwise be shuffled).
     """
-    df = spark.createDataFrame(list(mapping.items()), f"{src} string, {dst} string")
+    from regiopanel.session import small_frame
+
+    df = small_frame(spark, list(mapping.items()), f"{src} string, {dst} string")
     return F.broadcast(df) if len(mapping) <= MAX_BROADCAST_MAP else df
 
 

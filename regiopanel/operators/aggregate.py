@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from regiopanel.session import small_frame
+
 
 def mean_by(df: DataFrame, keys, value: str, alias: str) -> DataFrame:
     """A1/A2: mean of ``value`` per key (collapses duplicate loads). Partial aggregation per task
@@ -37,110 +39,119 @@ def min_sample_gate(df: DataFrame, keys, required, threshold: int = 10) -> DataF
 # Exact quantiles without gathering a column into one task.
 #
 # A global ``percentile`` aggregate keeps every distinct value of the column in one buffer.
-# Instead: (1) one pass gets the count and approximate quantiles at q +/- margin, giving a value
-# bracket that must hold the wanted rank; (2) one pass counts rows below / inside each bracket;
-# (3) a bracket that is still large is narrowed again with approximate quantiles of the rows
-# inside it; (4) once a bracket is small, the exact order statistic is read with a bounded
-# ordered take (``orderBy().offset(k).limit(2)``). Every step is a distributed scan with
+# Instead: (1) one pass gets the count, min, max and approximate quantiles at q +/- margin, a
+# value bracket that should hold the two ranks around q; (2) one pass counts the rows below and
+# inside every bracket, which verifies it (a missed bracket is widened to min / max); (3) a
+# bracket that is still large is narrowed with approximate quantiles of the rows inside it;
+# (4) once a bracket holds at most ``max_bracket`` rows, both order statistics are read with one
+# bounded ordered take (``orderBy().offset(k).limit(2)``). Every step is a distributed scan with
 # per-task partial aggregation; at most ``max_bracket`` rows ever meet in one task.
 # --------------------------------------------------------------------------------------------
 
-def _order_stats(data: DataFrame, ranks: list[int], n: int, vmin, vmax, accuracy: int,
-                 max_bracket: int) -> dict[int, float]:
+def exact_quantiles(df: DataFrame, column: str, probs, accuracy: int = 10_000,
+                    max_bracket: int = 200_000) -> dict[float, float | None]:
+    """Linear-interpolated quantiles (``percentile`` / ``quantile_cont`` semantics) of a column.
+
+    Exact, but never collects the column: see the comment above. Returns ``{p: value}``.
+    """
+    return _exact_quantiles(df, column, probs, accuracy, max_bracket)[0]
+
+
+def _exact_quantiles(df: DataFrame, column: str, probs, accuracy: int = 10_000,
+                     max_bracket: int = 200_000, extra=()):
+    """``exact_quantiles`` plus the values of ``extra`` aggregates over ``v`` (the non-null
+    column), computed in the same first pass. Returns ``(quantiles, first_pass_row)``."""
+    probs = list(probs)
     v = F.col("v")
+    data = df.select(F.col(column).cast("double").alias("v")).filter(v.isNotNull())
     margin = 3.0 / accuracy
-    found: dict[int, float] = {}
-    # brackets: rank -> (low, high, rows_below_low) with low/high inclusive
-    brackets = {}
-    probs = []
-    for r in ranks:
-        p = r / (n - 1) if n > 1 else 0.0
-        probs += [max(0.0, p - margin), min(1.0, p + margin)]
-    approx = data.agg(F.percentile_approx(v, probs, accuracy).alias("a")).first()["a"]
-    for i, r in enumerate(ranks):
-        brackets[r] = [approx[2 * i], approx[2 * i + 1]]
-    rounds = 0
-    while brackets:
-        rounds += 1
-        if rounds > 64:
-            raise RuntimeError("exact quantile search did not converge")
-        items = list(brackets.items())
+    bracket_probs = [x for q in probs for x in (max(0.0, q - margin), min(1.0, q + margin))]
+    first = data.agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"),
+                     F.percentile_approx(v, bracket_probs, accuracy).alias("a"), *extra).first()
+    n = first["n"]
+    if n == 0:
+        return {q: None for q in probs}, first
+    # per quantile: (rank_lo, rank_hi, fraction, [low, high])
+    todo = {}
+    for i, q in enumerate(probs):
+        h = (n - 1) * q
+        r_lo = int(math.floor(h))
+        todo[q] = (r_lo, min(r_lo + 1, n - 1), h - r_lo, [first["a"][2 * i], first["a"][2 * i + 1]])
+    found: dict[float, tuple] = {}
+    for _ in range(64):
+        if not todo:
+            break
+        items = list(todo.items())
         aggs = []
-        for j, (_, (lo, hi)) in enumerate(items):
+        for j, (_, (_, _, _, (lo, hi))) in enumerate(items):
             aggs.append(F.count(F.when(v < F.lit(lo), F.lit(1))).alias(f"b{j}"))
             aggs.append(F.count(F.when((v >= F.lit(lo)) & (v <= F.lit(hi)), F.lit(1))).alias(f"w{j}"))
         counts = data.agg(*aggs).first()
-        for j, (r, (lo, hi)) in enumerate(items):
+        small = {}  # q -> (bracket, local ranks) read together below
+        for j, (q, (r_lo, r_hi, frac, (lo, hi))) in enumerate(items):
             below, within = counts[f"b{j}"], counts[f"w{j}"]
-            if r < below:  # approximation missed low: widen down to the minimum
-                brackets[r] = [vmin, hi]
-                continue
-            if r >= below + within:  # missed high: widen up to the maximum
-                brackets[r] = [lo, vmax]
-                continue
-            if lo == hi:
-                found[r] = lo
-                del brackets[r]
-                continue
-            inside = data.filter((v >= F.lit(lo)) & (v <= F.lit(hi)))
-            k = r - below
-            if within <= max_bracket:
-                row = inside.orderBy(v).offset(k).limit(1).first()
-                found[r] = row["v"]
-                del brackets[r]
-                continue
-            p = k / (within - 1)
-            sub = inside.agg(F.percentile_approx(
-                v, [max(0.0, p - margin), min(1.0, p + margin)], accuracy).alias("a")).first()["a"]
-            brackets[r] = [max(lo, sub[0]), min(hi, sub[1])]
-    return found
+            if r_lo < below:  # the approximation missed low: widen down to the minimum
+                todo[q] = (r_lo, r_hi, frac, [first["lo"], hi])
+            elif r_hi >= below + within:  # missed high: widen up to the maximum
+                todo[q] = (r_lo, r_hi, frac, [lo, first["hi"]])
+            elif lo == hi:
+                found[q] = (lo, lo, frac)
+                del todo[q]
+            elif within <= max_bracket:
+                small[q] = ((lo, hi), r_lo - below + 1, r_hi - below + 1)
+                del todo[q]
+            else:
+                inside = data.filter((v >= F.lit(lo)) & (v <= F.lit(hi)))
+                p = (r_lo - below) / (within - 1)
+                sub = inside.agg(F.percentile_approx(
+                    v, [max(0.0, p - margin), min(1.0, p + margin)], accuracy).alias("a")).first()["a"]
+                todo[q] = (r_lo, r_hi, frac, [max(lo, sub[0]), min(hi, sub[1])])
+        if small:
+            got = _read_ranks(data, list(small.values()))
+            fracs = {qq: f for qq, (_, _, f, _) in items}
+            for i, (q, (_, k_lo, k_hi)) in enumerate(small.items()):
+                found[q] = (got[(i, k_lo)], got[(i, k_hi)], fracs[q])
+    if todo:
+        raise RuntimeError("exact quantile search did not converge")
+    out = {}
+    for q, (a, b, frac) in found.items():
+        out[q] = a if frac == 0 or a == b else a + frac * (b - a)
+    return out, first
 
 
-def exact_quantiles(df: DataFrame, column: str, probs, accuracy: int = 10_000,
-                    max_bracket: int = 200_000) -> dict[float, float | None]:
-    """Linear-interpolated quantiles (``percentile`` / ``quantile_cont`` semantics) of a column.
+def _read_ranks(data: DataFrame, wanted) -> dict:
+    """Values at 1-based ranks inside small value brackets, all brackets in ONE job.
 
-    Exact, but never collects the column: see the comment above. Returns ``{p: value}``.
+    ``wanted`` is a list of ``((low, high), rank, rank)``. Each row is tagged with the brackets it
+    falls in (brackets may overlap), ranked within its bracket by a window partitioned by bracket
+    id (each bracket holds at most ``max_bracket`` rows), and only the wanted ranks are kept.
     """
-    data = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    row = data.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    n = row["n"]
-    if n == 0:
-        return {p: None for p in probs}
-    wanted = {}
-    for p in probs:
-        h = (n - 1) * p
-        lo = int(math.floor(h))
-        wanted[p] = (lo, min(lo + 1, n - 1), h - lo)
-    ranks = sorted({r for lo, hi, _ in wanted.values() for r in (lo, hi)})
-    stats = _order_stats(data, ranks, n, row["lo"], row["hi"], accuracy, max_bracket)
-    out = {}
-    for p, (lo, hi, frac) in wanted.items():
-        a, b = stats[lo], stats[hi]
-        out[p] = a if frac == 0 or a == b else a + frac * (b - a)
-    return out
+    v = F.col("v")
+    tags = F.array(*[F.when((v >= F.lit(lo)) & (v <= F.lit(hi)), F.lit(i))
+                     for i, ((lo, hi), _, _) in enumerate(wanted)])
+    tagged = (data.select("v", F.explode(F.filter(tags, lambda x: x.isNotNull())).alias("bid"))
+              .withColumn("rk", F.row_number().over(Window.partitionBy("bid").orderBy("v"))))
+    keep = F.lit(False)
+    for i, (_, k_lo, k_hi) in enumerate(wanted):
+        keep = keep | ((F.col("bid") == F.lit(i)) & F.col("rk").isin(k_lo, k_hi))
+    return {(r["bid"], r["rk"]): r["v"] for r in tagged.filter(keep).collect()}
 
 
 def describe(df: DataFrame, columns, probs=(0.25, 0.5, 0.75)) -> DataFrame:
     """Count, mean, sample std, min, interpolated quartiles and max per numeric column.
 
     Returns one row per described column: ``column, count, mean, std, min, p25, p50, p75, max``.
-    The moments come from one distributed aggregate; quartiles from :func:`exact_quantiles`.
+    The moments share the first aggregate pass of :func:`exact_quantiles` (about four distributed
+    jobs per column in all).
     """
     spark = df.sparkSession
     columns = [columns] if isinstance(columns, str) else list(columns)
-    aggs = []
-    for i, c in enumerate(columns):
-        x = F.col(f"`{c}`").cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    moments = df.agg(*aggs).first()
     rows = []
-    for i, c in enumerate(columns):
-        q = exact_quantiles(df, c, probs)
-        rows.append((c, moments[f"n{i}"], moments[f"m{i}"], moments[f"s{i}"], moments[f"lo{i}"],
-                     *[q[p] for p in probs], moments[f"hi{i}"]))
+    for c in columns:
+        v = F.col("v")
+        q, m = _exact_quantiles(df, c, probs, extra=(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std")))
+        rows.append((c, m["n"], m["mean"], m["std"], m["lo"], *[q[p] for p in probs], m["hi"]))
     qnames = [f"p{int(round(p * 100))}" for p in probs]
     schema = ("column string, count bigint, mean double, std double, min double, "
               + ", ".join(f"{q} double" for q in qnames) + ", max double")
-    return spark.createDataFrame(rows, schema)
+    return small_frame(spark, rows, schema)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regiopanel.operators.evaluate import hash_split, regression_metrics
-from regiopanel.session import scratch_path
+from regiopanel.session import scratch_path, small_frame
 
 
 @dataclass(frozen=True)
@@ -114,13 +114,13 @@ def fit_group_forests(long_df: DataFrame, keys=("region", "pollutant"), label: s
     key_fields = [schema[k] for k in keys]
     counts_schema = T.StructType(key_fields + [T.StructField("n_train", T.LongType()),
                                                T.StructField("n_test", T.LongType())])
-    counts = spark.createDataFrame([(*kv, ntr, nte) for kv, ntr, nte in fitted], counts_schema)
+    counts = small_frame(spark, [(*kv, ntr, nte) for kv, ntr, nte in fitted], counts_schema)
     pred_schema = T.StructType(key_fields + [schema[order], T.StructField("actual", T.DoubleType()),
                                              T.StructField("predicted", T.DoubleType())])
     if any(nte and ntr for _, ntr, nte in fitted):
         predictions = spark.read.schema(pred_schema).parquet(f"{out_path}/group*")
     else:
-        predictions = spark.createDataFrame([], pred_schema)
+        predictions = small_frame(spark, [], pred_schema)
     metrics = (counts.join(regression_metrics(predictions, keys).drop("n"), keys, "left")
                .select(*keys, "n_train", "n_test", "rmse", "r2"))
     return GroupForests(predictions=predictions, metrics=metrics, gate=gate)

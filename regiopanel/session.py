@@ -69,3 +69,22 @@ def materialize(df, name: str):
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_frame(spark, rows, schema):
+    """A DataFrame of a few driver-side rows (a summary, a lookup dict) built entirely in the JVM.
+
+    ``createDataFrame(list)`` ships pickled rows that Python workers must decode; this expresses
+    the rows as literals (``inline`` of an array of structs over a one-row range) instead.
+    """
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    if not rows:
+        typed = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+        return spark.range(1).select(*typed).filter(F.lit(False))
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields)])
+               for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
