@@ -50,7 +50,8 @@ class GroupForests:
 
 
 def _fit_one(spark: SparkSession, table: str, schema: T.StructType, keys, key_values, features,
-             label: str, order: str, params: ForestParams, out_path: str, index: int) -> tuple:
+             label: str, order: str, params: ForestParams, out_path: str, index: int,
+             split_counts: tuple[int, int]) -> tuple:
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
@@ -64,12 +65,10 @@ def _fit_one(spark: SparkSession, table: str, schema: T.StructType, keys, key_va
         ordered = rows.orderBy(order).coalesce(1)
         train, test = ordered.randomSplit([params.train_share, 1.0 - params.train_share], seed=params.seed)
         n_train, n_test = train.count(), test.count()
-    else:
+    else:  # split sizes were counted for all groups in the gate aggregate
         train = rows.filter(F.col("is_train"))
         test = rows.filter(~F.col("is_train"))
-        counts = rows.groupBy("is_train").count().collect()
-        n_train = sum(r["count"] for r in counts if r["is_train"])
-        n_test = sum(r["count"] for r in counts if not r["is_train"])
+        n_train, n_test = split_counts
     if n_train == 0 or n_test == 0:
         return key_values, n_train, n_test
     assembler = VectorAssembler(inputCols=list(features), outputCol="__features")
@@ -99,15 +98,18 @@ def fit_group_forests(long_df: DataFrame, keys=("region", "pollutant"), label: s
     schema = split.schema
     stored = spark.read.schema(schema).parquet(table)
 
-    gate = (stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
-            .withColumn("eligible", F.col("n_rows") >= F.lit(params.min_rows)))
-    eligible = [tuple(r[k] for k in keys) for r in gate.filter("eligible").select(*keys).collect()]
+    sized = (stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"),
+                                       F.count(F.when(F.col("is_train"), F.lit(1))).alias("n_train"))
+             .withColumn("eligible", F.col("n_rows") >= F.lit(params.min_rows)))
+    gate = sized.select(*keys, "n_rows", "eligible")
+    eligible = [(tuple(r[k] for k in keys), (r["n_train"], r["n_rows"] - r["n_train"]))
+                for r in sized.filter("eligible").collect()]
 
     out_path = scratch_path(spark, "group-predictions")
     workers = parallelism or min(len(eligible) or 1, os.cpu_count() or 4, 8)
     task = inheritable_thread_target(spark)(
-        lambda item: _fit_one(spark, table, schema, keys, item[1], features, label, order, params,
-                              out_path, item[0]))
+        lambda item: _fit_one(spark, table, schema, keys, item[1][0], features, label, order, params,
+                              out_path, item[0], item[1][1]))
     with ThreadPoolExecutor(max_workers=workers) as pool:
         fitted = list(pool.map(task, list(enumerate(eligible))))
 

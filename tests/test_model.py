@@ -34,3 +34,12 @@ def test_group_forests_random_split_reproducible(spark):
     a = sorted(tuple(r) for r in fit_group_forests(_frame(spark), params=params).predictions.collect())
     b = sorted(tuple(r) for r in fit_group_forests(_frame(spark), params=params).predictions.collect())
     assert a == b and len(a) > 0
+
+
+def test_group_without_test_rows_reports_null_metrics(spark):
+    params = ForestParams(num_trees=2, max_depth=2, train_share=1.0)  # every bucket trains
+    res = fit_group_forests(_frame(spark), params=params)
+    rows = res.metrics.collect()
+    assert {r["region"] for r in rows} == {"a", "b"}
+    assert all(r["n_test"] == 0 and r["rmse"] is None and r["r2"] is None for r in rows)
+    assert res.predictions.count() == 0
