@@ -53,9 +53,20 @@ def metrics_by_region(metrics: DataFrame, region: str = "region", pollutant: str
     return metrics.withColumn("position", F.row_number().over(w)).orderBy(region, pollutant)
 
 
-def sort_frame(df: DataFrame, *cols) -> DataFrame:
+def spread_ties(df: DataFrame) -> Column:
+    """A deterministic hash of the whole row, used as the last sort key.
+
+    A range-partitioned sort cannot split one key value across partitions, so a value held by a
+    third of the rows would sort in one task. With the row hash after the real keys, equal keys
+    still come out together and in order, but the range boundaries can fall inside them.
+    """
+    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def sort_frame(df: DataFrame, *cols, tie_spread: bool = True) -> DataFrame:
     """O1: global sort (range-partitioned; scales, unlike a driver-side sort)."""
-    return df.orderBy(*cols)
+    keys = list(cols) + ([spread_ties(df)] if tie_spread else [])
+    return df.orderBy(*keys)
 
 
 def top_k_per_group(df: DataFrame, group: str, score: str, k: int = 5, tie: str = "region") -> DataFrame:

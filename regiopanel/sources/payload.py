@@ -66,5 +66,7 @@ def payload_rows(df: DataFrame, array_field: str = "hourly", time_field: str = "
     out = renamed.select(parse_timestamp(F.col(f"`{time_field}`")).alias(time_field),
                          *[F.col(f"`{n}`") for n in others], *[F.col(f"`{k}`") for k in keep])
     if order_by_time:
-        out = out.orderBy(*[F.col(f"`{k}`") for k in keep], F.col(f"`{time_field}`"))
+        # the row hash last lets range boundaries split a timestamp shared by very many rows
+        ties = F.xxhash64(*[F.col(f"`{c}`") for c in out.columns])
+        out = out.orderBy(*[F.col(f"`{k}`") for k in keep], F.col(f"`{time_field}`"), ties)
     return out

@@ -179,3 +179,20 @@ def test_build_panel_trims_keeps_common_and_imputes(spark):
     assert rows[1990]["NOX"] == 2.0 and rows[1990]["t"] == 15.0 and rows[1991]["t"] is None
     long = panel_features(panel, ["NOX", "PM2_5", "SO2"], "Region", "Jahr", "t").collect()
     assert sorted((r["pollutant"], r["Jahr"], r["t"]) for r in long) == [("NOX", 1990, 15.0), ("PM2_5", 1991, 0.0)]
+
+
+def test_sort_spreads_a_hot_key_over_partitions(spark):
+    from regiopanel.operators import sort_frame
+
+    hot = spark.range(40000).select(F.lit("hot").alias("k"), F.col("id").alias("v"))
+    cold = spark.range(2000).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("k"),
+                                    F.col("id").alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = sort_frame(hot.unionByName(cold).repartition(8), "k")
+        sizes = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        keys = [r["k"] for r in out.select("k").collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert max(r["count"] for r in sizes) < 40000  # the hot key is split across range partitions
+    assert keys == sorted(keys)
