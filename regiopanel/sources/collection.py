@@ -26,14 +26,15 @@ _OPS = {
 
 
 def append_to_collection(df: DataFrame, path: str, batch_size: int = 5000, add_meta: bool = True,
-                         now: datetime | None = None) -> int:
+                         now: datetime | None = None, partition_by=None) -> int:
     """IO4 + A9: append ``df`` to the collection and return the number of rows written.
 
     ``_imported_at`` is ONE naive-UTC literal for the whole call (T18), ``_id`` a generated
     uuid unless the frame has one. ``batch_size`` caps the rows per output file. The count comes
     from an ``Observation`` on the write itself, so no second job re-reads the data. The write
     goes through Spark's commit protocol: a lost executor's task is re-run and only committed
-    attempts become visible.
+    attempts become visible. ``partition_by`` (e.g. the region) lays the files out by key, so a
+    later scan filtering on it reads only the matching folders (partition pruning).
     """
     out = df
     if add_meta:
@@ -47,6 +48,8 @@ def append_to_collection(df: DataFrame, path: str, batch_size: int = 5000, add_m
     writer = out.write.mode("append")
     if batch_size:
         writer = writer.option("maxRecordsPerFile", str(int(batch_size)))
+    if partition_by:
+        writer = writer.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
     writer.parquet(path)
     return int(obs.get["rows"])
 

@@ -135,3 +135,14 @@ def test_typed_document_dump(spark, tmp_dir):
     assert row["_imported_at"].isoformat() == "2026-01-09T12:59:11.483000"
     assert dict(df.dtypes)["Unnamed: 28"] == "double"
     assert row["1980"] == 277000
+
+
+def test_partitioned_collection_prunes(spark, tmp_dir):
+    col = os.path.join(tmp_dir, "by_region")
+    df = spark.createDataFrame([("Wien", 1990, 1.0), ("Tirol", 1990, 2.0), ("Wien", 1991, 3.0)],
+                               "Region string, Jahr int, v double")
+    assert append_to_collection(df, col, partition_by="Region") == 3
+    scan = collection_scan(spark, col, query={"Region": "Wien"}, projection={"Jahr": 1, "v": 1, "_id": 0})
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(Region" in plan
+    assert sorted(r["v"] for r in scan.collect()) == [1.0, 3.0]
