@@ -43,3 +43,10 @@ def test_group_without_test_rows_reports_null_metrics(spark):
     assert {r["region"] for r in rows} == {"a", "b"}
     assert all(r["n_test"] == 0 and r["rmse"] is None and r["r2"] is None for r in rows)
     assert res.predictions.count() == 0
+
+
+def test_jvm_model_path_equals_pipeline_path(spark):
+    base = dict(num_trees=4, max_depth=3)
+    jvm = fit_group_forests(_frame(spark), params=ForestParams(**base))
+    py = fit_group_forests(_frame(spark), params=ForestParams(**base, python_model=True))
+    assert sorted(tuple(r) for r in jvm.predictions.collect()) == sorted(tuple(r) for r in py.predictions.collect())
