@@ -54,6 +54,7 @@ from regiopanel.sources.delimited import (
 from regiopanel.sources.payload import payload_rows, payload_schema, read_payloads
 from regiopanel.sources.typed_json import read_document_dump
 from regiopanel.session import scratch_path
+from regiopanel.streaming.landing import land_payloads
 
 # The recode map applied to region names in the recode checks (3 of the 5 names).
 REGION_CODES = {"EUROPE": "EU", "AMERICA": "AM", "ASIA": "AS"}
@@ -125,6 +126,17 @@ def io_payload_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("event_id", "time", "user_id", "event_type", "value")
 
 
+def stream_payload_landing(spark: SparkSession, sf: str) -> DataFrame:
+    """IO3 + IO4 as a stream: payload files land in a folder, a file stream flattens them and
+    appends each micro-batch to a collection (one epoch folder per batch); the collection is read back."""
+    landing = _event_payloads(spark, sf)
+    collection = scratch_path(spark, "landed-events")
+    schema = payload_schema({"event_id": "bigint", "user_id": "bigint", "event_type": "string",
+                             "value": "double"}, keys={"day": "string", "block": "bigint"})
+    land_payloads(spark, landing, schema, collection, keep=None).awaitTermination()
+    return collection_scan(spark, collection).select("event_id", "time", "user_id", "event_type", "value")
+
+
 def io_collection_append(spark: SparkSession, sf: str) -> DataFrame:
     """IO4 + A9: nation appended twice; every key twice, two ids per key, rows counted on write."""
     path = scratch_path(spark, "collection-nation")
@@ -534,6 +546,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "io_locale_typed_load": io_locale_typed_load,
     "io_payload_rows": io_payload_rows,
     "io_collection_append": io_collection_append,
+    "stream_payload_landing": stream_payload_landing,
     "io_collection_scan": io_collection_scan,
     "io_ragged_union": io_ragged_union,
     "io_decimal_comma_roundtrip": io_decimal_comma_roundtrip,

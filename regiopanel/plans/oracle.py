@@ -113,6 +113,8 @@ ORACLE: dict[str, str] = {
         FROM part""",
     "io_payload_rows": """
         SELECT event_id, ts AS time, user_id, event_type, value FROM events""",
+    "stream_payload_landing": """
+        SELECT event_id, ts AS time, user_id, event_type, value FROM events""",
     "io_collection_append": """
         SELECT n_nationkey, CAST(2 AS BIGINT) AS n_copies, CAST(2 AS BIGINT) AS n_ids,
                CAST(2 * (SELECT count(*) FROM nation) AS BIGINT) AS inserted
