@@ -22,7 +22,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, is_remote
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,7 +75,7 @@ def _fit_one(spark: SparkSession, table: str, schema: T.StructType, keys, key_va
     assembler = VectorAssembler(inputCols=list(features), outputCol="__features")
     forest = RandomForestRegressor(featuresCol="__features", labelCol=label, predictionCol="__pred",
                                    numTrees=params.num_trees, maxDepth=params.max_depth, seed=params.seed)
-    if params.python_model:
+    if params.python_model or is_remote():  # a Connect session has no JVM model handle
         model = Pipeline(stages=[assembler, forest]).fit(train)
         scored = model.transform(test)
     else:

@@ -34,6 +34,7 @@ EDGES = [
     (" 5,5", None),
     ("2162.23", 216223.0),  # T1: every dot goes, also a decimal point
     ("1.000 t", None),
+    ("1d", 1.0), ("1f", 1.0),  # Spark's cast accepts Java float suffixes (kept out of oracle data)
 ]
 
 
