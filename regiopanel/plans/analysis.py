@@ -21,9 +21,10 @@ from regiopanel.functions.locale import locale_number, year_int
 from regiopanel.functions.recode import REGION_MAP, recode
 from regiopanel.operators.model import ForestParams, GroupForests, fit_group_forests
 from regiopanel.operators.panel import build_panel, panel_features
-from regiopanel.operators.report import metric_summary, top_k_per_group
+from regiopanel.operators.report import metric_summary, metrics_by_region, sort_frame, top_k_per_group
 from regiopanel.operators.reshape import metric_matrix, unpivot_digit_columns
 from regiopanel.operators.schema import trim_names
+from regiopanel.sources.delimited import export_csv
 
 # The pollutant labels modelled by default and the two feature column names.
 LABELS = ("NOX", "SO2", "NMVOC", "NH3", "PM2.5")
@@ -79,5 +80,31 @@ def analyse_regions(traffic_wide: DataFrame, air_long: DataFrame, labels=LABELS,
     return RegionalAnalysis(
         panel=panel, features=features, forests=forests, metrics=metrics,
         summary=metric_summary(metrics, by="pollutant", group="region"),
-        matrix=metric_matrix(metrics, "region", "pollutant", "r2", values=label_cols),
+        matrix=metric_matrix(metrics, "region", "pollutant", "r2", values=sorted(label_cols)),
         top=top_k_per_group(metrics, "pollutant", "r2", k=top_k, tie="region"))
+
+
+def export_reports(result: RegionalAnalysis, out_dir: str) -> dict[str, str]:
+    """IO9 for the whole analysis: the report tables as CSV folders, one distributed write each.
+
+    ``metrics_by_region/region=<r>/`` holds each region's table (sorted by pollutant when read in
+    ``position`` order), ``top_by_pollutant/pollutant=<p>/`` each pollutant's best regions;
+    the all-regions table, the per-pollutant summary and the R² matrix are single folders.
+    Returns the folder of each report.
+    """
+    out = out_dir.rstrip("/")
+    paths = {
+        "metrics_by_region": f"{out}/metrics_by_region",
+        "all_metrics": f"{out}/all_metrics",
+        "summary": f"{out}/summary",
+        "matrix": f"{out}/matrix",
+        "top_by_pollutant": f"{out}/top_by_pollutant",
+    }
+    metrics = result.metrics.select("region", "pollutant", "rmse", "r2")
+    export_csv(metrics_by_region(metrics), paths["metrics_by_region"], partition_by="region")
+    export_csv(sort_frame(metrics, "region", "pollutant"), paths["all_metrics"])
+    export_csv(result.summary, paths["summary"])
+    export_csv(result.matrix, paths["matrix"])
+    export_csv(result.top.select("pollutant", "rank", "region", "rmse", "r2"), paths["top_by_pollutant"],
+               partition_by="pollutant")
+    return paths

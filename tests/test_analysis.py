@@ -3,7 +3,7 @@
 import os
 
 from regiopanel.operators.model import ForestParams
-from regiopanel.plans.analysis import analyse_regions
+from regiopanel.plans.analysis import analyse_regions, export_reports
 from regiopanel.sources import read_delimited
 
 YEARS = list(range(1990, 2022))
@@ -52,3 +52,9 @@ def test_analysis_end_to_end(spark, tmp_dir):
     assert result.matrix.columns == ["region", "NOX", "PM2_5"]
     assert {r["pollutant"] for r in result.summary.collect()} == {"NOX", "PM2_5"}
     assert result.top.count() == 6
+
+    paths = export_reports(result, os.path.join(tmp_dir, "reports"))
+    regions = sorted(d for d in os.listdir(paths["metrics_by_region"]) if d.startswith("region="))
+    assert regions == ["region=AT", "region=Niederoestereich", "region=Wien"]
+    back = spark.read.option("header", "true").csv(paths["matrix"])
+    assert back.columns == ["region", "NOX", "PM2_5"] and back.count() == 3
