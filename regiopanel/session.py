@@ -13,8 +13,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
     On a cluster this is set by the deployment and is visible to every executor. Only when it
-    is unset (local tests, the bench) do we create one ourselves and register it with the
-    context, so ``DataFrame.checkpoint()`` and our written scratch tables land in the same place.
+    is unset in local mode (tests, the bench) do we create one ourselves and register it with the
+    context, so ``DataFrame.checkpoint()`` and our written scratch tables land in the same place;
+    unset on a cluster is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -30,6 +31,10 @@ def checkpoint_root(spark: SparkSession) -> str:
             return sc.getCheckpointDir() or configured
     if configured:
         return configured
+    master = spark.conf.get("spark.master", "local")
+    if not master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a shared folder "
+                           "(a machine-local temporary folder is not visible to the executors)")
     local = tempfile.mkdtemp(prefix="regiopanel-ckpt-", dir="/tmp")
     if sc is not None:
         sc.setCheckpointDir(local)
