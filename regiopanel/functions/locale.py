@@ -65,11 +65,14 @@ def locale_number(c, thousands: str | None = ".", decimal: str = ",", markers=NU
 
 
 def year_int(c, on_error: str = "fail") -> Column:
-    """Text year -> int. ``on_error='fail'`` raises on bad text under ANSI mode (T5);
-    ``on_error='null'`` turns it into null. Surrounding spaces are accepted by the cast."""
+    """Text year -> int. ``on_error='fail'`` fails the job on text that is not an integer
+    (T5), whatever the session's ANSI setting; ``on_error='null'`` turns it into null.
+    Surrounding spaces are accepted."""
     c = as_col(c)
     if on_error == "fail":
-        return c.cast("int")
+        parsed = c.try_cast("int")
+        return F.when(c.isNotNull() & parsed.isNull(),
+                      F.raise_error(F.concat(F.lit("not a year: "), c.cast("string")))).otherwise(parsed)
     if on_error == "null":
         return c.try_cast("int")
     raise ValueError("on_error must be 'fail' or 'null'")

@@ -101,3 +101,13 @@ def test_recode_exact_and_fallback(spark):
 def test_parse_timestamp_minutes(spark):
     got = _eval(spark, ["2025-12-05T00:00", "2025-12-05T13:45:10"], parse_timestamp)
     assert [g.isoformat() for g in got] == ["2025-12-05T00:00:00", "2025-12-05T13:45:10"]
+
+
+def test_year_cast_fails_without_ansi(spark):
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        with pytest.raises(Exception):
+            _eval(spark, ["abc"], year_int)
+        assert _eval(spark, [" 2001 ", None], year_int) == [2001, None]
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
