@@ -39,13 +39,15 @@ def min_sample_gate(df: DataFrame, keys, required, threshold: int = 10) -> DataF
 # Exact quantiles without gathering a column into one task.
 #
 # A global ``percentile`` aggregate keeps every distinct value of the column in one buffer.
-# Instead: (1) one pass gets the count, min, max and approximate quantiles at q +/- margin, a
-# value bracket that should hold the two ranks around q; (2) one pass counts the rows below and
-# inside every bracket, which verifies it (a missed bracket is widened to min / max); (3) a
-# bracket that is still large is narrowed with approximate quantiles of the rows inside it;
-# (4) once a bracket holds at most ``max_bracket`` rows, both order statistics are read with one
-# bounded ordered take (``orderBy().offset(k).limit(2)``). Every step is a distributed scan with
-# per-task partial aggregation; at most ``max_bracket`` rows ever meet in one task.
+# Instead: (1) one pass gets, for every column, the count, min, max and approximate quantiles at
+# q +/- margin: a value bracket [lo, hi] for each wanted rank; (2) one pass counts, per bracket,
+# the rows < lo, <= lo, < hi and <= hi. That verifies the bracket (a miss widens it to the min /
+# max), answers ranks that fall in the run of values equal to lo or hi (heavy duplicates end
+# here), and sizes the interior; (3) one pass narrows every large interior with approximate
+# quantiles of the rows strictly inside it, so each round strictly shrinks the bracket; (4) one
+# job reads the ranks inside all small interiors (at most ``max_bracket`` rows each) with a
+# window partitioned by bracket. Every pass is a distributed scan with per-task partial
+# aggregation, shared by all columns; no task ever holds more than one small bracket.
 # --------------------------------------------------------------------------------------------
 
 def exact_quantiles(df: DataFrame, column: str, probs, accuracy: int = 10_000,
@@ -54,104 +56,137 @@ def exact_quantiles(df: DataFrame, column: str, probs, accuracy: int = 10_000,
 
     Exact, but never collects the column: see the comment above. Returns ``{p: value}``.
     """
-    return _exact_quantiles(df, column, probs, accuracy, max_bracket)[0]
+    return multi_quantiles(df, [column], probs, accuracy, max_bracket)[0][column]
 
 
-def _exact_quantiles(df: DataFrame, column: str, probs, accuracy: int = 10_000,
-                     max_bracket: int = 200_000, extra=()):
-    """``exact_quantiles`` plus the values of ``extra`` aggregates over ``v`` (the non-null
-    column), computed in the same first pass. Returns ``(quantiles, first_pass_row)``."""
+def multi_quantiles(df: DataFrame, columns, probs, accuracy: int = 10_000, max_bracket: int = 200_000,
+                    extra=None):
+    """Exact quantiles of several columns at once; every pass serves all columns.
+
+    ``extra(c)`` may return more aggregates for column expression ``c`` (named ``<name>__<i>``
+    by the caller's choice) to ride along in the first pass. Returns ``(quantiles, first_row)``
+    with ``quantiles[column][p]``.
+    """
+    columns = list(columns)
     probs = list(probs)
-    v = F.col("v")
-    data = df.select(F.col(column).cast("double").alias("v")).filter(v.isNotNull())
+    cols = {name: F.col(f"`{name}`").cast("double") for name in columns}
     margin = 3.0 / accuracy
     bracket_probs = [x for q in probs for x in (max(0.0, q - margin), min(1.0, q + margin))]
-    first = data.agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"),
-                     F.percentile_approx(v, bracket_probs, accuracy).alias("a"), *extra).first()
-    n = first["n"]
-    if n == 0:
-        return {q: None for q in probs}, first
-    # per quantile: (rank_lo, rank_hi, fraction, [low, high])
-    todo = {}
-    for i, q in enumerate(probs):
-        h = (n - 1) * q
-        r_lo = int(math.floor(h))
-        todo[q] = (r_lo, min(r_lo + 1, n - 1), h - r_lo, [first["a"][2 * i], first["a"][2 * i + 1]])
-    found: dict[float, tuple] = {}
-    for _ in range(64):
-        if not todo:
+    first_aggs = []
+    for i, name in enumerate(columns):
+        c = cols[name]
+        first_aggs += [F.count(c).alias(f"n{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}"),
+                       F.percentile_approx(c, bracket_probs, accuracy).alias(f"a{i}")]
+        if extra is not None:
+            first_aggs += list(extra(c, i))
+    first = df.agg(*first_aggs).first()
+
+    # every wanted order statistic: (column index, 0-based rank) -> [low, high] value bracket
+    wanted: dict[tuple, tuple] = {}
+    brackets: dict[tuple, list] = {}
+    result: dict[str, dict] = {name: {} for name in columns}
+    for i, name in enumerate(columns):
+        n = first[f"n{i}"]
+        for j, q in enumerate(probs):
+            if n == 0:
+                result[name][q] = None
+                continue
+            h = (n - 1) * q
+            r_lo = int(math.floor(h))
+            r_hi = min(r_lo + 1, n - 1)
+            wanted[(i, q)] = (r_lo, r_hi, h - r_lo)
+            approx = first[f"a{i}"]
+            for r in (r_lo, r_hi):
+                brackets.setdefault((i, r), [approx[2 * j], approx[2 * j + 1]])
+    value: dict[tuple, float] = {}
+
+    for _ in range(200):
+        if not brackets:
             break
-        items = list(todo.items())
+        items = list(brackets.items())
         aggs = []
-        for j, (_, (_, _, _, (lo, hi))) in enumerate(items):
-            aggs.append(F.count(F.when(v < F.lit(lo), F.lit(1))).alias(f"b{j}"))
-            aggs.append(F.count(F.when((v >= F.lit(lo)) & (v <= F.lit(hi)), F.lit(1))).alias(f"w{j}"))
-        counts = data.agg(*aggs).first()
-        small = {}  # q -> (bracket, local ranks) read together below
-        for j, (q, (r_lo, r_hi, frac, (lo, hi))) in enumerate(items):
-            below, within = counts[f"b{j}"], counts[f"w{j}"]
-            if r_lo < below:  # the approximation missed low: widen down to the minimum
-                todo[q] = (r_lo, r_hi, frac, [first["lo"], hi])
-            elif r_hi >= below + within:  # missed high: widen up to the maximum
-                todo[q] = (r_lo, r_hi, frac, [lo, first["hi"]])
-            elif lo == hi:
-                found[q] = (lo, lo, frac)
-                del todo[q]
-            elif within <= max_bracket:
-                small[q] = ((lo, hi), r_lo - below + 1, r_hi - below + 1)
-                del todo[q]
-            else:
-                inside = data.filter((v >= F.lit(lo)) & (v <= F.lit(hi)))
-                p = (r_lo - below) / (within - 1)
-                sub = inside.agg(F.percentile_approx(
-                    v, [max(0.0, p - margin), min(1.0, p + margin)], accuracy).alias("a")).first()["a"]
-                todo[q] = (r_lo, r_hi, frac, [max(lo, sub[0]), min(hi, sub[1])])
+        for k, ((i, _), (lo, hi)) in enumerate(items):
+            c = cols[columns[i]]
+            aggs += [F.count(F.when(c < F.lit(lo), F.lit(1))).alias(f"a{k}"),
+                     F.count(F.when(c <= F.lit(lo), F.lit(1))).alias(f"b{k}"),
+                     F.count(F.when(c < F.lit(hi), F.lit(1))).alias(f"c{k}"),
+                     F.count(F.when(c <= F.lit(hi), F.lit(1))).alias(f"d{k}")]
+        counts = df.agg(*aggs).first()
+        small, narrow = [], []
+        for k, (key, (lo, hi)) in enumerate(items):
+            i, r = key
+            lt_lo, le_lo, lt_hi, le_hi = (counts[f"{x}{k}"] for x in "abcd")
+            if r < lt_lo:  # the approximation missed low: widen down to the minimum
+                brackets[key][0] = first[f"lo{i}"]
+            elif r >= le_hi:  # missed high: widen up to the maximum
+                brackets[key][1] = first[f"hi{i}"]
+            elif r < le_lo:  # inside the run of values equal to the low end
+                value[key] = lo
+                del brackets[key]
+            elif r >= lt_hi:  # inside the run of values equal to the high end
+                value[key] = hi
+                del brackets[key]
+            elif lt_hi - le_lo <= max_bracket:  # few rows strictly between: read the rank
+                small.append((key, i, lo, hi, r - le_lo + 1))
+                del brackets[key]
+            else:  # many rows strictly between: narrow to a strictly smaller bracket
+                narrow.append((key, i, lo, hi, (r - le_lo) / (lt_hi - le_lo - 1)))
+        if narrow:  # one pass narrows every large bracket with approx quantiles of its interior
+            naggs = []
+            for m, (_, i, lo, hi, p) in enumerate(narrow):
+                c = cols[columns[i]]
+                inside = F.when((c > F.lit(lo)) & (c < F.lit(hi)), c)
+                naggs.append(F.percentile_approx(
+                    inside, [max(0.0, p - margin), min(1.0, p + margin)], accuracy).alias(f"s{m}"))
+            sub = df.agg(*naggs).first()
+            for m, (key, _, lo, hi, _) in enumerate(narrow):
+                brackets[key] = [sub[f"s{m}"][0], sub[f"s{m}"][1]]
         if small:
-            got = _read_ranks(data, list(small.values()))
-            fracs = {qq: f for qq, (_, _, f, _) in items}
-            for i, (q, (_, k_lo, k_hi)) in enumerate(small.items()):
-                found[q] = (got[(i, k_lo)], got[(i, k_hi)], fracs[q])
-    if todo:
+            got = _read_ranks(df, cols, columns, [(i, lo, hi, rank) for _, i, lo, hi, rank in small])
+            for b, (key, _, _, _, rank) in enumerate(small):
+                value[key] = got[(b, rank)]
+    if brackets:
         raise RuntimeError("exact quantile search did not converge")
-    out = {}
-    for q, (a, b, frac) in found.items():
-        out[q] = a if frac == 0 or a == b else a + frac * (b - a)
-    return out, first
+    for (i, q), (r_lo, r_hi, frac) in wanted.items():
+        a, z = value[(i, r_lo)], value[(i, r_hi)]
+        result[columns[i]][q] = a if frac == 0 or a == z else a + frac * (z - a)
+    return result, first
 
 
-def _read_ranks(data: DataFrame, wanted) -> dict:
-    """Values at 1-based ranks inside small value brackets, all brackets in ONE job.
+def _read_ranks(df: DataFrame, cols: dict, columns: list, wanted) -> dict:
+    """Values at 1-based ranks among the values strictly inside small brackets, in ONE job.
 
-    ``wanted`` is a list of ``((low, high), rank, rank)``. Each row is tagged with the brackets it
-    falls in (brackets may overlap), ranked within its bracket by a window partitioned by bracket
-    id (each bracket holds at most ``max_bracket`` rows), and only the wanted ranks are kept.
+    ``wanted`` holds ``(column index, low, high, rank)``. Each row emits one (bracket, value) pair
+    per bracket its column value falls strictly inside (brackets may overlap); a window
+    partitioned by bracket ranks the values (each bracket holds at most ``max_bracket`` rows) and
+    only the wanted ranks are kept.
     """
-    v = F.col("v")
-    tags = F.array(*[F.when((v >= F.lit(lo)) & (v <= F.lit(hi)), F.lit(i))
-                     for i, ((lo, hi), _, _) in enumerate(wanted)])
-    tagged = (data.select("v", F.explode(F.filter(tags, lambda x: x.isNotNull())).alias("bid"))
-              .withColumn("rk", F.row_number().over(Window.partitionBy("bid").orderBy("v"))))
+    tags = []
+    for b, (i, lo, hi, _) in enumerate(wanted):
+        c = cols[columns[i]]
+        tags.append(F.when((c > F.lit(lo)) & (c < F.lit(hi)), F.struct(F.lit(b).alias("bid"), c.alias("v"))))
+    pairs = df.select(F.explode(F.filter(F.array(*tags), lambda x: x.isNotNull())).alias("t")).select("t.*")
+    ranked = pairs.withColumn("rk", F.row_number().over(Window.partitionBy("bid").orderBy("v")))
     keep = F.lit(False)
-    for i, (_, k_lo, k_hi) in enumerate(wanted):
-        keep = keep | ((F.col("bid") == F.lit(i)) & F.col("rk").isin(k_lo, k_hi))
-    return {(r["bid"], r["rk"]): r["v"] for r in tagged.filter(keep).collect()}
+    for b, (_, _, _, rank) in enumerate(wanted):
+        keep = keep | ((F.col("bid") == F.lit(b)) & (F.col("rk") == F.lit(rank)))
+    return {(r["bid"], r["rk"]): r["v"] for r in ranked.filter(keep).collect()}
 
 
 def describe(df: DataFrame, columns, probs=(0.25, 0.5, 0.75)) -> DataFrame:
     """Count, mean, sample std, min, interpolated quartiles and max per numeric column.
 
     Returns one row per described column: ``column, count, mean, std, min, p25, p50, p75, max``.
-    The moments share the first aggregate pass of :func:`exact_quantiles` (about four distributed
-    jobs per column in all).
+    All columns share the passes of :func:`multi_quantiles` (moments ride in its first pass), so
+    describing twelve variables costs about as many scans as describing one.
     """
     spark = df.sparkSession
     columns = [columns] if isinstance(columns, str) else list(columns)
-    rows = []
-    for c in columns:
-        v = F.col("v")
-        q, m = _exact_quantiles(df, c, probs, extra=(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std")))
-        rows.append((c, m["n"], m["mean"], m["std"], m["lo"], *[q[p] for p in probs], m["hi"]))
+    q, m = multi_quantiles(df, columns, probs, extra=lambda c, i: (F.avg(c).alias(f"mean{i}"),
+                                                                  F.stddev_samp(c).alias(f"std{i}")))
+    rows = [(c, m[f"n{i}"], m[f"mean{i}"], m[f"std{i}"], m[f"lo{i}"], *[q[c][p] for p in probs], m[f"hi{i}"])
+            for i, c in enumerate(columns)]
     qnames = [f"p{int(round(p * 100))}" for p in probs]
     schema = ("column string, count bigint, mean double, std double, min double, "
-              + ", ".join(f"{q} double" for q in qnames) + ", max double")
+              + ", ".join(f"{x} double" for x in qnames) + ", max double")
     return small_frame(spark, rows, schema)

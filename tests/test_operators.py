@@ -196,3 +196,36 @@ def test_sort_spreads_a_hot_key_over_partitions(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert max(r["count"] for r in sizes) < 40000  # the hot key is split across range partitions
     assert keys == sorted(keys)
+
+
+def test_describe_many_columns_matches_numpy(spark):
+    rnd = random.Random(7)
+    rows = [(rnd.gauss(0, 1), float(rnd.randint(0, 3)), None if i % 5 == 0 else rnd.random() * 100)
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    from regiopanel.operators.aggregate import multi_quantiles
+
+    q, _ = multi_quantiles(df, ["a", "b", "c"], [0.1, 0.5, 0.9], accuracy=50, max_bracket=40)
+    for idx, name in enumerate(["a", "b", "c"]):
+        values = np.array([r[idx] for r in rows if r[idx] is not None])
+        for p in (0.1, 0.5, 0.9):
+            assert q[name][p] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-9)
+    d = {r["column"]: r for r in describe(df, ["a", "c"]).collect()}
+    assert d["c"]["count"] == 2400 and d["a"]["p50"] == pytest.approx(np.median([r[0] for r in rows]))
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.integers(min_value=-5, max_value=5), min_size=1, max_size=300))
+def test_quantiles_property_heavy_duplicates(spark, values):
+    from regiopanel.operators.aggregate import multi_quantiles
+
+    df = spark.createDataFrame([(float(v),) for v in values], "x double")
+    probs = [0.0, 0.3, 0.5, 0.99, 1.0]
+    q, _ = multi_quantiles(df, ["x"], probs, accuracy=10, max_bracket=3)
+    want = np.quantile(np.array(values, dtype=float), probs)
+    for p, w in zip(probs, want):
+        assert q["x"][p] == pytest.approx(w, abs=1e-9)
