@@ -530,8 +530,8 @@ def topk_per_group(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def profile_describe(spark: SparkSession, sf: str) -> DataFrame:
-    """Count, mean, std, min, quartiles and max of the event values."""
-    d = describe(table(spark, sf, "events"), ["value"]).withColumnRenamed("column", "variable")
+    """Count, mean, std, min, quartiles and max of the numeric event variables (shared passes)."""
+    d = describe(table(spark, sf, "events"), ["value", "user_id"]).withColumnRenamed("column", "variable")
     return _round_cols(d, {c: 4 for c in ("mean", "std", "min", "p25", "p50", "p75", "max")})
 
 

@@ -280,10 +280,10 @@ ORACLE: dict[str, str] = {
                    FROM metrics)
         SELECT pollutant, CAST(rank AS BIGINT) AS rank, region, {r('r2', 4)} AS r2, {r('rmse', 4)} AS rmse
         FROM ranked WHERE rank <= 5""",
-    "profile_describe": f"""
-        SELECT 'value' AS variable, count(value) AS count, {r('avg(value)', 4)} AS mean,
-               {r('stddev_samp(value)', 4)} AS std, {r('min(value)', 4)} AS min,
-               {r('quantile_cont(value, 0.25)', 4)} AS p25, {r('quantile_cont(value, 0.5)', 4)} AS p50,
-               {r('quantile_cont(value, 0.75)', 4)} AS p75, {r('max(value)', 4)} AS max
-        FROM events""",
+    "profile_describe": " UNION ALL ".join(f"""
+        SELECT '{v}' AS variable, count({v}) AS count, {r(f'avg({v})', 4)} AS mean,
+               {r(f'stddev_samp({v})', 4)} AS std, {r(f'min({v})', 4)} AS min,
+               {r(f'quantile_cont({v}, 0.25)', 4)} AS p25, {r(f'quantile_cont({v}, 0.5)', 4)} AS p50,
+               {r(f'quantile_cont({v}, 0.75)', 4)} AS p75, {r(f'max({v})', 4)} AS max
+        FROM events""" for v in ("value", "user_id")),
 }
