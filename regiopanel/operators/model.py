@@ -97,7 +97,8 @@ def fit_group_forests(long_df: DataFrame, keys=("region", "pollutant"), label: s
     spark = long_df.sparkSession
     keys = list(keys)
     features = list(features)
-    complete = long_df.select(*keys, order, label, *features).na.drop(how="any", subset=[label, *features])
+    # rows need every key (a group is named by its keys), the label and the features
+    complete = long_df.select(*keys, order, label, *features).na.drop(how="any", subset=[*keys, label, *features])
     split = hash_split(complete, [*keys, order], params.train_share)
 
     table = scratch_path(spark, "group-rows")

@@ -39,7 +39,8 @@ def _decode(c: Column, dtype: T.DataType) -> Column | None:
     if inner.name == "$date":
         if isinstance(inner.dataType, T.StructType):  # {"$date": {"$numberLong": "<ms>"}}
             millis = value.getField("$numberLong").cast("bigint")
-            return F.to_timestamp_ntz(F.timestamp_millis(millis).cast("string"))
+            # epoch milliseconds -> naive UTC, with no detour through the session time zone
+            return F.timestamp_add("MILLISECOND", millis, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
         return _utc_text_to_ntz(value.cast("string"))
     return value.cast(WRAPPERS[inner.name])
 

@@ -146,3 +146,13 @@ def test_partitioned_collection_prunes(spark, tmp_dir):
     plan = scan._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(Region" in plan
     assert sorted(r["v"] for r in scan.collect()) == [1.0, 3.0]
+
+
+def test_typed_dump_millis_date_ignores_session_zone(spark, tmp_dir):
+    path = _write(tmp_dir, "millis.json", json.dumps({"d": {"$date": {"$numberLong": "1767963551483"}}}) + "\n")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        row = read_document_dump(spark, path, multi_line=False).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert row["d"].isoformat() == "2026-01-09T12:59:11.483000"
