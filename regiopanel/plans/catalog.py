@@ -279,9 +279,7 @@ def scalar_year_cast(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _customer_regions(spark: SparkSession, sf: str) -> DataFrame:
-    customer = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    dim = frames.nation_region(spark, sf)
-    return customer.join(dim, customer.c_nationkey == dim.n_nationkey).select("c_custkey", "r_name")
+    return frames.customer_regions(spark, sf).select("c_custkey", "r_name")
 
 
 def scalar_recode_map(spark: SparkSession, sf: str) -> DataFrame:
@@ -411,20 +409,13 @@ def set_intersect_regions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def agg_mean_traffic(spark: SparkSession, sf: str) -> DataFrame:
-    """A1: mean line price per supplier region and ship year.
-
-    Sums and counts are pre-aggregated per (supplier, year) before the supplier join, so the
-    shuffle carries one row per supplier-year; the mean is their ratio.
-    """
+    """A1: mean line price per supplier region and ship year (star join, partial aggregation)."""
     li = table(spark, sf, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice")
-    part = (li.groupBy("l_suppkey", F.year("l_shipdate").cast("bigint").alias("year"))
-            .agg(F.sum("l_extendedprice").alias("s"), F.count("l_extendedprice").alias("c")))
-    supplier = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
-    dim = frames.nation_region(spark, sf)
-    out = (part.join(supplier, part.l_suppkey == supplier.s_suppkey)
-           .join(dim, F.col("s_nationkey") == dim.n_nationkey)
-           .groupBy(F.col("r_name").alias("region"), "year")
-           .agg((F.sum("s") / F.sum("c")).alias("traffic_avg")))
+    dim = frames.supplier_regions(spark, sf)
+    out = mean_by(li.join(dim, li.l_suppkey == dim.s_suppkey)
+                  .select(F.col("r_name").alias("region"), F.year("l_shipdate").cast("bigint").alias("year"),
+                          "l_extendedprice"),
+                  ["region", "year"], "l_extendedprice", "traffic_avg")
     return _round_cols(out, {"traffic_avg": 4})
 
 

@@ -37,6 +37,12 @@ def round_to(c: Column, digits: int) -> Column:
     return F.round(c * F.lit(scale)) / F.lit(scale)
 
 
+# Largest key -> region dimension (customer or supplier rows) broadcast to every task. A proven
+# bound of 1M rows keeps the hashed relation around 50 MB; beyond it the fact table is joined
+# by a shuffle join (AQE splits a hot key's partition).
+DIMENSION_MAX_ROWS = 1_000_000
+
+
 def nation_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """nation x region (dimension rows, size-checked before it is broadcast)."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
@@ -45,17 +51,31 @@ def nation_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     return broadcast_if_small(dim.select("n_nationkey", "n_name", "r_name"))
 
 
+def supplier_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s_suppkey, n_name, r_name): the supplier dimension, broadcast when proven small."""
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    dim = nation_region(spark, sf_dir)
+    joined = supplier.join(dim, supplier.s_nationkey == dim.n_nationkey).select("s_suppkey", "n_name", "r_name")
+    return broadcast_if_small(joined, DIMENSION_MAX_ROWS)
+
+
+def customer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(c_custkey, n_name, r_name): the customer dimension, broadcast when proven small."""
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    dim = nation_region(spark, sf_dir)
+    joined = customer.join(dim, customer.c_nationkey == dim.n_nationkey).select("c_custkey", "n_name", "r_name")
+    return broadcast_if_small(joined, DIMENSION_MAX_ROWS)
+
+
 def measure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders x customer x nation x region -> (region, period, category, value).
 
-    orders joins customer on the customer key (shuffle join; AQE splits a hot customer's
-    partition), the nation/region dimension is broadcast after a size check.
+    A star join: orders meet the (customer -> region) dimension, broadcast when its size is
+    proven small, so orders are not shuffled; otherwise a shuffle join on the customer key.
     """
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice")
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    dim = nation_region(spark, sf_dir)
-    return (orders.join(customer, orders.o_custkey == customer.c_custkey)
-            .join(dim, F.col("c_nationkey") == dim.n_nationkey)
+    dim = customer_regions(spark, sf_dir)
+    return (orders.join(dim, orders.o_custkey == dim.c_custkey)
             .select(F.col("r_name").alias("region"), period_of(F.col("o_orderdate")).alias("period"),
                     F.col("o_orderpriority").alias("category"), F.col("o_totalprice").alias("value")))
 
@@ -63,18 +83,16 @@ def measure(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exposure_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum of ``l_extendedprice`` per supplier region and ship month.
 
-    lineitem is first summed per (supplier, month) with map-side partial aggregation, so what is
-    shuffled and joined to supplier is one row per supplier-month, not one per line item.
+    lineitem meets the (supplier -> region) dimension, broadcast when proven small, and is summed
+    per (region, month) with map-side partial aggregation: the only shuffle then carries at most
+    regions x months rows per task. (Summing per supplier first would not shrink the data, as a
+    supplier's lines are spread over all files, and would force a shuffle of lineitem.)
     """
     lineitem = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice")
-    per_supplier = (lineitem.groupBy("l_suppkey", period_of(F.col("l_shipdate")).alias("period"))
-                    .agg(F.sum("l_extendedprice").alias("part")))
-    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    dim = nation_region(spark, sf_dir)
-    return (per_supplier.join(supplier, per_supplier.l_suppkey == supplier.s_suppkey)
-            .join(dim, F.col("s_nationkey") == dim.n_nationkey)
-            .groupBy(F.col("r_name").alias("region"), "period")
-            .agg(F.sum("part").alias("exposure")))
+    dim = supplier_regions(spark, sf_dir)
+    return (lineitem.join(dim, lineitem.l_suppkey == dim.s_suppkey)
+            .groupBy(F.col("r_name").alias("region"), period_of(F.col("l_shipdate")).alias("period"))
+            .agg(F.sum("l_extendedprice").alias("exposure")))
 
 
 def german_number(c: Column) -> Column:
@@ -110,10 +128,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     prediction frame so the metric and report operators are checked without a model."""
     lineitem = table(spark, sf_dir, "lineitem").select(
         "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus")
-    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    nation = broadcast_if_small(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
-    return (lineitem.join(supplier, lineitem.l_suppkey == supplier.s_suppkey)
-            .join(nation, F.col("s_nationkey") == nation.n_nationkey)
+    dim = supplier_regions(spark, sf_dir)
+    return (lineitem.join(dim, lineitem.l_suppkey == dim.s_suppkey)
             .select(F.col("n_name").alias("region"),
                     F.concat_ws("-", "l_returnflag", "l_linestatus").alias("pollutant"),
                     period_of(F.col("l_shipdate")).alias("period"),
