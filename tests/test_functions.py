@@ -31,7 +31,7 @@ EDGES = [
     ("Infinity", math.inf), ("inf", math.inf),
     ("1e3", 1000.0),
     ("\t5,5", 5.5),
-    (" 5,5", None),
+    ("\u00a05,5", None),  # no-break space: not trimmed, fails the cast
     ("2162.23", 216223.0),  # T1: every dot goes, also a decimal point
     ("1.000 t", None),
     ("1d", 1.0), ("1f", 1.0),  # Spark's cast accepts Java float suffixes (kept out of oracle data)
