@@ -115,7 +115,13 @@ def fit_group_forests(long_df: DataFrame, keys=("region", "pollutant"), label: s
                 for r in sized.filter("eligible").collect()]
 
     out_path = scratch_path(spark, "group-predictions")
-    workers = parallelism or min(len(eligible) or 1, os.cpu_count() or 4, 8)
+    # a fit alternates driver work (planning, tree bookkeeping) with short tasks, so twice the
+    # cluster's task slots keeps the executors busy; capped, as each fit holds driver memory
+    try:
+        slots = spark.sparkContext.defaultParallelism
+    except Exception:  # Spark Connect
+        slots = os.cpu_count() or 4
+    workers = parallelism or max(1, min(len(eligible), 2 * slots, 32))
     task = inheritable_thread_target(spark)(
         lambda item: _fit_one(spark, table, schema, keys, item[1][0], features, label, order, params,
                               out_path, item[0], item[1][1]))
