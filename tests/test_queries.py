@@ -34,13 +34,37 @@ def test_entry_smoke(spark):
     assert df.count() > 0
 
 
+def _spark_family(dtype: str) -> str:
+    if dtype in ("tinyint", "smallint", "int", "bigint"):
+        return "integer"
+    if dtype in ("float", "double") or dtype.startswith("decimal"):
+        return "number"
+    if dtype.startswith("timestamp"):
+        return "timestamp"
+    return {"string": "text", "boolean": "bool", "date": "date"}.get(dtype, dtype)
+
+
+def _duck_family(dtype: str) -> str:
+    dtype = dtype.upper()
+    if dtype in ("TINYINT", "SMALLINT", "INTEGER", "BIGINT", "HUGEINT"):
+        return "integer"
+    if dtype in ("FLOAT", "DOUBLE") or dtype.startswith("DECIMAL"):
+        return "number"
+    if dtype.startswith("TIMESTAMP"):
+        return "timestamp"
+    return {"VARCHAR": "text", "BOOLEAN": "bool", "DATE": "date"}.get(dtype, dtype)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
     cur = con.execute(ORACLE[name])
     ocols = [d[0] for d in cur.description]
+    otypes = {d[0]: _duck_family(str(d[1])) for d in cur.description}
     orows = cur.fetchall()
     assert sorted(df.columns) == sorted(ocols)
+    stypes = {c: _spark_family(t) for c, t in df.dtypes}
+    assert stypes == otypes
     assert len(rows) == len(orows)
     assert digest(df.columns, rows)[0] == digest(ocols, orows)[0]
