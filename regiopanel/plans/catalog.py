@@ -157,6 +157,15 @@ def io_collection_scan(spark: SparkSession, sf: str) -> DataFrame:
         order_by=[F.col("c_acctbal").desc(), F.col("c_custkey")], limit=100)
 
 
+def io_collection_partitioned_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """IO4 + IO5 with partition pruning: customer appended partitioned by segment, then a segment
+    query reads only that segment's folder."""
+    path = scratch_path(spark, "collection-customer")
+    append_to_collection(table(spark, sf, "customer"), path, partition_by="c_mktsegment")
+    return collection_scan(spark, path, query={"c_mktsegment": "AUTOMOBILE"},
+                           projection={"c_custkey": 1, "c_name": 1, "c_nationkey": 1, "c_acctbal": 1, "_id": 0})
+
+
 def io_ragged_union(spark: SparkSession, sf: str) -> DataFrame:
     """IO7: region and nation rows in one table; missing keys are null."""
     return ragged_union([table(spark, sf, "region"), table(spark, sf, "nation")])
@@ -539,6 +548,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "io_collection_append": io_collection_append,
     "stream_payload_landing": stream_payload_landing,
     "io_collection_scan": io_collection_scan,
+    "io_collection_partitioned_scan": io_collection_partitioned_scan,
     "io_ragged_union": io_ragged_union,
     "io_decimal_comma_roundtrip": io_decimal_comma_roundtrip,
     "io_result_export": io_result_export,

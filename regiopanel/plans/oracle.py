@@ -122,6 +122,8 @@ ORACLE: dict[str, str] = {
     "io_collection_scan": """
         SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING'
         ORDER BY c_acctbal DESC, c_custkey LIMIT 100""",
+    "io_collection_partitioned_scan": """
+        SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_mktsegment = 'AUTOMOBILE'""",
     "io_ragged_union": """
         SELECT * FROM region UNION ALL BY NAME SELECT * FROM nation""",
     "io_decimal_comma_roundtrip": f"""

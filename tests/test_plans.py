@@ -52,3 +52,8 @@ def test_equality_filter_is_pushed(spark):
 def test_topk_limits_before_the_shuffle(spark):
     plan = _plan(QUERIES["topk_per_group"](spark, SF))
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_partitioned_collection_query_prunes(spark):
+    plan = _plan(QUERIES["io_collection_partitioned_scan"](spark, SF))
+    assert "PartitionFilters: [isnotnull(c_mktsegment" in plan and "AUTOMOBILE" in plan
