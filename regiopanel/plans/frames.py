@@ -19,8 +19,23 @@ from regiopanel.session import materialize
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 
+_SCHEMAS: dict[tuple, object] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A test table. Its schema is inferred once per application and path and then given to the
+    reader, as Spark otherwise runs a footer-reading job for every ``read.parquet``."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    try:
+        key = (spark.sparkContext.applicationId, path)
+    except Exception:  # Spark Connect: no context handle, no memo
+        return spark.read.parquet(path)
+    schema = _SCHEMAS.get(key)
+    if schema is None:
+        df = spark.read.parquet(path)
+        _SCHEMAS[key] = df.schema
+        return df
+    return spark.read.schema(schema).parquet(path)
 
 
 def period_of(ts: Column) -> Column:
