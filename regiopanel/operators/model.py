@@ -8,10 +8,10 @@ Plan
    pruning), one file per group so the fit sees a fixed partitioning (T8).
 3. The gate (A5) is one grouped count; only the small list of eligible group keys reaches the
    driver.
-4. Groups are fitted concurrently from a bounded thread pool; each fit is an ordinary Spark ML
-   ``Pipeline(VectorAssembler, RandomForestRegressor)``. Each group's test predictions are
-   appended to a predictions table, so the final plan is a plain scan and not a union of
-   hundreds of model plans.
+4. Groups are fitted concurrently from a bounded thread pool (twice the task slots); each fit is
+   Spark ML's ``VectorAssembler`` + ``RandomForestRegressor``. Each group's test predictions are
+   written to its own folder of one predictions table, so the final plan is a plain scan and
+   not a union of hundreds of model plans.
 5. Metrics for all groups come from one grouped aggregate over that table (M6, M7).
 """
 
