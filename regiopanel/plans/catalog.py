@@ -12,7 +12,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from regiopanel.functions.locale import (
     format_decimal,
@@ -26,7 +25,7 @@ from regiopanel.functions.locale import (
 from regiopanel.functions.recode import mapping_frame, recode, recode_join
 from regiopanel.operators.aggregate import describe, distinct_values, mean_by, min_sample_gate
 from regiopanel.operators.evaluate import hash_split, regression_metrics
-from regiopanel.operators.joins import broadcast_if_small, intersect_values, keep_common, left_join_keys
+from regiopanel.operators.joins import broadcast_if_small, intersect_values, keep_common
 from regiopanel.operators.model import ForestParams, fit_group_forests
 from regiopanel.operators.nulls import drop_incomplete, fill_nulls
 from regiopanel.operators.panel import build_panel
