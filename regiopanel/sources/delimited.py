@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from regiopanel.functions.locale import format_decimal, separator_swap
 
 # Text that a typed load treats as missing (pandas' documented default NA strings,
-# matched exactly after trimming spaces).
+# matched exactly, without trimming).
 DEFAULT_NA_VALUES = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
@@ -47,7 +47,7 @@ def infer_locale_types(df: DataFrame, thousands: str | None = ".", decimal: str
         if not isinstance(df.schema[name].dataType, T.StringType):
             continue
         v = F.trim(c)
-        present = c.isNotNull() & ~v.isin(*na_values)
+        present = c.isNotNull() & ~c.isin(*na_values)  # markers match exactly, numbers may be padded
         swapped = separator_swap(v, thousands, decimal)
         aggs += [
             F.count(F.when(present, F.lit(1))).alias(f"p{i}"),
@@ -82,7 +82,7 @@ def apply_locale_types(df: DataFrame, types: dict[str, str], thousands: str | No
             cols.append(c.alias(name))
             continue
         v = F.trim(c)
-        missing = c.isNull() | v.isin(*na_values)
+        missing = c.isNull() | c.isin(*na_values)
         if kind in ("bigint", "double"):
             value = separator_swap(v, thousands, decimal).try_cast(kind)
         else:

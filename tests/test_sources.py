@@ -156,3 +156,10 @@ def test_typed_dump_millis_date_ignores_session_zone(spark, tmp_dir):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert row["d"].isoformat() == "2026-01-09T12:59:11.483000"
+
+
+def test_locale_typed_load_padded_marker_is_text(spark, tmp_dir):
+    path = _write(tmp_dir, "padded.csv", "a;b\n1;2\n NA ;NA\n")
+    types = dict(load_locale_csv(spark, path).dtypes)
+    assert types["a"] == "string"  # ' NA ' is no marker and no number
+    assert types["b"] == "double"  # 'NA' is a marker: numeric with a missing value
