@@ -17,8 +17,12 @@ def unpivot_digit_columns(df: DataFrame, ids, name_col: str = "YEAR", value_col:
     """
     ids = [ids] if isinstance(ids, str) else list(ids)
     cols = digit_columns(df)
-    staged = df.select(*[F.col(f"`{i}`") for i in ids],
-                       *[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
+    types = dict(df.dtypes)
+    if all(types[c] == "string" for c in cols):  # already text: no re-projection of the wide plan
+        staged = df
+    else:
+        staged = df.select(*[F.col(f"`{i}`") for i in ids],
+                           *[F.col(f"`{c}`").cast("string").alias(c) for c in cols])
     long = staged.unpivot(ids, cols, name_col, value_col)
     if name_type:
         long = long.withColumn(name_col, F.col(name_col).cast(name_type))
