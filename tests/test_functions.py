@@ -111,3 +111,32 @@ def test_year_cast_fails_without_ansi(spark):
         assert _eval(spark, [" 2001 ", None], year_int) == [2001, None]
     finally:
         spark.conf.set("spark.sql.ansi.enabled", "true")
+
+
+def _python_locale_number(text):
+    """Brute-force reference of P1 in plain Python (spaces-only trim, exact marker list)."""
+    if text is None:
+        return None
+    t = text.strip(" ")
+    if t == "" or t.lower() in ("na", "n/a", "null", "none", "-", "—"):
+        return None
+    t = t.replace(".", "").replace(",", ".")
+    try:
+        return float(t)
+    except ValueError:
+        return None
+
+
+TEXT = st.lists(st.sampled_from(list("0123456789.,- +") + ["NA", "n/a", "e"]), max_size=8).map("".join)
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(TEXT, min_size=1, max_size=60))
+def test_locale_number_matches_brute_force(spark, texts):
+    got = _eval(spark, texts, locale_number)
+    for text, value in zip(texts, got):
+        want = _python_locale_number(text)
+        if want is None or value is None:
+            assert want is None and value is None, repr(text)
+        else:
+            assert value == pytest.approx(want), repr(text)
