@@ -163,3 +163,11 @@ def test_locale_typed_load_padded_marker_is_text(spark, tmp_dir):
     types = dict(load_locale_csv(spark, path).dtypes)
     assert types["a"] == "string"  # ' NA ' is no marker and no number
     assert types["b"] == "double"  # 'NA' is a marker: numeric with a missing value
+
+
+def test_payload_pretty_printed_document(spark, tmp_dir):
+    doc = {"latitude": 48.2, "hourly": {"time": ["2025-12-05T00:00", "2025-12-05T01:00"],
+                                        "pm10": [19.3, 19.3], "us_aqi": [83, 82]}}
+    path = _write(tmp_dir, "pretty.json", json.dumps(doc, indent=2))
+    rows = payload_rows(read_payloads(spark, path, multi_line=True), keep=["latitude"]).collect()
+    assert [(r["time"].hour, r["us_aqi"], r["latitude"]) for r in rows] == [(0, 83, 48.2), (1, 82, 48.2)]
