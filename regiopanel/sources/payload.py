@@ -70,3 +70,22 @@ def payload_rows(df: DataFrame, array_field: str = "hourly", time_field: str = "
         ties = F.xxhash64(*[F.col(f"`{c}`") for c in out.columns])
         out = out.orderBy(*[F.col(f"`{k}`") for k in keep], F.col(f"`{time_field}`"), ties)
     return out
+
+
+def payload_dict_rows(spark: SparkSession, payload: dict, array_field: str = "hourly",
+                      time_field: str = "time", order_by_time: bool = True) -> DataFrame:
+    """IO3 for one payload already in memory (a fetched response): the same rows as
+    :func:`payload_rows` on a landed file. The JSON text is parsed by ``from_json`` in the JVM.
+
+    Meant for a single response; bulk payloads should land as files and go through
+    :func:`read_payloads`, which splits them across tasks.
+    """
+    import json
+
+    from regiopanel.session import small_frame
+
+    text = json.dumps(payload)
+    doc = small_frame(spark, [(text,)], "doc string")
+    schema = spark.range(1).select(F.schema_of_json(F.lit(text)).alias("s")).first()["s"]
+    parsed = doc.select(F.from_json("doc", schema).alias("d")).select("d.*")
+    return payload_rows(parsed, array_field, time_field, order_by_time=order_by_time)

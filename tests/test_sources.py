@@ -171,3 +171,12 @@ def test_payload_pretty_printed_document(spark, tmp_dir):
     path = _write(tmp_dir, "pretty.json", json.dumps(doc, indent=2))
     rows = payload_rows(read_payloads(spark, path, multi_line=True), keep=["latitude"]).collect()
     assert [(r["time"].hour, r["us_aqi"], r["latitude"]) for r in rows] == [(0, 83, 48.2), (1, 82, 48.2)]
+
+
+def test_payload_from_dict(spark):
+    from regiopanel.sources import payload_dict_rows
+
+    payload = {"hourly": {"time": ["2025-12-05T01:00", "2025-12-05T00:00"], "ozone": [24.0, 28.0]}}
+    rows = payload_dict_rows(spark, payload).collect()
+    assert [r["ozone"] for r in rows] == [28.0, 24.0] and rows[0]["time"].hour == 0
+    assert payload_dict_rows(spark, {"latitude": 1.0}).count() == 0
