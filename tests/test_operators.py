@@ -229,3 +229,29 @@ def test_quantiles_property_heavy_duplicates(spark, values):
     want = np.quantile(np.array(values, dtype=float), probs)
     for p, w in zip(probs, want):
         assert q["x"][p] == pytest.approx(w, abs=1e-9)
+
+
+def test_operators_under_a_hot_key(spark):
+    """One region holds a third of the rows: results stay whole and exact."""
+    from collections import defaultdict
+
+    from regiopanel.operators import mean_by
+
+    rnd = random.Random(3)
+    rows = [("HOT" if i % 3 == 0 else f"r{i % 40}", i % 12, float(rnd.randint(0, 1000))) for i in range(30000)]
+    df = spark.createDataFrame(rows, "region string, period int, v double").repartition(8)
+    got = {(r["region"], r["period"]): r["m"] for r in mean_by(df, ["region", "period"], "v", "m").collect()}
+    sums, counts = defaultdict(float), defaultdict(int)
+    for reg, per, v in rows:
+        sums[(reg, per)] += v
+        counts[(reg, per)] += 1
+    assert got.keys() == sums.keys()
+    assert all(got[k] == pytest.approx(sums[k] / counts[k]) for k in got)
+
+    dims = spark.createDataFrame([("HOT", "h")] + [(f"r{i}", "c") for i in range(40)], "region string, kind string")
+    joined = left_join_keys(df, dims, ["region"])
+    assert joined.count() == len(rows) and joined.filter("kind = 'h'").count() == 10000
+
+    top = top_k_per_group(df.withColumnRenamed("v", "r2").withColumnRenamed("period", "pollutant"),
+                          "region", "r2", k=3, tie="pollutant")
+    assert top.filter("region = 'HOT'").count() == 3
