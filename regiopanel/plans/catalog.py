@@ -254,27 +254,32 @@ def preview_first_n(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------------------------------------
 
 def scalar_trim(spark: SparkSession, sf: str) -> DataFrame:
+    """Trimmed order-price text."""
     t = frames.orders_text(spark, sf)
     return t.select("o_orderkey", trim_spaces(F.col("raw")).alias("trimmed"))
 
 
 def scalar_null_markers(spark: SparkSession, sf: str) -> DataFrame:
+    """P3 + P4: missing markers (case-insensitive) become null."""
     t = frames.orders_text(spark, sf)
     return t.select("o_orderkey", null_markers(trim_spaces(F.col("raw"))).alias("cleaned"))
 
 
 def scalar_separator_swap(spark: SparkSession, sf: str) -> DataFrame:
+    """P5: thousands dots removed, decimal comma to point."""
     t = frames.orders_text(spark, sf)
     return t.select("o_orderkey", separator_swap(trim_spaces(F.col("raw"))).alias("swapped"))
 
 
 def scalar_try_cast(spark: SparkSession, sf: str) -> DataFrame:
+    """Safe cast of the swapped text (markers and malformed text become null)."""
     t = frames.orders_text(spark, sf)
     value = try_double(separator_swap(trim_spaces(F.col("raw"))))
     return t.select("o_orderkey", round_to(value, 2).alias("value"))
 
 
 def scalar_locale_number(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole locale number chain as one Column expression."""
     t = frames.orders_text(spark, sf)
     return t.select("o_orderkey", round_to(locale_number(F.col("raw")), 2).alias("value"))
 
@@ -356,6 +361,7 @@ def traffic_long(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reshape_unpivot_years(spark: SparkSession, sf: str) -> DataFrame:
+    """R1 + SC3 + P1: every region x period of the wide export, nulls kept."""
     t = traffic_long(spark, sf)
     return t.select("region", "period", round_to(F.col("traffic"), 2).alias("exposure"))
 
@@ -377,6 +383,7 @@ def _round_cols(df: DataFrame, digits: dict) -> DataFrame:
 
 
 def reshape_pivot_categories(spark: SparkSession, sf: str) -> DataFrame:
+    """R2 + A2 + A3: mean value per region and period, one column per priority."""
     measure = frames.measure(spark, sf)
     pivot = pivot_categories(measure, ["region", "period"], "category", "value", values=PRIORITIES,
                              agg="avg", safe=NAME_UNSAFE)
@@ -384,6 +391,7 @@ def reshape_pivot_categories(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def panel_left_join(spark: SparkSession, sf: str) -> DataFrame:
+    """J1 + SC4 + P10: the wide panel, traffic left-joined (null where a month has none)."""
     panel = _panel(spark, sf)
     return _round_cols(panel, {**{c: 4 for c in _label_names()}, "traffic": 2})
 
@@ -394,6 +402,7 @@ def panel_features_frame(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def panel_features(spark: SparkSession, sf: str) -> DataFrame:
+    """M1 + P8 + P16 + P17: the long modelling frame."""
     return _round_cols(panel_features_frame(spark, sf), {"label": 4, "traffic": 2})
 
 
