@@ -34,15 +34,22 @@ def pivot_categories(df: DataFrame, keys, category: str, value: str, values=None
     """R2 (+A2, A3): one column per category holding ``agg(value)`` per key.
 
     Give ``values`` (the label list) to skip the extra distinct job that discovers them and to
-    keep the columns stable when a category is absent. Aggregation is partial per task
-    (map-side), then one shuffle on ``keys``. ``safe`` is a regex of characters to replace in
+    keep the columns stable when a category is absent; with values, avg/sum/min/max are one
+    grouped aggregate of conditional values, partial per task (map-side) and one shuffle on
+    ``keys``. ``safe`` is a regex of characters to replace in
     the new column names (see ``safe_names``).
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     fn = getattr(F, agg)
-    grouped = df.groupBy(*keys)
-    pivoted = (grouped.pivot(category, list(values)) if values is not None else grouped.pivot(category))
-    out = pivoted.agg(fn(F.col(value)))
+    if values is not None and agg in ("avg", "sum", "min", "max"):
+        # One grouped aggregate of conditional values: a single partial aggregation and shuffle
+        # (pivot plans a second aggregation by key). A cell with no rows stays null, as in pivot.
+        cat = F.col(category)
+        out = df.groupBy(*keys).agg(*[fn(F.when(cat == F.lit(v), F.col(value))).alias(str(v)) for v in values])
+    else:
+        grouped = df.groupBy(*keys)
+        pivoted = (grouped.pivot(category, list(values)) if values is not None else grouped.pivot(category))
+        out = pivoted.agg(fn(F.col(value)))
     return safe_names(out, safe) if safe else out
 
 
