@@ -108,3 +108,43 @@ def export_reports(result: RegionalAnalysis, out_dir: str) -> dict[str, str]:
     export_csv(result.top.select("pollutant", "rank", "region", "rmse", "r2"), paths["top_by_pollutant"],
                partition_by="pollutant")
     return paths
+
+
+def main(argv=None) -> int:
+    """Command line: ``python -m regiopanel.plans.analysis TRAFFIC_CSV POLLUTANT_CSV OUT_DIR``.
+
+    Reads both ';' exports as text, runs the analysis and writes the report folders. Under
+    spark-submit the submitted session is used; run directly it starts a local one.
+    """
+    import argparse
+
+    from pyspark.sql import SparkSession
+
+    from regiopanel.sources.delimited import read_delimited
+
+    ap = argparse.ArgumentParser(description=main.__doc__.splitlines()[0])
+    ap.add_argument("traffic_csv")
+    ap.add_argument("pollutant_csv")
+    ap.add_argument("out_dir")
+    ap.add_argument("--sep", default=";")
+    ap.add_argument("--trees", type=int, default=ForestParams.num_trees)
+    ap.add_argument("--depth", type=int, default=ForestParams.max_depth)
+    ap.add_argument("--exclude", nargs="*", default=[], help="regions to leave out, e.g. AT")
+    args = ap.parse_args(argv)
+    active = SparkSession.getActiveSession()
+    if active is None:
+        from regiopanel.session import local_session
+
+        active = local_session()
+    spark = active
+    result = analyse_regions(read_delimited(spark, args.traffic_csv, sep=args.sep),
+                             read_delimited(spark, args.pollutant_csv, sep=args.sep),
+                             params=ForestParams(num_trees=args.trees, max_depth=args.depth),
+                             exclude_regions=tuple(args.exclude))
+    for name, path in export_reports(result, args.out_dir).items():
+        print(f"{name}: {path}")
+    return 0
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

@@ -58,3 +58,21 @@ def test_analysis_end_to_end(spark, tmp_dir):
     assert regions == ["region=AT", "region=Niederoestereich", "region=Wien"]
     back = spark.read.option("header", "true").csv(paths["matrix"])
     assert back.columns == ["region", "NOX", "PM2_5"] and back.count() == 3
+
+
+def test_analysis_command_line(tmp_dir):
+    import subprocess
+    import sys
+
+    traffic = ["Bundesland;" + ";".join(str(y) for y in YEARS)]
+    traffic += [f"{s};" + ";".join(_german(b * 10.0 + y) for y in YEARS) for s, b in STATES.items()]
+    air = ["Region;Jahr;Schadstoff;Werte"] + [f"Wien;{y};NOX;{_german(5 + (y % 7))}" for y in YEARS]
+    out = os.path.join(tmp_dir, "cli-out")
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run(
+        [sys.executable, "-m", "regiopanel.plans.analysis", _write(tmp_dir, "t.csv", traffic),
+         _write(tmp_dir, "a.csv", air), out, "--trees", "3", "--depth", "2"],
+        cwd=root, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert "summary:" in done.stdout
+    assert os.path.isdir(os.path.join(out, "metrics_by_region", "region=Wien"))
