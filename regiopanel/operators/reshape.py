@@ -55,8 +55,15 @@ def pivot_categories(df: DataFrame, keys, category: str, value: str, values=None
 
 def metric_matrix(metrics: DataFrame, row: str = "region", col: str = "pollutant", value: str = "r2",
                   values=None, safe: str | None = r"[^0-9A-Za-z_]") -> DataFrame:
-    """``row`` x ``col`` grid of ``value`` (one metric per cell), rows sorted."""
-    grouped = metrics.groupBy(row)
-    pivoted = grouped.pivot(col, list(values)) if values is not None else grouped.pivot(col)
-    out = pivoted.agg(F.first(F.col(value))).orderBy(row)
+    """``row`` x ``col`` grid of ``value`` (one metric per cell), rows sorted.
+
+    With ``values`` the grid is one grouped aggregate of conditional values (``max`` of the single
+    value per cell); without, ``pivot`` discovers the columns first.
+    """
+    if values is not None:
+        c = F.col(col)
+        out = metrics.groupBy(row).agg(*[F.max(F.when(c == F.lit(v), F.col(value))).alias(str(v))
+                                         for v in values]).orderBy(row)
+    else:
+        out = metrics.groupBy(row).pivot(col).agg(F.first(F.col(value))).orderBy(row)
     return safe_names(out, safe) if safe else out
