@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from regiopanel.llm.words import column, expand, pieces, text_bytes
 
 #: Bytes of text whose distinct words share one trie.
-PIECE = 16 << 20
+PIECE = 8 << 20
+#: Bytes that are put together from tokens at a time, and remembered pairs of tokens.
+DECODE, PAIRS = 4 << 20, 500_000
 
 # Fixed value: the pattern of the byte-level pre-tokenizer.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -106,7 +108,7 @@ class ByteBPE:
         tokens, follow, longest, length = self.tokens, self.may_follow, self.longest, self.length
         last = [-1]  # last[d]: last token of the path's first d bytes
         before = b""
-        if len(follow) > 4_000_000:
+        if len(follow) > PAIRS:
             follow.clear()
         for word in sorted(words):
             shared, most = 0, min(len(before), len(word))
@@ -189,9 +191,17 @@ class ByteBPE:
     def decode_batch(self, ids: np.ndarray, at: np.ndarray) -> list[str]:
         """Texts of the id lists; bytes that are no UTF-8 become U+FFFD."""
         data, starts, lengths = self.table
-        raw = data[expand(starts[ids], lengths[ids])].tobytes()
+        out: list[str] = []
         ends = np.concatenate([[0], np.cumsum(lengths[ids])])[at]
-        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:])]
+        first = 0
+        while first < len(at) - 1:
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] + DECODE, "right")) - 1)
+            some = ids[at[first]:at[last]]
+            raw = data[expand(starts[some], lengths[some])].tobytes()
+            cut = (ends[first:last + 1] - ends[first]).tolist()
+            out += [raw[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:])]
+            first = last
+        return out
 
 
 def safe_cuts(data: np.ndarray) -> np.ndarray:

@@ -148,4 +148,8 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int = 5) -> tuple
 def expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Indices ``starts[i] .. starts[i] + counts[i] - 1`` for all i, one after another."""
     ends = np.cumsum(counts)
-    return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+    total = int(ends[-1]) if len(ends) else 0
+    small = np.int32 if total < 1 << 31 and (not len(starts) or starts.max() < 1 << 30) else np.int64
+    out = np.repeat((starts - (ends - counts)).astype(small), counts)
+    out += np.arange(total, dtype=small)
+    return out
