@@ -13,10 +13,10 @@ Block layout, little-endian: count u32, minimum u32, width u8, exceptions u32, t
 significant first, filled to a byte), exception positions u32, the exceptions' bits above the width u32.
 
 Encoding: the library's vocabulary lower-cases and drops white space, and no token crosses it, so each
-task hands the library the distinct words of a piece only. Words of characters below U+0130 are
-lower-cased and split here, beforehand, as the file's normalizer and pre-tokenizer say, and the
-library's model encodes the parts; other words and those with a special token's text go through
-the library's whole pipeline.
+task hands the library the distinct words of a piece only. Words of ASCII and U+00C0 to U+00FF are
+lower-cased and cut into parts beforehand, as the file's normalizer and pre-tokenizer do, and the
+library's model encodes the distinct parts; other words, and those that might hold a contraction or a special
+token, go through the library's whole pipeline.
 
 Defined results: null, empty and blank texts consist of the end id alone; rows with a null ``doc_id`` come
 first; rows of equal ``doc_id`` follow each other in text order; extra columns are ignored; an empty table
@@ -30,15 +30,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from regiopanel.llm.words import column, expand, find_words, pieces, text_bytes
+from regiopanel.llm.words import SPACE, Words, column, expand, find_words, lower_ascii, pieces, text_bytes
 from regiopanel.session import scratch_path
 
-PIECE = 16 << 20
+PIECE = 8 << 20
 #: Ids in a block, ids after which a segment ends (with its document), and the share of a block's
 #: differences that the packed width must hold.
 BLOCK, SEGMENT, PERCENTILE = 4096, 1 << 17, 95
@@ -46,9 +45,6 @@ BLOCK, SEGMENT, PERCENTILE = 4096, 1 << 17, 95
 END = 1
 _HEAD = np.dtype([("count", "<u4"), ("minimum", "<u4"), ("width", "u1"), ("exceptions", "<u4")])
 
-# Fixed value: the pattern of the word vocabulary's pre-tokenizer.
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
 
 class WordEncoder:
     """Ids of texts as the tokenizers library gives them, by distinct words."""
@@ -68,16 +64,13 @@ class WordEncoder:
         self.closes = np.zeros(size, bool)  # ids of tokens that end a part
         for token, i in self.whole.get_vocab().items():
             self.closes[i] = token.endswith("</w>")
-        special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.odd = regex.compile("|".join(["[^\\x00-\u012f]", *map(regex.escape, special)]))
-        self.recent: dict[bytes, list[int]] = {}  # words of the piece before: many come again
-        self.split = regex.compile(SPLIT)
+        self.recent: dict[bytes, list[int]] = {}  # parts of the piece before: many come again
 
-    def _encode_parts(self, parts: list[str]) -> dict[str, list[int]]:
-        got: dict[str, list[int]] = {}
+    def _encode_parts(self, parts: list[bytes]) -> dict[bytes, list[int]]:
+        got: dict[bytes, list[int]] = {}
         for at in range(0, len(parts), 2000):
             some = parts[at:at + 2000]
-            ids = np.array(self.parts.encode(" ".join(some), add_special_tokens=False).ids, np.int64)
+            ids = np.array(self.parts.encode(b" ".join(some).decode(), add_special_tokens=False).ids, np.int64)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(some) and ends[-1] == len(ids):
                 flat, a = ids.tolist(), 0
@@ -85,46 +78,84 @@ class WordEncoder:
                     got[part] = flat[a:b]
                     a = b
             else:  # a part without a closing token
-                for part, e in zip(some, self.parts.encode_batch(some, add_special_tokens=False)):
+                for part, e in zip(some, self.parts.encode_batch([p.decode() for p in some], add_special_tokens=False)):
                     got[part] = e.ids
         return got
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        known, split, odd = self.recent, self.split.findall, self.odd.search
-        fresh = [w for w in words if w not in known]
-        texts = [w.decode("utf-8", "replace") for w in fresh]
-        cut = [None if odd(t) else split(t.lower()) for t in texts]
-        got = self._encode_parts(list({x for c in cut if c is not None for x in c}))
-        new = {w: got[c[0]] if len(c) == 1 else [i for x in c for i in got[x]]
-               for w, c in zip(fresh, cut) if c is not None}
-        rest = [i for i, c in enumerate(cut) if c is None]
-        for i, e in zip(rest, self.whole.encode_batch([texts[i] for i in rest], add_special_tokens=False)):
-            new[fresh[i]] = e.ids
-        self.recent = {w: new[w] if w in new else known[w] for w in words}
+    def encode_distinct(self, parts: list[bytes], odd: np.ndarray) -> list[list[int]]:
+        known = self.recent
+        fresh = [p for p, o in zip(parts, odd.tolist()) if not o and p not in known]
+        new = self._encode_parts(fresh)
+        rest = [p for p, o in zip(parts, odd.tolist()) if o and p not in known]
+        for p, e in zip(rest, self.whole.encode_batch([p.decode("utf-8", "replace") for p in rest], add_special_tokens=False)):
+            new[p] = e.ids
+        self.recent = {p: new[p] if p in new else known[p] for p in parts}
         return list(self.recent.values())
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text closed with :data:`END`, and each text's offset among them."""
         data, off = text_bytes(texts)
-        words = find_words(data, off)
-        spans = np.empty(2 * len(words.starts) + 1, np.int64)
-        spans[:-1:2], spans[1::2], spans[-1] = words.starts, words.ends, len(data)
+        low, starts, ends, odd = find_parts(data, find_words(data, off))
+        spans = np.empty(2 * len(starts) + 1, np.int64)
+        spans[:-1:2], spans[1::2], spans[-1] = starts, ends, len(data)
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(spans) - 1, [
-            None, pa.py_buffer(spans), pa.py_buffer(np.ascontiguousarray(data))]).take(
+            None, pa.py_buffer(spans), pa.py_buffer(np.ascontiguousarray(low))]).take(
                 pa.array(np.arange(0, len(spans) - 1, 2))).dictionary_encode()
-        lists = self.encode_words(coded.dictionary.to_pylist())
+        of_part = coded.indices.to_numpy(zero_copy_only=False)
+        strange = np.zeros(len(coded.dictionary), bool)
+        strange[of_part] = odd
+        lists = self.encode_distinct(coded.dictionary.to_pylist(), strange)
         lists.append([END])
         counts = np.array([len(x) for x in lists], np.int64)
-        flat = np.array([i for x in lists for i in x], np.int64)
-        n = np.diff(words.first)
-        code = np.full(len(words.starts) + len(n), len(lists) - 1, np.int64)  # words, and the end of each text
-        ends = words.first[1:] + np.arange(len(n))
+        flat = np.array([i for x in lists for i in x], np.int32)
+        first = np.searchsorted(starts, off)
+        code = np.full(len(starts) + len(off) - 1, len(lists) - 1, np.int32)  # parts, and the end of each text
+        closing = first[1:] + np.arange(len(off) - 1)
         body = np.ones(len(code), bool)
-        body[ends] = False
-        code[body] = coded.indices.to_numpy(zero_copy_only=False)
+        body[closing] = False
+        code[body] = of_part
         ids = flat[expand((np.cumsum(counts) - counts)[code], counts[code])]
         at = np.concatenate([[0], np.cumsum(counts[code])])
-        return ids, np.concatenate([[0], at[ends + 1]])
+        return ids, np.concatenate([[0], at[closing + 1]])
+
+
+_LETTER, _DIGIT, _MARK, _ODD = 1, 2, 3, 4
+_CLASS = np.full(256, _ODD, np.uint8)
+_CLASS[0x21:0x7F] = _MARK
+_CLASS[[0x27, 0x3C]] = _ODD  # contractions, and the texts of special tokens
+_CLASS[48:58] = _DIGIT
+_CLASS[65:91] = _CLASS[97:123] = _CLASS[0xC3] = _LETTER
+_CLASS[SPACE] = 0
+
+
+def find_parts(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes, and the spans of parts with whether each is odd.
+
+    A word of ASCII and the letters U+00C0 to U+00FF is lower-cased and cut as the pre-tokenizer's pattern does: runs of
+    letters, single digits, runs of other characters. Any other word, and one with an apostrophe or ``<``, is *odd*: it
+    stays whole and as it is.
+    """
+    kind = _CLASS[data]
+    second = np.zeros(len(data), bool)
+    second[1:] = data[:-1] == 0xC3
+    kind[second & (data != 0x97) & (data != 0xB7)] = _LETTER  # not the signs for times and division
+    bad = np.concatenate([[0], np.cumsum(kind == _ODD, dtype=np.int64)])
+    odd = bad[words.ends] > bad[words.starts]
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[words.starts[odd]] += 1
+    edge[words.ends[odd]] -= 1
+    whole = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    kind[whole] = _ODD
+    low = lower_ascii(data)
+    low[second & (data < 0x9F) & (data != 0x97)] += 0x20
+    low[whole] = data[whole]
+    begin = np.zeros(len(data), bool)
+    begin[1:] = ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)) & (kind[1:] != 0)
+    begin[words.starts] = True
+    starts = np.flatnonzero(begin)
+    last = words.ends[np.searchsorted(words.starts, starts, "right") - 1]
+    ends = np.minimum(np.append(starts[1:], len(data)), last)
+    return low, starts, ends, kind[starts] == _ODD
 
 
 @lru_cache(maxsize=2)
