@@ -9,7 +9,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regiopanel.llm import bpe, counts, quality, tokenfile
+from regiopanel.llm import bpe, counts, jaccard, lines, quality, tokenfile
 
 
 def tokenizer(name: str) -> str:
@@ -31,6 +31,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without recurring lines."""
+    return lines.line_dedup(_table(spark, sf_dir, "documents"), counts=True)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and greedy word-piece tokens of every document."""
     return counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
@@ -48,5 +53,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "base_failed", "kept", "n_covered", "longest_repeat")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op5_token_counts, op6_token_file, op7_quality)}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and near-copy component of every document."""
+    return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op5_token_counts, op6_token_file, op7_quality, op10_jaccard)}
 ORACLE: dict[str, str] = {}
