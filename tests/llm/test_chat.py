@@ -1,0 +1,72 @@
+"""Chat formatting against plain Python and against SQL."""
+
+import random
+
+import duckdb
+import pytest
+
+from regiopanel.llm import chat as module
+from regiopanel.llm.chat import chat
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def brute(rows, part=512):
+    turns = {}
+    for r in sorted(set(rows), key=lambda r: (r[0] or 0, r[1] is not None, r[1] or 0, r[2] is not None, r[2] or "", r[3] is not None, r[3] or "")):
+        if r[0] is not None:
+            turns.setdefault(r[0], []).append((r[2], r[3]))
+    groups = {}
+    for c, t in turns.items():
+        groups.setdefault(tuple(t), []).append(c)
+    out = []
+    for t, ids in groups.items():
+        if not any(len(u) > len(t) and u[:len(t)] == t for u in groups):
+            for p in range(0, len(t), part):
+                text = "".join(f"<|{'unknown' if a is None else a}|>\n{b or ''}\n" for a, b in t[p:p + part])
+                out.append((min(ids), p // part, len(t), len(ids), text))
+    return sorted(out)
+
+
+def corpus(seed):
+    r = random.Random(seed)
+    rows, chats = [], []
+    for c in range(60):
+        if chats and r.random() < 0.5:
+            base = list(r.choice(chats))[:r.randrange(1, 8)]
+        else:
+            base = []
+        base += [(r.choice(["user", "assistant", None]), r.choice(["a", "b", "", None, "long text"])) for _ in range(r.randrange(0, 4))]
+        chats.append(base)
+        step = r.choice([1, 1, 3, 100])
+        rows += [(c, i * step, a, b) for i, (a, b) in enumerate(base)]
+    rows += rows[:5] + [(None, 0, "user", "lost"), (500, None, "user", "first"), (500, 0, "user", "second")]
+    r.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_matches_brute_force(spark, seed):
+    rows = corpus(seed)
+    assert sorted(map(tuple, chat(spark.createDataFrame(rows, SCHEMA)).collect())) == brute(rows)
+
+
+def test_hot_conversation_is_split(spark):
+    rows = [(1, i, "user", f"t{i}") for i in range(1500)] + [(2, i, "user", f"t{i}") for i in range(700)] + [(3, 0, "user", "x")]
+    got = sorted(map(tuple, chat(spark.createDataFrame(rows, SCHEMA)).collect()))
+    assert got == brute(rows)
+    assert [r[:3] for r in got] == [(1, 0, 1500), (1, 1, 1500), (1, 2, 1500), (3, 0, 1)]
+
+
+def test_empty_table_and_extra_columns(spark):
+    assert chat(spark.createDataFrame([], SCHEMA)).collect() == []
+    df = spark.createDataFrame([(1, 0, "user", "x")], SCHEMA).selectExpr("*", "5 as pos", "6 as block", "7 as n", "8 as part")
+    assert [tuple(r) for r in chat(df).collect()] == [(1, 0, 1, 1, "<|user|>\nx\n")]
+
+
+def test_sql_agrees(spark):
+    path = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{path}/conversations.parquet')")
+    expected = sorted(con.execute(module.ORACLE).fetchall())
+    assert sorted(map(tuple, chat(spark.read.parquet(f"{path}/conversations.parquet")).collect())) == expected
