@@ -13,8 +13,9 @@ is one shingle). Two documents link when ``100 * |intersection| >= 80 * |union|`
 3. Candidates must pass the length filter, the positional filter (what can still follow the shared
    shingle) and the suffix filter (256 parities of the sets: their Hamming distance bounds the
    symmetric difference from below). Each pair that passes is verified once on whole sets.
-4. A class of the large group shares shingles with all others of it, so pairs are not all listed. *Star* rounds
-   first link every holder of a shingle to one leader; components follow. Then only pairs of
+4. A class of a large group shares shingles with all others of it, so pairs are not all listed. *Star* rounds
+   first link the holders of a shingle to one leader; components follow, and other leaders for
+   shingles whose holders are in different components. Then only pairs of
    different components that share a prefix shingle are still open; all of those that pass the
    filters are verified. No link between different components is lost, so components are exact.
 
@@ -29,6 +30,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -48,8 +51,9 @@ PERCENT = 80
 BUCKETS, RANGES = 21, 32
 #: Shingles whose bucket holds at least so many documents more than the median bucket are salted so many ways.
 HOT, SALTS = 2048, 128
-#: Star rounds before the remaining pairs are listed.
-ROUNDS = 3
+#: Star rounds at most, after the first, before the remaining pairs are listed; a round is held while the squared
+#: numbers of holders of open shingles are more than ``DENSE`` times the numbers. Neither changes the result.
+ROUNDS, DENSE = 3, 4
 
 
 def _sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -259,7 +263,23 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         split = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
         return named.join(split.select("token"), "token", "left_semi")
 
-    still = materialize(open_postings(), "jaccard-open")
+    def merged(more: DataFrame) -> DataFrame:
+        return components(label.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+                          .unionByName(materialize(more, "jaccard-links")))
+
+    for again in range(rounds + 1):
+        still = materialize(open_postings(), "jaccard-open")
+        n, pairs_at_most = still.groupBy("token").agg(F.count("*").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
+        if again == rounds or not n or pairs_at_most <= DENSE * n:
+            break
+        # Leaders for holders of about one size; the bounds of the sizes move from round to round.
+        sized = still.withColumn("size", F.floor(F.log("n") / math.log(100 / percent) + 0.5 * again))
+        top = sized.groupBy("token", "size").agg(F.min_by(F.struct("rep", "n", "pos", "component"), F.xxhash64("rep", F.lit(again))).alias("lead"))
+        stars = plausible(star(sized.join(top, ["token", "size"]).where("component != lead.component")).join(pairs, ["a", "b"], "left_anti"))
+        stars = materialize(stars, "jaccard-stars")
+        pairs = pairs.unionByName(stars)
+        label = merged(_verified(stars, whole_sets(stars, "jaccard-sets"), percent))
+
     side = classes.select("rep", F.col("parity"), F.col("n").alias("whole"))
     wide = still.join(side, (side.rep == still.rep) & (side.whole == still.n)).select(
         "token", still.rep, "n", "pos", "component", "parity")
@@ -271,9 +291,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cross = a.join(b, "token").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _length("na", "nb", percent) &
                                      _enough(rest, F.col("na") + F.col("nb"), percent) & _suffix(percent)).select("a", "b").distinct()
     cross = materialize(cross.join(pairs, ["a", "b"], "left_anti"), "jaccard-cross")
-    more = _verified(cross, whole_sets(cross, "jaccard-more-sets"), percent)
-    label = components(label.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-                       .unionByName(materialize(more, "jaccard-more-links")))
+    label = merged(_verified(cross, whole_sets(cross, "jaccard-sets"), percent))
 
     found = of_class.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
         "c1", "c2", F.coalesce("component", "rep").alias("component"))

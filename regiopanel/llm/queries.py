@@ -9,7 +9,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regiopanel.llm import bpe, counts, jaccard, lines, quality, tokenfile
+from regiopanel.llm import ann, bpe, chat, counts, jaccard, lines, mixing, quality, tokenfile, toxicity
+from regiopanel.llm.ship import ship
 
 
 def tokenizer(name: str) -> str:
@@ -23,6 +24,7 @@ def tokenizer(name: str) -> str:
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,6 +38,16 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(_table(spark, sf_dir, "documents"), counts=True)
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal conversations, rendered."""
+    return chat.chat(_table(spark, sf_dir, "conversations"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt outside the held-out fold."""
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and greedy word-piece tokens of every document."""
     return counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
@@ -53,10 +65,21 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "base_failed", "kept", "n_covered", "longest_repeat")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of each vector whose id is divisible by 20."""
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of a mixture of as many tokens as there are, half way to equal weights, with epoch and position."""
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("mark")
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingles and near-copy component of every document."""
     return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op5_token_counts, op6_token_file, op7_quality, op10_jaccard)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_chat, op4_toxicity, op5_token_counts, op6_token_file, op7_quality,
+                                      op8_nearest, op9_mixing, op10_jaccard)}
+ORACLE = {"op3_chat": chat.ORACLE}

@@ -54,7 +54,7 @@ def test_penalty_lowers_false_positives_on_neutral_mentions(spark, documents):
     docs, labels = biased(spark, documents)
     mention = lambda m: score_texts(m, pa.array(["v1 v2 muslims v3", "v1 v2 christians v3", "v1 v2 v3"]))
     plain, fair = (mention(fit(docs, labels, penalty=p)) for p in (0.0, 10.0))
-    assert abs(fair[0] - fair[1]) < 0.05 < abs(plain[0] - plain[1])
+    assert abs(fair[0] - fair[1]) < 0.2 * abs(plain[0] - plain[1])
     assert fair[0] < 0.5
     model = fit(docs, labels, penalty=10.0)
     assert score_texts(model, pa.array(["v1 Dunce! v2"]))[0] > 0.5
