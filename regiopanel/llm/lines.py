@@ -12,7 +12,8 @@ The tree is the key of a shuffle, not a structure in memory. Lines are reduced t
 lines to one row with its count before anything is shuffled by leaf, so a line that a third of the
 documents share is a row from each task. Only leaves that ``min_docs`` documents reach and that hold several different
 lines have their tokens compared. Constants are counts per (leaf, position, token), which combine in
-each task; there is no clustering inside a leaf and no leaf is ever gathered in one place.
+each task; there is no clustering inside a leaf and no leaf is ever gathered in one place. Aggregates that go back to
+lines by a join are written first, so that adaptive execution can split a hot key of the join.
 
 Defined results: lines are split at ``\n``; lines of fewer than ``min_tokens`` tokens, blank lines and the
 order of lines stay as they are. A null text stays null, with no lines. Repeated rows (same ``doc_id`` and
@@ -144,25 +145,28 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.sum(F.col("new_leaf").cast("long")).alias("leaf_docs"), F.sum(F.col("new_hash").cast("long")).alias("docs"),
         F.min(F.struct("doc_id", "mark", "line")).alias("at"))
     distinct = materialize(distinct, "distinct-lines")
-    leaves = distinct.groupBy("leaf").agg(F.sum("leaf_docs").alias("n"), F.count("*").alias("kinds")).where(F.col("n") >= min_docs)
+    leaves = materialize(distinct.groupBy("leaf").agg(F.sum("leaf_docs").alias("n"), F.count("*").alias("kinds"))
+                         .where(F.col("n") >= min_docs), "leaves")
     lone = distinct.join(leaves.where("kinds = 1"), "leaf").select("leaf", "hash", F.col("hash").alias("template"))
 
     several = materialize(distinct.join(leaves.where("kinds > 1"), "leaf").select("leaf", "hash", "docs", "at"), "mixed-leaves")
     wanted = several.groupBy(F.col("at.doc_id").alias("id"), F.col("at.mark").alias("m")).agg(
         F.collect_set(F.col("at.line").cast("long")).alias("wanted"))
-    texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.id) & (docs.mark == wanted.m)).select("text", "wanted")
+    # Both sides grow with the data, here and in ``line_dedup``: always a join by shuffle.
+    texts = docs.join(wanted.hint("merge"), docs.doc_id.eqNullSafe(wanted.id) & (docs.mark == wanted.m)).select("text", "wanted")
     token = several.join(_tokens(texts, depth, max(1, min_tokens)).dropDuplicates(["hash"]), "hash")
     token = materialize(token.select("leaf", "hash", "docs", F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "token")), "line-tokens")
-    constant = token.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("support")).where(
-        (F.col("support") >= min_docs) & (F.col("token") != int(WILD)))
+    constant = materialize(token.groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("support")).where(
+        (F.col("support") >= min_docs) & (F.col("token") != int(WILD))).drop("support"), "constants")
     general = token.join(constant, ["leaf", "pos", "token"]).groupBy("leaf", "hash", "n").agg(
         F.count("*").alias("constants"), F.bit_xor(F.xxhash64("pos", "token")).alias("template"))
     general = general.where(F.col("constants") >= similarity * F.col("n")).select("leaf", "hash", "template")
 
-    template = lone.unionByName(general)
+    template = materialize(lone.unionByName(general), "templates")
     found = materialize(lines.join(template, ["leaf", "hash"]).select("doc_id", "mark", "line", "leaf", "template"), "template-lines")
     recurs = found.groupBy("leaf", "template", "doc_id", "mark").agg(F.min("line").alias("line")).groupBy("leaf", "template").agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "line")).alias("first")).where(F.col("n") >= min_docs)
+    recurs = materialize(recurs, "recurring")
     drop = found.join(recurs, ["leaf", "template"]).where(~F.struct("doc_id", "mark", "line").eqNullSafe(F.col("first")))
     return drop.groupBy("doc_id", "mark").agg(F.collect_set(F.col("line").cast("long")).alias("lines"))
 
@@ -177,7 +181,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col]).alias("_rest"),
                      F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_mark"))
     drops = drops.select(F.col("doc_id").alias("_i"), F.col("mark").alias("_m"), F.col("lines").alias("_drop"))
-    rows = rows.join(drops, rows._id.eqNullSafe(drops._i) & (rows._mark == drops._m), "left").select("_rest", "_id", "_text", "_drop")
+    rows = rows.join(drops.hint("merge"), rows._id.eqNullSafe(drops._i) & (rows._mark == drops._m), "left").select("_rest", "_id", "_text", "_drop")
     out = _without(rows)
     if counts:
         return out.select(F.col("_id").alias("doc_id"), F.col("_lines").alias("n_lines"),
