@@ -11,7 +11,7 @@ is one shingle). Two documents link when ``100 * |intersection| >= 80 * |union|`
    Linked classes share a shingle of both prefixes, so candidates come from a shuffle on prefix
    shingles only. Frequent ones (which the order puts last) are salted.
 3. Candidates must pass the length filter, the positional filter (what can still follow the shared
-   shingle) and the suffix filter (256 parities of the sets: their Hamming distance bounds the
+   shingle) and the suffix filter (512 parities of the sets: their Hamming distance bounds the
    symmetric difference from below). Each pair that passes is verified once on whole sets.
 4. A class of a large group shares shingles with all others of it, so pairs are not all listed. *Star* rounds
    first link the holders of a shingle to one leader; components follow, and other leaders for
@@ -19,6 +19,9 @@ is one shingle). Two documents link when ``100 * |intersection| >= 80 * |union|`
    different components that share a prefix shingle are still open; all of those that pass the
    filters are verified. No link between different components is lost, so components are exact.
 
+An aggregate that goes back to its rows by a join is written first: the join then has a shuffle of its own on both
+sides, and adaptive execution can split a hot shingle.
+
 Everything that grows with the data is shuffled or written to the shared folder. The driver gets the
 bucket counts (``2**BUCKETS`` bytes) and checksums.
 
@@ -53,7 +56,7 @@ BUCKETS, RANGES = 21, 32
 HOT, SALTS = 2048, 128
 #: Star rounds at most, after the first, before the remaining pairs are listed; a round is held while the squared
 #: numbers of holders of open shingles are more than ``DENSE`` times the numbers. Neither changes the result.
-ROUNDS, DENSE = 3, 4
+ROUNDS, DENSE = 2, 4
 
 
 def _sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -137,7 +140,7 @@ def prefix_length(n, percent: int = PERCENT):
 
 def _signatures(docs: DataFrame, kind: str, size: int, percent: int, levels) -> DataFrame:
     """``doc_id, c1, c2, n, prefix, cold, parity`` of each document with shingles: the prefix in global order, its
-    number of shingles that aren't hot, and 256 parities of the whole set."""
+    number of shingles that aren't hot, and 512 parities of the whole set."""
     shift, byte = np.uint64(64 - BUCKETS), np.uint64(56)
 
     def run(batches):
@@ -161,7 +164,7 @@ def _signatures(docs: DataFrame, kind: str, size: int, percent: int, levels) ->
                 c2.append(key[1])
                 prefixes.append(s[at])
                 cold.append(int((level[at] < hot).sum()))
-                bits = (np.bincount((spread & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
+                bits = (np.bincount((spread & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)
                 parity.append(np.packbits(bits).view(np.int64))
             yield pa.RecordBatch.from_arrays([
                 ids.take(pa.array(keep, pa.int64())), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(n, pa.int64()),
@@ -182,7 +185,7 @@ def _enough(overlap, total, percent: int):
 
 def _suffix(percent: int):
     """By the parities ``pa`` and ``pb``: at least the Hamming distance of elements is in one set only."""
-    apart = sum(F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(4))
+    apart = sum(F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(8))
     total = F.col("na") + F.col("nb")
     return (100 + percent) * (total - apart) >= 2 * percent * total
 
@@ -236,7 +239,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             _suffix(percent)).select("a", "b").distinct()
 
     hot = posting.where("salt > 0 and lead.rep = rep")  # the leaders of a salted shingle have a leader again
-    top = hot.groupBy("token").agg(F.min(F.struct("rep", "n", "pos")).alias("lead"))
+    top = materialize(hot.groupBy("token").agg(F.min(F.struct("rep", "n", "pos")).alias("lead")), "jaccard-leaders")
     pairs = materialize(plausible(star(posting).unionByName(star(hot.drop("lead").join(top, "token"))).distinct()), "jaccard-stars")
 
     def whole_sets(of: DataFrame, name: str) -> DataFrame:
@@ -261,7 +264,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         named = posting.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
             "token", "rep", "n", "pos", F.coalesce("component", "rep").alias("component"))
         split = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-        return named.join(split.select("token"), "token", "left_semi")
+        return named.join(materialize(split.select("token"), "jaccard-split"), "token", "left_semi")
 
     def merged(more: DataFrame) -> DataFrame:
         return components(label.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
@@ -274,7 +277,8 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
         # Leaders for holders of about one size; the bounds of the sizes move from round to round.
         sized = still.withColumn("size", F.floor(F.log("n") / math.log(100 / percent) + 0.5 * again))
-        top = sized.groupBy("token", "size").agg(F.min_by(F.struct("rep", "n", "pos", "component"), F.xxhash64("rep", F.lit(again))).alias("lead"))
+        top = materialize(sized.groupBy("token", "size").agg(
+            F.min_by(F.struct("rep", "n", "pos", "component"), F.xxhash64("rep", F.lit(again))).alias("lead")), "jaccard-leaders")
         stars = plausible(star(sized.join(top, ["token", "size"]).where("component != lead.component")).join(pairs, ["a", "b"], "left_anti"))
         stars = materialize(stars, "jaccard-stars")
         pairs = pairs.unionByName(stars)
