@@ -53,7 +53,7 @@ def rolling_hashes(df: DataFrame) -> DataFrame:
 
 def maximal(turns: DataFrame) -> DataFrame:
     """``conv_id, n_turns, n_copies`` of the conversations that prefix no longer one (of equal ones the smallest id)."""
-    last = turns.groupBy("conv_id").agg(F.max(F.struct("pos", "p1", "p2")).alias("end"))
+    last = materialize(turns.groupBy("conv_id").agg(F.max(F.struct("pos", "p1", "p2")).alias("end")), "conversations")
     whole = last.groupBy("end.pos", "end.p1", "end.p2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
     longer = turns.join(last.select("conv_id", F.col("end.pos").alias("n")), "conv_id").where("pos < n").select("pos", "p1", "p2").distinct()
     return whole.join(longer, ["pos", "p1", "p2"], "left_anti").select("conv_id", F.col("pos").alias("n_turns"), "n_copies")
@@ -71,7 +71,7 @@ def render(turns: DataFrame, kept: DataFrame, start: str = "<|", middle: str = "
 def chat(df: DataFrame, **options) -> DataFrame:
     """Rendered maximal conversations of ``df`` (``conv_id, turn, role, text``)."""
     turns = materialize(rolling_hashes(df), "rolling-hashes")
-    return render(turns, maximal(turns), **options)
+    return render(turns, materialize(maximal(turns), "maximal-conversations"), **options)
 
 
 #: The same in DuckDB SQL, over the table ``conversations`` (for conversations of one part).
