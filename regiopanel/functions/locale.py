@@ -82,23 +82,25 @@ def format_decimal(c, decimal: str = ",") -> Column:
     """Double -> text in plain notation with ``decimal`` as the decimal mark.
 
     Shortest round-trip digits as for a Python float repr, so ``1234.5 -> '1234,5'`` and
-    ``3.0 -> '3,0'``. Magnitudes where Spark would print scientific notation (>= 1e7 or < 1e-3)
-    go through a decimal cast and lose trailing zeros, keeping one after the mark.
+    ``3.0 -> '3,0'``. Where Spark would print scientific notation (>= 1e7 or < 1e-3) the plain text
+    is used if it parses back to the same double; otherwise the shortest text stays, with its
+    exponent (``4.9E-324 -> '4,9E-324'``), so no finite double loses a digit.
     NaN and null become null (written as an empty field); infinities become 'inf' / '-inf'.
     """
     c = as_col(c).cast("double")
     mag = F.abs(c)
 
     def plain(scale: int) -> Column:
-        text = c.cast(f"decimal(38,{scale})").cast("string")
+        text = c.try_cast(f"decimal(38,{scale})").cast("string")
         text = F.regexp_replace(text, r"(\.\d*?)0+$", "$1")
-        return F.regexp_replace(text, r"\.$", ".0")
+        text = F.regexp_replace(text, r"\.$", ".0")
+        return F.when(text.try_cast("double") == c, text).otherwise(c.cast("string"))
 
     text = (
         F.when(c.isNull() | F.isnan(c), F.lit(None).cast("string"))
         .when(c == F.lit(float("inf")), F.lit("inf"))
         .when(c == F.lit(float("-inf")), F.lit("-inf"))
-        .when(mag >= F.lit(1e7), F.when(mag < F.lit(1e29), plain(8)).otherwise(c.cast("string")))
+        .when(mag >= F.lit(1e7), plain(8))
         .when((mag < F.lit(1e-3)) & (mag > F.lit(0.0)), plain(30))
         .otherwise(c.cast("string"))
     )

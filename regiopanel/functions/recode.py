@@ -16,21 +16,31 @@ REGION_MAP = {
     "OESTERREICH": "AT",
 }
 
-# A literal map is compiled into the plan; above this many entries use recode_join instead.
-MAX_LITERAL_MAP = 1000
+# Entries up to which a dict goes into the plan as literals; a larger one travels as a table.
+# The result is the same either way.
+LITERAL_ENTRIES = 1000
 
 
 def recode(c, mapping: dict) -> Column:
-    """Exact, case-sensitive lookup; unmatched values pass through unchanged."""
+    """Exact, case-sensitive lookup; unmatched values pass through unchanged.
+
+    The map is part of the expression and searched for every row, whatever its size: for a large
+    dict :func:`recode_values` does the same with a join.
+    """
     c = as_col(c)
     if not mapping:
         return c
-    if len(mapping) > MAX_LITERAL_MAP:
-        raise ValueError(f"{len(mapping)} entries: use recode_join for maps of this size")
     lookup = F.create_map(*[F.lit(x) for x in itertools.chain.from_iterable(mapping.items())])
     return F.coalesce(lookup[c], c)
 
 
+def recode_values(df: DataFrame, column: str, mapping: dict, out: str | None = None) -> DataFrame:
+    """P9 on a frame: :func:`recode` for a small dict, :func:`recode_join` for a large one."""
+    if len(mapping) <= LITERAL_ENTRIES:
+        return df.withColumn(out or column, recode(F.col(f"`{column}`"), mapping))
+    return recode_join(df, column, mapping_frame(df.sparkSession, mapping), out=out, unique=True)
+
+
 def recode_join(df: DataFrame, column: str, table: DataFrame, src: str = "src", dst: str = "dst",
                 out: str | None = None, unique: bool = False) -> DataFrame:
     """P9 for large maps: left join to a (src, dst) table, then coalesce with the original value.
@@ -52,20 +62,18 @@ def recode_join(df: DataFrame, column: str, table: DataFrame, src: str = "src",
             .drop("__rc_src", "__rc_dst"))
 
 
-# A dict-built table has a row count known on the driver; up to this size it is broadcast.
-MAX_BROADCAST_MAP = 100_000
-
-
 def mapping_frame(spark, mapping: dict, src: str = "src", dst: str = "dst") -> DataFrame:
     """A (src, dst) DataFrame from a Python dict, for :func:`recode_join`.
 
-    Its size is ``len(mapping)``, known before any job runs, so small maps carry a broadcast hint
-    (a frame made from a local list has no size statistics and would otherwise be shuffled).
+    A small dict is literals in the plan, a large one local rows. No hint: the optimizer and
+    adaptive execution know the bytes of either.
     """
     from regiopanel.session import small_frame
 
-    df = small_frame(spark, list(mapping.items()), f"{src} string, {dst} string")
-    return F.broadcast(df) if len(mapping) <= MAX_BROADCAST_MAP else df
+    schema = f"{src} string, {dst} string"
+    if len(mapping) <= LITERAL_ENTRIES:
+        return small_frame(spark, list(mapping.items()), schema)
+    return spark.createDataFrame(list(mapping.items()), schema)
 
 
 def parse_timestamp(c, fmt: str | None = None) -> Column:

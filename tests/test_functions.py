@@ -3,7 +3,7 @@
 import math
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -140,3 +140,22 @@ def test_locale_number_matches_brute_force(spark, texts):
             assert want is None and value is None, repr(text)
         else:
             assert value == pytest.approx(want), repr(text)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.floats(allow_nan=False, allow_infinity=False), min_size=40, max_size=60))
+def test_every_finite_double_survives_export(spark, values):
+    values = values + [1.5e-31, 4.9e-324, 1.7976931348623157e308, 12345678.123456789, 1e29, -1e-3, -0.0, 123456789012345680.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    back = df.select("v", locale_number(format_decimal("v")).alias("w")).collect()
+    assert [r["v"] for r in back] == [r["w"] for r in back]
+
+
+def test_recode_of_any_size(spark):
+    from regiopanel.functions import recode_values
+
+    mapping = {f"k{i}": f"v{i}" for i in range(3000)}
+    df = spark.createDataFrame([("k5",), ("k2999",), ("other",), (None,)], "c string")
+    assert [r["c"] for r in df.select(recode("c", mapping).alias("c")).collect()] == ["v5", "v2999", "other", None]
+    assert sorted(str(r["c"]) for r in recode_values(df, "c", mapping).collect()) == ["None", "other", "v2999", "v5"]
+    assert [r["d"] for r in recode_values(df, "c", {"k5": "x"}, out="d").collect()] == ["x", "k2999", "other", None]
