@@ -1,36 +1,40 @@
 """Document collections on Parquet (IO4-IO7).
 
-A collection is a Parquet folder. Appends add files (schema may differ between appends); a scan
-merges the schemas, so documents with different keys come back as one table with nulls where a
-key is missing (IO7). Filters and projections are plain Columns and reach the Parquet scan as
-pushed filters and a pruned read schema.
+A collection is a folder with one subfolder ``types=<fingerprint>`` for each schema that was
+appended. Documents with other keys, or with other types for a key (a file whose numbers happen to be
+whole, say), are therefore always readable: a scan reads each group with its own schema, widens
+columns whose types differ and unions the groups by name, with null where a key is missing
+(IO7). Within a group all files have one schema, so no footers are merged. Filters and
+projections are plain Columns and reach each group's Parquet scan as pushed filters and a pruned read
+schema. A plain Parquet file or folder is a collection of one group.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Numeric types from narrow to wide; any other mixture of types becomes text.
+_WIDTH = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
 
-_OPS = {
-    "$eq": lambda c, v: c == F.lit(v),
-    "$ne": lambda c, v: c != F.lit(v),
-    "$gt": lambda c, v: c > F.lit(v),
-    "$gte": lambda c, v: c >= F.lit(v),
-    "$lt": lambda c, v: c < F.lit(v),
-    "$lte": lambda c, v: c <= F.lit(v),
-    "$in": lambda c, v: c.isin(list(v)),
-}
 
+def fingerprint(schema: T.StructType) -> str:
+    """The name of a schema's group: equal for equal keys and types, in any order."""
+    parts = sorted(f"{f.name}\x00{f.dataType.simpleString()}" for f in schema.fields)
+    return hashlib.md5("\x01".join(parts).encode()).hexdigest()[:12]
 
-def append_to_collection(df: DataFrame, path: str, batch_size: int = 5000, add_meta: bool = True,
+
+def append_to_collection(df: DataFrame, path: str, batch_size: int | None = None, add_meta: bool = True,
                          now: datetime | None = None, partition_by=None) -> int:
     """IO4 + A9: append ``df`` to the collection and return the number of rows written.
 
     ``_imported_at`` is ONE naive-UTC literal for the whole call (T18), ``_id`` a generated
-    uuid unless the frame has one. ``batch_size`` caps the rows per output file. The count comes
+    uuid unless the frame has one. ``batch_size`` caps the rows per output file on request. The count comes
     from an ``Observation`` on the write itself, so no second job re-reads the data. The write
     goes through Spark's commit protocol: a lost executor's task is re-run and only committed
     attempts become visible. ``partition_by`` (e.g. the region) lays the files out by key, so a
@@ -44,41 +48,98 @@ def append_to_collection(df: DataFrame, path: str, batch_size: int = 5000, add_m
     if "_id" not in df.columns:
         out = out.withColumn("_id", F.expr("uuid()"))
     obs = Observation("collection_append")
+    group = f"{path.rstrip('/')}/types={fingerprint(out.schema)}"
     out = out.observe(obs, F.count(F.lit(1)).alias("rows"))
     writer = out.write.mode("append")
     if batch_size:
         writer = writer.option("maxRecordsPerFile", str(int(batch_size)))
     if partition_by:
         writer = writer.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
-    writer.parquet(path)
+    writer.parquet(group)
     return int(obs.get["rows"])
 
 
-def query_to_column(query) -> Column | None:
-    """A filter given as a Column, or as a dict ``{field: value}`` / ``{field: {"$gt": v}}``."""
+# ---------------------------------------------------------------------------------------------
+# Queries: a document lacking a field is like one whose field is null
+# ---------------------------------------------------------------------------------------------
+
+def _sure(c: Column) -> Column:
+    """A condition that is false, not null, where a field is missing (needed under a negation)."""
+    return F.coalesce(c, F.lit(False))
+
+
+def _within(c: Column, values) -> Column:
+    values = list(values)
+    found = c.isin([v for v in values if v is not None])
+    return found | c.isNull() if None in values else found
+
+
+_OPS = {
+    "$eq": lambda c, v: c.isNull() if v is None else c == F.lit(v),
+    "$ne": lambda c, v: c.isNotNull() if v is None else c.isNull() | (c != F.lit(v)),
+    "$gt": lambda c, v: c > F.lit(v),
+    "$gte": lambda c, v: c >= F.lit(v),
+    "$lt": lambda c, v: c < F.lit(v),
+    "$lte": lambda c, v: c <= F.lit(v),
+    "$in": _within,
+    "$nin": lambda c, v: ~_sure(_within(c, v)),
+    "$exists": lambda c, v: c.isNotNull() if v else c.isNull(),
+    "$regex": lambda c, v: c.rlike(v),
+}
+
+
+def _conditions(c: Column, cond) -> list[Column]:
+    if not isinstance(cond, dict):
+        return [_OPS["$eq"](c, cond)]
+    out = []
+    for op, v in cond.items():
+        if op == "$not":
+            out.append(~_sure(functools.reduce(lambda a, b: a & b, _conditions(c, v))))
+        elif op in _OPS:
+            out.append(_OPS[op](c, v))
+        else:
+            raise ValueError(f"unsupported operator {op}")
+    return out
+
+
+def query_to_column(query, columns=None) -> Column | None:
+    """A filter given as a Column, or as a document query.
+
+    Fields take a value or operators (``$eq $ne $gt $gte $lt $lte $in $nin $exists $regex $not``); ``$and``, ``$or`` and
+    ``$nor`` take lists of queries. A missing field equals null, differs from any value and fails
+    every comparison. A field that is in none of ``columns`` (if given) is missing everywhere.
+    """
     if query is None:
         return None
     if isinstance(query, Column):
         return query
     preds = []
     for field, cond in query.items():
-        c = F.col(f"`{field}`")
-        if isinstance(cond, dict):
-            for op, v in cond.items():
-                if op not in _OPS:
-                    raise ValueError(f"unsupported operator {op}")
-                preds.append(_OPS[op](c, v))
+        if field in ("$and", "$or", "$nor"):
+            parts = [p for p in (query_to_column(q, columns) for q in cond) if p is not None]
+            if not parts:
+                continue
+            if field == "$and":
+                preds.append(functools.reduce(lambda a, b: a & b, parts))
+            elif field == "$or":
+                preds.append(functools.reduce(lambda a, b: a | b, parts))
+            else:
+                preds.append(~functools.reduce(lambda a, b: a | b, map(_sure, parts)))
+        elif field.startswith("$"):
+            raise ValueError(f"unsupported operator {field}")
         else:
-            preds.append(c.isNull() if cond is None else c == F.lit(cond))
+            known = columns is None or field in columns
+            preds += _conditions(F.col(f"`{field}`") if known else F.lit(None).cast("string"), cond)
     return functools.reduce(lambda a, b: a & b, preds) if preds else None
 
 
 def apply_projection(df: DataFrame, projection: dict | None) -> DataFrame:
-    """Inclusion (``{f: 1}``, keeps ``_id`` unless ``_id: 0``) or exclusion (``{f: 0}``) projection."""
+    """Inclusion (``{f: 1}``, keeps ``_id`` unless ``_id: 0``; ``{"_id": 1}`` keeps the id alone) or
+    exclusion (``{f: 0}``) projection."""
     if not projection:
         return df
     include = [f for f, v in projection.items() if v and f != "_id"]
-    if include:
+    if include or projection.get("_id"):
         keep = include
         if projection.get("_id", 1) and "_id" in df.columns:
             keep = ["_id"] + include
@@ -94,15 +155,48 @@ def stringify_id(df: DataFrame, column: str = "_id") -> DataFrame:
     return df
 
 
+def widest(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type that holds both: the wider of two numeric types (integral and fractional: double), else text."""
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    if isinstance(a, _WIDTH) and isinstance(b, _WIDTH):
+        wide = max(a, b, key=lambda t: _WIDTH.index(type(t)))
+        return T.DoubleType() if isinstance(wide, T.FloatType) and type(a) is not type(b) else wide
+    if isinstance(a, (*_WIDTH, T.DecimalType)) and isinstance(b, (*_WIDTH, T.DecimalType)):
+        return T.DoubleType()
+    return T.StringType()
+
+
+def _groups(spark: SparkSession, path: str) -> list[str]:
+    """The ``types=`` subfolders of a collection: one listing, no file is opened."""
+    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+               .load(path).select(F.regexp_extract("path", r"/(types=[0-9a-f]{12})/", 1).alias("g")).distinct())
+    return sorted(r["g"] for r in listing.collect())
+
+
+def read_collection(spark: SparkSession, path: str, merge_schema: bool = False) -> DataFrame:
+    """IO5 + IO7: all documents of a collection in one frame. ``merge_schema`` reads every footer of a plain
+    Parquet folder whose files differ; groups of a collection don't need it."""
+    base = path.rstrip("/")
+    groups = [] if base.endswith(".parquet") else _groups(spark, base)
+    if groups in ([], [""]):
+        return spark.read.option("mergeSchema", str(merge_schema).lower()).parquet(path)
+    if "" in groups:
+        raise ValueError(f"{path} mixes groups of a collection with other Parquet files")
+    return widening_union([spark.read.parquet(f"{base}/{g}") for g in groups])
+
+
 def collection_scan(spark: SparkSession, path: str, query=None, projection: dict | None = None,
-                    limit: int | None = None, order_by=None) -> DataFrame:
+                    limit: int | None = None, order_by=None, merge_schema: bool = False) -> DataFrame:
     """IO5: read a collection with an optional filter, projection and limit.
 
     ``order_by`` makes a limited scan deterministic (top-n of the order); without it a limit
     returns whichever documents the scan meets first, as a cursor limit does.
     """
-    df = spark.read.option("mergeSchema", "true").parquet(path)
-    cond = query_to_column(query)
+    df = read_collection(spark, path, merge_schema)
+    cond = query_to_column(query, df.columns)
     if cond is not None:
         df = df.filter(cond)
     df = stringify_id(apply_projection(df, projection))
@@ -113,6 +207,18 @@ def collection_scan(spark: SparkSession, path: str, query=None, projection: dict
     return df
 
 
+def widening_union(frames) -> DataFrame:
+    """:func:`ragged_union` of frames whose columns may differ in type; see :func:`widest`."""
+    frames = list(frames)
+    types: dict[str, T.DataType] = {}
+    for df in frames:
+        for f in df.schema.fields:
+            types[f.name] = widest(types[f.name], f.dataType) if f.name in types else f.dataType
+    return ragged_union([df.select(*[
+        F.col(f"`{f.name}`") if f.dataType == types[f.name] else F.col(f"`{f.name}`").cast(types[f.name]).alias(f.name)
+        for f in df.schema.fields]) for df in frames])
+
+
 def ragged_union(frames) -> DataFrame:
     """IO7: rows with different keys in one table; a key missing from a frame becomes null."""
     frames = list(frames)

@@ -16,15 +16,28 @@ DEFAULT_NA_VALUES = (
 )
 
 
+# The shapes of numbers with a decimal point, and of truth values, that a typed load takes.
+NUMBER_SHAPE = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
+INTEGER_SHAPE = r"^[+-]?[0-9]+$"
+TRUE_VALUES, FALSE_VALUES = ("True", "TRUE", "true"), ("False", "FALSE", "false")
+
+
 def read_delimited(spark: SparkSession, path, sep: str = ";", header: bool = True,
-                   encoding: str = "utf-8") -> DataFrame:
+                   encoding: str = "utf-8", multi_line: bool = False) -> DataFrame:
     """IO1: delimited text, every column a string, no inference pass.
 
     A trailing separator yields an all-empty column named ``_c<i>`` (see ``drop_unnamed``).
     Files are split by Spark into ``maxPartitionBytes`` ranges, so large inputs scan in parallel.
+    Spaces around a field belong to it, and a quote inside a quoted field is doubled.
+    ``multi_line`` accepts line breaks in quoted fields; each file is then read by one task, as a
+    split could start inside a field, so it is off by default.
     """
     return (spark.read.option("header", str(header).lower())
             .option("sep", sep)
+            .option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", "false")
+            .option("ignoreTrailingWhiteSpace", "false")
+            .option("multiLine", str(multi_line).lower())
             .option("inferSchema", "false")
             .option("encoding", encoding)
             .csv(path))
@@ -35,9 +48,11 @@ def infer_locale_types(df: DataFrame, thousands: str | None = ".", decimal: str
     """Per-column type of a string frame under the locale, from ONE aggregate pass.
 
     A column is ``bigint`` if every value is present and parses as an integer, ``double`` if every
-    present value parses as a number (missing values allowed, they become null), else ``string``.
+    present value has the shape of a number (missing values allowed, they become null), ``boolean``
+    if every present value is a truth value (and there is one), else ``string``. Shapes are matched,
+    not tried by a cast, as a cast also takes suffixes: codes such as ``12D`` stay text.
     The pass is a global aggregate of counters: each task emits one partial row, so nothing but
-    3 x n_columns longs reaches the driver, whatever the table size.
+    4 x n_columns longs reaches the driver, whatever the table size.
     """
     if not df.columns:
         return {}
@@ -51,8 +66,9 @@ def infer_locale_types(df: DataFrame, thousands: str | None = ".", decimal: str
         swapped = separator_swap(v, thousands, decimal)
         aggs += [
             F.count(F.when(present, F.lit(1))).alias(f"p{i}"),
-            F.count(F.when(present, swapped.try_cast("double"))).alias(f"d{i}"),
-            F.count(F.when(present, swapped.try_cast("bigint"))).alias(f"b{i}"),
+            F.count_if(present & swapped.rlike(NUMBER_SHAPE)).alias(f"d{i}"),
+            F.count(F.when(present & swapped.rlike(INTEGER_SHAPE), swapped.try_cast("bigint"))).alias(f"b{i}"),
+            F.count_if(present & c.isin(*TRUE_VALUES, *FALSE_VALUES)).alias(f"t{i}"),
         ]
     aggs.append(F.count(F.lit(1)).alias("n"))
     row = df.agg(*aggs).first()
@@ -61,11 +77,13 @@ def infer_locale_types(df: DataFrame, thousands: str | None = ".", decimal: str
         if not isinstance(df.schema[name].dataType, T.StringType):
             types[name] = df.schema[name].dataType.simpleString()
             continue
-        present, dbl, big = row[f"p{i}"], row[f"d{i}"], row[f"b{i}"]
+        present, dbl, big, truth = row[f"p{i}"], row[f"d{i}"], row[f"b{i}"], row[f"t{i}"]
         if present == row["n"] and big == present and present > 0:
             types[name] = "bigint"
         elif dbl == present:
             types[name] = "double"
+        elif truth == present:
+            types[name] = "boolean"
         else:
             types[name] = "string"
     return types
@@ -85,6 +103,8 @@ def apply_locale_types(df: DataFrame, types: dict[str, str], thousands: str | No
         missing = c.isNull() | c.isin(*na_values)
         if kind in ("bigint", "double"):
             value = separator_swap(v, thousands, decimal).try_cast(kind)
+        elif kind == "boolean":
+            value = c.isin(*TRUE_VALUES)
         else:
             value = c
         cols.append(F.when(missing, F.lit(None).cast(kind)).otherwise(value).alias(name))
@@ -93,13 +113,13 @@ def apply_locale_types(df: DataFrame, types: dict[str, str], thousands: str | No
 
 def load_locale_csv(spark: SparkSession, path, sep: str = ";", decimal: str = ",",
                     thousands: str | None = ".", encoding: str = "utf-8",
-                    na_values=DEFAULT_NA_VALUES) -> DataFrame:
+                    na_values=DEFAULT_NA_VALUES, multi_line: bool = False) -> DataFrame:
     """IO2: delimited text with local number format, typed per column (all-or-nothing rule).
 
     ``' 1.344,17 '`` in a column where every value parses gives 1344.17, while a column holding
     ``'1.000 t'`` stays text. Two scans: the typing pass and the consumer's own.
     """
-    raw = read_delimited(spark, path, sep=sep, header=True, encoding=encoding)
+    raw = read_delimited(spark, path, sep=sep, header=True, encoding=encoding, multi_line=multi_line)
     types = infer_locale_types(raw, thousands, decimal, na_values)
     return apply_locale_types(raw, types, thousands, decimal, na_values)
 
@@ -109,6 +129,9 @@ def _write_options(writer, sep: str, header: bool, encoding: str):
             .option("header", str(header).lower())
             .option("encoding", encoding)
             .option("emptyValue", "")
+            .option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", "false")
+            .option("ignoreTrailingWhiteSpace", "false")
             .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
             .option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSSXXX"))
 
@@ -117,8 +140,9 @@ def save_decimal_csv(df: DataFrame, path: str, sep: str = ";", decimal: str = ",
                      encoding: str = "utf-8", mode: str = "overwrite") -> None:
     """IO8: CSV with header and no index; only float/double columns get the decimal comma.
 
-    Null and NaN are written as empty fields. The output is a folder of part files written in
-    parallel by the executors; Spark creates the folder.
+    Null and NaN are written as empty fields. Text is written as it is: spaces at its ends stay, quotes
+    are doubled, and a field with a line break is quoted (read it back with ``multi_line``). The output
+    is a folder of part files written in parallel by the executors; Spark creates the folder.
     """
     cols = []
     for field in df.schema.fields:
@@ -144,9 +168,11 @@ def export_csv(df: DataFrame, path: str, partition_by=None, sep: str = ",", mode
     writer.csv(path)
 
 
-def read_export(spark: SparkSession, path: str, schema, sep: str = ",") -> DataFrame:
+def read_export(spark: SparkSession, path: str, schema, sep: str = ",", multi_line: bool = False) -> DataFrame:
     """Read an :func:`export_csv` folder back with a known schema (no inference pass)."""
     return (spark.read.schema(schema).option("header", "true").option("sep", sep)
+            .option("escape", '"').option("multiLine", str(multi_line).lower())
+            .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
             .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
             .option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSSXXX")
             .csv(path))

@@ -37,7 +37,8 @@ def payload_rows(df: DataFrame, array_field: str = "hourly", time_field: str = "
                  keep: list[str] | None = None, order_by_time: bool = True) -> DataFrame:
     """IO3: one row per array position; ``time`` parsed and first, other arrays as columns.
 
-    Arrays of unequal length raise (T15) instead of being padded with nulls. ``keep`` carries
+    Arrays of unequal length raise (T15) instead of being padded with nulls; a variable that a
+    document doesn't have is a null column for its rows. ``keep`` carries
     top-level document fields onto every row. A frame without ``array_field`` gives an empty
     frame with only ``time``. ``order_by_time`` sorts the result (a range-partitioned sort);
     turn it off for streams or when the consumer does not need the order.
@@ -55,11 +56,13 @@ def payload_rows(df: DataFrame, array_field: str = "hourly", time_field: str = "
     staged = df.select(*[F.col(f"`{k}`") for k in keep],
                        *[F.col(f"`{array_field}`.`{n}`").alias(f"__arr{i}") for i, n in enumerate(ordered)])
     arrays = [F.col(f"__arr{i}") for i in range(len(ordered))]
-    sizes = [F.coalesce(F.size(a), F.lit(-1)) for a in arrays]
+    rows = F.coalesce(F.size(arrays[0]), F.lit(-1))  # a document with values but no times fails the check
     same = F.lit(True)
-    for s in sizes[1:]:
-        same = same & (s == sizes[0])
-    checked = F.when(same, F.arrays_zip(*arrays)).otherwise(
+    for a in arrays[1:]:
+        same = same & (a.isNull() | (F.size(a) == rows))
+    full = [arrays[0]] + [F.coalesce(a, F.array_repeat(F.lit(None).cast(inner[n].dataType.elementType), F.greatest(rows, F.lit(0))))
+                          for a, n in zip(arrays[1:], others)]
+    checked = F.when(same, F.arrays_zip(*full)).otherwise(
         F.raise_error(F.lit(f"payload arrays under '{array_field}' differ in length")))
     exploded = staged.select(*[F.col(f"`{k}`") for k in keep], F.inline(checked))
     renamed = exploded.toDF(*keep, *ordered)

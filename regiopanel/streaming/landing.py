@@ -6,12 +6,14 @@ expression (a narrow map, so it runs unchanged on a stream), and each micro-batc
 a collection with its own import stamp.
 
 Exactly-once effect: ``foreachBatch`` may replay a micro-batch after a failure, so every batch
-writes (overwrite mode) to its own ``epoch=<id>`` folder. A replay replaces that folder instead
-of appending the rows twice; the stream's offsets live in ``checkpoint_location``.
+writes (overwrite mode) to its own folder, named by its stream and its epoch. A replay replaces that
+folder instead of appending the rows twice; another stream has another folder. A stream is its
+checkpoint: the offsets live there, so it has no default.
 """
 
 from __future__ import annotations
 
+import hashlib
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from regiopanel.session import scratch_path
+from regiopanel.sources.collection import fingerprint
 from regiopanel.sources.payload import payload_rows
 
 
@@ -33,19 +35,26 @@ def payload_stream(spark: SparkSession, landing_dir: str, schema: T.StructType,
 
 
 def land_payloads(spark: SparkSession, landing_dir: str, schema: T.StructType, collection_path: str,
-                  checkpoint_location: str | None = None, keep=None, batch_size: int = 5000,
+                  checkpoint_location: str, keep=None, batch_size: int | None = None,
                   available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
     """Start the stream landing -> rows -> collection. ``available_now`` processes what is there
-    and stops (a scheduled batch job with stream bookkeeping); otherwise it runs continuously."""
+    and stops (a scheduled batch job with stream bookkeeping); otherwise it runs continuously.
+
+    ``checkpoint_location`` names the stream: give the same folder to go on where it stopped, another one for
+    another stream into the same collection.
+    """
     rows = payload_stream(spark, landing_dir, schema, keep=keep)
-    checkpoint_location = checkpoint_location or scratch_path(spark, "landing-stream")
+    stream = hashlib.md5(checkpoint_location.rstrip("/").encode()).hexdigest()[:12]
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         stamp = datetime.now(timezone.utc).replace(tzinfo=None).strftime("%Y-%m-%d %H:%M:%S.%f")
         out = (batch.withColumn("_imported_at", F.to_timestamp_ntz(F.lit(stamp)))
                .withColumn("_id", F.expr("uuid()")))
-        (out.write.mode("overwrite").option("maxRecordsPerFile", str(int(batch_size)))
-         .parquet(f"{collection_path.rstrip('/')}/epoch={int(epoch_id)}"))
+        writer = out.write.mode("overwrite")
+        if batch_size:
+            writer = writer.option("maxRecordsPerFile", str(int(batch_size)))
+        # the prefixes keep partition values text, whatever digits a name has
+        writer.parquet(f"{collection_path.rstrip('/')}/types={fingerprint(out.schema)}/stream=s{stream}/epoch={int(epoch_id)}")
 
     writer = rows.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_location)
     if available_now:

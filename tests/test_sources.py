@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 from regiopanel.sources import (
     append_to_collection,
     collection_scan,
+    export_csv,
     load_locale_csv,
     payload_rows,
     ragged_union,
     read_delimited,
     read_document_dump,
+    read_export,
     read_payloads,
     save_decimal_csv,
 )
@@ -180,3 +182,67 @@ def test_payload_from_dict(spark):
     rows = payload_dict_rows(spark, payload).collect()
     assert [r["ozone"] for r in rows] == [28.0, 24.0] and rows[0]["time"].hour == 0
     assert payload_dict_rows(spark, {"latitude": 1.0}).count() == 0
+
+
+def test_csv_text_roundtrip(spark, tmp_dir):
+    rows = [(1, "  pad  "), (2, 'a "quote"'), (3, "line\nbreak; and \"both\""), (4, '"'), (5, "back\\slash"), (6, "\ttab\t"), (7, None)]
+    df = spark.createDataFrame(rows, "id int, text string")
+    path = os.path.join(tmp_dir, "text")
+    save_decimal_csv(df, path)
+    back = read_delimited(spark, path, multi_line=True).select(F.col("id").cast("int"), "text")
+    assert sorted(map(tuple, back.collect())) == rows
+    path = os.path.join(tmp_dir, "plain")
+    export_csv(df, path)
+    assert sorted(map(tuple, read_export(spark, path, df.schema, multi_line=True).collect())) == rows
+
+
+def test_typed_load_keeps_codes_and_types_truth_values(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "codes.csv")
+    with open(path, "w", encoding="utf-8") as fh:
+        fh.write("code;flag;gap;num;hex;exp\n12D;True;TRUE;1.000,5;0x1A;1e3\n5F;false;;2;NaNx;-2,5E-3\n")
+    df = load_locale_csv(spark, path)
+    assert df.dtypes == [("code", "string"), ("flag", "boolean"), ("gap", "boolean"), ("num", "double"), ("hex", "string"), ("exp", "double")]
+    assert [tuple(r) for r in df.collect()] == [("12D", True, True, 1000.5, "0x1A", 1000.0), ("5F", False, None, 2.0, "NaNx", -0.0025)]
+
+
+def test_collection_with_differing_types_is_read(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "mixed")
+    for kind, value in (("bigint", 1), ("double", 2.5), ("string", "x"), ("int", 4)):
+        append_to_collection(spark.createDataFrame([(value, kind)], f"v {kind}, k string"), path, add_meta=False)
+    got = {r["k"]: r["v"] for r in collection_scan(spark, path).collect()}
+    assert got == {"bigint": "1", "double": "2.5", "string": "x", "int": "4"}
+    path = os.path.join(tmp_dir, "numbers")
+    for kind, value in (("bigint", 1), ("double", 2.5), ("int", 4)):
+        append_to_collection(spark.createDataFrame([(value, kind)], f"v {kind}, {kind}_only string"), path)
+    df = collection_scan(spark, path, query={"v": {"$gte": 2}})
+    assert dict(df.dtypes)["v"] == "double" and sorted(r["v"] for r in df.collect()) == [2.5, 4.0]
+
+
+def test_find_semantics(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "find")
+    rows = [("1", 1, "a"), ("2", 2, None), ("3", None, "b"), ("4", None, None)]
+    append_to_collection(spark.createDataFrame(rows, "_id string, n int, t string"), path, add_meta=False)
+    ids = lambda q: sorted(r["_id"] for r in collection_scan(spark, path, q).collect())
+    assert ids({"n": {"$ne": 1}}) == ["2", "3", "4"]
+    assert ids({"n": {"$eq": None}}) == ids({"n": None}) == ids({"n": {"$exists": False}}) == ["3", "4"]
+    assert ids({"n": {"$ne": None}}) == ids({"n": {"$exists": True}}) == ["1", "2"]
+    assert ids({"n": {"$nin": [1]}}) == ["2", "3", "4"] and ids({"n": {"$nin": [1, None]}}) == ["2"]
+    assert ids({"n": {"$in": [2, None]}}) == ["2", "3", "4"]
+    assert ids({"$or": [{"n": 1}, {"t": "b"}]}) == ["1", "3"] and ids({"$and": [{"n": 1}, {"t": "b"}]}) == []
+    assert ids({"$nor": [{"n": 1}, {"t": "b"}]}) == ["2", "4"]
+    assert ids({"n": {"$not": {"$gt": 1}}}) == ["1", "3", "4"] and ids({"t": {"$regex": "^[ab]$"}}) == ["1", "3"]
+    assert ids({"other": None}) == ["1", "2", "3", "4"] and ids({"other": 1}) == [] and ids({"other": {"$ne": 1}}) == ["1", "2", "3", "4"]
+    assert collection_scan(spark, path, projection={"_id": 1}).columns == ["_id"]
+    with pytest.raises(ValueError):
+        collection_scan(spark, path, {"n": {"$near": 1}})
+    plan = collection_scan(spark, path, {"n": {"$ne": 1}, "t": "a"})._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(t,a)" in plan and "Or(IsNull(n)" in plan
+
+
+def test_payloads_with_differing_variables(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "payload.json")
+    with open(path, "w", encoding="utf-8") as fh:
+        fh.write('{"hourly": {"time": ["2025-01-01T00:00", "2025-01-01T01:00"], "a": [1.0, 2.0]}}\n')
+        fh.write('{"hourly": {"time": ["2025-01-01T02:00"], "b": [3.0]}}\n')
+    rows = payload_rows(read_payloads(spark, path)).collect()
+    assert [(r["a"], r["b"]) for r in rows] == [(1.0, None), (2.0, None), (None, 3.0)]
