@@ -3,15 +3,16 @@
 Plan
 ----
 1. Complete rows (label and features present) get a deterministic split flag (M2).
-2. The rows are written once, partitioned by the group keys, to a table under the checkpoint
-   folder: lineage is cut, and each group's fit later reads only its own partition (partition
-   pruning), one file per group so the fit sees a fixed partitioning (T8).
-3. The gate (A5) is one grouped count; only the small list of eligible group keys reaches the
-   driver.
-4. Groups are fitted concurrently from a bounded thread pool (twice the task slots); each fit is
-   Spark ML's ``VectorAssembler`` + ``RandomForestRegressor``. Each group's test predictions are
+2. One grouped count sizes every group and its split (A5); the keys of the eligible groups, one per
+   model, are all that reaches the driver.
+3. The rows are written once under the checkpoint folder, in a subfolder per group (named by a hash of the
+   keys, so any key value, the empty string too, is possible) and in one file for every
+   ``ROWS_PER_FILE`` rows of the group. A fit reads only its own folder; a large group
+   is written and trained by many tasks, and the layout depends on the data alone (T8).
+4. Groups are fitted concurrently from a bounded thread pool; each fit is Spark ML's
+   ``VectorAssembler`` + ``RandomForestRegressor``. Each group's test predictions are
    written to its own folder of one predictions table, so the final plan is a plain scan and
-   not a union of hundreds of model plans.
+   not a union of hundreds of model plans. A group whose fit fails is reported in the gate.
 5. Metrics for all groups come from one grouped aggregate over that table (M6, M7).
 """
 
@@ -22,12 +23,12 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession, is_remote
+from pyspark.sql import DataFrame, is_remote
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regiopanel.operators.evaluate import hash_split, regression_metrics
-from regiopanel.session import scratch_path, small_frame
+from regiopanel.session import materialize, scratch_path, small_frame
 
 
 @dataclass(frozen=True)
@@ -43,27 +44,44 @@ class ForestParams:
     python_model: bool = False  # True: fit a pyspark.ml Pipeline and keep its Python model object
 
 
+#: Rows of a group in a file of the training table.
+ROWS_PER_FILE = 1_000_000
+#: Fits at a time at most: each holds driver memory. It doesn't change any result.
+MAX_FITS = 32
+
+
 @dataclass
 class GroupForests:
     predictions: DataFrame  # keys..., order, actual, predicted (test rows of every fitted group)
     metrics: DataFrame      # keys..., n_train, n_test, rmse, r2 (one row per fitted group)
-    gate: DataFrame         # keys..., n_rows, eligible (every group, fitted or skipped)
+    gate: DataFrame         # keys..., n_rows, eligible, error (every group: fitted, skipped or failed)
+
+
+def group_id(keys):
+    """The folder name of a group: a hash of its keys that tells null from empty text."""
+    return F.md5(F.to_json(F.array(*[F.col(f"`{k}`").cast("string") for k in keys])))
 
 
-def _fit_one(spark: SparkSession, table: str, schema: T.StructType, keys, key_values, features,
-             label: str, order: str, params: ForestParams, out_path: str, index: int,
-             split_counts: tuple[int, int]) -> tuple:
+def _score(forest, assembler, train: DataFrame, test: DataFrame, params: ForestParams) -> DataFrame:
+    """Test rows with ``__pred``. The fitted model stays in the JVM where that is possible: the Python wrapper
+    wraps every tree through Py4J (about 14k calls for 200 trees), work on the driver that serialises
+    concurrent fits. Without those handles (Spark Connect, other versions) the public path does the same."""
+    if not params.python_model and not is_remote() and hasattr(forest, "_fit_java") and hasattr(test, "_jdf"):
+        java_model = forest._fit_java(assembler.transform(train))
+        return DataFrame(java_model.transform(assembler.transform(test)._jdf), test.sparkSession)
     from pyspark.ml import Pipeline
+
+    return Pipeline(stages=[assembler, forest]).fit(train).transform(test)
+
+
+def _fit_one(rows: DataFrame, keys, features, label: str, order: str, params: ForestParams, out_path: str,
+             split_counts: tuple[int, int]) -> tuple[int, int]:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
-    cond = F.lit(True)
-    for k, v in zip(keys, key_values):
-        cond = cond & (F.col(k) == F.lit(v))
-    rows = spark.read.schema(schema).parquet(table).filter(cond)
     if params.split == "random":
-        # the reference's randomSplit; reproducible because the group's rows are one sorted partition
-        ordered = rows.orderBy(order).coalesce(1)
+        # the reference's randomSplit; reproducible because the group's files and their order are fixed
+        ordered = rows.sortWithinPartitions(order, label, *features)
         train, test = ordered.randomSplit([params.train_share, 1.0 - params.train_share], seed=params.seed)
         n_train, n_test = train.count(), test.count()
     else:  # split sizes were counted for all groups in the gate aggregate
@@ -71,74 +89,75 @@ def _fit_one(spark: SparkSession, table: str, schema: T.StructType, keys, key_va
         test = rows.filter(~F.col("is_train"))
         n_train, n_test = split_counts
     if n_train == 0 or n_test == 0:
-        return key_values, n_train, n_test
+        return n_train, n_test
     assembler = VectorAssembler(inputCols=list(features), outputCol="__features")
     forest = RandomForestRegressor(featuresCol="__features", labelCol=label, predictionCol="__pred",
                                    numTrees=params.num_trees, maxDepth=params.max_depth, seed=params.seed)
-    if params.python_model or is_remote():  # a Connect session has no JVM model handle
-        model = Pipeline(stages=[assembler, forest]).fit(train)
-        scored = model.transform(test)
-    else:
-        # Same estimator, but the fitted model stays in the JVM: the Python model wrapper wraps every
-        # tree through Py4J (about 14k calls for 200 trees), work that runs on the driver's GIL
-        # and serialises the concurrent fits. Scoring is the JVM model's own transform.
-        java_model = forest._fit_java(assembler.transform(train))
-        scored = DataFrame(java_model.transform(assembler.transform(test)._jdf), spark)
-    preds = scored.select(*keys, order, F.col(label).alias("actual"), F.col("__pred").alias("predicted"))
+    scored = _score(forest, assembler, train, test, params)
+    preds = scored.select(*keys, order, F.col(label).cast("double").alias("actual"), F.col("__pred").alias("predicted"))
     # One folder per group: concurrent writers must not share a job's temporary directory.
-    preds.write.mode("overwrite").parquet(f"{out_path}/group{index:06d}")
-    return key_values, n_train, n_test
+    preds.write.mode("overwrite").parquet(out_path)
+    return n_train, n_test
 
 
 def fit_group_forests(long_df: DataFrame, keys=("region", "pollutant"), label: str = "label",
                       features=("traffic", "year_feature"), order: str = "period",
                       params: ForestParams = ForestParams(), parallelism: int | None = None) -> GroupForests:
-    """M5: fit and apply one forest per group of ``long_df`` (one label column, long layout)."""
+    """M5: fit and apply one forest per group of ``long_df`` (one label column, long layout).
+
+    Rows need every key (a group is named by its keys), the label and the features. A fit that raises doesn't stop the
+    others: its group has no metrics, and its message is in the gate.
+    """
     spark = long_df.sparkSession
     keys = list(keys)
     features = list(features)
-    # rows need every key (a group is named by its keys), the label and the features
     complete = long_df.select(*keys, order, label, *features).na.drop(how="any", subset=[*keys, label, *features])
-    split = hash_split(complete, [*keys, order], params.train_share)
+    split = hash_split(complete, [*keys, order], params.train_share).withColumn("__group", group_id(keys))
+    split = materialize(split, "group-split")
+
+    sized = materialize(split.groupBy("__group", *keys).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("is_train"), F.lit(1))).alias("n_train")).withColumn(
+        "eligible", F.col("n_rows") >= F.lit(params.min_rows)), "group-sizes")
+    eligible = sized.filter("eligible").orderBy("__group").collect()
 
     table = scratch_path(spark, "group-rows")
-    (split.repartition(*keys).sortWithinPartitions(*keys, order)
-     .write.mode("overwrite").partitionBy(*keys).parquet(table))
-    schema = split.schema
-    stored = spark.read.schema(schema).parquet(table)
-
-    sized = (stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"),
-                                       F.count(F.when(F.col("is_train"), F.lit(1))).alias("n_train"))
-             .withColumn("eligible", F.col("n_rows") >= F.lit(params.min_rows)))
-    gate = sized.select(*keys, "n_rows", "eligible")
-    eligible = [(tuple(r[k] for k in keys), (r["n_train"], r["n_rows"] - r["n_train"]))
-                for r in sized.filter("eligible").collect()]
+    files = F.ceil(F.col("n_rows") / ROWS_PER_FILE)
+    (split.join(sized.select("__group", "n_rows"), "__group")
+     .withColumn("__file", F.pmod(F.xxhash64(order, label, *features), files)).drop("n_rows")
+     .repartition("__group", "__file").sortWithinPartitions("__group", "__file", order, label, *features).drop("__file")
+     .write.mode("overwrite").partitionBy("__group").parquet(table))
+    schema = T.StructType([f for f in split.schema.fields if f.name != "__group"])
 
     out_path = scratch_path(spark, "group-predictions")
     # a fit alternates driver work (planning, tree bookkeeping) with short tasks, so twice the
-    # cluster's task slots keeps the executors busy; capped, as each fit holds driver memory
+    # cluster's task slots keeps the executors busy
     try:
         slots = spark.sparkContext.defaultParallelism
     except Exception:  # Spark Connect
         slots = os.cpu_count() or 4
-    workers = parallelism or max(1, min(len(eligible), 2 * slots, 32))
-    task = inheritable_thread_target(spark)(
-        lambda item: _fit_one(spark, table, schema, keys, item[1][0], features, label, order, params,
-                              out_path, item[0], item[1][1]))
+    workers = parallelism or max(1, min(len(eligible), 2 * slots, MAX_FITS))
+
+    def fit(group) -> tuple:
+        try:
+            rows = spark.read.schema(schema).parquet(f"{table}/__group={group['__group']}")
+            counts = group["n_train"], group["n_rows"] - group["n_train"]
+            return *_fit_one(rows, keys, features, label, order, params, f"{out_path}/{group['__group']}", counts), None
+        except Exception as e:  # reported, not hidden: see the gate
+            return None, None, f"{type(e).__name__}: {e}"[:500]
+
     with ThreadPoolExecutor(max_workers=workers) as pool:
-        fitted = list(pool.map(task, list(enumerate(eligible))))
+        fitted = list(pool.map(inheritable_thread_target(spark)(fit), eligible))
 
     key_fields = [schema[k] for k in keys]
-    counts_schema = T.StructType(key_fields + [T.StructField("n_train", T.LongType()),
-                                               T.StructField("n_test", T.LongType())])
-    counts = small_frame(spark, [(*kv, ntr, nte) for kv, ntr, nte in fitted], counts_schema)
+    done_schema = T.StructType(key_fields + [T.StructField("n_train", T.LongType()), T.StructField("n_test", T.LongType()),
+                                             T.StructField("error", T.StringType())])
+    done = small_frame(spark, [(*[g[k] for k in keys], *f) for g, f in zip(eligible, fitted)], done_schema)
+    gate = sized.select(*keys, "n_rows", "eligible").join(done.select(*keys, "error"), keys, "left")
     pred_schema = T.StructType(key_fields + [schema[order], T.StructField("actual", T.DoubleType()),
                                              T.StructField("predicted", T.DoubleType())])
-    if any(nte and ntr for _, ntr, nte in fitted):
-        predictions = spark.read.schema(pred_schema).parquet(f"{out_path}/group*")
-    else:
-        predictions = small_frame(spark, [], pred_schema)
-    metrics = (counts.join(regression_metrics(predictions, keys).drop("n"), keys, "left")
+    folders = [f"{out_path}/{g['__group']}" for g, (n_train, n_test, error) in zip(eligible, fitted) if not error and n_train and n_test]
+    predictions = spark.read.schema(pred_schema).parquet(*folders) if folders else small_frame(spark, [], pred_schema)
+    metrics = (done.where("error is null").join(regression_metrics(predictions, keys).drop("n"), keys, "left")
                .select(*keys, "n_train", "n_test", "rmse", "r2"))
     return GroupForests(predictions=predictions, metrics=metrics, gate=gate)
 

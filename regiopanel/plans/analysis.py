@@ -21,9 +21,10 @@ from regiopanel.functions.locale import locale_number, year_int
 from regiopanel.functions.recode import REGION_MAP, recode
 from regiopanel.operators.model import ForestParams, GroupForests, fit_group_forests
 from regiopanel.operators.panel import build_panel, panel_features
-from regiopanel.operators.report import metric_summary, metrics_by_region, sort_frame, top_k_per_group
+from regiopanel.operators.report import metric_summary, metrics_by_region, scatter_bounds, sort_frame, top_k_per_group
 from regiopanel.operators.reshape import metric_matrix, unpivot_digit_columns
 from regiopanel.operators.schema import trim_names
+from regiopanel.session import clear_scratch
 from regiopanel.sources.delimited import export_csv
 
 # The pollutant labels modelled by default and the two feature column names.
@@ -41,6 +42,7 @@ class RegionalAnalysis:
     summary: DataFrame    # A6 per pollutant
     matrix: DataFrame     # R3 region x pollutant of r2
     top: DataFrame        # O2 best regions per pollutant
+    gate: DataFrame       # A5: every region with every listed label, also those without a row
 
 
 def traffic_long_from_wide(wide: DataFrame, region_col: str = "Bundesland", region_map=REGION_MAP,
@@ -71,17 +73,21 @@ def analyse_regions(traffic_wide: DataFrame, air_long: DataFrame, labels=LABELS,
     air = measures_from_text(air_long, "Jahr", "Werte", on_error)
     panel = build_panel(air, traffic, labels, region="Region", period="Jahr", category="Schadstoff",
                         value="Werte", traffic_value=TRAFFIC_FEATURE, exclude_regions=exclude_regions)
-    label_cols = [c.replace(".", "_") for c in labels]
+    label_cols = list(dict.fromkeys(c.replace(".", "_") for c in labels))
     features = panel_features(panel, label_cols, region="Region", period="Jahr",
                               traffic_value=TRAFFIC_FEATURE, impute_missing=impute_missing)
     forests = fit_group_forests(features, keys=("Region", "pollutant"), label="label",
                                 features=(TRAFFIC_FEATURE, YEAR_FEATURE), order="Jahr", params=params)
     metrics = forests.metrics.withColumnRenamed("Region", "region")
+    listed = panel.select("Region").distinct().withColumn("pollutant", F.explode(F.array(*map(F.lit, label_cols))))
+    gate = listed.join(forests.gate, ["Region", "pollutant"], "left").select(
+        F.col("Region").alias("region"), "pollutant", F.coalesce("n_rows", F.lit(0)).alias("n_rows"),
+        F.coalesce("eligible", F.lit(False)).alias("eligible"), "error")
     return RegionalAnalysis(
         panel=panel, features=features, forests=forests, metrics=metrics,
         summary=metric_summary(metrics, by="pollutant", group="region"),
         matrix=metric_matrix(metrics, "region", "pollutant", "r2", values=sorted(label_cols)),
-        top=top_k_per_group(metrics, "pollutant", "r2", k=top_k, tie="region"))
+        top=top_k_per_group(metrics, "pollutant", "r2", k=top_k, tie="region"), gate=gate)
 
 
 def export_reports(result: RegionalAnalysis, out_dir: str) -> dict[str, str]:
@@ -89,7 +95,9 @@ def export_reports(result: RegionalAnalysis, out_dir: str) -> dict[str, str]:
 
     ``metrics_by_region/region=<r>/`` holds each region's table (sorted by pollutant when read in
     ``position`` order), ``top_by_pollutant/pollutant=<p>/`` each pollutant's best regions;
-    the all-regions table, the per-pollutant summary and the R² matrix are single folders.
+    ``predictions/region=<r>/pollutant=<p>/`` a model's test rows with their predictions; the
+    all-regions table, the per-pollutant summary, the R² matrix, the scatter bounds per model and the
+    groups without a model (too few rows, or a failed fit) are single folders.
     Returns the folder of each report.
     """
     out = out_dir.rstrip("/")
@@ -99,6 +107,9 @@ def export_reports(result: RegionalAnalysis, out_dir: str) -> dict[str, str]:
         "summary": f"{out}/summary",
         "matrix": f"{out}/matrix",
         "top_by_pollutant": f"{out}/top_by_pollutant",
+        "predictions": f"{out}/predictions",
+        "scatter_bounds": f"{out}/scatter_bounds",
+        "skipped_groups": f"{out}/skipped_groups",
     }
     metrics = result.metrics.select("region", "pollutant", "rmse", "r2")
     export_csv(metrics_by_region(metrics), paths["metrics_by_region"], partition_by="region")
@@ -107,6 +118,11 @@ def export_reports(result: RegionalAnalysis, out_dir: str) -> dict[str, str]:
     export_csv(result.matrix, paths["matrix"])
     export_csv(result.top.select("pollutant", "rank", "region", "rmse", "r2"), paths["top_by_pollutant"],
                partition_by="pollutant")
+    predictions = result.forests.predictions.withColumnRenamed("Region", "region")
+    export_csv(predictions.repartition("region", "pollutant").sortWithinPartitions("region", "pollutant", "Jahr"),
+               paths["predictions"], partition_by=["region", "pollutant"])
+    export_csv(scatter_bounds(predictions, ["region", "pollutant"]), paths["scatter_bounds"])
+    export_csv(result.gate.where("not eligible or error is not null"), paths["skipped_groups"])
     return paths
 
 
@@ -131,18 +147,18 @@ def main(argv=None) -> int:
     ap.add_argument("--depth", type=int, default=ForestParams.max_depth)
     ap.add_argument("--exclude", nargs="*", default=[], help="regions to leave out, e.g. AT")
     args = ap.parse_args(argv)
-    active = SparkSession.getActiveSession()
-    if active is None:
+    spark = SparkSession.getActiveSession()
+    if spark is None:
         from regiopanel.session import local_session
 
-        active = local_session()
-    spark = active
+        spark = local_session()
     result = analyse_regions(read_delimited(spark, args.traffic_csv, sep=args.sep),
                              read_delimited(spark, args.pollutant_csv, sep=args.sep),
                              params=ForestParams(num_trees=args.trees, max_depth=args.depth),
                              exclude_regions=tuple(args.exclude))
     for name, path in export_reports(result, args.out_dir).items():
         print(f"{name}: {path}")
+    clear_scratch(spark)
     return 0
 
 

@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from regiopanel.operators.model import ForestParams
 from regiopanel.plans.analysis import analyse_regions, export_reports
 from regiopanel.sources import read_delimited
@@ -58,6 +60,26 @@ def test_analysis_end_to_end(spark, tmp_dir):
     assert regions == ["region=AT", "region=Niederoestereich", "region=Wien"]
     back = spark.read.option("header", "true").csv(paths["matrix"])
     assert back.columns == ["region", "NOX", "PM2_5"] and back.count() == 3
+    predictions = spark.read.option("header", "true").csv(paths["predictions"])
+    assert predictions.columns == ["Jahr", "actual", "predicted", "region", "pollutant"]
+    assert predictions.count() == sum(r["n_test"] for r in metrics)
+    bounds = spark.read.option("header", "true").csv(paths["scatter_bounds"])
+    assert bounds.count() == 6 and {"lo", "hi"} <= set(bounds.columns)
+    assert spark.read.option("header", "true").csv(paths["skipped_groups"]).count() == 0
+
+
+@pytest.mark.parametrize("spelling", ["PM2.5", "PM2_5"])
+def test_either_spelling_of_a_label_and_a_label_without_data(spark, tmp_dir, spelling):
+    traffic = ["Bundesland;" + ";".join(map(str, YEARS)), "Wien;" + ";".join(_german(1.0 + y) for y in YEARS)]
+    air = ["Region;Jahr;Schadstoff;Werte"] + [f"Wien;{y};{spelling};{_german(y % 9)}" for y in YEARS]
+    result = analyse_regions(read_delimited(spark, _write(tmp_dir, "t.csv", traffic)),
+                             read_delimited(spark, _write(tmp_dir, "a.csv", air)), labels=("PM2.5", "SO2"),
+                             params=ForestParams(num_trees=2, max_depth=2))
+    assert [r["pollutant"] for r in result.metrics.collect()] == ["PM2_5"]
+    gate = {r["pollutant"]: (r["n_rows"], r["eligible"], r["error"]) for r in result.gate.collect()}
+    assert gate == {"PM2_5": (len(YEARS), True, None), "SO2": (0, False, None)}
+    skipped = spark.read.option("header", "true").csv(export_reports(result, os.path.join(tmp_dir, "r"))["skipped_groups"])
+    assert [r["pollutant"] for r in skipped.collect()] == ["SO2"]
 
 
 def test_analysis_command_line(tmp_dir):

@@ -50,3 +50,48 @@ def test_jvm_model_path_equals_pipeline_path(spark):
     jvm = fit_group_forests(_frame(spark), params=ForestParams(**base))
     py = fit_group_forests(_frame(spark), params=ForestParams(**base, python_model=True))
     assert sorted(tuple(r) for r in jvm.predictions.collect()) == sorted(tuple(r) for r in py.predictions.collect())
+
+
+def test_any_key_value_and_a_whole_number_label(spark):
+    rows = [(r, "NOX", y, y % 7, float(y)) for r in ("", "a/b", "x=1", "null") for y in range(1990, 2015)]
+    df = spark.createDataFrame(rows, "region string, pollutant string, period int, label bigint, traffic double")
+    res = fit_group_forests(df.withColumn("year_feature", F.col("period").cast("double")), params=ForestParams(num_trees=2, max_depth=2))
+    assert {r["region"] for r in res.metrics.collect()} == {"", "a/b", "x=1", "null"}
+    assert dict(res.predictions.dtypes)["actual"] == "double" and res.predictions.count() > 0
+    assert {r["error"] for r in res.gate.collect()} == {None}
+
+
+def test_a_failed_group_is_reported_and_stops_no_other(spark, monkeypatch):
+    from regiopanel.operators import model
+
+    real = model._score
+
+    def score(forest, assembler, train, test, params):
+        if train.first()["region"] == "a":
+            raise ValueError("cannot be fitted")
+        return real(forest, assembler, train, test, params)
+
+    monkeypatch.setattr(model, "_score", score)
+    res = fit_group_forests(_frame(spark), params=ForestParams(num_trees=2, max_depth=2))
+    assert {r["region"] for r in res.metrics.collect()} == {"b"}
+    assert {r["region"]: r["error"] for r in res.gate.collect()} == {"a": "ValueError: cannot be fitted", "b": None, "c": None}
+
+
+def test_a_large_group_is_split_over_files(spark, monkeypatch):
+    from regiopanel.operators import model
+
+    plain = fit_group_forests(_frame(spark), params=ForestParams(num_trees=3, max_depth=3))
+    monkeypatch.setattr(model, "ROWS_PER_FILE", 7)
+    a, b = (fit_group_forests(_frame(spark), params=ForestParams(num_trees=3, max_depth=3)) for _ in range(2))
+    rows = lambda r: sorted(map(tuple, r.predictions.collect()))
+    assert rows(a) == rows(b)
+    assert [x[:4] for x in rows(a)] == [x[:4] for x in rows(plain)]
+
+
+def test_public_path_without_the_jvm_handle(spark, monkeypatch):
+    params = ForestParams(num_trees=2, max_depth=2)
+    expected = sorted(map(tuple, fit_group_forests(_frame(spark), params=params).predictions.collect()))
+    from regiopanel.operators import model
+
+    monkeypatch.setattr(model, "is_remote", lambda: True)
+    assert sorted(map(tuple, fit_group_forests(_frame(spark), params=params).predictions.collect())) == expected
