@@ -2,7 +2,7 @@
 
 from regiopanel.operators.aggregate import describe, distinct_values, exact_quantiles, mean_by, min_sample_gate
 from regiopanel.operators.evaluate import hash_split, regression_metrics, split_bucket
-from regiopanel.operators.joins import broadcast_if_small, intersect_values, keep_common, left_join_keys
+from regiopanel.operators.joins import intersect_values, keep_common, left_join_keys
 from regiopanel.operators.nulls import drop_incomplete, fill_nulls
 from regiopanel.operators.panel import build_panel, panel_features
 from regiopanel.operators.report import (
@@ -24,7 +24,7 @@ from regiopanel.operators.schema import (
 )
 
 __all__ = [
-    "broadcast_if_small", "build_panel", "describe", "digit_columns", "distinct_values", "drop_incomplete", "drop_unnamed",
+    "build_panel", "describe", "digit_columns", "distinct_values", "drop_incomplete", "drop_unnamed",
     "error_bars", "exact_quantiles", "fill_nulls", "hash_split", "intersect_values", "keep_common",
     "left_join_keys", "mean_by", "metric_matrix", "metric_summary", "metrics_by_region", "min_sample_gate",
     "panel_features", "pivot_categories", "preview", "profile_shape", "regression_metrics", "safe_names", "scatter_bounds",

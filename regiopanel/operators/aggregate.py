@@ -69,7 +69,8 @@ def multi_quantiles(df: DataFrame, columns, probs, accuracy: int = 10_000, max_b
     """
     columns = list(columns)
     probs = list(probs)
-    cols = {name: F.col(f"`{name}`").cast("double") for name in columns}
+    doubles = {name: F.col(f"`{name}`").cast("double") for name in columns}
+    cols = {name: F.when(~F.isnan(c), c) for name, c in doubles.items()}  # NaN is no value, like null
     margin = 3.0 / accuracy
     bracket_probs = [x for q in probs for x in (max(0.0, q - margin), min(1.0, q + margin))]
     first_aggs = []
@@ -177,6 +178,7 @@ def describe(df: DataFrame, columns, probs=(0.25, 0.5, 0.75)) -> DataFrame:
     """Count, mean, sample std, min, interpolated quartiles and max per numeric column.
 
     Returns one row per described column: ``column, count, mean, std, min, p25, p50, p75, max``.
+    NaN is skipped like null. The input is read by several passes (four or more), so materialise a costly one first.
     All columns share the passes of :func:`multi_quantiles` (moments ride in its first pass), so
     describing twelve variables costs about as many scans as describing one.
     """

@@ -1,38 +1,14 @@
-"""Joins and set operations (J1, J2, U1, SC4, P10) and a size-checked broadcast."""
+"""Joins and set operations (J1, J2, U1, SC4, P10).
+
+No join carries a broadcast hint: the optimizer broadcasts a side whose files are under
+``autoBroadcastJoinThreshold``, and adaptive execution one whose measured shuffle output is.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest dimension side, in rows, that we broadcast on our own initiative.
-BROADCAST_MAX_ROWS = 100_000
-
-
-_SIZE_PROOFS: dict[tuple, int] = {}
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast only after proving it has at most ``max_rows`` rows.
-
-    The proof is ``limit(max_rows + 1).count()``: a bounded job that stops reading once the bound
-    is passed. Beyond the bound the frame is returned unmarked and the join stays a shuffle join
-    (AQE may still convert it at run time from the real shuffle size). A proof is remembered per
-    application, plan and input file list, so a dimension read by many queries is counted once.
-    """
-    try:
-        key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(),
-               tuple(sorted(df.inputFiles())), max_rows)
-    except Exception:  # plans without files or a semantic hash: no memo
-        key = None
-    n = _SIZE_PROOFS.get(key) if key is not None else None
-    if n is None:
-        n = df.limit(max_rows + 1).count()
-        if key is not None:
-            _SIZE_PROOFS[key] = n
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def left_join_keys(left: DataFrame, right: DataFrame, left_keys, right_keys=None,
                    how: str = "left") -> DataFrame:
     """J1 + SC4: equi-join on a composite key; the right key columns are renamed to the left

@@ -8,6 +8,8 @@ one partial aggregation + shuffle for the pivot, one for the traffic mean, one j
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,8 @@ def build_panel(measure: DataFrame, traffic: DataFrame, labels, region: str = "r
       traffic regions); ``exclude_regions`` drops e.g. the national row (T13);
     - measurement values are averaged per (region, period, label) and pivoted with the explicit
       ``labels`` list (A2 + R2), so absent labels still get a (null) column and no discovery job
-      runs; ``safe`` rewrites characters in the label column names (SC2, T16);
+      runs; ``safe`` rewrites characters in the label column names (SC2, T16) and in the categories
+      alike, so a category is found in either spelling (``PM2.5`` and ``PM2_5``);
     - traffic is averaged per (region, period) (A1) and left-joined (J1): periods without traffic
       keep their row with a null traffic.
     """
@@ -38,10 +41,15 @@ def build_panel(measure: DataFrame, traffic: DataFrame, labels, region: str = "r
     if exclude_regions:
         m = m.filter(~F.col(region).isin(*exclude_regions))
         t = t.filter(~F.col(region).isin(*exclude_regions))
-    if common_only:
-        m = keep_common(m, t, region)
-    pivot = pivot_categories(m, [region, period], category, value, values=list(labels), agg="avg", safe=safe)
+    labels = list(labels)
+    if safe:
+        m = m.withColumn(category, F.regexp_replace(F.trim(F.col(category)), safe, "_"))
+        labels = list(dict.fromkeys(re.sub(safe, "_", name) for name in labels))
+    # Both sides are aggregated before they meet: a row per region and period, however many measurements there are.
+    pivot = pivot_categories(m, [region, period], category, value, values=labels, agg="avg")
     tmean = mean_by(t, [region, period], traffic_value, traffic_value)
+    if common_only:
+        pivot = keep_common(pivot, tmean, region)
     return left_join_keys(pivot, tmean, [region, period])
 
 

@@ -29,7 +29,7 @@ def safe_names(df: DataFrame, pattern: str = r"\.", repl: str = "_") -> DataFram
 
 
 def digit_columns(df: DataFrame) -> list[str]:
-    """SC3: columns whose (trimmed) name is all digits, ordered as integers; error when none."""
+    """SC3: columns whose name is all digits (see :func:`trim_names` for padded ones), ordered as integers; error when none."""
     cols = [c for c in df.columns if c.isdigit()]
     if not cols:
         raise ValueError("no digit-named (year/period) columns found")

@@ -25,7 +25,7 @@ from regiopanel.functions.locale import (
 from regiopanel.functions.recode import mapping_frame, recode, recode_join
 from regiopanel.operators.aggregate import describe, distinct_values, mean_by, min_sample_gate
 from regiopanel.operators.evaluate import hash_split, regression_metrics
-from regiopanel.operators.joins import broadcast_if_small, intersect_values, keep_common
+from regiopanel.operators.joins import intersect_values, keep_common
 from regiopanel.operators.model import ForestParams, fit_group_forests
 from regiopanel.operators.nulls import drop_incomplete, fill_nulls
 from regiopanel.operators.panel import build_panel
@@ -52,7 +52,7 @@ from regiopanel.sources.delimited import (
 )
 from regiopanel.sources.payload import payload_rows, payload_schema, read_payloads
 from regiopanel.sources.typed_json import read_document_dump
-from regiopanel.session import scratch_path
+from regiopanel.session import materialize, scratch_path
 from regiopanel.streaming.landing import land_payloads
 
 # The recode map applied to region names in the recode checks (3 of the 5 names).
@@ -61,6 +61,9 @@ REGION_CODES = {"EUROPE": "EU", "AMERICA": "AM", "ASIA": "AS"}
 # Characters replaced when a category value becomes a column name.
 NAME_UNSAFE = r"[^0-9A-Za-z_]"
 
+# Return flag and line status of the test data, used as pollutants of the scored frame.
+POLLUTANTS = ("A-F", "A-O", "N-F", "N-O", "R-F", "R-O")
+
 # Rows per payload document when events are packed into column arrays.
 PAYLOAD_CHUNK = 512
 
@@ -83,11 +86,15 @@ def io_delimited_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def io_locale_typed_load(spark: SparkSession, sf: str) -> DataFrame:
-    """IO2: part with German-formatted prices; the load types each column from the data."""
+    """IO2: part with German-formatted prices, codes such as ``12D`` (text) and truth values; the load types
+    each column from the data."""
     part = table(spark, sf, "part")
     price = frames.german_number(F.col("p_retailprice"))
+    suffix = F.when(F.col("p_partkey") % 3 == 0, F.lit("D")).when(F.col("p_partkey") % 3 == 1, F.lit("F")).otherwise(F.lit(""))
     text = part.select(
         F.col("p_partkey").cast("string").alias("p_partkey"), "p_name", "p_brand",
+        F.concat(F.col("p_partkey").cast("string"), suffix).alias("p_code"),
+        F.when(F.col("p_size") > 25, F.lit("True")).otherwise(F.lit("False")).alias("p_large"),
         F.col("p_size").cast("string").alias("p_size"),
         F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" "), price, F.lit(" "))).otherwise(price)
         .alias("p_retailprice"))
@@ -97,19 +104,23 @@ def io_locale_typed_load(spark: SparkSession, sf: str) -> DataFrame:
     return typed.withColumn("p_retailprice", round_to(F.col("p_retailprice"), 2))
 
 
-def _event_payloads(spark: SparkSession, sf: str) -> str:
-    """Pack events into column-array documents, one per (day, block of event ids), as JSON lines."""
+def _event_payloads(spark: SparkSession, sf: str, ragged: bool = False) -> str:
+    """Pack events into column-array documents, one per (day, block of event ids), as JSON lines. ``ragged``: every
+    other block has another list of variables."""
     events = table(spark, sf, "events")
     packed = (events.groupBy(F.to_date("ts").alias("day"),
                              F.floor(F.col("event_id") / F.lit(PAYLOAD_CHUNK)).alias("block"))
               .agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "user_id", "event_type", "value")))
                    .alias("rows")))
+    even = F.col("block") % 2 == 0
+    value = F.when(even, F.col("rows.value")) if ragged else F.col("rows.value")
+    kind = F.when(~even, F.col("rows.event_type")) if ragged else F.col("rows.event_type")
     doc = F.struct(
         F.col("day").cast("string").alias("day"), F.col("block").alias("block"),
         F.struct(F.transform("rows.ts", lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
                  .alias("time"),
                  F.col("rows.event_id").alias("event_id"), F.col("rows.user_id").alias("user_id"),
-                 F.col("rows.event_type").alias("event_type"), F.col("rows.value").alias("value"))
+                 kind.alias("event_type"), value.alias("value"))
         .alias("hourly"))
     path = scratch_path(spark, "event-payloads")
     packed.select(F.to_json(doc).alias("value")).write.mode("overwrite").text(path)
@@ -117,8 +128,8 @@ def _event_payloads(spark: SparkSession, sf: str) -> str:
 
 
 def io_payload_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """IO3 + R4 + P11: column-array payloads back to one row per event."""
-    path = _event_payloads(spark, sf)
+    """IO3 + R4 + P11: column-array payloads with two variable lists back to one row per event."""
+    path = _event_payloads(spark, sf, ragged=True)
     schema = payload_schema({"event_id": "bigint", "user_id": "bigint", "event_type": "string",
                              "value": "double"}, keys={"day": "string", "block": "bigint"})
     rows = payload_rows(read_payloads(spark, path, schema), order_by_time=True)
@@ -132,21 +143,42 @@ def stream_payload_landing(spark: SparkSession, sf: str) -> DataFrame:
     collection = scratch_path(spark, "landed-events")
     schema = payload_schema({"event_id": "bigint", "user_id": "bigint", "event_type": "string",
                              "value": "double"}, keys={"day": "string", "block": "bigint"})
-    land_payloads(spark, landing, schema, collection, keep=None).awaitTermination()
+    land_payloads(spark, landing, schema, collection, scratch_path(spark, "landing-stream"), keep=None).awaitTermination()
     return collection_scan(spark, collection).select("event_id", "time", "user_id", "event_type", "value")
 
 
 def io_collection_append(spark: SparkSession, sf: str) -> DataFrame:
-    """IO4 + A9: nation appended twice; every key twice, two ids per key, rows counted on write."""
-    path = scratch_path(spark, "collection-nation")
-    nation = table(spark, sf, "nation")
-    inserted = append_to_collection(nation, path) + append_to_collection(nation, path)
+    """IO4 + A9: orders appended twice; every key twice, two ids per key, rows counted on write."""
+    path = scratch_path(spark, "collection-orders")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    inserted = append_to_collection(orders, path) + append_to_collection(orders, path)
     stored = collection_scan(spark, path)
-    return (stored.groupBy("n_nationkey")
+    return (stored.groupBy("o_orderkey")
             .agg(F.count(F.lit(1)).alias("n_copies"), F.countDistinct("_id").alias("n_ids"))
             .withColumn("inserted", F.lit(inserted).cast("bigint")))
 
 
+def io_collection_widening(spark: SparkSession, sf: str) -> DataFrame:
+    """IO4 + IO5 + IO7: orders appended once with whole and once with fractional prices, and with another column; the
+    collection reads as one table with the wider type."""
+    path = scratch_path(spark, "collection-widening")
+    orders = table(spark, sf, "orders")
+    append_to_collection(orders.select("o_orderkey", F.floor("o_totalprice").cast("bigint").alias("price"), "o_orderstatus"), path)
+    append_to_collection(orders.select("o_orderkey", F.col("o_totalprice").alias("price"), "o_orderpriority"), path)
+    return collection_scan(spark, path, projection={
+        "o_orderkey": 1, "price": 1, "o_orderstatus": 1, "o_orderpriority": 1, "_id": 0})
+
+
+def io_collection_find(spark: SparkSession, sf: str) -> DataFrame:
+    """IO5 query semantics over documents with and without labels: inequality keeps documents lacking the field, null
+    equals a missing field."""
+    path = scratch_path(spark, "collection-labels")
+    append_to_collection(_documents_labels(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id"), path)
+    return collection_scan(spark, path, query={
+        "toxic": {"$ne": 1}, "$or": [{"quality": None}, {"lang": {"$in": ["de", "fr"]}}, {"no_such_field": 3}],
+        "doc_id": {"$exists": True, "$not": {"$lt": 10}}}, projection={"doc_id": 1, "quality": 1, "toxic": 1, "lang": 1, "_id": 0})
+
+
 def io_collection_scan(spark: SparkSession, sf: str) -> DataFrame:
     """IO5 + O3: filter, projection and ordered limit pushed into the Parquet scan of customer."""
     return collection_scan(
@@ -166,18 +198,30 @@ def io_collection_partitioned_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def io_ragged_union(spark: SparkSession, sf: str) -> DataFrame:
-    """IO7: region and nation rows in one table; missing keys are null."""
-    return ragged_union([table(spark, sf, "region"), table(spark, sf, "nation")])
+    """IO7: customers and orders in one table; missing keys are null."""
+    return ragged_union([table(spark, sf, "customer"), table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey")])
 
 
 def io_decimal_comma_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """IO8 + P12 + P1: supplier written with decimal commas, read back and parsed."""
-    path = scratch_path(spark, "supplier-decimal")
-    save_decimal_csv(table(spark, sf, "supplier"), path, sep=";", decimal=",")
+    """IO8 + P12 + P1: line prices, also very large and very small, written with decimal commas, read back and parsed.
+    Every double comes back as it was."""
+    path = scratch_path(spark, "lineitem-decimal")
+    price = F.col("l_extendedprice")
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", price, (price * F.lit(1e9)).alias("large"),
+                                                (price * F.lit(1e-40)).alias("small"))
+    save_decimal_csv(lines, path, sep=";", decimal=",")
     back = read_delimited(spark, path, sep=";")
-    return back.select(F.col("s_suppkey").cast("bigint").alias("s_suppkey"), "s_name",
-                       F.col("s_nationkey").cast("int").alias("s_nationkey"),
-                       round_to(locale_number(F.col("s_acctbal")), 2).alias("s_acctbal"))
+    return back.select(F.col("l_orderkey").cast("bigint").alias("l_orderkey"), F.col("l_linenumber").cast("int").alias("l_linenumber"),
+                       *[locale_number(F.col(c)).alias(c) for c in ("l_extendedprice", "large", "small")])
+
+
+def io_text_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """IO8 with text: every document, padded, with quotes, separators and line breaks, written and read back as it was."""
+    path = scratch_path(spark, "documents-csv")
+    text = F.concat(F.lit("  "), F.col("text"), F.lit(' "said"; "'), F.col("lang"), F.lit('"  '))
+    save_decimal_csv(table(spark, sf, "documents").select("doc_id", text.alias("text"), "source"), path, sep=";")
+    back = read_delimited(spark, path, sep=";", multi_line=True)
+    return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "source")
 
 
 def io_result_export(spark: SparkSession, sf: str) -> DataFrame:
@@ -408,7 +452,7 @@ def panel_features(spark: SparkSession, sf: str) -> DataFrame:
 
 def join_common_regions_semi(spark: SparkSession, sf: str) -> DataFrame:
     """Customers whose nation also has suppliers."""
-    nation = broadcast_if_small(table(spark, sf, "nation").select("n_nationkey", "n_name"))
+    nation = table(spark, sf, "nation").select("n_nationkey", "n_name")
     cust = (table(spark, sf, "customer").join(nation, F.col("c_nationkey") == nation.n_nationkey)
             .select("c_custkey", F.col("n_name").alias("nation")))
     supp = (table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == nation.n_nationkey)
@@ -418,7 +462,7 @@ def join_common_regions_semi(spark: SparkSession, sf: str) -> DataFrame:
 
 def set_intersect_regions(spark: SparkSession, sf: str) -> DataFrame:
     """U1 + O4: sorted nations present on both sides."""
-    nation = broadcast_if_small(table(spark, sf, "nation").select("n_nationkey", "n_name"))
+    nation = table(spark, sf, "nation").select("n_nationkey", "n_name")
     cust = table(spark, sf, "customer").join(nation, F.col("c_nationkey") == nation.n_nationkey)
     supp = table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == nation.n_nationkey)
     return intersect_values(cust.select(F.col("n_name").alias("nation")),
@@ -427,9 +471,7 @@ def set_intersect_regions(spark: SparkSession, sf: str) -> DataFrame:
 
 def agg_mean_traffic(spark: SparkSession, sf: str) -> DataFrame:
     """A1: mean line price per supplier region and ship year (star join, partial aggregation)."""
-    li = table(spark, sf, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice")
-    dim = frames.supplier_regions(spark, sf)
-    out = mean_by(li.join(dim, li.l_suppkey == dim.s_suppkey)
+    out = mean_by(frames.lines_with_regions(spark, sf, "l_shipdate", "l_extendedprice")
                   .select(F.col("r_name").alias("region"), F.year("l_shipdate").cast("bigint").alias("year"),
                           "l_extendedprice"),
                   ["region", "year"], "l_extendedprice", "traffic_avg")
@@ -469,13 +511,33 @@ def _forests(spark: SparkSession, sf: str):
 
 
 def ml_group_forest(spark: SparkSession, sf: str) -> DataFrame:
-    """M3-M5 (+M6, M7): one forest per (region, pollutant); the per-group metric table."""
-    return _forests(spark, sf).metrics
+    """M3-M5 (+M6, M7): one forest per (region, pollutant). Split sizes of every model, and whether its metrics are
+    those of its predictions (``rmse`` and ``r2`` by their formulas, written out here)."""
+    forests = _forests(spark, sf)
+    error = F.col("actual") - F.col("predicted")
+    by_hand = forests.predictions.groupBy("region", "pollutant").agg(
+        F.sum(error * error).alias("sse"), F.count("*").alias("n"),
+        (F.sum(F.col("actual") * F.col("actual")) - F.sum("actual") * F.avg("actual")).alias("sst"))
+    near = lambda a, b: F.abs(a - b) <= F.lit(1e-6) * (1 + F.abs(b))
+    rmse, r2 = F.sqrt(F.col("sse") / F.col("n")), 1 - F.try_divide("sse", "sst")
+    same = near(F.col("rmse"), rmse) & (near(F.col("r2"), r2) | (F.col("n") < 2))
+    return forests.metrics.join(by_hand, ["region", "pollutant"], "left").select(
+        "region", "pollutant", "n_train", "n_test", ((F.col("n_test") == F.coalesce("n", F.lit(0))) &
+                                                     (F.coalesce(same, F.lit(False)) | (F.col("n_test") == 0))).alias("metrics_hold"))
 
 
 def ml_predictions_long(spark: SparkSession, sf: str) -> DataFrame:
-    """The test predictions of every group's forest in one long frame."""
-    return _forests(spark, sf).predictions
+    """The test predictions of every group's forest in one long frame: each test row with its label, and whether the
+    prediction lies within the labels its forest was trained on, as averages of labels must."""
+    features = materialize(panel_features_frame(spark, sf), "forest-features")
+    forests = fit_group_forests(features, keys=("region", "pollutant"), label="label", features=("traffic", "year_feature"),
+                                order="period", params=ForestParams())
+    train = hash_split(features, ["region", "pollutant", "period"], ForestParams().train_share).where("is_train")
+    bounds = train.groupBy("region", "pollutant").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    slack = F.lit(1e-9) * F.col("hi")
+    return forests.predictions.join(bounds, ["region", "pollutant"]).select(
+        "region", "pollutant", "period", round_to(F.col("actual"), 4).alias("actual"),
+        F.col("predicted").between(F.col("lo") - slack, F.col("hi") + slack).alias("within_labels"))
 
 
 def _metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -521,7 +583,7 @@ def report_error_bars(spark: SparkSession, sf: str) -> DataFrame:
 
 def report_metric_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """Region x pollutant matrix of R²."""
-    matrix = metric_matrix(_metrics(spark, sf), "region", "pollutant", "r2")
+    matrix = metric_matrix(_metrics(spark, sf), "region", "pollutant", "r2", values=POLLUTANTS)
     return _round_cols(matrix, {c: 4 for c in matrix.columns if c != "region"})
 
 
@@ -539,7 +601,9 @@ def topk_per_group(spark: SparkSession, sf: str) -> DataFrame:
 
 def profile_describe(spark: SparkSession, sf: str) -> DataFrame:
     """Count, mean, std, min, quartiles and max of the numeric event variables (shared passes)."""
-    d = describe(table(spark, sf, "events"), ["value", "user_id"]).withColumnRenamed("column", "variable")
+    events = table(spark, sf, "events").withColumn(  # NaN is no value
+        "gaps", F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value")))
+    d = describe(events, ["value", "user_id", "gaps"]).withColumnRenamed("column", "variable")
     return _round_cols(d, {c: 4 for c in ("mean", "std", "min", "p25", "p50", "p75", "max")})
 
 
@@ -557,6 +621,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_payload_landing": stream_payload_landing,
     "io_collection_scan": io_collection_scan,
     "io_collection_partitioned_scan": io_collection_partitioned_scan,
+    "io_collection_widening": io_collection_widening,
+    "io_collection_find": io_collection_find,
+    "io_text_roundtrip": io_text_roundtrip,
     "io_ragged_union": io_ragged_union,
     "io_decimal_comma_roundtrip": io_decimal_comma_roundtrip,
     "io_result_export": io_result_export,

@@ -12,30 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regiopanel.operators.joins import broadcast_if_small
 from regiopanel.session import materialize
 
 # The order priorities of the test data, used as the category (label) list.
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 
-_SCHEMAS: dict[tuple, object] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table. Its schema is inferred once per application and path and then given to the
-    reader, as Spark otherwise runs a footer-reading job for every ``read.parquet``."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    try:
-        key = (spark.sparkContext.applicationId, path)
-    except Exception:  # Spark Connect: no context handle, no memo
-        return spark.read.parquet(path)
-    schema = _SCHEMAS.get(key)
-    if schema is None:
-        df = spark.read.parquet(path)
-        _SCHEMAS[key] = df.schema
-        return df
-    return spark.read.schema(schema).parquet(path)
+    """A test table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def period_of(ts: Column) -> Column:
@@ -52,45 +37,41 @@ def round_to(c: Column, digits: int) -> Column:
     return F.round(c * F.lit(scale)) / F.lit(scale)
 
 
-# Largest key -> region dimension (customer or supplier rows) broadcast to every task. A proven
-# bound of 1M rows keeps the hashed relation around 50 MB; beyond it the fact table is joined
-# by a shuffle join (AQE splits a hot key's partition).
-DIMENSION_MAX_ROWS = 1_000_000
-
+# The fact tables meet their dimensions one after another (a left-deep star): each dimension is a
+# scan whose size the optimizer knows, so it is broadcast under ``autoBroadcastJoinThreshold`` and
+# joined by a shuffle beyond it, where AQE splits a hot key's partition.
 
-def nation_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """nation x region (dimension rows, size-checked before it is broadcast)."""
+def with_region(df: DataFrame, spark: SparkSession, sf_dir: str, nation_key: str) -> DataFrame:
+    """``df`` with ``n_name`` and ``r_name`` of its nation key."""
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    dim = nation.join(region, nation.n_regionkey == region.r_regionkey)
-    return broadcast_if_small(dim.select("n_nationkey", "n_name", "r_name"))
-
-
-def supplier_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(s_suppkey, n_name, r_name): the supplier dimension, broadcast when proven small."""
-    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    dim = nation_region(spark, sf_dir)
-    joined = supplier.join(dim, supplier.s_nationkey == dim.n_nationkey).select("s_suppkey", "n_name", "r_name")
-    return broadcast_if_small(joined, DIMENSION_MAX_ROWS)
+    return (df.join(nation, F.col(nation_key) == nation.n_nationkey)
+            .join(region, nation.n_regionkey == region.r_regionkey))
 
 
 def customer_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(c_custkey, n_name, r_name): the customer dimension, broadcast when proven small."""
+    """(c_custkey, n_name, r_name): customers with their nation and region."""
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    dim = nation_region(spark, sf_dir)
-    joined = customer.join(dim, customer.c_nationkey == dim.n_nationkey).select("c_custkey", "n_name", "r_name")
-    return broadcast_if_small(joined, DIMENSION_MAX_ROWS)
+    return with_region(customer, spark, sf_dir, "c_nationkey").select("c_custkey", "n_name", "r_name")
+
+
+def lines_with_regions(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """lineitem columns with ``n_name`` and ``r_name`` of the line's supplier."""
+    lineitem = table(spark, sf_dir, "lineitem").select("l_suppkey", *columns)
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    lines = lineitem.join(supplier, lineitem.l_suppkey == supplier.s_suppkey)
+    return with_region(lines, spark, sf_dir, "s_nationkey").select(*columns, "n_name", "r_name")
 
 
 def measure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """orders x customer x nation x region -> (region, period, category, value).
 
-    A star join: orders meet the (customer -> region) dimension, broadcast when its size is
-    proven small, so orders are not shuffled; otherwise a shuffle join on the customer key.
+    A star join: orders are not shuffled where customer is small enough to be broadcast.
     """
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice")
-    dim = customer_regions(spark, sf_dir)
-    return (orders.join(dim, orders.o_custkey == dim.c_custkey)
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    joined = orders.join(customer, orders.o_custkey == customer.c_custkey)
+    return (with_region(joined, spark, sf_dir, "c_nationkey")
             .select(F.col("r_name").alias("region"), period_of(F.col("o_orderdate")).alias("period"),
                     F.col("o_orderpriority").alias("category"), F.col("o_totalprice").alias("value")))
 
@@ -98,14 +79,12 @@ def measure(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exposure_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum of ``l_extendedprice`` per supplier region and ship month.
 
-    lineitem meets the (supplier -> region) dimension, broadcast when proven small, and is summed
+    lineitem meets its small dimensions and is summed
     per (region, month) with map-side partial aggregation: the only shuffle then carries at most
     regions x months rows per task. (Summing per supplier first would not shrink the data, as a
     supplier's lines are spread over all files, and would force a shuffle of lineitem.)
     """
-    lineitem = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_extendedprice")
-    dim = supplier_regions(spark, sf_dir)
-    return (lineitem.join(dim, lineitem.l_suppkey == dim.s_suppkey)
+    return (lines_with_regions(spark, sf_dir, "l_shipdate", "l_extendedprice")
             .groupBy(F.col("r_name").alias("region"), period_of(F.col("l_shipdate")).alias("period"))
             .agg(F.sum("l_extendedprice").alias("exposure")))
 
@@ -141,10 +120,7 @@ def exposure_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem x supplier x nation -> (region, pollutant, period, actual, predicted): a fixed
     prediction frame so the metric and report operators are checked without a model."""
-    lineitem = table(spark, sf_dir, "lineitem").select(
-        "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus")
-    dim = supplier_regions(spark, sf_dir)
-    return (lineitem.join(dim, lineitem.l_suppkey == dim.s_suppkey)
+    return (lines_with_regions(spark, sf_dir, "l_shipdate", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus")
             .select(F.col("n_name").alias("region"),
                     F.concat_ws("-", "l_returnflag", "l_linestatus").alias("pollutant"),
                     period_of(F.col("l_shipdate")).alias("period"),

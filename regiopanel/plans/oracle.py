@@ -83,6 +83,11 @@ PANEL_LONG = f"""panel_long AS (
   FROM (SELECT region, period, category, avg(value) AS label FROM measure GROUP BY 1, 2, 3) c
   LEFT JOIN traffic t ON c.region = t.region AND c.period = t.period)"""
 
+SPLIT = """split AS (
+  SELECT *, ('0x' || substr(md5(region || '|' || pollutant || '|' || CAST(period AS VARCHAR)), 1, 8))::BIGINT
+              % 100 < 80 AS is_train
+  FROM panel_long)"""
+
 SUMMARY = f"""summary AS (
   SELECT pollutant,
          avg(CASE WHEN isnan(r2) THEN NULL ELSE r2 END) AS r2_mean,
@@ -108,26 +113,39 @@ ORACLE: dict[str, str] = {
         SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey
         FROM supplier""",
     "io_locale_typed_load": f"""
-        SELECT p_partkey, p_name, p_brand, CAST(p_size AS BIGINT) AS p_size,
+        SELECT p_partkey, p_name, p_brand, CAST(p_partkey AS VARCHAR) ||
+                 CASE p_partkey % 3 WHEN 0 THEN 'D' WHEN 1 THEN 'F' ELSE '' END AS p_code, p_size > 25 AS p_large,
+               CAST(p_size AS BIGINT) AS p_size,
                {r('p_retailprice', 2)} AS p_retailprice
         FROM part""",
     "io_payload_rows": """
-        SELECT event_id, ts AS time, user_id, event_type, value FROM events""",
+        SELECT event_id, ts AS time, user_id, CASE WHEN floor(event_id / 512)::BIGINT % 2 = 0 THEN NULL ELSE event_type END AS event_type,
+               CASE WHEN floor(event_id / 512)::BIGINT % 2 = 0 THEN value END AS value FROM events""",
     "stream_payload_landing": """
         SELECT event_id, ts AS time, user_id, event_type, value FROM events""",
     "io_collection_append": """
-        SELECT n_nationkey, CAST(2 AS BIGINT) AS n_copies, CAST(2 AS BIGINT) AS n_ids,
-               CAST(2 * (SELECT count(*) FROM nation) AS BIGINT) AS inserted
-        FROM nation""",
+        SELECT o_orderkey, CAST(2 AS BIGINT) AS n_copies, CAST(2 AS BIGINT) AS n_ids,
+               CAST(2 * (SELECT count(*) FROM orders) AS BIGINT) AS inserted
+        FROM orders""",
+    "io_collection_widening": """
+        SELECT o_orderkey, CAST(floor(o_totalprice) AS DOUBLE) AS price, o_orderstatus, NULL AS o_orderpriority FROM orders
+        UNION ALL
+        SELECT o_orderkey, o_totalprice, NULL, o_orderpriority FROM orders""",
+    "io_collection_find": """
+        SELECT d.doc_id, l.quality, l.toxic, d.lang FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+        WHERE (l.toxic IS NULL OR l.toxic <> 1) AND (l.quality IS NULL OR d.lang IN ('de', 'fr')) AND d.doc_id >= 10""",
+    "io_text_roundtrip": """
+        SELECT doc_id, '  ' || text || ' "said"; "' || lang || '"  ' AS text, source FROM documents""",
     "io_collection_scan": """
         SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING'
         ORDER BY c_acctbal DESC, c_custkey LIMIT 100""",
     "io_collection_partitioned_scan": """
         SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_mktsegment = 'AUTOMOBILE'""",
     "io_ragged_union": """
-        SELECT * FROM region UNION ALL BY NAME SELECT * FROM nation""",
-    "io_decimal_comma_roundtrip": f"""
-        SELECT s_suppkey, s_name, s_nationkey, {r('s_acctbal', 2)} AS s_acctbal FROM supplier""",
+        SELECT * FROM customer UNION ALL BY NAME SELECT * RENAME (o_custkey AS c_custkey) FROM orders""",
+    "io_decimal_comma_roundtrip": """
+        SELECT l_orderkey, l_linenumber, l_extendedprice, l_extendedprice * CAST('1e9' AS DOUBLE) AS large,
+               l_extendedprice * CAST('1e-40' AS DOUBLE) AS small FROM lineitem""",
     "io_result_export": f"""
         WITH {SCORED}, {METRICS}, {SUMMARY}
         SELECT pollutant, {SUMMARY_COLS}, n_regions FROM summary""",
@@ -239,6 +257,17 @@ ORACLE: dict[str, str] = {
                ('0x' || substr(md5(region || '|' || pollutant || '|' || CAST(period AS VARCHAR)), 1, 8))::BIGINT
                  % 100 < 80 AS is_train
         FROM panel_long""",
+    "ml_group_forest": f"""
+        WITH {MEASURE}, {EXPOSURE_LONG}, {TRAFFIC}, {PANEL_LONG}, {SPLIT}
+        SELECT region, pollutant, count(*) FILTER (WHERE is_train) AS n_train,
+               count(*) FILTER (WHERE NOT is_train) AS n_test, true AS metrics_hold
+        FROM split GROUP BY region, pollutant HAVING count(*) >= 10""",
+    "ml_predictions_long": f"""
+        WITH {MEASURE}, {EXPOSURE_LONG}, {TRAFFIC}, {PANEL_LONG}, {SPLIT},
+        fitted AS (SELECT region, pollutant FROM split GROUP BY region, pollutant
+                   HAVING count(*) >= 10 AND count(*) FILTER (WHERE is_train) > 0)
+        SELECT s.region, s.pollutant, s.period, {r('s.label', 4)} AS actual, true AS within_labels
+        FROM split s JOIN fitted f ON s.region = f.region AND s.pollutant = f.pollutant WHERE NOT s.is_train""",
     "ml_eval_metrics": f"""
         WITH {SCORED}, {METRICS}
         SELECT region, pollutant, n, {r('rmse', 4)} AS rmse, {r('r2', 4)} AS r2 FROM metrics""",
@@ -287,5 +316,7 @@ ORACLE: dict[str, str] = {
                {r(f'stddev_samp({v})', 4)} AS std, {r(f'min({v})', 4)} AS min,
                {r(f'quantile_cont({v}, 0.25)', 4)} AS p25, {r(f'quantile_cont({v}, 0.5)', 4)} AS p50,
                {r(f'quantile_cont({v}, 0.75)', 4)} AS p75, {r(f'max({v})', 4)} AS max
-        FROM events""" for v in ("value", "user_id")),
+        FROM {source}""" for v, source in (
+            ("value", "events"), ("user_id", "events"),
+            ("gaps", "(SELECT CASE WHEN event_id % 7 <> 0 THEN value END AS gaps FROM events)"))),
 }

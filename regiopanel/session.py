@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -31,11 +34,12 @@ def checkpoint_root(spark: SparkSession) -> str:
             return sc.getCheckpointDir() or configured
     if configured:
         return configured
-    master = spark.conf.get("spark.master", "local")
-    if not master.startswith("local"):
+    master = spark.conf.get("spark.master", None)
+    if master is None or not re.match(r"local(\[|$)", master):  # unknown (Spark Connect) is not local
         raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a shared folder "
                            "(a machine-local temporary folder is not visible to the executors)")
     local = tempfile.mkdtemp(prefix="regiopanel-ckpt-", dir="/tmp")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     if sc is not None:
         sc.setCheckpointDir(local)
         return sc.getCheckpointDir() or local
@@ -44,9 +48,27 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path under the checkpoint root for an intermediate written table."""
-    root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/regiopanel-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique path under the checkpoint root for an intermediate written table.
+
+    Frames are lazy, so a table must outlive the call that wrote it; :func:`clear_scratch` removes all of
+    this application's when its results have been taken.
+    """
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # Spark Connect
+        app = spark.conf.get("spark.app.id", "connect")
+    return f"{checkpoint_root(spark).rstrip('/')}/regiopanel-scratch/{app}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the intermediate tables that this application has written under the checkpoint root."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(conf).delete(path, True)
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "regiopanel") -> SparkSession:

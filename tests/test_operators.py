@@ -28,7 +28,6 @@ from regiopanel.operators import (
     trim_names,
     unpivot_digit_columns,
 )
-from regiopanel.operators.joins import broadcast_if_small
 
 
 def test_trim_and_safe_names(spark):
@@ -82,12 +81,6 @@ def test_semi_join_and_intersect(spark):
     assert [r[0] for r in intersect_values(a, b, "Region").collect()] == ["x"]
 
 
-def test_broadcast_if_small_respects_bound(spark):
-    df = spark.range(10)
-    assert "broadcast" in broadcast_if_small(df, 100)._jdf.queryExecution().analyzed().toString().lower()
-    assert "broadcast" not in broadcast_if_small(df, 5)._jdf.queryExecution().analyzed().toString().lower()
-
-
 def test_min_sample_gate_reports_skipped(spark):
     rows = [("a", "NOX", float(i), 1.0) for i in range(12)] + [("b", "NOX", float(i), None) for i in range(12)]
     rows += [("b", "SO2", 1.0, 1.0)]
@@ -255,3 +248,9 @@ def test_operators_under_a_hot_key(spark):
     top = top_k_per_group(df.withColumnRenamed("v", "r2").withColumnRenamed("period", "pollutant"),
                           "region", "r2", k=3, tie="pollutant")
     assert top.filter("region = 'HOT'").count() == 3
+
+
+def test_describe_skips_nan(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (float("nan"),), (4.0,), (None,)], "v double")
+    r = describe(df, "v").first()
+    assert (r["count"], r["min"], r["max"], r["p50"]) == (3, 1.0, 4.0, 2.0) and abs(r["mean"] - 7 / 3) < 1e-12

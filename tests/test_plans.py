@@ -4,7 +4,10 @@
 - no Python evaluation (row UDFs or pandas stages) in any plan: everything stays in the JVM;
 - column pruning reaches the scans: the wide ``documents`` table is read as ``doc_id`` only,
   and lineitem is never read with all of its columns;
-- equality filters are pushed into the Parquet scan.
+- equality filters are pushed into the Parquet scan;
+- rows meet in a single partition only as partial results of a global aggregate, a limit, or an ordered
+  limit;
+- the model queries' input has the same properties.
 """
 
 import os
@@ -13,10 +16,10 @@ import re
 import pytest
 
 import __spark_entry__ as entry_module
+from regiopanel.plans.catalog import panel_features_frame
 
 SF = "/root/testdata/sf0.001"
-QUERIES = {k: v for k, v in entry_module.queries().items() if not k.startswith("ml_group")
-           and k != "ml_predictions_long"}
+QUERIES = {k: v for k, v in entry_module.QUERIES.items() if k not in ("ml_group_forest", "ml_predictions_long")}
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
              "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
 
@@ -27,11 +30,29 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+def _single_partition_inputs(node) -> list[str]:
+    """The operators right below the exchanges to a single partition, from a physical plan."""
+    found = []
+    text = node.simpleString(200)
+    children = [node.children().apply(i) for i in range(node.children().length())]
+    if node.nodeName().startswith("AdaptiveSparkPlan"):
+        children = [node.initialPlan()]
+    if "SinglePartition" in text and children:
+        below = children[0]
+        found.append(below.nodeName() + " " + below.simpleString(400))
+    for child in children:
+        found += _single_partition_inputs(child)
+    return found
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES) + ["model input"])
 def test_plan_has_no_forbidden_operator(spark, name):
-    plan = _plan(QUERIES[name](spark, SF))
+    df = panel_features_frame(spark, SF) if name == "model input" else QUERIES[name](spark, SF)
+    plan = _plan(df)
     for op in FORBIDDEN:
         assert op not in plan, f"{name}: {op}"
+    for below in _single_partition_inputs(df._jdf.queryExecution().executedPlan()):
+        assert re.search(r"partial_|LocalLimit", below), f"{name}: whole rows go to one partition: {below}"
     for schema in re.findall(r"ReadSchema: struct<([^>]*)>", plan):
         if "l_orderkey" in schema:
             assert schema.count(":") < 11, f"{name} reads every lineitem column"

@@ -2,7 +2,7 @@
 
 import pytest
 
-from regiopanel.session import checkpoint_root, scratch_path
+from regiopanel.session import checkpoint_root, clear_scratch, materialize, scratch_path
 
 
 class _Conf:
@@ -35,7 +35,23 @@ def test_cluster_without_checkpoint_dir_is_an_error():
 def test_configured_checkpoint_dir_is_used():
     s = _NoContextSession({"spark.master": "yarn", "spark.checkpoint.dir": "s3a://bucket/ckpt"})
     assert checkpoint_root(s) == "s3a://bucket/ckpt"
-    assert scratch_path(s, "t").startswith("s3a://bucket/ckpt/regiopanel-scratch/t-")
+    assert scratch_path(s, "t").startswith("s3a://bucket/ckpt/regiopanel-scratch/connect/t-")
+
+
+@pytest.mark.parametrize("values", [{}, {"spark.master": "local-cluster[2,1,1024]"}])
+def test_unknown_master_is_not_local(values):
+    with pytest.raises(RuntimeError, match="shared folder"):
+        checkpoint_root(_NoContextSession(values))
+
+
+def test_scratch_is_removed_on_request(spark):
+    import os
+
+    df = materialize(spark.range(5), "gone")
+    path = scratch_path(spark, "x").rsplit("/", 1)[0].removeprefix("file:")
+    assert df.count() == 5 and os.listdir(path)
+    clear_scratch(spark)
+    assert not os.path.exists(path)
 
 
 def test_local_fallback_is_registered(spark):
