@@ -302,3 +302,30 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = members.where("doc_id is not null and n > 0").join(found, ["c1", "c2"]).select("doc_id", "n", "component")
     return out.unionByName(members.where("doc_id is null or n = 0").select("doc_id", "n", F.col("doc_id").alias("component"))).select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+#: The same in DuckDB SQL over the table ``documents``: all pairs that share a shingle, then all nodes that links reach.
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM words),
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+shingles AS (SELECT doc_id, unnest(s) AS g FROM sets),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+steps AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, other) AS (
+  SELECT doc_id, doc_id FROM sizes
+  UNION
+  SELECT reach.node, steps.b FROM reach JOIN steps ON reach.other = steps.a)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, m AS component_id
+FROM sizes JOIN (SELECT node, min(other) AS m FROM reach GROUP BY node) ON doc_id = node
+"""

@@ -188,3 +188,39 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
                           F.col("_dropped").alias("n_dropped"), F.col("_text").alias("text"))
     out = out.where("_dropped = 0 or _dropped < _lines")
     return out.select(*[F.col("_text").alias(text_col) if c == text_col else F.col(f"_rest.`{c}`") for c in df.columns])
+
+
+#: The same in DuckDB SQL over the table ``documents``, on the tokens themselves (ids are unique there).
+ORACLE = r"""
+WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+numbered AS (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM docs),
+lines AS (
+  SELECT doc_id, i - 1 AS line, list_transform(regexp_extract_all(parts[i], '[^\x20\x09-\x0D]+'),
+                                               lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN chr(1) ELSE x END) AS w
+  FROM numbered),
+kept AS (SELECT *, len(w) AS n, CAST(len(w) AS VARCHAR) || ' ' || array_to_string(w[1:3], ' ') AS leaf,
+                array_to_string(w, ' ') AS masked FROM lines WHERE len(w) >= 3),
+leaves AS (SELECT leaf, count(DISTINCT doc_id) AS docs, count(DISTINCT masked) AS kinds FROM kept GROUP BY leaf HAVING count(DISTINCT doc_id) >= 10),
+lone AS (SELECT doc_id, line, leaf, masked AS template FROM kept JOIN leaves USING (leaf) WHERE kinds = 1),
+kinds AS (SELECT leaf, masked, any_value(w) AS w, any_value(n) AS n, count(DISTINCT doc_id) AS d
+          FROM kept JOIN leaves USING (leaf) WHERE kinds > 1 GROUP BY leaf, masked),
+tokens AS (SELECT leaf, masked, n, d, pos, w[pos] AS token FROM (SELECT *, unnest(range(1, n + 1)) AS pos FROM kinds)),
+constants AS (SELECT leaf, pos, token FROM tokens WHERE token <> chr(1) GROUP BY leaf, pos, token HAVING sum(d) >= 10),
+general AS (
+  SELECT leaf, masked, string_agg(CAST(pos AS VARCHAR) || ':' || token, ' ' ORDER BY pos) AS template
+  FROM tokens JOIN constants USING (leaf, pos, token) GROUP BY leaf, masked, n HAVING count(*) >= 0.7 * n),
+found AS (
+  SELECT doc_id, line, leaf, template FROM lone
+  UNION ALL
+  SELECT doc_id, line, leaf, template FROM kept JOIN general USING (leaf, masked)),
+recurs AS (
+  SELECT leaf, template, min(doc_id) AS d FROM found GROUP BY leaf, template HAVING count(DISTINCT doc_id) >= 10),
+firsts AS (SELECT f.leaf, f.template, f.doc_id, min(f.line) AS line FROM found f JOIN recurs r ON f.leaf = r.leaf AND f.template = r.template AND f.doc_id = r.d GROUP BY 1, 2, 3),
+gone AS (
+  SELECT f.doc_id, list(f.line) AS drops FROM found f JOIN firsts x ON f.leaf = x.leaf AND f.template = x.template
+  WHERE NOT (f.doc_id = x.doc_id AND f.line = x.line) GROUP BY f.doc_id)
+SELECT docs.doc_id, CAST(coalesce(len(parts), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(drops), 0) AS BIGINT) AS n_dropped,
+       CASE WHEN drops IS NULL THEN text
+            ELSE coalesce(array_to_string(list_transform(list_filter(range(1, len(parts) + 1), lambda i: NOT list_contains(drops, i - 1)), lambda i: parts[i]), chr(10)), '') END AS text
+FROM docs LEFT JOIN gone ON docs.doc_id = gone.doc_id
+"""

@@ -152,3 +152,42 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     taken = taken.groupBy("_d", "_m").agg(F.count("*").cast("int").alias("_n"))
     rows = df.withColumn("_k", F.xxhash64(text_col)).join(taken, F.col(id_col).eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_m")))
     return rows.withColumn("_r", F.explode(F.sequence(F.lit(1), "_n"))).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+#: The same in DuckDB SQL over the table ``documents`` for the query's parameters, with weights to six decimals.
+ORACLE = r"""
+WITH RECURSIVE counted AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n FROM documents),
+sources AS (SELECT source, sum(n) AS t, count(*) AS docs FROM counted GROUP BY source),
+total AS (SELECT sum(t) AS t FROM sources),
+shares AS (SELECT list(CAST(s.t AS DOUBLE) / total.t) AS ps, CAST(count(*) AS DOUBLE) AS k FROM sources s, total WHERE s.t > 0),
+goal AS (SELECT ps, list_sum(list_transform(ps, lambda p: -p * ln(p))) + 0.5 * (ln(k) - list_sum(list_transform(ps, lambda p: -p * ln(p)))) AS h FROM shares),
+search(i, lo, hi) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL
+  SELECT i + 1, lo + (hi - lo) * greatest(k - 1, 0) / 32, lo + (hi - lo) * k / 32
+  FROM (SELECT i, lo, hi, list_min(list_filter(range(0, 33), lambda j:
+          ln(list_sum(list_transform(ps, lambda p: pow(p, lo + (hi - lo) * j / 32))))
+          - (lo + (hi - lo) * j / 32) * list_sum(list_transform(ps, lambda p: pow(p, lo + (hi - lo) * j / 32) * ln(p)))
+            / list_sum(list_transform(ps, lambda p: pow(p, lo + (hi - lo) * j / 32))) <= h)) AS k
+        FROM search, goal WHERE i < 5)),
+exponent AS (SELECT round(hi, 6) AS e FROM search WHERE i = 5),
+raised AS (SELECT source, s.t, docs, CASE WHEN s.t > 0 THEN pow(CAST(s.t AS DOUBLE) / total.t, e) ELSE 0 END AS x FROM sources s, total, exponent),
+weights AS (SELECT source, r.t, docs, x / (SELECT sum(x) FROM raised) AS w FROM raised r),
+plan AS (
+  SELECT source, weights.t, w, CAST(floor(round(w * total.t, 3)) AS BIGINT) AS budget, CAST(ceil(docs / 1000.0) AS BIGINT) AS blocks,
+         CASE WHEN weights.t > 0 THEN CAST(ceil(floor(round(w * total.t, 3)) / weights.t) AS BIGINT) ELSE 1 END AS epochs
+  FROM weights, total),
+placed AS (
+  SELECT c.doc_id, c.source, c.n, p.t, p.w, p.budget, unnest(range(0, p.epochs)) AS epoch,
+         ('0x' || substr(md5('mix|' || c.doc_id), 1, 8))::BIGINT % p.blocks AS block
+  FROM counted c JOIN plan p ON c.source = p.source),
+ordered AS (
+  SELECT *, epoch * t + coalesce(sum(n) OVER (PARTITION BY source, epoch ORDER BY
+              md5('mix|' || epoch || '|' || source || '|group|' || (block // 1000)), block // 1000,
+              md5('mix|' || epoch || '|' || source || '|block|' || block), block, md5('mix|' || epoch || '|' || doc_id), doc_id
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS position
+  FROM placed)
+SELECT doc_id, source, n AS n_tokens, round(w * 1000000) / 1000000 AS weight, CAST(epoch AS INTEGER) AS epoch, CAST(position AS BIGINT) AS position
+FROM ordered WHERE (position + n <= budget AND n > 0) OR (n = 0 AND epoch = 0)
+"""

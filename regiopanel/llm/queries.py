@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from regiopanel.llm import ann, bpe, chat, counts, jaccard, lines, mixing, quality, tokenfile, toxicity
 from regiopanel.llm.ship import ship
@@ -72,7 +73,8 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of a mixture of as many tokens as there are, half way to equal weights, with epoch and position."""
-    return mixing.mix(_table(spark, sf_dir, "documents")).drop("mark")
+    got = mixing.mix(_table(spark, sf_dir, "documents")).drop("mark")
+    return got.withColumn("weight", F.round(F.col("weight") * 1000000) / 1000000)
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +84,4 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_chat, op4_toxicity, op5_token_counts, op6_token_file, op7_quality,
                                       op8_nearest, op9_mixing, op10_jaccard)}
-ORACLE = {"op3_chat": chat.ORACLE}
+ORACLE = {"op2_line_dedup": lines.ORACLE, "op3_chat": chat.ORACLE, "op9_mixing": mixing.ORACLE, "op10_jaccard": jaccard.ORACLE}
