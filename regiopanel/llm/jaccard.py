@@ -259,9 +259,9 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = materialize(_verified(pairs, sets, percent).unionByName(same), "jaccard-links")
     label = components(links)
 
-    def open_postings() -> DataFrame:
-        """Postings of shingles whose holders are in different components."""
-        named = posting.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
+    def open_postings(of: DataFrame) -> DataFrame:
+        """Those of the postings whose shingle's holders are in different components."""
+        named = of.select("token", "rep", "n", "pos").join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
             "token", "rep", "n", "pos", F.coalesce("component", "rep").alias("component"))
         split = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
         return named.join(materialize(split.select("token"), "jaccard-split"), "token", "left_semi")
@@ -270,8 +270,9 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return components(label.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
                           .unionByName(materialize(more, "jaccard-links")))
 
+    still = posting
     for again in range(rounds + 1):
-        still = materialize(open_postings(), "jaccard-open")
+        still = materialize(open_postings(still), "jaccard-open")  # a shingle that is settled stays so
         n, pairs_at_most = still.groupBy("token").agg(F.count("*").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()
         if again == rounds or not n or pairs_at_most <= DENSE * n:
             break
