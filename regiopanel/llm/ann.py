@@ -166,8 +166,10 @@ def nearest(df: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_
     n, norm = entries.agg(F.count("*"), F.sqrt(F.max(length))).first()
     queries = rows.where(is_query).groupBy("v").agg(F.min("vec_id").alias("query"))  # equal queries are asked once
     lists = max(1, min(max_lists, -(-n // list_size)))
-    sample = entries.orderBy(F.xxhash64("v")).limit(lists * SAMPLED).select("v").toPandas()["v"] if n else []
+    share = min(1.0, lists * SAMPLED / max(n, 1))  # about ``lists * SAMPLED`` entries, chosen by hash in each task
+    sample = entries.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).select("v").toPandas()["v"] if n else []
     vectors = np.array([list(x) for x in sample]) if len(sample) else np.zeros((1, 1))
+    vectors = vectors[np.lexsort(vectors.T)]  # in one order, however the rows came
     index = spark.sparkContext.broadcast(Lists(lift(vectors, norm or 0.0), lists))
 
     block = lambda h, size: F.floor(F.pmod(F.xxhash64(h), F.lit(1 << 30)) * F.ceil(F.col("n") / size) / (1 << 30)).cast("int")
