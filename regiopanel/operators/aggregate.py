@@ -63,6 +63,9 @@ def multi_quantiles(df: DataFrame, columns, probs, accuracy: int = 10_000, max_b
                     extra=None):
     """Exact quantiles of several columns at once; every pass serves all columns.
 
+    Which values come from a narrowed bracket and which from reading one of at most ``max_bracket`` rows doesn't
+    change the result. After 200 rounds without an answer an error is raised, never a wrong value returned.
+
     ``extra(c)`` may return more aggregates for column expression ``c`` (named ``<name>__<i>``
     by the caller's choice) to ride along in the first pass. Returns ``(quantiles, first_row)``
     with ``quantiles[column][p]``.
