@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from regiopanel.llm.words import _powers, column, find_lines, find_words, mix, pieces, span_hashes, text_bytes
 from regiopanel.session import materialize
 
-PIECE = 4 << 20
+PIECE = 1 << 20
 #: Leading tokens that lead to a leaf, documents that make a token constant and a template recurring, the
 #: share of constant tokens that a template needs, and tokens below which a line is no template.
 DEPTH, MIN_DOCS, SIMILARITY, MIN_TOKENS = 3, 10, 0.7, 3
@@ -113,7 +113,7 @@ def _without(df: DataFrame) -> DataFrame:
     """The rows of ``df`` with the lines numbered in ``_drop`` taken out of ``_text``."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, "_text", PIECE):
             texts, drops = column(batch, "_text").to_pylist(), column(batch, "_drop").to_pylist()
             lines, dropped = [], []
             for i, (text, drop) in enumerate(zip(texts, drops)):
