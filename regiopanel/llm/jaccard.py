@@ -46,7 +46,7 @@ from regiopanel.llm.words import (column, find_words, lower_ascii, mix, pieces,
                                   text_bytes)
 from regiopanel.session import materialize
 
-PIECE = 4 << 20
+PIECE = 1 << 20
 SHINGLE = 5
 #: A pair links if its intersection is at least this percentage of its union.
 PERCENT = 80
