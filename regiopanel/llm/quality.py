@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from regiopanel.llm.words import SPACE, column, find_lines, find_words, pieces, span_hashes, text_bytes
 
-PIECE = 2 << 20
+PIECE = 1 << 20
 #: Words in the windows of the base rule.
 WINDOW = 8
 #: Limits of the verdict: the shortest repeat that counts, the covered fraction of the words, and the
