@@ -36,10 +36,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     ship(spark)
     kept = jaccard.jaccard_join(docs).where("doc_id = component_id").select("doc_id").distinct()
     kept = materialize(kept, "kept-documents")
+    # An id that has several rows keeps the smallest; the others, nearly all, needn't be grouped.
+    several = materialize(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated-documents")
     rest = [c for c in docs.columns if c != "doc_id"]
-    rows = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
-    rows = rows.select(*["doc_id" if c == "doc_id" else F.col(f"row.`{c}`") for c in docs.columns])
-    return rows.unionByName(docs.where("doc_id is null"))
+    twice = docs.join(kept.join(several, "doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
+    twice = twice.select(*["doc_id" if c == "doc_id" else F.col(f"row.`{c}`") for c in docs.columns])
+    once = docs.join(kept.join(several, "doc_id", "left_anti"), "doc_id", "left_semi").select(docs.columns)
+    return once.unionByName(twice).unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
