@@ -50,8 +50,8 @@ PIECE = 1 << 20
 SHINGLE = 5
 #: A pair links if its intersection is at least this percentage of its union.
 PERCENT = 80
-#: log2 of the number of frequency buckets, and the ranges in which their counts travel.
-BUCKETS, RANGES = 21, 32
+#: log2 of the number of frequency buckets, the ranges in which their counts travel, and parts in which tasks' counts are first added.
+BUCKETS, RANGES, GATHER = 21, 32, 64
 #: Shingles whose bucket holds at least so many documents more than the median bucket are salted so many ways.
 HOT, SALTS = 2048, 128
 #: Star rounds at most, after the first, before the remaining pairs are listed; a round is held while the squared
@@ -102,8 +102,7 @@ def _scan(docs: DataFrame, kind: str, size: int) -> DataFrame:
                 pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
                 pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=schema)
         if total.any():
-            codec = pa.Codec("zstd", compression_level=1)
-            blocks = [codec.compress(part.tobytes(), asbytes=True) for part in np.split(total, RANGES)]
+            blocks = [_packed(part) for part in np.split(total, RANGES)]
             none = pa.nulls(RANGES, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.nulls(RANGES, schema.field(0).type), none, none, none, pa.array(range(RANGES), pa.int32()),
                                               pa.array(blocks, pa.binary())], schema=schema)
@@ -111,24 +110,33 @@ def _scan(docs: DataFrame, kind: str, size: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, n long, c1 long, c2 long, range int, counts binary")
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return pa.Codec("zstd", compression_level=1).compress(counts.astype(np.int64).tobytes(), asbytes=True)
+
+
 def _frequency_levels(scan: DataFrame) -> tuple[bytes, int]:
-    """A byte for each bucket, larger for more documents, and the level from which a bucket is hot."""
+    """A byte for each bucket, larger for more documents, and the level from which a bucket is hot.
+
+    The tasks' counts are added in two steps, first among ``GATHER`` parts of the tasks, then for each range.
+    """
     each = (1 << BUCKETS) // RANGES
+    unpack = lambda block: np.frombuffer(pa.Codec("zstd").decompress(block, each * 8), np.int64)
 
     def add(batches):
-        codec, sums = pa.Codec("zstd"), {}
+        sums = {}
         for batch in batches:
             for r, block in zip(column(batch, "range").to_pylist(), column(batch, "counts")):
-                got = np.frombuffer(codec.decompress(block.as_buffer(), each * 4), np.int32)
-                sums[r] = sums.get(r, 0) + got.astype(np.int64)
+                sums[r] = sums.get(r, 0) + unpack(block.as_buffer())
         for r, s in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([s.tobytes()], pa.binary())], ["range", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([_packed(s)], pa.binary())], ["range", "counts"])
 
-    rows = (scan.where("range is not null").select("range", "counts").repartition(RANGES, "range")
-            .mapInArrow(add, "range int, counts binary").collect())
+    kind = "range int, counts binary"
+    rows = scan.where("range is not null").select("range", "counts", F.pmod(F.spark_partition_id(), F.lit(GATHER)).alias("part"))
+    rows = rows.repartition("range", "part").select("range", "counts").mapInArrow(add, kind)
+    rows = rows.repartition(RANGES, "range").mapInArrow(add, kind).collect()
     counts = np.zeros(1 << BUCKETS, np.int64)
     for r in rows:
-        counts[r["range"] * each:(r["range"] + 1) * each] = np.frombuffer(r["counts"], np.int64)
+        counts[r["range"] * each:(r["range"] + 1) * each] = unpack(bytes(r["counts"]))
     level = lambda c: np.minimum(255, np.floor(8 * np.log2(1 + c))).astype(np.uint8)
     return level(counts).tobytes(), int(level(np.array([np.median(counts) + HOT]))[0])
 
