@@ -150,8 +150,10 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """The rows of ``df``, each as often as the mixture takes it. Rows of equal id and text are taken alike."""
     taken = mix(df, id_col, text_col, **options).select(F.col("doc_id").alias("_d"), F.col("mark").alias("_m"), "epoch").distinct()
     taken = taken.groupBy("_d", "_m").agg(F.count("*").cast("int").alias("_n"))
-    rows = df.withColumn("_k", F.xxhash64(text_col)).join(taken, F.col(id_col).eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_m")))
-    return rows.withColumn("_r", F.explode(F.sequence(F.lit(1), "_n"))).select(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"))
+    rows = rows.join(taken, F.col("id").eqNullSafe(F.col("_d")) & (F.col("mark") == F.col("_m")))
+    rows = rows.select("row", F.explode(F.sequence(F.lit(1), "_n")))
+    return rows.select(*[F.col(f"row.`{c}`") for c in df.columns])
 
 
 #: The same in DuckDB SQL over the table ``documents`` for the query's parameters, with weights to six decimals.

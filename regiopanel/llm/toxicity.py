@@ -230,13 +230,16 @@ def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
 def score(df: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """``df`` with a last column ``name``, the score of each whole text."""
     shared = df.sparkSession.sparkContext.broadcast(model)
+    rest = F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in df.columns if c != text_col])
+    rows = df.select(rest.alias("rest"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches):
-        for batch in pieces(batches, text_col, PIECE):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_texts(shared.value, column(batch, text_col)), pa.float64())],
-                                             [*batch.schema.names, name])
+        for batch in pieces(batches, "text", PIECE):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_texts(shared.value, column(batch, "text")), pa.float64())],
+                                             [*batch.schema.names, "score"])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
+    out = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())]))
+    return out.select(*[F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`") for c in df.columns], F.col("score").alias(name))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, **options) -> DataFrame:

@@ -81,3 +81,21 @@ def test_stages_keep_columns_and_bear_empty_tables(spark, documents, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and out.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
+
+
+def test_stages_bear_nulls_in_every_column_and_clashing_names(spark, tmp_path):
+    labels = spark.createDataFrame([(1, None, 0), (2, 0, 0), (3, 0, 0), (4, 1, None), (None, None, None)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    rows = [(1, "some words here", "en", "a", 15), (2, None, None, None, None), (None, None, None, None, None), (3, "x", None, None, None),
+            (3, "x", None, None, None), (4, "long " * 30_000, "en", "a", 150_000)]
+    names = ["score", "_score", "row", "_rest", "_text", "_drop", "_lines", "mark", "line", "leaf", "rep", "n", "token", "component_id", "epoch", "_d", "_m",
+             "_n", "id", "tokens", "block", "position", "count", "a.b"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr(
+        "*", *[f"{i} as `{n}`" for i, n in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert all([r[n] for n in names] == list(range(len(names))) for r in got), name
+        assert {r.doc_id for r in got} <= {1, 2, 3, 4, None} and 4 in {r.doc_id for r in got}, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(rows)
