@@ -24,7 +24,10 @@ from regiopanel.session import materialize
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, name="_score").where("_score < 0.5").drop("_score")
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return toxicity.score(docs, model, name=name).where(F.col(name) < 0.5).drop(name)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +42,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     # An id that has several rows keeps the smallest; the others, nearly all, needn't be grouped.
     several = materialize(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated-documents")
     rest = [c for c in docs.columns if c != "doc_id"]
-    twice = docs.join(kept.join(several, "doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
+    twice = docs.join(kept.join(several, "doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("row"))
     twice = twice.select(*["doc_id" if c == "doc_id" else F.col(f"row.`{c}`") for c in docs.columns])
-    once = docs.join(kept.join(several, "doc_id", "left_anti"), "doc_id", "left_semi").select(docs.columns)
+    once = docs.join(kept.join(several, "doc_id", "left_anti"), "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
     return once.unionByName(twice).unionByName(docs.where("doc_id is null"))
 
 
