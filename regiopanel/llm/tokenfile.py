@@ -43,6 +43,8 @@ PIECE = 8 << 20
 BLOCK, SEGMENT, PERCENTILE = 4096, 1 << 17, 95
 #: The id appended to each document.
 END = 1
+#: Distinct parts that a worker remembers at least until the next piece.
+KNOWN = 500_000
 _HEAD = np.dtype([("count", "<u4"), ("minimum", "<u4"), ("width", "u1"), ("exceptions", "<u4")])
 
 
@@ -64,33 +66,44 @@ class WordEncoder:
         self.closes = np.zeros(size, bool)  # ids of tokens that end a part
         for token, i in self.whole.get_vocab().items():
             self.closes[i] = token.endswith("</w>")
-        self.recent: dict[bytes, list[int]] = {}  # parts of the piece before: many come again
+        self._forget()
 
-    def _encode_parts(self, parts: list[bytes]) -> dict[bytes, list[int]]:
-        got: dict[bytes, list[int]] = {}
+    def _forget(self) -> None:
+        """No parts are known, but for the end of a text (an empty part)."""
+        self.known: dict[bytes, int] = {b"": 0}
+        self.flat, self.at = np.array([END], np.int32), np.array([0, 1], np.int64)  # ids of known parts, and where each starts
+
+    def _learn(self, parts: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
+        n = len(self.known)
+        self.known.update(zip(parts, range(n, n + len(parts))))
+        self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(counts)])
+
+    def _encode(self, tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        each = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return np.array([i for x in each for i in x], np.int32), np.array([len(x) for x in each], np.int64)
+
+    def _encode_parts(self, parts: list[bytes]) -> None:
         for at in range(0, len(parts), 2000):
             some = parts[at:at + 2000]
-            ids = np.array(self.parts.encode(b" ".join(some).decode(), add_special_tokens=False).ids, np.int64)
+            ids = np.array(self.parts.encode(b" ".join(some).decode(), add_special_tokens=False).ids, np.int32)
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(some) and ends[-1] == len(ids):
-                flat, a = ids.tolist(), 0
-                for part, b in zip(some, ends.tolist()):
-                    got[part] = flat[a:b]
-                    a = b
+                self._learn(some, ids, np.diff(ends, prepend=0))
             else:  # a part without a closing token
-                for part, e in zip(some, self.parts.encode_batch([p.decode() for p in some], add_special_tokens=False)):
-                    got[part] = e.ids
-        return got
-
-    def encode_distinct(self, parts: list[bytes], odd: np.ndarray) -> list[list[int]]:
-        known = self.recent
-        fresh = [p for p, o in zip(parts, odd.tolist()) if not o and p not in known]
-        new = self._encode_parts(fresh)
-        rest = [p for p, o in zip(parts, odd.tolist()) if o and p not in known]
-        for p, e in zip(rest, self.whole.encode_batch([p.decode("utf-8", "replace") for p in rest], add_special_tokens=False)):
-            new[p] = e.ids
-        self.recent = {p: new[p] if p in new else known[p] for p in parts}
-        return list(self.recent.values())
+                self._learn(some, *self._encode(self.parts, [p.decode() for p in some]))
+
+    def numbers(self, parts: list[bytes], odd: np.ndarray) -> np.ndarray:
+        """The numbers of distinct parts among the known ones; those that aren't known yet are encoded first."""
+        if len(self.known) > KNOWN:
+            self._forget()
+        known = self.known
+        fresh = [(p, o) for p, o in zip(parts, odd.tolist()) if p not in known]
+        self._encode_parts([p for p, o in fresh if not o])
+        rest = [p for p, o in fresh if o]
+        if rest:
+            self._learn(rest, *self._encode(self.whole, [p.decode("utf-8", "replace") for p in rest]))
+        return np.array([known[p] for p in parts], np.int64)
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text closed with :data:`END`, and each text's offset among them."""
@@ -104,18 +117,16 @@ class WordEncoder:
         of_part = coded.indices.to_numpy(zero_copy_only=False)
         strange = np.zeros(len(coded.dictionary), bool)
         strange[of_part] = odd
-        lists = self.encode_distinct(coded.dictionary.to_pylist(), strange)
-        lists.append([END])
-        counts = np.array([len(x) for x in lists], np.int64)
-        flat = np.array([i for x in lists for i in x], np.int32)
+        number = self.numbers(coded.dictionary.to_pylist(), strange)
         first = np.searchsorted(starts, off)
-        code = np.full(len(starts) + len(off) - 1, len(lists) - 1, np.int32)  # parts, and the end of each text
+        code = np.zeros(len(starts) + len(off) - 1, np.int64)  # parts, and the end of each text
         closing = first[1:] + np.arange(len(off) - 1)
         body = np.ones(len(code), bool)
         body[closing] = False
-        code[body] = of_part
-        ids = flat[expand((np.cumsum(counts) - counts)[code], counts[code])]
-        at = np.concatenate([[0], np.cumsum(counts[code])])
+        code[body] = number[of_part]
+        counts = np.diff(self.at)[code]
+        ids = self.flat[expand(self.at[code], counts)]
+        at = np.concatenate([[0], np.cumsum(counts)])
         return ids, np.concatenate([[0], at[closing + 1]])
 
 
