@@ -13,6 +13,8 @@ so no other id of theirs can be among the ``k`` nearest. A posting list is store
 Queries are grouped likewise, and blocks of both sides meet in a join on the list. Centroids and graph are
 at most ``LISTS`` vectors; only they are broadcast. The number of lists follows the number of vectors up to that bound.
 
+A task sends on only the best entries of each query over all lists it has read.
+
 Scores are exact inner products in double precision of the original vectors; the method only chooses which are compared.
 
 Defined results: null vectors, zero vectors, vectors with null or non-finite components and vectors whose length isn't
@@ -27,6 +29,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +40,8 @@ from regiopanel.session import materialize
 K = 20
 #: Vectors of a posting list wanted, lists at most, sampled vectors for each list, and entries of a block.
 LIST, LISTS, SAMPLED, BLOCK = 512, 4096, 32, 4096
-#: Queries that travel together.
-QUERIES = 256
+#: Queries that travel together, and entries a task holds back to combine them over its lists.
+QUERIES, HELD = 256, 200_000
 #: Distance ratios up to which a vector is copied to more lists, and a query reads more lists.
 REPLICATE, PRUNE = 0.01, 0.15
 #: Neighbours of a centroid in the graph, and the size of the search's frontier beyond what is returned.
@@ -134,6 +137,45 @@ def _matrix(array) -> np.ndarray:
     return flat.reshape(len(array), -1) if len(array) else flat.reshape(0, 1)
 
 
+class _Best:
+    """The best entries of each query that a task has met so far; what it sends on is combined over its lists."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.take()
+
+    def add(self, queries: np.ndarray, scores: np.ndarray, ids) -> None:
+        self.parts.append((queries, scores, ids))
+        self.pending += len(queries)
+
+    def prune(self) -> None:
+        """Keep a query's ``most`` best entries, ties with the last of them included; an entry met in several lists counts once."""
+        if not self.parts:
+            return
+        queries, scores = (np.concatenate([p[i] for p in self.parts]) for i in (0, 1))
+        ids = pa.concat_arrays([p[2] for p in self.parts])
+        first = pa.compute.list_element(ids, 0).to_numpy(zero_copy_only=False)
+        order = np.lexsort((first, queries))
+        once = np.ones(len(order), bool)
+        once[1:] = (queries[order][1:] != queries[order][:-1]) | (first[order][1:] != first[order][:-1])
+        order = order[once]
+        order = order[np.lexsort((-scores[order], queries[order]))]
+        starts = np.flatnonzero(np.concatenate([[True], queries[order][1:] != queries[order][:-1]]))
+        sizes = np.diff(np.append(starts, len(order)))
+        border = scores[order][starts + np.minimum(sizes, self.most) - 1]
+        order = order[scores[order] >= np.repeat(border - 1e-9 * np.abs(border) - 1e-12, sizes)]
+        self.parts = [(queries[order], scores[order], ids.take(pa.array(order)))]
+        self.pending = len(order)
+
+    def take(self) -> pa.RecordBatch:
+        """What is held, as rows; nothing is held afterwards."""
+        parts = getattr(self, "parts", None) or [(np.zeros(0, np.int64), np.zeros(0), pa.array([], pa.list_(pa.int64())))]
+        self.parts, self.pending = [], 0
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate([p[0] for p in parts]), pa.int64()), pa.concat_arrays([p[2] for p in parts]).cast(pa.list_(pa.int64())),
+            pa.array(np.concatenate([p[1] for p in parts]), pa.float64())], ["query", "ids", "score"])
+
+
 def _assigned(rows: DataFrame, index, norm: float, ratio: float) -> DataFrame:
     """A row for each list of each vector."""
     keep = [f for f in rows.schema.fields]
@@ -184,6 +226,7 @@ def nearest(df: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_
     asked = packed(materialize(_assigned(queries, index, None, prune), "query-lists"), QUERIES, "query")
 
     def compare(batches):
+        best = _Best(k + 1)
         for batch in batches:
             for i in range(batch.num_rows):
                 ids = column(batch, "ids")[i].values
@@ -194,8 +237,13 @@ def nearest(df: DataFrame, is_query, k: int = K, id_col: str = "vec_id", vector_
                 # ties at the border are kept, whatever their number: the ids decide later
                 border = np.partition(scores, scores.shape[1] - most, axis=1)[:, scores.shape[1] - most]
                 q, p = np.nonzero(scores >= (border - 1e-9 * np.abs(border) - 1e-12)[:, None])
-                exact = (asks[q] * posts[p]).sum(1)
-                yield pa.RecordBatch.from_arrays([pa.array(queries[q]), ids.take(pa.array(p)), pa.array(exact)], ["query", "ids", "score"])
+                best.add(queries[q], (asks[q] * posts[p]).sum(1), ids.take(pa.array(p)))
+                if best.pending > 4 * HELD:
+                    best.prune()
+                    if best.pending > HELD:
+                        yield best.take()
+        best.prune()
+        yield best.take()
 
     met = posted.join(asked, "list").select("ids", "vids", "query", "vquery").mapInArrow(compare, "query long, ids array<long>, score double")
     met = met.select("query", "score", F.explode("ids").alias("vec_id")).groupBy("query", "vec_id").agg(F.max("score").alias("score"))

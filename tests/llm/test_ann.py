@@ -80,3 +80,35 @@ def test_graph_search_finds_the_lists_that_a_scan_finds():
     assert found / total > 0.95
     sizes = np.bincount([lists.near(v, 0.0)[0] for v in x], minlength=200)
     assert sizes.max() < 8 * sizes.mean()
+
+
+def test_entries_are_combined_over_lists():
+    import pyarrow as pa
+
+    from regiopanel.llm.ann import _Best
+
+    r = random.Random(1)
+    best, rows = _Best(3), []
+    for _ in range(40):
+        part = [(r.randrange(4), r.choice([0.5, 0.25, 0.125, r.random()]), [r.randrange(30)]) for _ in range(r.randrange(1, 9))]
+        part = [(q, (i[0] % 8) / 8, i) for q, _, i in part]  # an entry has one score
+        rows += part
+        best.add(np.array([p[0] for p in part]), np.array([p[1] for p in part]), pa.array([p[2] for p in part], pa.list_(pa.int64())))
+        if r.random() < 0.3:
+            best.prune()
+    best.prune()
+    got = sorted((x["query"], x["score"], x["ids"]) for x in best.take().to_pylist())
+    expected = []
+    for q in range(4):
+        own = sorted({(-s, i[0]) for p, s, i in rows if p == q})
+        expected += [(q, -s, [i]) for s, i in own if s <= own[min(3, len(own)) - 1][0]]
+    assert got == sorted(expected) and best.take().num_rows == 0
+
+
+def test_small_buffers_change_nothing(spark, monkeypatch):
+    from regiopanel.llm import ann
+
+    rows = vectors(4)
+    expected = run(spark, rows, 10, list_size=40)
+    monkeypatch.setattr(ann, "HELD", 5)
+    assert run(spark, rows, 10, list_size=40) == expected
