@@ -56,7 +56,7 @@ BUCKETS, RANGES, GATHER = 21, 32, 64
 HOT, SALTS = 2048, 128
 #: Star rounds at most, after the first, before the remaining pairs are listed; a round is held while the squared
 #: numbers of holders of open shingles are more than ``DENSE`` times the numbers. Neither changes the result.
-ROUNDS, DENSE = 2, 4
+ROUNDS, DENSE = 1, 4
 
 
 def _sets(texts: pa.Array, size: int) -> list[np.ndarray]:
