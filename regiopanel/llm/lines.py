@@ -15,6 +15,10 @@ lines have their tokens compared. Constants are counts per (leaf, position, toke
 each task; there is no clustering inside a leaf and no leaf is ever gathered in one place. Aggregates that go back to
 lines by a join are written first, so that adaptive execution can split a hot key of the join.
 
+With ``strict`` (the queries set it), the similarity rule holds in leaves of one masked line too, and of the lines with
+more variable tokens than it allows only those equal token by token, variable ones unmasked, are one template. Without it, as in
+the SQL, such a leaf is one template whatever its constants, and in other leaves those lines never recur.
+
 Defined results: lines are split at ``\n``; lines of fewer than ``min_tokens`` tokens, blank lines and the
 order of lines stay as they are. A null text stays null, with no lines. Repeated rows (same ``doc_id`` and
 text) are treated alike and are one of a template's documents; rows with a null ``doc_id`` come before all others. Other
@@ -43,13 +47,15 @@ _DIGIT[48:58] = True
 
 
 class _Lines:
-    """Per line of a piece: its text, number, token range, leaf and hash; lines shorter than ``least`` are left out."""
+    """Per line of a piece: its text, number, token range, leaf, hash and hash of the unmasked tokens (``exact``), and
+    whether ``similarity`` of its tokens can be constant (``alike``); lines shorter than ``least`` are left out."""
 
-    def __init__(self, texts: pa.Array, depth: int, least: int):
+    def __init__(self, texts: pa.Array, depth: int, least: int, similarity: float = SIMILARITY):
         data, off = text_bytes(texts)
         words, lines = find_words(data, off), find_lines(data, off)
         digits = np.concatenate([[0], np.cumsum(_DIGIT[data], dtype=np.int64)])
-        self.tokens = np.where(digits[words.ends] > digits[words.starts], WILD, span_hashes(data, words.starts, words.ends))
+        variable, plain = digits[words.ends] > digits[words.starts], span_hashes(data, words.starts, words.ends)
+        self.tokens = np.where(variable, WILD, plain)
         first = np.searchsorted(words.starts, lines.starts)
         last = np.searchsorted(words.starts, lines.ends)
         keep = np.flatnonzero(last - first >= least)
@@ -58,16 +64,22 @@ class _Lines:
         self.text = np.repeat(np.arange(len(count)), count)[keep]
         self.number = (np.arange(lines.first[-1]) - np.repeat(lines.first[:-1], count))[keep]
         n = (self.last - self.first).astype(np.uint64)
-        up, down = _powers(len(self.tokens) + 1)
-        sums = np.zeros(len(self.tokens) + 1, np.uint64)
-        np.cumsum(self.tokens * up[:len(self.tokens)], out=sums[1:])
-        self.hash = mix((sums[self.last] - sums[self.first]) * down[self.first] + n)
+        self.hash, self.exact = self._hashes(self.tokens, n), self._hashes(plain, n)
+        fields = np.concatenate([[0], np.cumsum(variable, dtype=np.int64)])
+        count = self.last - self.first
+        self.alike = count - (fields[self.last] - fields[self.first]) >= similarity * count
         self.leaf = mix(n)
         for d in range(depth):
             there = self.first + d < self.last
             token = self.tokens[np.where(there, self.first + d, 0)] if len(self.tokens) else self.leaf
             self.leaf = mix(self.leaf * np.uint64(0x9FB21C651E98DF25) + np.where(there, token, np.uint64(d)))
 
+    def _hashes(self, tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
+        up, down = _powers(len(tokens) + 1)
+        sums = np.zeros(len(tokens) + 1, np.uint64)
+        np.cumsum(tokens * up[:len(tokens)], out=sums[1:])
+        return mix((sums[self.last] - sums[self.first]) * down[self.first] + n)
+
     def once(self, what: np.ndarray) -> np.ndarray:
         """Whether a line is the first of its text with this value."""
         order = np.lexsort((np.arange(len(what)), what, self.text))
@@ -76,19 +88,22 @@ class _Lines:
         return ~again
 
 
-def _scan(docs: DataFrame, kind: str, depth: int, least: int) -> DataFrame:
-    names = ["doc_id", "mark", "line", "leaf", "hash", "new_leaf", "new_hash"]
+def _scan(docs: DataFrame, kind: str, depth: int, least: int, similarity: float) -> DataFrame:
+    """One row per line. ``exact`` is null where the line can belong to a template with variable fields."""
+    names = ["doc_id", "mark", "line", "leaf", "hash", "exact", "new_leaf", "new_hash", "new_exact"]
 
     def run(batches):
         for batch in pieces(batches, "text", PIECE):
-            got = _Lines(column(batch, "text"), depth, least)
+            got = _Lines(column(batch, "text"), depth, least, similarity)
             at = pa.array(got.text, pa.int64())
             yield pa.RecordBatch.from_arrays([
                 column(batch, "doc_id").take(at), column(batch, "mark").take(at), pa.array(got.number, pa.int32()),
                 pa.array(got.leaf.view(np.int64)), pa.array(got.hash.view(np.int64)),
-                pa.array(got.once(got.leaf)), pa.array(got.once(got.hash))], names)
+                pa.array(got.exact.view(np.int64), mask=got.alike),
+                pa.array(got.once(got.leaf)), pa.array(got.once(got.hash)), pa.array(got.once(got.exact))], names)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, mark long, line int, leaf long, hash long, new_leaf boolean, new_hash boolean")
+    return docs.mapInArrow(run, f"doc_id {kind}, mark long, line int, leaf long, hash long, exact long, new_leaf boolean, "
+                                "new_hash boolean, new_exact boolean")
 
 
 def _tokens(docs: DataFrame, depth: int, least: int) -> DataFrame:
@@ -132,22 +147,22 @@ def _without(df: DataFrame) -> DataFrame:
 
 
 def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS,
-                    similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS) -> DataFrame:
+                    similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS, strict: bool = False) -> DataFrame:
     """``doc_id, mark, lines``: the numbers of the lines to drop from the documents that have some.
 
     ``mark`` is ``xxhash64`` of the text, so that rows sharing a ``doc_id`` keep apart.
     """
     kind = dict(df.dtypes)[id_col]
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
-    lines = materialize(_scan(docs, kind, depth, max(1, min_tokens)), "lines")
+    lines = materialize(_scan(docs, kind, depth, max(1, min_tokens), similarity), "lines")
 
     distinct = lines.groupBy("leaf", "hash").agg(
         F.sum(F.col("new_leaf").cast("long")).alias("leaf_docs"), F.sum(F.col("new_hash").cast("long")).alias("docs"),
-        F.min(F.struct("doc_id", "mark", "line")).alias("at"))
+        F.min(F.struct("doc_id", "mark", "line")).alias("at"), F.first(F.col("exact").isNull()).alias("alike"))
     distinct = materialize(distinct, "distinct-lines")
     leaves = materialize(distinct.groupBy("leaf").agg(F.sum("leaf_docs").alias("n"), F.count("*").alias("kinds"))
                          .where(F.col("n") >= min_docs), "leaves")
-    lone = distinct.join(leaves.where("kinds = 1"), "leaf").select("leaf", "hash", F.col("hash").alias("template"))
+    lone = (distinct.where("alike") if strict else distinct).join(leaves.where("kinds = 1"), "leaf").select("leaf", "hash", F.col("hash").alias("template"))
 
     several = materialize(distinct.join(leaves.where("kinds > 1"), "leaf").select("leaf", "hash", "docs", "at"), "mixed-leaves")
     wanted = several.groupBy(F.col("at.doc_id").alias("id"), F.col("at.mark").alias("m")).agg(
@@ -164,6 +179,11 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     template = materialize(lone.unionByName(general), "templates")
     found = materialize(lines.join(template, ["leaf", "hash"]).select("doc_id", "mark", "line", "leaf", "template"), "template-lines")
+    if strict:  # the rest recur only word for word; none of them is in ``found``
+        rest = lines.where("exact is not null")
+        equal = rest.groupBy("leaf", "exact").agg(F.sum(F.col("new_exact").cast("long")).alias("n")).where(F.col("n") >= min_docs)
+        equal = materialize(equal.drop("n"), "equal-lines")
+        found = found.unionByName(rest.join(equal, ["leaf", "exact"]).select("doc_id", "mark", "line", "leaf", F.col("exact").alias("template")))
     recurs = found.groupBy("leaf", "template", "doc_id", "mark").agg(F.min("line").alias("line")).groupBy("leaf", "template").agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "line")).alias("first")).where(F.col("n") >= min_docs)
     recurs = materialize(recurs, "recurring")

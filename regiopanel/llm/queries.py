@@ -36,7 +36,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without recurring lines."""
-    return lines.line_dedup(_table(spark, sf_dir, "documents"), counts=True)
+    return lines.line_dedup(_table(spark, sf_dir, "documents"), counts=True, strict=True)
 
 
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

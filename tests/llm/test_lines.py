@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 
 from regiopanel.llm.lines import line_dedup
+from regiopanel.llm.queries import QUERIES
 
 
 def brute(rows, depth=3, min_docs=10, similarity=0.7, min_tokens=3):
@@ -106,3 +107,19 @@ def test_empty_table_long_line_and_repeated_rows(documents):
     got = sorted(map(tuple, line_dedup(documents(rows), counts=True).collect()), key=str)
     assert [r[:3] for r in got if r[0] < 10] == [(1, 1, 0), (1, 1, 0), (2, 1, 0)]
     assert sorted((r[0], r[2]) for r in got if r[0] >= 10) == [(10, 0)] + [(10 + i, 1) for i in range(1, 10)] + [(19, 1)]
+
+
+def query(spark, documents, tmp_path, rows):
+    """``{doc_id: text}`` of the registered query."""
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    return {r.doc_id: r.text for r in QUERIES["op2_line_dedup"](spark, str(tmp_path)).collect()}
+
+
+def test_number_rows_stay_and_equal_ones_go(spark, documents, tmp_path):
+    numbers = [(i, f"{i} {100 + i} {200 + i}\n2019-01-{i} {i} 45% {i}.5 of {i}") for i in range(10, 25)]  # one masked line a leaf
+    equal = [(i, "12 34 56\n12 34 56") for i in range(50, 62)]
+    few = [(i, "9 9 9\n9 9 9") for i in range(70, 79)]
+    mixed = [(100 + i, f"7 8 9 {i} plus") for i in range(15)] + [(i, "1 2 3 4 equal") for i in range(150, 162)]
+    rows = numbers + equal + few + mixed
+    gone = {i: "" for i in [*range(51, 62), *range(151, 162)]}
+    assert query(spark, documents, tmp_path, rows) == dict(rows) | {50: "12 34 56"} | gone
