@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 again as the next one's ``docs``. All but the last return the columns of ``documents``.
 
 1. toxicity: documents scored 0.5 or more go. The model is learnt from the labels of documents in ``docs``.
-2. line dedup: lines of recurring templates go; documents that consisted of such lines only go with them.
+2. line dedup: lines of recurring templates go, also those of one or two words; documents that consisted of such lines only go with them.
 3. n-gram Jaccard join: of each component of near copies the smallest ``doc_id`` stays. Rows without an id stay.
 4. mixing: the flattest mixture in which every document comes at least once and no source more than 1.5 times.
 5. BPE: ids of each document, and digests of the ids and of the text decoded from them.
@@ -32,7 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return lines.line_dedup(docs, strict=True)
+    return lines.line_dedup(docs, min_tokens=1, strict=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

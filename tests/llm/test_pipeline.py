@@ -99,3 +99,9 @@ def test_stages_bear_nulls_in_every_column_and_clashing_names(spark, tmp_path):
         assert all([r[n] for n in names] == list(range(len(names))) for r in got), name
         assert {r.doc_id for r in got} <= {1, 2, 3, 4, None} and 4 in {r.doc_id for r in got}, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(rows)
+
+
+def test_short_recurring_lines_go(spark, documents):
+    rows = [(i, f"Les.\n{i}\nown {'q' * i} text {'r' * i} here\nAnd ornd.\n12 34") for i in range(1, 13)] + [(50, "few\nof it"), (51, "few\nof it")]
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, documents(rows), "").collect()}
+    assert got == dict(rows) | {i: f"{i}\nown {'q' * i} text {'r' * i} here" for i in range(2, 13)}
