@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regiopanel.llm.words import _powers, column, find_lines, find_words, mix, pieces, span_hashes, text_bytes
+from regiopanel.llm.words import SPACE, _powers, column, find_lines, find_words, mix, pieces, span_hashes, text_bytes
 from regiopanel.session import materialize
 
 PIECE = 1 << 20
@@ -44,6 +44,7 @@ DEPTH, MIN_DOCS, SIMILARITY, MIN_TOKENS = 3, 10, 0.7, 3
 WILD = np.uint64(0x2A2A2A2A2A2A2A2A)
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
+_BLANK = bytes(np.flatnonzero(SPACE).tolist()).decode()
 
 
 class _Lines:
@@ -130,19 +131,21 @@ def _without(df: DataFrame) -> DataFrame:
     def run(batches):
         for batch in pieces(batches, "_text", PIECE):
             texts, drops = column(batch, "_text").to_pylist(), column(batch, "_drop").to_pylist()
-            lines, dropped = [], []
+            lines, worded, dropped = [], [], []
             for i, (text, drop) in enumerate(zip(texts, drops)):
                 parts = text.split("\n") if text is not None else []
                 lines.append(len(parts))
+                worded.append(sum(1 for x in parts if x.strip(_BLANK)))
                 gone = set(drop or ())
                 dropped.append(len(gone))
                 if gone:
                     texts[i] = "\n".join(x for n, x in enumerate(parts) if n not in gone)
             batch = batch.set_column(batch.schema.get_field_index("_text"), "_text", pa.array(texts, pa.string()))
             batch = batch.append_column("_lines", pa.array(lines, pa.int64()))
+            batch = batch.append_column("_worded", pa.array(worded, pa.int64()))
             yield batch.append_column("_dropped", pa.array(dropped, pa.int64()))
 
-    more = [T.StructField("_lines", T.LongType()), T.StructField("_dropped", T.LongType())]
+    more = [T.StructField("_lines", T.LongType()), T.StructField("_worded", T.LongType()), T.StructField("_dropped", T.LongType())]
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *more]))
 
 
@@ -195,7 +198,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     """``df`` with recurring lines taken out of its texts.
 
     With ``counts``, only ``doc_id, n_lines, n_dropped, text``; otherwise the rows and columns of ``df``,
-    without documents that had lines and lost all of them.
+    without documents that had lines with a word and lost all of them.
     """
     drops = recurring_lines(df, id_col, text_col, **options)
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col]).alias("_rest"),
@@ -206,7 +209,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     if counts:
         return out.select(F.col("_id").alias("doc_id"), F.col("_lines").alias("n_lines"),
                           F.col("_dropped").alias("n_dropped"), F.col("_text").alias("text"))
-    out = out.where("_dropped = 0 or _dropped < _lines")
+    out = out.where("_dropped = 0 or _dropped < _worded")
     return out.select(*[F.col("_text").alias(text_col) if c == text_col else F.col(f"_rest.`{c}`") for c in df.columns])
 
 
