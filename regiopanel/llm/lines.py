@@ -15,7 +15,7 @@ lines have their tokens compared. Constants are counts per (leaf, position, toke
 each task; there is no clustering inside a leaf and no leaf is ever gathered in one place. Aggregates that go back to
 lines by a join are written first, so that adaptive execution can split a hot key of the join.
 
-With ``strict`` (the queries set it), the similarity rule holds in leaves of one masked line too, and of the lines with
+With ``strict`` (``op2_line_dedup`` sets it), the similarity rule holds in leaves of one masked line too, and of the lines with
 more variable tokens than it allows only those equal token by token, variable ones unmasked, are one template. Without it, as in
 the SQL, such a leaf is one template whatever its constants, and in other leaves those lines never recur.
 

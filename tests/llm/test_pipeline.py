@@ -101,12 +101,6 @@ def test_stages_bear_nulls_in_every_column_and_clashing_names(spark, tmp_path):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(rows)
 
 
-def test_short_recurring_lines_go(spark, documents):
-    rows = [(i, f"Les.\n{i}\nown {'q' * i} text {'r' * i} here\nAnd ornd.\n12 34") for i in range(1, 13)] + [(50, "few\nof it"), (51, "few\nof it")]
-    got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, documents(rows), "").collect()}
-    assert got == dict(rows) | {i: f"{i}\nown {'q' * i} text {'r' * i} here" for i in range(2, 13)}
-
-
 def test_documents_of_recurring_and_blank_lines_go(spark, documents):
     line = "This boilerplate line is everywhere"
     rows = [(i, f"{line}\n") for i in range(12)] + [(20, f"{line}\n \t\n\n{line}"), (21, f"{line}\n\nown words"), (22, "\n"), (23, ""), (24, None)]
