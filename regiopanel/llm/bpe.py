@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regiopanel.llm.words import column, expand, pieces, text_bytes
+from regiopanel.llm.words import column, expand, pieces, release, text_bytes
 
 #: Bytes of text whose distinct words share one trie.
 PIECE = 8 << 20
@@ -178,6 +178,11 @@ class ByteBPE:
         at = np.concatenate([[0], np.cumsum(counts[code])])
         return ids, at[np.searchsorted(cuts, off)] if len(code) else np.zeros(len(off), np.int64)
 
+    def forget(self) -> None:
+        """Drop what is remembered from piece to piece: a worker that is used again needn't keep it."""
+        self.recent = {}
+        self.may_follow.clear()
+
     @property
     def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes of all tokens, one after another, with starts and lengths by id."""
@@ -246,6 +251,8 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
             if decode:
                 out.append(pa.array(bpe.decode_batch(ids, at), pa.string()))
             yield pa.RecordBatch.from_arrays(out, names)
+        bpe.forget()
+        release()
 
     names = ["doc_id", "ids", "decoded"][:2 + decode]
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(

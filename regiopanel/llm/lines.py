@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regiopanel.llm.words import SPACE, _powers, column, find_lines, find_words, mix, pieces, span_hashes, text_bytes
+from regiopanel.llm.words import SPACE, column, find_lines, find_words, mix, pieces, rolling_spans, rolling_sums, span_hashes, text_bytes
 from regiopanel.session import materialize
 
 PIECE = 1 << 20
@@ -65,7 +65,7 @@ class _Lines:
         self.text = np.repeat(np.arange(len(count)), count)[keep]
         self.number = (np.arange(lines.first[-1]) - np.repeat(lines.first[:-1], count))[keep]
         n = (self.last - self.first).astype(np.uint64)
-        self.hash, self.exact = self._hashes(self.tokens, n), self._hashes(plain, n)
+        self.hash, self.exact = self._hashes(self.tokens), self._hashes(plain)
         fields = np.concatenate([[0], np.cumsum(variable, dtype=np.int64)])
         count = self.last - self.first
         self.alike = count - (fields[self.last] - fields[self.first]) >= similarity * count
@@ -75,11 +75,8 @@ class _Lines:
             token = self.tokens[np.where(there, self.first + d, 0)] if len(self.tokens) else self.leaf
             self.leaf = mix(self.leaf * np.uint64(0x9FB21C651E98DF25) + np.where(there, token, np.uint64(d)))
 
-    def _hashes(self, tokens: np.ndarray, n: np.ndarray) -> np.ndarray:
-        up, down = _powers(len(tokens) + 1)
-        sums = np.zeros(len(tokens) + 1, np.uint64)
-        np.cumsum(tokens * up[:len(tokens)], out=sums[1:])
-        return mix((sums[self.last] - sums[self.first]) * down[self.first] + n)
+    def _hashes(self, tokens: np.ndarray) -> np.ndarray:
+        return rolling_spans(rolling_sums(tokens), self.first, self.last)
 
     def once(self, what: np.ndarray) -> np.ndarray:
         """Whether a line is the first of its text with this value."""

@@ -32,10 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regiopanel.llm.words import column, find_words, pieces, text_bytes
+from regiopanel.llm.words import column, expand, find_words, pieces, text_bytes
 from regiopanel.session import materialize
 
-PIECE = 8 << 20
+#: Bytes of text worked on at a time, in the fit and in scoring.
+PIECE, SCORED = 1 << 20, 4 << 20
 #: Labelled rows of the fit at most, features kept, the fewest texts of a feature, and the share held out (1 in so many).
 SAMPLE, FEATURES, MIN_TEXTS, FOLDS = 12_000, 4096, 4, 5
 #: The least log likelihood ratio of a feature; below it, its link with the label may well be chance.
@@ -110,6 +111,29 @@ def _distinct(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return list(map(clean, coded.dictionary.to_pylist())), text, coded.indices.to_numpy(zero_copy_only=False)
 
 
+def _pairs(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """All features of the texts, and the (text, feature) pairs that occur, each once, as two arrays of numbers."""
+    words, text, word = _distinct(texts)
+    cleaned = {w: i for i, w in enumerate(dict.fromkeys(words))}  # several words may be one when cleaned
+    n = max(1, len(cleaned))
+    number = np.array([cleaned[w] for w in words], np.int64)
+    pairs = np.unique(text * n + (number[word] if len(word) else word))
+    index: dict[str, int] = {}
+    of_word = [[index.setdefault(f, len(index)) for f in features(w)] for w in cleaned]
+    counts = np.array([len(x) for x in of_word], np.int64)
+    flat = np.array([f for x in of_word for f in x], np.int64)
+    text, word = pairs // n, pairs % n
+    m = max(1, len(index))
+    each = counts[word] if len(counts) else word
+    found, times = np.unique(np.repeat(text, each) * m + flat[expand((np.cumsum(counts) - counts)[word], each)] if len(counts) else pairs,
+                             return_counts=True)
+    names = list(index)
+    prefix = np.array([f[-1] == "*" for f in names], bool)
+    text, feature = found // m, found % m
+    shared = (times > 1) & prefix[feature] if len(names) else times > 1  # two words of the text share the prefix
+    return names + [f + "*" for f in names], np.concatenate([text, text[shared]]), np.concatenate([feature, feature[shared] + len(names)])
+
+
 def _relevant(texts: pa.Array, index, also=()) -> list[set]:
     """Per text its distinct cleaned words that have a feature in ``index``, or are in ``also``."""
     words, text, word = _distinct(texts)
@@ -134,21 +158,12 @@ def _feature_counts(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in pieces(batches, "text", PIECE):
-            words, text, word = _distinct(column(batch, "text"))
-            toxic = column(batch, "toxic").to_numpy(zero_copy_only=False)
-            of: dict[str, set] = {}
-            pairs = {(t, words[w]) for t, w in set(zip(text.tolist(), word.tolist()))}
-            for t, w in pairs:
-                for f in features(w):
-                    texts_of = of.setdefault(f, set())
-                    if t not in texts_of:
-                        texts_of.add(t)
-                    elif f[-1] == "*":
-                        of.setdefault(f + "*", set()).add(t)
-            pos = [int(toxic[list(s)].sum()) for s in of.values()]
-            neg = [len(s) - p for s, p in zip(of.values(), pos)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(of), pa.string()), pa.array(pos, pa.int64()), pa.array(neg, pa.int64())],
-                                             ["feature", "pos", "neg"])
+            names, text, feature = _pairs(column(batch, "text"))
+            toxic = column(batch, "toxic").to_numpy(zero_copy_only=False) == 1
+            pos = np.bincount(feature[toxic[text]], minlength=len(names))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(names, pa.string()), pa.array(pos, pa.int64()),
+                pa.array(np.bincount(feature, minlength=len(names)) - pos, pa.int64())], ["feature", "pos", "neg"])
 
     return rows.mapInArrow(run, "feature string, pos long, neg long").groupBy("feature").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
@@ -234,7 +249,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", name: str = "scor
     rows = df.select(rest.alias("rest"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches):
-        for batch in pieces(batches, "text", PIECE):
+        for batch in pieces(batches, "text", SCORED):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score_texts(shared.value, column(batch, "text")), pa.float64())],
                                              [*batch.schema.names, "score"])
 

@@ -7,6 +7,7 @@ the piece size the caller asks :func:`pieces` for (one text longer than that is
 
 from __future__ import annotations
 
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -22,7 +23,9 @@ _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS: list[np.ndarray] = []
+#: log2 of the positions whose powers are kept; powers of further ones are a product of two.
+_BITS = 16
+_BLOCK = 1 << _BITS
 
 
 class Words(NamedTuple):
@@ -56,6 +59,11 @@ def pieces(batches, text: str, max_bytes: int = 4 << 20):
             start = stop
 
 
+def release() -> None:
+    """Give memory that Arrow keeps for later back to the system: for the end of a partition, as workers are used again."""
+    pa.default_memory_pool().release_unused()
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
@@ -109,22 +117,42 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
-        up[:1] = down[:1] = 1
-        _POWERS[:] = [np.multiply.accumulate(up), np.multiply.accumulate(down)]
-    return _POWERS[0], _POWERS[1]
+@lru_cache(maxsize=2)
+def _low_powers(base: int) -> np.ndarray:
+    """``base ** i`` for the positions of a block."""
+    values = np.full(_BLOCK, base, np.uint64)
+    values[0] = 1
+    return np.multiply.accumulate(values)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A uint64 hash of each byte span, equal for equal bytes wherever they stand."""
-    n = len(data)
-    up, down = _powers(n + 1)
+def _high_powers(base: int, n: int) -> np.ndarray:
+    """``base ** (i * block)`` for the blocks of ``n`` positions."""
+    values = np.full((n >> _BITS) + 1, pow(base, _BLOCK, 1 << 64), np.uint64)
+    values[0] = 1
+    return np.multiply.accumulate(values)
+
+
+def rolling_sums(values: np.ndarray) -> np.ndarray:
+    """Sums of ``values[i] * base ** i`` up to each position, one entry more than ``values``."""
+    n = len(values)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_TABLE[data] * up[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    low, high = _low_powers(_BASE), _high_powers(_BASE, n)
+    for k, start in enumerate(range(0, n, _BLOCK)):
+        part = values[start:start + _BLOCK]
+        np.multiply(part, low[:len(part)], out=sums[start + 1:start + 1 + len(part)])
+        sums[start + 1:start + 1 + len(part)] *= high[k]
+    return np.cumsum(sums, out=sums)
+
+
+def rolling_spans(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each span of the values behind ``sums``, equal for equal values wherever they stand."""
+    down = _low_powers(_INVERSE)[starts & (_BLOCK - 1)] * _high_powers(_INVERSE, len(sums))[starts >> _BITS]
+    return mix((sums[ends] - sums[starts]) * down + (ends - starts).astype(np.uint64))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _TABLE) -> np.ndarray:
+    """A uint64 hash of each byte span, equal for equal bytes wherever they stand."""
+    return rolling_spans(rolling_sums(table[data]), starts, ends)
 
 
 def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
