@@ -15,11 +15,11 @@ lines have their tokens compared. Constants are counts per (leaf, position, toke
 each task; there is no clustering inside a leaf and no leaf is ever gathered in one place. Aggregates that go back to
 lines by a join are written first, so that adaptive execution can split a hot key of the join.
 
-With ``strict`` (``op2_line_dedup`` sets it), the similarity rule holds in leaves of one masked line too, and of the lines with
-more variable tokens than it allows only those equal token by token, variable ones unmasked, are one template. Without it, as in
-the SQL, such a leaf is one template whatever its constants, and in other leaves those lines never recur.
+Lines with more variable tokens than the similarity rule allows, such as rows of numbers, can't belong to a template with
+variable fields: of these only lines equal token by token, variable ones unmasked, are one template. (Any other line that recurs word for
+word is covered by the first rule: all its tokens without a digit are constant then.)
 
-Defined results: lines are split at ``\n``; lines of fewer than ``min_tokens`` tokens, blank lines and the
+Defined results: lines are split at ``\n``; blank lines, lines of fewer than ``min_tokens`` tokens (by default there are none) and the
 order of lines stay as they are. A null text stays null, with no lines. Repeated rows (same ``doc_id`` and
 text) are treated alike and are one of a template's documents; rows with a null ``doc_id`` come before all others. Other
 columns pass through, whatever their names. An empty table gives an empty result.
@@ -31,20 +31,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from regiopanel.llm.words import SPACE, column, find_lines, find_words, mix, pieces, rolling_spans, rolling_sums, span_hashes, text_bytes
+from regiopanel.llm.words import column, find_lines, find_words, mix, pieces, rolling_spans, rolling_sums, span_hashes, text_bytes
 from regiopanel.session import materialize
 
 PIECE = 1 << 20
 #: Leading tokens that lead to a leaf, documents that make a token constant and a template recurring, the
 #: share of constant tokens that a template needs, and tokens below which a line is no template.
-DEPTH, MIN_DOCS, SIMILARITY, MIN_TOKENS = 3, 10, 0.7, 3
+DEPTH, MIN_DOCS, SIMILARITY, MIN_TOKENS = 3, 10, 0.7, 1
 #: The hash of a variable token.
 WILD = np.uint64(0x2A2A2A2A2A2A2A2A)
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
-_BLANK = bytes(np.flatnonzero(SPACE).tolist()).decode()
 
 
 class _Lines:
@@ -123,31 +121,18 @@ def _tokens(docs: DataFrame, depth: int, least: int) -> DataFrame:
 
 
 def _without(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` with the lines numbered in ``_drop`` taken out of ``_text``."""
-
-    def run(batches):
-        for batch in pieces(batches, "_text", PIECE):
-            texts, drops = column(batch, "_text").to_pylist(), column(batch, "_drop").to_pylist()
-            lines, worded, dropped = [], [], []
-            for i, (text, drop) in enumerate(zip(texts, drops)):
-                parts = text.split("\n") if text is not None else []
-                lines.append(len(parts))
-                worded.append(sum(1 for x in parts if x.strip(_BLANK)))
-                gone = set(drop or ())
-                dropped.append(len(gone))
-                if gone:
-                    texts[i] = "\n".join(x for n, x in enumerate(parts) if n not in gone)
-            batch = batch.set_column(batch.schema.get_field_index("_text"), "_text", pa.array(texts, pa.string()))
-            batch = batch.append_column("_lines", pa.array(lines, pa.int64()))
-            batch = batch.append_column("_worded", pa.array(worded, pa.int64()))
-            yield batch.append_column("_dropped", pa.array(dropped, pa.int64()))
-
-    more = [T.StructField("_lines", T.LongType()), T.StructField("_worded", T.LongType()), T.StructField("_dropped", T.LongType())]
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *more]))
+    """The rows of ``df`` with the lines numbered in ``_drop`` taken out of ``_text``; texts that lose none aren't split for it."""
+    parts, some = F.split("_text", "\n", -1), F.col("_drop").isNotNull()
+    df = df.withColumn("_parts", F.when(some, parts))
+    stay = F.array_except(F.sequence(F.lit(0).cast("long"), F.size("_parts").cast("long") - 1), F.col("_drop"))
+    worded = F.size(F.filter("_parts", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    text = F.array_join(F.transform(stay, lambda i: F.col("_parts")[i.cast("int")]), "\n")
+    return df.select("*", F.when(some, text).otherwise(F.col("_text")).alias("_left"),
+                     F.when(some, F.size("_drop")).otherwise(0).cast("long").alias("_dropped"), F.when(some, worded).alias("_worded"))
 
 
 def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS,
-                    similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS, strict: bool = False) -> DataFrame:
+                    similarity: float = SIMILARITY, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """``doc_id, mark, lines``: the numbers of the lines to drop from the documents that have some.
 
     ``mark`` is ``xxhash64`` of the text, so that rows sharing a ``doc_id`` keep apart.
@@ -162,7 +147,7 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct = materialize(distinct, "distinct-lines")
     leaves = materialize(distinct.groupBy("leaf").agg(F.sum("leaf_docs").alias("n"), F.count("*").alias("kinds"))
                          .where(F.col("n") >= min_docs), "leaves")
-    lone = (distinct.where("alike") if strict else distinct).join(leaves.where("kinds = 1"), "leaf").select("leaf", "hash", F.col("hash").alias("template"))
+    lone = distinct.where("alike").join(leaves.where("kinds = 1"), "leaf").select("leaf", "hash", F.col("hash").alias("template"))
 
     several = materialize(distinct.join(leaves.where("kinds > 1"), "leaf").select("leaf", "hash", "docs", "at"), "mixed-leaves")
     wanted = several.groupBy(F.col("at.doc_id").alias("id"), F.col("at.mark").alias("m")).agg(
@@ -179,11 +164,10 @@ def recurring_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     template = materialize(lone.unionByName(general), "templates")
     found = materialize(lines.join(template, ["leaf", "hash"]).select("doc_id", "mark", "line", "leaf", "template"), "template-lines")
-    if strict:  # the rest recur only word for word; none of them is in ``found``
-        rest = lines.where("exact is not null")
-        equal = rest.groupBy("leaf", "exact").agg(F.sum(F.col("new_exact").cast("long")).alias("n")).where(F.col("n") >= min_docs)
-        equal = materialize(equal.drop("n"), "equal-lines")
-        found = found.unionByName(rest.join(equal, ["leaf", "exact"]).select("doc_id", "mark", "line", "leaf", F.col("exact").alias("template")))
+    rest = lines.where("exact is not null")  # none of these is in ``found``
+    equal = rest.groupBy("leaf", "exact").agg(F.sum(F.col("new_exact").cast("long")).alias("n")).where(F.col("n") >= min_docs)
+    equal = materialize(equal.drop("n"), "equal-lines")
+    found = found.unionByName(rest.join(equal, ["leaf", "exact"]).select("doc_id", "mark", "line", "leaf", F.col("exact").alias("template")))
     recurs = found.groupBy("leaf", "template", "doc_id", "mark").agg(F.min("line").alias("line")).groupBy("leaf", "template").agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "mark", "line")).alias("first")).where(F.col("n") >= min_docs)
     recurs = materialize(recurs, "recurring")
@@ -204,10 +188,11 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     rows = rows.join(drops.hint("merge"), rows._id.eqNullSafe(drops._i) & (rows._mark == drops._m), "left").select("_rest", "_id", "_text", "_drop")
     out = _without(rows)
     if counts:
-        return out.select(F.col("_id").alias("doc_id"), F.col("_lines").alias("n_lines"),
-                          F.col("_dropped").alias("n_dropped"), F.col("_text").alias("text"))
+        lines = F.when(F.col("_text").isNull(), 0).otherwise(F.length("_text") - F.length(F.translate("_text", "\n", "")) + 1)
+        return out.select(F.col("_id").alias("doc_id"), lines.cast("long").alias("n_lines"),
+                          F.col("_dropped").alias("n_dropped"), F.col("_left").alias("text"))
     out = out.where("_dropped = 0 or _dropped < _worded")
-    return out.select(*[F.col("_text").alias(text_col) if c == text_col else F.col(f"_rest.`{c}`") for c in df.columns])
+    return out.select(*[F.col("_left").alias(text_col) if c == text_col else F.col(f"_rest.`{c}`") for c in df.columns])
 
 
 #: The same in DuckDB SQL over the table ``documents``, on the tokens themselves (ids are unique there).
@@ -215,24 +200,26 @@ ORACLE = r"""
 WITH docs AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
 numbered AS (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM docs),
 lines AS (
-  SELECT doc_id, i - 1 AS line, list_transform(regexp_extract_all(parts[i], '[^\x20\x09-\x0D]+'),
-                                               lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN chr(1) ELSE x END) AS w
-  FROM numbered),
-kept AS (SELECT *, len(w) AS n, CAST(len(w) AS VARCHAR) || ' ' || array_to_string(w[1:3], ' ') AS leaf,
-                array_to_string(w, ' ') AS masked FROM lines WHERE len(w) >= 3),
+  SELECT doc_id, line, raw, list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN chr(1) ELSE x END) AS w
+  FROM (SELECT doc_id, i - 1 AS line, regexp_extract_all(parts[i], '[^\x20\x09-\x0D]+') AS raw FROM numbered)),
+kept AS (SELECT *, len(w) AS n, CAST(len(w) AS VARCHAR) || ' ' || array_to_string(w[1:3], ' ') AS leaf, array_to_string(w, ' ') AS masked,
+                array_to_string(raw, ' ') AS exact, len(list_filter(w, lambda x: x <> chr(1))) >= CAST(0.7 AS DOUBLE) * len(w) AS alike
+         FROM lines WHERE len(w) >= 1),
 leaves AS (SELECT leaf, count(DISTINCT doc_id) AS docs, count(DISTINCT masked) AS kinds FROM kept GROUP BY leaf HAVING count(DISTINCT doc_id) >= 10),
-lone AS (SELECT doc_id, line, leaf, masked AS template FROM kept JOIN leaves USING (leaf) WHERE kinds = 1),
+lone AS (SELECT doc_id, line, leaf, masked AS template FROM kept JOIN leaves USING (leaf) WHERE kinds = 1 AND alike),
 kinds AS (SELECT leaf, masked, any_value(w) AS w, any_value(n) AS n, count(DISTINCT doc_id) AS d
           FROM kept JOIN leaves USING (leaf) WHERE kinds > 1 GROUP BY leaf, masked),
 tokens AS (SELECT leaf, masked, n, d, pos, w[pos] AS token FROM (SELECT *, unnest(range(1, n + 1)) AS pos FROM kinds)),
 constants AS (SELECT leaf, pos, token FROM tokens WHERE token <> chr(1) GROUP BY leaf, pos, token HAVING sum(d) >= 10),
 general AS (
   SELECT leaf, masked, string_agg(CAST(pos AS VARCHAR) || ':' || token, ' ' ORDER BY pos) AS template
-  FROM tokens JOIN constants USING (leaf, pos, token) GROUP BY leaf, masked, n HAVING count(*) >= 0.7 * n),
+  FROM tokens JOIN constants USING (leaf, pos, token) GROUP BY leaf, masked, n HAVING count(*) >= CAST(0.7 AS DOUBLE) * n),
 found AS (
   SELECT doc_id, line, leaf, template FROM lone
   UNION ALL
-  SELECT doc_id, line, leaf, template FROM kept JOIN general USING (leaf, masked)),
+  SELECT doc_id, line, leaf, template FROM kept JOIN general USING (leaf, masked)
+  UNION ALL
+  SELECT doc_id, line, leaf, '=' || exact FROM kept WHERE NOT alike),
 recurs AS (
   SELECT leaf, template, min(doc_id) AS d FROM found GROUP BY leaf, template HAVING count(DISTINCT doc_id) >= 10),
 firsts AS (SELECT f.leaf, f.template, f.doc_id, min(f.line) AS line FROM found f JOIN recurs r ON f.leaf = r.leaf AND f.template = r.template AND f.doc_id = r.d GROUP BY 1, 2, 3),

@@ -4,31 +4,36 @@ import random
 import re
 from collections import defaultdict
 
+import duckdb
 import pytest
 
-from regiopanel.llm.lines import line_dedup
+from regiopanel.llm.lines import ORACLE, line_dedup
 from regiopanel.llm.queries import QUERIES
 
 
-def brute(rows, depth=3, min_docs=10, similarity=0.7, min_tokens=3):
+def brute(rows, depth=3, min_docs=10, similarity=0.7, min_tokens=1):
     """``{index of row: numbers of its dropped lines}``."""
     leaves, support, where = defaultdict(set), defaultdict(set), []
     for i, (doc, text) in enumerate(rows):
         for n, line in enumerate(text.split("\n") if text is not None else []):
-            tokens = tuple("*" if re.search("[0-9]", t) else t for t in re.findall(r"[^\x20\x09-\x0D]+", line))
+            raw = re.findall(r"[^\x20\x09-\x0D]+", line)
+            tokens = tuple("*" if re.search("[0-9]", t) else t for t in raw)
             if len(tokens) >= min_tokens:
                 leaf = (len(tokens), tokens[:depth])
                 leaves[leaf].add(i)
-                where.append((i, n, leaf, tokens))
+                where.append((i, n, leaf, tokens, tuple(raw)))
                 for p, t in enumerate(tokens):
                     support[leaf, p, t].add((i, tokens))
     kinds = defaultdict(set)
-    for _, _, leaf, tokens in where:
+    for _, _, leaf, tokens, _ in where:
         kinds[leaf].add(tokens)
     templates = defaultdict(list)
-    for i, n, leaf, tokens in where:
+    for i, n, leaf, tokens, raw in where:
         if len(leaves[leaf]) < min_docs:
             continue
+        if sum(t != "*" for t in tokens) < similarity * len(tokens):  # only word for word
+            templates[leaf, "=", raw].append((i, n))
+            continue
         if len(kinds[leaf]) == 1:
             constants = tokens
         else:
@@ -59,7 +64,7 @@ def corpus(seed):
             elif kind < 0.4:
                 lines.append("All rights reserved.  " + r.choice(["", " "]))
             elif kind < 0.5:
-                lines.append(r.choice(["", " ", "ok", "a b", "\t"]))
+                lines.append(r.choice(["", " ", "ok", "a b", "\t", "12 34 56", f"{r.randrange(99)} {r.randrange(99)} 7", "1 2 of 3"]))
             else:
                 lines.append(" ".join(r.choice(words) for _ in range(r.randrange(1, 8))))
         rows.append((i, "\n".join(lines)))
@@ -81,7 +86,7 @@ def test_matches_brute_force(documents, seed):
 
 
 def test_variable_fields_and_clean_documents(documents):
-    rows = [(i, f"unique line {'q' * i} of words\nPage {i} of 20 printed by user u{i}\nown text number{i} here alone") for i in range(30)]
+    rows = [(i, f"unique line {'q' * i} of words\nPage {i} of 20 printed here by the user u{i}\nown text number{i} here alone") for i in range(30)]
     rows.append((99, "a clean text\nwith its own lines\n\nof words"))
     got = {r.doc_id: r for r in line_dedup(documents(rows), counts=True).collect()}
     assert got[99].text == rows[-1][1] and got[99].n_dropped == 0
@@ -91,7 +96,7 @@ def test_variable_fields_and_clean_documents(documents):
 
 
 def test_keeps_columns_and_drops_emptied(spark, documents):
-    rows = [(i, "This boilerplate line is everywhere") for i in range(12)] + [(50, ""), (51, None), (52, "x\ny")]
+    rows = [(i, "This boilerplate line is everywhere") for i in range(12)] + [(50, ""), (51, None), (52, "x\ny"), (53, "This boilerplate line is everywhere\n ")]
     df = documents(rows).selectExpr("doc_id", "text", "lang", "source", "n_chars", "1 as line", "2 as mark", "3 as _text_", "4 as leaf")
     got = line_dedup(df)
     assert got.columns == df.columns
@@ -123,3 +128,21 @@ def test_number_rows_stay_and_equal_ones_go(spark, documents, tmp_path):
     rows = numbers + equal + few + mixed
     gone = {i: "" for i in [*range(51, 62), *range(151, 162)]}
     assert query(spark, documents, tmp_path, rows) == dict(rows) | {50: "12 34 56"} | gone
+
+
+def test_sql_follows_the_same_rule(spark, documents, tmp_path):
+    """Number rows, short lines and templates, in leaves of one masked line and of several, by the query and by its SQL."""
+    rows = [(i, t) for i, t in corpus(7) if i is not None]
+    rows += [(100 + i, f"{i} {10 + i} {20 + i}\nLes.\n12 34 56\nOf. it\nown {'q' * i} text") for i in range(14)]
+    rows += [(200 + i, f"7 8 9 {i} plus\n1 2 3 4 equal\nPage {i} of the whole book") for i in range(12)]
+    got = query(spark, documents, tmp_path, rows)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert got == {d: t for d, _, _, t in con.execute(ORACLE).fetchall()}
+    assert got[105] == f"5 15 25\nown {'q' * 5} text" and got[205] == "7 8 9 5 plus"
+
+
+def test_short_recurring_lines_go(documents):
+    rows = [(i, f"Les.\n{i}\nown {'q' * i} text {'r' * i} here\nAnd ornd.\n12 34") for i in range(1, 13)] + [(50, "few\nof it"), (51, "few\nof it")]
+    got = {r.doc_id: r.text for r in line_dedup(documents(rows)).collect()}
+    assert got == dict(rows) | {i: f"{i}\nown {'q' * i} text {'r' * i} here" for i in range(2, 13)}

@@ -17,7 +17,7 @@ from regiopanel.llm.queries import tokenizer
 
 def corpus():
     r = random.Random(11)
-    vocab = [f"w{i}x" for i in range(300)]
+    vocab = ["w" + "".join("abcdefghij"[int(c)] for c in f"{i:03}") + "x" for i in range(300)]  # no digits: lines aren't fields only
     text = lambda n: " ".join(r.choice(vocab) for _ in range(n))
     rows, labels = [], []
     for i in range(150):
@@ -106,3 +106,9 @@ def test_documents_of_recurring_and_blank_lines_go(spark, documents):
     rows = [(i, f"{line}\n") for i in range(12)] + [(20, f"{line}\n \t\n\n{line}"), (21, f"{line}\n\nown words"), (22, "\n"), (23, ""), (24, None)]
     got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, documents(rows), "").collect()}
     assert got == {0: f"{line}\n", 21: "\nown words", 22: "\n", 23: "", 24: None}
+
+
+def test_number_rows_stay_and_short_recurring_lines_go(spark, documents):
+    rows = [(i, f"{i} {100 + i} {200 + i}\nOf.\nown {'q' * i} text") for i in range(10, 25)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, documents(rows), "").collect()}
+    assert got == {i: t if i == 10 else t.replace("Of.\n", "") for i, t in rows}
