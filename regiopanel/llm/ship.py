@@ -1,26 +1,67 @@
-"""The package on every executor: a zip that Spark distributes, for clusters where it isn't installed."""
+"""What executors need besides the data: this package, and the bytes of tokenizer files.
+
+The package goes as a zip that Spark distributes, for clusters where it isn't installed. Tokenizer files (1 to 2 MB) are read
+where the driver runs and broadcast, so no executor needs the path.
+"""
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import os
+import shutil
 import tempfile
 import zipfile
+from functools import lru_cache
 from pathlib import Path
 
+from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Let the Python workers of this application import this package, once."""
+    """Let the Python workers of this application import this package, once. Operators call it themselves."""
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
     package = Path(__file__).resolve().parents[1]
-    place = os.path.join(tempfile.mkdtemp(prefix="regiopanel-"), "regiopanel.zip")  # the driver's; Spark sends it on
+    folder = tempfile.mkdtemp(prefix="regiopanel-")  # the driver's; Spark sends the file on
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    place = os.path.join(folder, "regiopanel.zip")
     with zipfile.ZipFile(place, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
     spark.sparkContext.addPyFile(place)
     _SHIPPED.add(app)
+
+
+def send_file(spark: SparkSession, path: str) -> Broadcast:
+    """The bytes of a tokenizer file for the executors, with their digest."""
+    ship(spark)
+    raw = Path(path).read_bytes()
+    return spark.sparkContext.broadcast((hashlib.sha256(raw).hexdigest(), raw))
+
+
+class _Sent:
+    """Bytes that compare by their digest, so that workers build a tokenizer once for each file."""
+
+    def __init__(self, digest: str, raw: bytes):
+        self.digest, self.raw = digest, raw
+
+    def __hash__(self):
+        return hash(self.digest)
+
+    def __eq__(self, other):
+        return self.digest == other.digest
+
+
+@lru_cache(maxsize=2)
+def _build(kind, sent: _Sent):
+    return kind(sent.raw)
+
+
+def received(kind, sent: Broadcast):
+    """``kind(bytes of the file)``, built once in each Python worker."""
+    return _build(kind, _Sent(*sent.value))
