@@ -10,7 +10,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regiopanel.llm import ann, bpe, chat, counts, jaccard, lines, mixing, piecebpe, quality, tokenfile, toxicity
+from regiopanel.llm import ann, bpe, chat, counts, jaccard, lines, mixing, phrases, piecebpe, quality, search, tokenfile, toxicity
 from regiopanel.llm.ship import ship
 
 
@@ -82,11 +82,22 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 collocations of each language with the highest scores."""
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 documents that match each benchmark item best."""
+    return search.ranked_search(_table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document with the SentencePiece model; SHA-256 of the ids and of the decoded text."""
     return piecebpe.digests(_table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_line_dedup, op3_chat, op4_toxicity, op5_token_counts, op6_token_file, op7_quality,
-                                      op8_nearest, op9_mixing, op10_jaccard, op13_sentencepiece)}
-ORACLE = {"op2_line_dedup": lines.ORACLE, "op3_chat": chat.ORACLE, "op9_mixing": mixing.ORACLE, "op10_jaccard": jaccard.ORACLE}
+                                      op8_nearest, op9_mixing, op10_jaccard, op11_collocations, op12_search, op13_sentencepiece)}
+ORACLE = {"op2_line_dedup": lines.ORACLE, "op3_chat": chat.ORACLE, "op9_mixing": mixing.ORACLE, "op10_jaccard": jaccard.ORACLE,
+          "op11_collocations": phrases.ORACLE, "op12_search": search.ORACLE}

@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
@@ -72,12 +73,12 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def find_words(data: np.ndarray, off: np.ndarray) -> Words:
-    """Maximal runs of bytes other than :data:`SPACE`; a word never crosses a text's end."""
+def find_words(data: np.ndarray, off: np.ndarray, apart: np.ndarray = SPACE) -> Words:
+    """Maximal runs of bytes other than those that ``apart`` marks; a word never crosses a text's end."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return Words(z, z, np.zeros(len(off), np.int64))
-    inside = ~SPACE[data]
+    inside = ~apart[data]
     begin, stop = inside.copy(), inside.copy()
     begin[1:] &= ~inside[:-1]
     stop[:-1] &= ~inside[1:]
@@ -173,6 +174,34 @@ def shingle_hashes(words: np.ndarray, first: np.ndarray, size: int = 5) -> tuple
     return h, at
 
 
+def span_texts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The byte spans, which are whole UTF-8 characters, as strings."""
+    size = ends - starts
+    at = np.concatenate([[0], np.cumsum(size)])
+    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(
+        np.ascontiguousarray(data[expand(starts, size)]))).cast(pa.string())
+
+
+def bit_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The place of each hash in a bitmap of ``2 ** bits`` bits."""
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def bitmap(places, bits: int) -> np.ndarray:
+    """``2 ** bits`` bits as bytes, those of the column ``place`` set. Spark builds it in blocks of 4 KB; the driver gets
+    those that aren't empty: at most ``2 ** bits / 8`` bytes, whatever the table's size."""
+    rows = places.groupBy(F.bitmap_bucket_number(F.col("place") + 1).alias("block")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("place") + 1)).alias("set")).collect()
+    out = np.zeros(max(4096, (1 << bits) // 8), np.uint8)
+    for r in rows:  # Spark counts from 1: blocks, and places in them
+        out[(r["block"] - 1) * 4096:r["block"] * 4096] = np.frombuffer(bytes(r["set"]), np.uint8)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
+
+
 def expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Indices ``starts[i] .. starts[i] + counts[i] - 1`` for all i, one after another."""
     ends = np.cumsum(counts)
