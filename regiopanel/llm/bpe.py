@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from regiopanel.llm.words import column, expand, pieces, release, text_bytes
 
 #: Bytes of text whose distinct words share one trie.
-PIECE = 8 << 20
+PIECE = 2 << 20
 #: Bytes that are put together from tokens at a time, and remembered pairs of tokens.
-DECODE, PAIRS = 4 << 20, 500_000
+DECODE, PAIRS = 2 << 20, 300_000
 
 # Fixed value: the pattern of the byte-level pre-tokenizer.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -67,7 +67,7 @@ class ByteBPE:
             self.joined[a, b] = r
             if self.rank[both] < 0:
                 self.rank[both], self.parts[both] = r, (a, b)
-        self.may_follow: dict[tuple[int, int], bool] = {}
+        self.may_follow: dict[int, bool] = {}  # by the ids of both tokens in one number
         # A token that its own bytes don't encode to never occurs.
         self.tokens = {b: i for i, b in self.text_of.items() if i not in self.added.values() and
                        (i not in self.parts or self._apart(*self.parts[i], self.rank[i]))}
@@ -122,10 +122,10 @@ class ByteBPE:
                         continue
                     if not start:
                         break
-                    pair = (last[start], token)
+                    pair = last[start] << 32 | token
                     fits = follow.get(pair)
                     if fits is None:
-                        fits = follow[pair] = self._apart(*pair)
+                        fits = follow[pair] = self._apart(last[start], token)
                     if fits:
                         break
                 last.append(token)

@@ -33,10 +33,10 @@ from pyspark.sql import functions as F
 from regiopanel.llm.ship import received, send_file
 from regiopanel.llm.words import column, expand, pieces, release, text_bytes
 
-PIECE = 4 << 20
+PIECE = 2 << 20
 #: Symbols of a part that is encoded by rounds, distinct words that a worker remembers, bytes of words encoded at a time,
 #: and bytes decoded at a time.
-LONG, KNOWN, WORDS, DECODE = 1024, 300_000, 4 << 20, 4 << 20
+LONG, KNOWN, WORDS, DECODE = 1024, 200_000, 2 << 20, 2 << 20
 
 # The model file's fields (pieces 1, trainer 2, normalizer 3), kinds of pieces, and the mark of a space.
 _PIECE, _TRAINER, _NORMALIZER = 1, 2, 3

@@ -36,7 +36,7 @@ from regiopanel.llm.words import column, expand, find_words, pieces, text_bytes
 from regiopanel.session import materialize
 
 #: Bytes of text worked on at a time, in the fit and in scoring.
-PIECE, SCORED = 1 << 20, 4 << 20
+PIECE, SCORED = 1 << 20, 2 << 20
 #: Labelled rows of the fit at most, features kept, the fewest texts of a feature, and the share held out (1 in so many).
 SAMPLE, FEATURES, MIN_TEXTS, FOLDS = 12_000, 4096, 4, 5
 #: The least log likelihood ratio of a feature; below it, its link with the label may well be chance.
