@@ -53,6 +53,7 @@ from regiopanel.sources.delimited import (
 from regiopanel.sources.payload import payload_rows, payload_schema, read_payloads
 from regiopanel.sources.typed_json import read_document_dump
 from regiopanel.session import materialize, scratch_path
+from regiopanel.sources.unique import append_unique
 from regiopanel.streaming.landing import land_payloads
 
 # The recode map applied to region names in the recode checks (3 of the 5 names).
@@ -197,6 +198,51 @@ def io_collection_partitioned_scan(spark: SparkSession, sf: str) -> DataFrame:
                            projection={"c_custkey": 1, "c_name": 1, "c_nationkey": 1, "c_acctbal": 1, "_id": 0})
 
 
+def io_collection_layouts(spark: SparkSession, sf: str) -> DataFrame:
+    """IO4 + IO5: orders of one schema appended plain, partitioned by priority (twice, by other columns) and by a stream; each
+    order comes back once from each, with its values and types."""
+    path = scratch_path(spark, "collection-layouts")
+    orders = table(spark, sf, "orders").select(F.col("o_orderdate").alias("time"), "o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    append_to_collection(orders, path)
+    append_to_collection(orders, path, partition_by="o_orderpriority")
+    append_to_collection(orders, path, partition_by=["o_orderstatus", "o_orderpriority"])
+    block = F.floor(F.col("o_orderkey") / F.lit(PAYLOAD_CHUNK))
+    rows = F.sort_array(F.collect_list(F.struct("o_orderkey", *[c for c in orders.columns if c != "o_orderkey"])))
+    packed = orders.groupBy(block.alias("block")).agg(rows.alias("rows"))
+    arrays = [F.col(f"rows.{c}").alias(c) for c in orders.columns[1:]]
+    time = F.transform("rows.time", lambda t: F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("time")
+    landing = scratch_path(spark, "order-payloads")
+    packed.select(F.to_json(F.struct("block", F.struct(time, *arrays).alias("hourly"))).alias("value")).write.mode("overwrite").text(landing)
+    schema = payload_schema({"o_orderkey": "bigint", "o_orderstatus": "string", "o_orderpriority": "string", "o_totalprice": "double"},
+                            keys={"block": "bigint"})
+    land_payloads(spark, landing, schema, path, scratch_path(spark, "order-stream")).awaitTermination()
+    return collection_scan(spark, path).groupBy("time", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice").agg(
+        F.count("*").alias("n_copies"), F.countDistinct("_imported_at").alias("n_stamps"))
+
+
+def io_collection_unique(spark: SparkSession, sf: str) -> DataFrame:
+    """IO4 + A9 with unique ids: two of three orders appended, then all of them, some twice; a known id is refused, and each order is
+    stored once, by the append that brought it first."""
+    path = scratch_path(spark, "collection-unique")
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("_id"), "o_orderkey", "o_totalprice")
+    first = append_unique(orders.where("o_orderkey % 3 <> 0").withColumn("batch", F.lit(1)), path)
+    again = orders.unionByName(orders.where("o_orderkey % 5 = 0"))
+    second = append_unique(again.withColumn("batch", F.lit(2)), path)
+    return collection_scan(spark, path).groupBy("o_orderkey").agg(
+        F.count("*").alias("n_copies"), F.max("batch").alias("batch"), F.max("o_totalprice").alias("o_totalprice")).select(
+        "*", F.lit(first.inserted).cast("long").alias("first_inserted"), F.lit(second.inserted).cast("long").alias("second_inserted"),
+        F.lit(second.refused).cast("long").alias("second_refused"))
+
+
+def io_collection_find_id(spark: SparkSession, sf: str) -> DataFrame:
+    """IO5 as a point query: customers appended in ranges of their key, with Bloom filters on the name; one is found by both."""
+    path = scratch_path(spark, "collection-points")
+    append_to_collection(table(spark, sf, "customer"), path, cluster_by="c_custkey", bloom="c_name")
+    name = F.lit("Customer#000000077")
+    return collection_scan(spark, path, projection={"c_custkey": 1, "c_name": 1, "c_acctbal": 1, "c_mktsegment": 1, "_id": 0}).where(
+        (F.col("c_custkey") == 77) | (F.col("c_name") == name))
+
+
 def io_ragged_union(spark: SparkSession, sf: str) -> DataFrame:
     """IO7: customers and orders in one table; missing keys are null."""
     return ragged_union([table(spark, sf, "customer"), table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey")])
@@ -254,32 +300,32 @@ def io_doc_dump_decode(spark: SparkSession, sf: str) -> DataFrame:
 # Schema operators
 # ---------------------------------------------------------------------------------------------
 
-def _nation_with_header(spark: SparkSession, sf: str, names, trailing_empty: bool = False) -> DataFrame:
-    nation = table(spark, sf, "nation").select(
-        F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string"))
+def _orders_with_header(spark: SparkSession, sf: str, names, trailing_empty: bool = False) -> DataFrame:
+    orders = table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string"), "o_orderpriority", F.col("o_custkey").cast("string"))
     if trailing_empty:
-        nation = nation.withColumn("__empty", F.lit(None).cast("string"))
+        orders = orders.withColumn("__empty", F.lit(None).cast("string"))
         names = list(names) + [""]
-    path = scratch_path(spark, "nation-header")
-    _write_text_csv(nation.toDF(*names), path)
+    path = scratch_path(spark, "orders-header")
+    _write_text_csv(orders.toDF(*names), path)
     return read_delimited(spark, path, sep=";")
 
 
 def schema_trim_names(spark: SparkSession, sf: str) -> DataFrame:
     """SC1: padded header names trimmed."""
-    raw = _nation_with_header(spark, sf, [" n_nationkey ", "n_name  ", " n_regionkey"])
+    raw = _orders_with_header(spark, sf, [" o_orderkey ", "o_orderpriority  ", " o_custkey"])
     return trim_names(raw)
 
 
 def schema_safe_names(spark: SparkSession, sf: str) -> DataFrame:
     """SC2: dotted header names made safe."""
-    raw = _nation_with_header(spark, sf, ["n.nationkey", "n.name", "n.regionkey"])
+    raw = _orders_with_header(spark, sf, ["o.orderkey", "o.orderpriority", "o.custkey"])
     return safe_names(raw)
 
 
 def schema_drop_unnamed(spark: SparkSession, sf: str) -> DataFrame:
     """SC7: the empty column behind a trailing separator is dropped."""
-    raw = _nation_with_header(spark, sf, ["n_nationkey", "n_name", "n_regionkey"], trailing_empty=True)
+    raw = _orders_with_header(spark, sf, ["o_orderkey", "o_orderpriority", "o_custkey"], trailing_empty=True)
     return drop_unnamed(raw)
 
 
@@ -622,6 +668,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "io_collection_scan": io_collection_scan,
     "io_collection_partitioned_scan": io_collection_partitioned_scan,
     "io_collection_widening": io_collection_widening,
+    "io_collection_layouts": io_collection_layouts,
+    "io_collection_unique": io_collection_unique,
+    "io_collection_find_id": io_collection_find_id,
     "io_collection_find": io_collection_find,
     "io_text_roundtrip": io_text_roundtrip,
     "io_ragged_union": io_ragged_union,

@@ -131,6 +131,17 @@ ORACLE: dict[str, str] = {
         SELECT o_orderkey, CAST(floor(o_totalprice) AS DOUBLE) AS price, o_orderstatus, NULL AS o_orderpriority FROM orders
         UNION ALL
         SELECT o_orderkey, o_totalprice, NULL, o_orderpriority FROM orders""",
+    "io_collection_layouts": """
+        SELECT o_orderdate AS time, o_orderkey, o_orderstatus, o_orderpriority, o_totalprice, CAST(4 AS BIGINT) AS n_copies, CAST(4 AS BIGINT) AS n_stamps
+        FROM orders""",
+    "io_collection_unique": """
+        SELECT o_orderkey, CAST(1 AS BIGINT) AS n_copies, CASE WHEN o_orderkey % 3 <> 0 THEN 1 ELSE 2 END AS batch, o_totalprice,
+               (SELECT count(*) FROM orders WHERE o_orderkey % 3 <> 0) AS first_inserted,
+               (SELECT count(*) FROM orders WHERE o_orderkey % 3 = 0) AS second_inserted,
+               (SELECT count(*) FROM orders WHERE o_orderkey % 3 <> 0) + (SELECT count(*) FROM orders WHERE o_orderkey % 5 = 0) AS second_refused
+        FROM orders""",
+    "io_collection_find_id": """
+        SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer WHERE c_custkey = 77 OR c_name = 'Customer#000000077'""",
     "io_collection_find": """
         SELECT d.doc_id, l.quality, l.toxic, d.lang FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
         WHERE (l.toxic IS NULL OR l.toxic <> 1) AND (l.quality IS NULL OR d.lang IN ('de', 'fr')) AND d.doc_id >= 10""",
@@ -152,14 +163,11 @@ ORACLE: dict[str, str] = {
     "io_doc_dump_decode": """
         SELECT event_id, ts, user_id, event_type, value FROM events""",
     "schema_trim_names": """
-        SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey
-        FROM nation""",
+        SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority, CAST(o_custkey AS VARCHAR) AS o_custkey FROM orders""",
     "schema_safe_names": """
-        SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey
-        FROM nation""",
+        SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority, CAST(o_custkey AS VARCHAR) AS o_custkey FROM orders""",
     "schema_drop_unnamed": """
-        SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey
-        FROM nation""",
+        SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority, CAST(o_custkey AS VARCHAR) AS o_custkey FROM orders""",
     "profile_shape": """
         SELECT count(*) AS n_rows, CAST(5 AS BIGINT) AS n_cols FROM customer""",
     "preview_first_n": """

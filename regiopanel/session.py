@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 
@@ -64,6 +65,22 @@ def _scratch_root(spark: SparkSession) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/regiopanel-scratch/{app}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, by the file system of its path."""
+    try:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    except Exception:  # Spark Connect: no JVM handle, so ask a reader
+        try:
+            spark.read.format("binaryFile").load(path).limit(0).collect()
+            return True
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return False
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(conf).exists(where))
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Remove the intermediate tables that this application has written under the checkpoint root."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

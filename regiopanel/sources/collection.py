@@ -1,60 +1,106 @@
 """Document collections on Parquet (IO4-IO7).
 
-A collection is a folder with one subfolder ``types=<fingerprint>`` for each schema that was
-appended. Documents with other keys, or with other types for a key (a file whose numbers happen to be
+A collection is a folder with one subfolder (*group*) for each layout that was appended: a schema, the columns it is
+partitioned by, and whether a stream writes it. Documents with other keys, or with other types for a key (a file whose numbers happen to be
 whole, say), are therefore always readable: a scan reads each group with its own schema, widens
 columns whose types differ and unions the groups by name, with null where a key is missing
-(IO7). Within a group all files have one schema, so no footers are merged. Filters and
+(IO7). The groups and their schemas are named in the subfolder ``schemas``, written before a group's first rows, so no
+folder is listed and no footer opened to find them, and partition columns keep their types. Filters and
 projections are plain Columns and reach each group's Parquet scan as pushed filters and a pruned read
-schema. A plain Parquet file or folder is a collection of one group.
+schema. A folder without ``schemas`` is plain Parquet.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import json
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from regiopanel.session import path_exists, small_frame
+
 #: Numeric types from narrow to wide; any other mixture of types becomes text.
 _WIDTH = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
 
 
 def fingerprint(schema: T.StructType) -> str:
-    """The name of a schema's group: equal for equal keys and types, in any order."""
+    """The name of a schema: equal for equal keys and types, in any order."""
     parts = sorted(f"{f.name}\x00{f.dataType.simpleString()}" for f in schema.fields)
     return hashlib.md5("\x01".join(parts).encode()).hexdigest()[:12]
 
 
+def group_name(schema: T.StructType, partition_by=(), stream: bool = False) -> str:
+    """The folder of a layout. Files of different layouts never share one."""
+    name = f"types={fingerprint(schema)}"
+    if partition_by:
+        name += "-by-" + hashlib.md5("\x01".join(partition_by).encode()).hexdigest()[:8]
+    return name + "-stream" * stream
+
+
+def registered(spark: SparkSession, path: str) -> list[dict]:
+    """What the collection's ``schemas`` folder says; nothing if there is none."""
+    place = f"{path.rstrip('/')}/schemas"
+    if not path_exists(spark, place):
+        return []
+    return [json.loads(r["value"]) for r in spark.read.text(place).distinct().collect()]
+
+
+def register(spark: SparkSession, path: str, entry: dict) -> None:
+    """Name something of the collection in its ``schemas`` folder."""
+    small_frame(spark, [(json.dumps(entry),)], "value string").coalesce(1).write.mode("append").text(f"{path.rstrip('/')}/schemas")
+
+
+def register_group(spark: SparkSession, path: str, schema: T.StructType, partition_by=(), stream: bool = False) -> str:
+    """The folder for rows of this layout, named in the collection before its first rows are written."""
+    name = group_name(schema, partition_by, stream)
+    if name not in {e.get("group") for e in registered(spark, path)}:
+        register(spark, path, {"group": name, "schema": T.StructType([T.StructField(f.name, f.dataType) for f in schema.fields]).jsonValue()})
+    return f"{path.rstrip('/')}/{name}"
+
+
+def with_import_stamp(df: DataFrame, now: datetime | None = None) -> DataFrame:
+    """``_imported_at`` as ONE naive-UTC literal."""
+    ts = (now or datetime.now(timezone.utc)).replace(tzinfo=None)
+    return df.withColumn("_imported_at", F.to_timestamp_ntz(F.lit(ts.strftime("%Y-%m-%d %H:%M:%S.%f"))))
+
+
 def append_to_collection(df: DataFrame, path: str, batch_size: int | None = None, add_meta: bool = True,
-                         now: datetime | None = None, partition_by=None) -> int:
+                         now: datetime | None = None, partition_by=None, cluster_by=None, bloom=()) -> int:
     """IO4 + A9: append ``df`` to the collection and return the number of rows written.
 
-    ``_imported_at`` is ONE naive-UTC literal for the whole call (T18), ``_id`` a generated
+    ``_imported_at`` is one stamp for the whole call, ``_id`` a generated
     uuid unless the frame has one. ``batch_size`` caps the rows per output file on request. The count comes
     from an ``Observation`` on the write itself, so no second job re-reads the data. The write
     goes through Spark's commit protocol: a lost executor's task is re-run and only committed
     attempts become visible. ``partition_by`` (e.g. the region) lays the files out by key, so a
-    later scan filtering on it reads only the matching folders (partition pruning).
+    later scan filtering on it reads only the matching folders (partition pruning); an empty text in a
+    partition column comes back as null. ``cluster_by`` deals the rows to files by ranges of these columns and sorts them, so
+    that few row groups hold a value; ``bloom`` names columns whose row groups get a Bloom filter, for finds of single
+    values that the ranges can't tell apart.
     """
-    out = df
-    if add_meta:
-        ts = (now or datetime.now(timezone.utc)).replace(tzinfo=None)
-        out = out.withColumn("_imported_at",
-                             F.to_timestamp_ntz(F.lit(ts.strftime("%Y-%m-%d %H:%M:%S.%f"))))
+    spark = df.sparkSession
+    out = with_import_stamp(df, now) if add_meta else df
     if "_id" not in df.columns:
         out = out.withColumn("_id", F.expr("uuid()"))
+    by = [partition_by] if isinstance(partition_by, str) else list(partition_by or ())
+    group = register_group(spark, path, out.schema, by)
+    if cluster_by is not None:
+        keys = [cluster_by] if isinstance(cluster_by, str) else list(cluster_by)
+        # The row hash as the last key splits a value that very many rows share.
+        out = out.repartitionByRange(*[F.col(f"`{k}`") for k in keys], F.xxhash64("_id")).sortWithinPartitions(*[f"`{k}`" for k in keys])
     obs = Observation("collection_append")
-    group = f"{path.rstrip('/')}/types={fingerprint(out.schema)}"
     out = out.observe(obs, F.count(F.lit(1)).alias("rows"))
     writer = out.write.mode("append")
+    for name in [bloom] if isinstance(bloom, str) else bloom:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{name}", "true").option("parquet.bloom.filter.adaptive.enabled", "true")
     if batch_size:
         writer = writer.option("maxRecordsPerFile", str(int(batch_size)))
-    if partition_by:
-        writer = writer.partitionBy(*([partition_by] if isinstance(partition_by, str) else partition_by))
+    if by:
+        writer = writer.partitionBy(*by)
     writer.parquet(group)
     return int(obs.get["rows"])
 
@@ -169,23 +215,24 @@ def widest(a: T.DataType, b: T.DataType) -> T.DataType:
     return T.StringType()
 
 
-def _groups(spark: SparkSession, path: str) -> list[str]:
-    """The ``types=`` subfolders of a collection: one listing, no file is opened."""
-    listing = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
-               .load(path).select(F.regexp_extract("path", r"/(types=[0-9a-f]{12})/", 1).alias("g")).distinct())
-    return sorted(r["g"] for r in listing.collect())
+def _read_group(spark: SparkSession, path: str, entry: dict) -> DataFrame | None:
+    schema, place = T.StructType.fromJson(entry["schema"]), f"{path.rstrip('/')}/{entry['group']}"
+    if not path_exists(spark, place):  # named, but its first rows were never committed
+        return None
+    return spark.read.schema(schema).parquet(place).select(*[f"`{f.name}`" for f in schema.fields])
 
 
 def read_collection(spark: SparkSession, path: str, merge_schema: bool = False) -> DataFrame:
     """IO5 + IO7: all documents of a collection in one frame. ``merge_schema`` reads every footer of a plain
     Parquet folder whose files differ; groups of a collection don't need it."""
-    base = path.rstrip("/")
-    groups = [] if base.endswith(".parquet") else _groups(spark, base)
-    if groups in ([], [""]):
+    named = {e["group"]: e for e in registered(spark, path) if "group" in e}  # two first appends at once may name a group twice
+    entries = [named[g] for g in sorted(named)]
+    if not entries:
         return spark.read.option("mergeSchema", str(merge_schema).lower()).parquet(path)
-    if "" in groups:
-        raise ValueError(f"{path} mixes groups of a collection with other Parquet files")
-    return widening_union([spark.read.parquet(f"{base}/{g}") for g in groups])
+    groups = [df for df in (_read_group(spark, path, e) for e in entries) if df is not None]
+    if not groups:
+        return small_frame(spark, [], T.StructType.fromJson(entries[0]["schema"]))
+    return widening_union(groups)
 
 
 def collection_scan(spark: SparkSession, path: str, query=None, projection: dict | None = None,

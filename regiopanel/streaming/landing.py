@@ -8,20 +8,18 @@ a collection with its own import stamp.
 Exactly-once effect: ``foreachBatch`` may replay a micro-batch after a failure, so every batch
 writes (overwrite mode) to its own folder, named by its stream and its epoch. A replay replaces that
 folder instead of appending the rows twice; another stream has another folder. A stream is its
-checkpoint: the offsets live there, so it has no default.
+checkpoint: the offsets live there, so it has no default, and so does the stream's id, which Spark draws when it
+makes the checkpoint. A new checkpoint at an old path is a new stream: it reads all files again, and overwrites nothing.
 """
 
 from __future__ import annotations
 
-import hashlib
-from datetime import datetime, timezone
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from regiopanel.sources.collection import fingerprint
+from regiopanel.sources.collection import register_group, with_import_stamp
 from regiopanel.sources.payload import payload_rows
 
 
@@ -44,17 +42,19 @@ def land_payloads(spark: SparkSession, landing_dir: str, schema: T.StructType, c
     another stream into the same collection.
     """
     rows = payload_stream(spark, landing_dir, schema, keep=keep)
-    stream = hashlib.md5(checkpoint_location.rstrip("/").encode()).hexdigest()[:12]
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        stamp = datetime.now(timezone.utc).replace(tzinfo=None).strftime("%Y-%m-%d %H:%M:%S.%f")
-        out = (batch.withColumn("_imported_at", F.to_timestamp_ntz(F.lit(stamp)))
-               .withColumn("_id", F.expr("uuid()")))
+        session = batch.sparkSession
+        stream = session.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not stream:
+            raise RuntimeError("the stream's id is not known here: rows could overwrite those of another stream")
+        out = with_import_stamp(batch).withColumn("_id", F.expr("uuid()"))
+        schema = T.StructType([*out.schema.fields, T.StructField("stream", T.StringType()), T.StructField("epoch", T.LongType())])
+        group = register_group(session, collection_path, schema, stream=True)
         writer = out.write.mode("overwrite")
         if batch_size:
             writer = writer.option("maxRecordsPerFile", str(int(batch_size)))
-        # the prefixes keep partition values text, whatever digits a name has
-        writer.parquet(f"{collection_path.rstrip('/')}/types={fingerprint(out.schema)}/stream=s{stream}/epoch={int(epoch_id)}")
+        writer.parquet(f"{group}/stream={stream}/epoch={int(epoch_id)}")
 
     writer = rows.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_location)
     if available_now:
