@@ -1,19 +1,18 @@
-"""One regression forest per group (M3-M5, U2) with Spark ML.
+"""One regression forest per group.
 
 Plan
 ----
 1. Complete rows (label and features present) get a deterministic split flag (M2).
-2. One grouped count sizes every group and its split (A5); the keys of the eligible groups, one per
-   model, are all that reaches the driver.
-3. The rows are written once under the checkpoint folder, in a subfolder per group (named by a hash of the
-   keys, so any key value, the empty string too, is possible) and in one file for every
-   ``ROWS_PER_FILE`` rows of the group. A fit reads only its own folder; a large group
-   is written and trained by many tasks, and the layout depends on the data alone (T8).
-4. Groups are fitted concurrently from a bounded thread pool; each fit is Spark ML's
-   ``VectorAssembler`` + ``RandomForestRegressor``. Each group's test predictions are
-   written to its own folder of one predictions table, so the final plan is a plain scan and
-   not a union of hundreds of model plans. A group whose fit fails is reported in the gate.
-5. Metrics for all groups come from one grouped aggregate over that table (M6, M7).
+2. One grouped count sizes every group and its split (A5).
+3. The forests of all eligible groups grow together, a level at a time (:mod:`regiopanel.operators.forest`): the number
+   of jobs follows the depth of the trees, not the groups, and nothing but counters reaches the driver.
+4. Metrics for all groups come from one grouped aggregate over the predictions (M6, M7).
+
+``ForestParams(trainer="ml")`` fits Spark ML's ``VectorAssembler`` + ``RandomForestRegressor`` for each group instead, driven from a bounded
+thread pool, for few groups whose forests should be Spark's own: the rows are written once, in a subfolder per group (named by
+a hash of the keys, so any key value, the empty string too, is possible) and in one file for every ``ROWS_PER_FILE`` rows of the
+group, so a fit reads only its own folder and the layout depends on the data alone (T8). Each group's test predictions are
+written to its own folder of one predictions table. A group whose fit fails is reported in the gate.
 """
 
 from __future__ import annotations
@@ -27,6 +26,7 @@ from pyspark.sql import DataFrame, is_remote
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from regiopanel.operators import forest
 from regiopanel.operators.evaluate import hash_split, regression_metrics
 from regiopanel.session import materialize, scratch_path, small_frame
 
@@ -40,8 +40,9 @@ class ForestParams:
     seed: int = 42
     min_rows: int = 10
     train_share: float = 0.8
-    split: str = "hash"  # "hash": md5 buckets of the row keys (T8); "random": randomSplit(seed)
-    python_model: bool = False  # True: fit a pyspark.ml Pipeline and keep its Python model object
+    split: str = "hash"  # "hash": md5 buckets of the row keys (T8); "random": drawn by ``seed``
+    trainer: str = "levels"  # "levels": all groups at once; "ml": a Spark ML fit for each group
+    python_model: bool = False  # with "ml", True: fit a pyspark.ml Pipeline and keep its Python model object
 
 
 #: Rows of a group in a file of the training table.
@@ -62,16 +63,16 @@ def group_id(keys):
     return F.md5(F.to_json(F.array(*[F.col(f"`{k}`").cast("string") for k in keys])))
 
 
-def _score(forest, assembler, train: DataFrame, test: DataFrame, params: ForestParams) -> DataFrame:
+def _score(estimator, assembler, train: DataFrame, test: DataFrame, params: ForestParams) -> DataFrame:
     """Test rows with ``__pred``. The fitted model stays in the JVM where that is possible: the Python wrapper
     wraps every tree through Py4J (about 14k calls for 200 trees), work on the driver that serialises
     concurrent fits. Without those handles (Spark Connect, other versions) the public path does the same."""
-    if not params.python_model and not is_remote() and hasattr(forest, "_fit_java") and hasattr(test, "_jdf"):
-        java_model = forest._fit_java(assembler.transform(train))
+    if not params.python_model and not is_remote() and hasattr(estimator, "_fit_java") and hasattr(test, "_jdf"):
+        java_model = estimator._fit_java(assembler.transform(train))
         return DataFrame(java_model.transform(assembler.transform(test)._jdf), test.sparkSession)
     from pyspark.ml import Pipeline
 
-    return Pipeline(stages=[assembler, forest]).fit(train).transform(test)
+    return Pipeline(stages=[assembler, estimator]).fit(train).transform(test)
 
 
 def _fit_one(rows: DataFrame, keys, features, label: str, order: str, params: ForestParams, out_path: str,
@@ -91,9 +92,9 @@ def _fit_one(rows: DataFrame, keys, features, label: str, order: str, params: Fo
     if n_train == 0 or n_test == 0:
         return n_train, n_test
     assembler = VectorAssembler(inputCols=list(features), outputCol="__features")
-    forest = RandomForestRegressor(featuresCol="__features", labelCol=label, predictionCol="__pred",
-                                   numTrees=params.num_trees, maxDepth=params.max_depth, seed=params.seed)
-    scored = _score(forest, assembler, train, test, params)
+    estimator = RandomForestRegressor(featuresCol="__features", labelCol=label, predictionCol="__pred",
+                                      numTrees=params.num_trees, maxDepth=params.max_depth, seed=params.seed)
+    scored = _score(estimator, assembler, train, test, params)
     preds = scored.select(*keys, order, F.col(label).cast("double").alias("actual"), F.col("__pred").alias("predicted"))
     # One folder per group: concurrent writers must not share a job's temporary directory.
     preds.write.mode("overwrite").parquet(out_path)
@@ -105,19 +106,28 @@ def fit_group_forests(long_df: DataFrame, keys=("region", "pollutant"), label: s
                       params: ForestParams = ForestParams(), parallelism: int | None = None) -> GroupForests:
     """M5: fit and apply one forest per group of ``long_df`` (one label column, long layout).
 
-    Rows need every key (a group is named by its keys), the label and the features. A fit that raises doesn't stop the
+    Rows need every key (a group is named by its keys), the label and the features. Groups without a row on one side of the split
+    have no predictions and no rmse and r2. With ``trainer="ml"`` a fit that raises doesn't stop the
     others: its group has no metrics, and its message is in the gate.
     """
+    if params.trainer not in ("levels", "ml"):
+        raise ValueError("trainer must be 'levels' or 'ml'")
     spark = long_df.sparkSession
     keys = list(keys)
     features = list(features)
     complete = long_df.select(*keys, order, label, *features).na.drop(how="any", subset=[*keys, label, *features])
-    split = hash_split(complete, [*keys, order], params.train_share).withColumn("__group", group_id(keys))
-    split = materialize(split, "group-split")
+    if params.trainer == "levels" and params.split == "random":
+        drawn = F.pmod(F.xxhash64(F.lit(params.seed), *keys, order, label, *features), F.lit(1_000_000))
+        split = complete.withColumn("is_train", drawn < F.lit(int(round(params.train_share * 1_000_000))))
+    else:
+        split = hash_split(complete, [*keys, order], params.train_share)
+    split = materialize(split.withColumn("__group", group_id(keys)), "group-split")
 
     sized = materialize(split.groupBy("__group", *keys).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("is_train"), F.lit(1))).alias("n_train")).withColumn(
         "eligible", F.col("n_rows") >= F.lit(params.min_rows)), "group-sizes")
+    if params.trainer == "levels":
+        return _all_groups(split, sized, keys, label, features, order, params)
     eligible = sized.filter("eligible").orderBy("__group").collect()
 
     table = scratch_path(spark, "group-rows")
@@ -162,6 +172,21 @@ def fit_group_forests(long_df: DataFrame, keys=("region", "pollutant"), label: s
     return GroupForests(predictions=predictions, metrics=metrics, gate=gate)
 
 
+def _all_groups(split: DataFrame, sized: DataFrame, keys, label: str, features, order: str, params: ForestParams) -> GroupForests:
+    fitted = sized.where("eligible and n_train > 0 and n_train < n_rows").select("__group")
+    inner = [f"__x{i}" for i in range(len(features))]  # names that no column of the caller has
+    rows = split.join(fitted, "__group").select(
+        F.col("__group").alias("group"), "is_train", F.col(label).cast("double").alias("__label"), F.col(order).alias("__order"),
+        *[F.col(f"`{f}`").cast("double").alias(x) for f, x in zip(features, inner)])
+    scored, _ = forest.fit_predict(rows, "__label", inner, params.num_trees, params.max_depth, params.seed, keep=["__order"])
+    named = sized.select(F.col("__group").alias("group"), *keys)
+    predictions = materialize(scored.join(named, "group").select(*keys, F.col("__order").alias(order), "actual", "predicted"), "group-predictions")
+    counts = sized.where("eligible").select(*keys, "n_train", (F.col("n_rows") - F.col("n_train")).alias("n_test"))
+    metrics = counts.join(regression_metrics(predictions, keys).drop("n"), keys, "left").select(*keys, "n_train", "n_test", "rmse", "r2")
+    gate = sized.select(*keys, "n_rows", "eligible", F.lit(None).cast("string").alias("error"))
+    return GroupForests(predictions=predictions, metrics=metrics, gate=gate)
+
+
 def predictions_long(pred_frames) -> DataFrame:
     """Per-model prediction frames (label column renamed to ``actual``) in one long frame."""
     from regiopanel.sources.collection import ragged_union

@@ -1,5 +1,6 @@
-"""Group forests (M3-M5, U2): rows only, reproducible, gate report for skipped groups."""
+"""Group forests (M3-M5, U2): rows only, reproducible, gate report for skipped groups; with Spark ML's fits where ``trainer="ml"``."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from regiopanel.operators.model import ForestParams, fit_group_forests
@@ -15,8 +16,9 @@ def _frame(spark):
     return df.withColumn("year_feature", F.col("period").cast("double"))
 
 
-def test_group_forests_reproducible(spark):
-    params = ForestParams(num_trees=5, max_depth=3)
+@pytest.mark.parametrize("trainer", ["levels", "ml"])
+def test_group_forests_reproducible(spark, trainer):
+    params = ForestParams(trainer=trainer, num_trees=5, max_depth=3)
     a = fit_group_forests(_frame(spark), params=params)
     b = fit_group_forests(_frame(spark), params=params)
     pa = sorted(tuple(r) for r in a.predictions.collect())
@@ -29,15 +31,17 @@ def test_group_forests_reproducible(spark):
     assert gate == {"a": True, "b": True, "c": False}
 
 
-def test_group_forests_random_split_reproducible(spark):
-    params = ForestParams(num_trees=3, max_depth=2, split="random")
+@pytest.mark.parametrize("trainer", ["levels", "ml"])
+def test_group_forests_random_split_reproducible(spark, trainer):
+    params = ForestParams(trainer=trainer, num_trees=3, max_depth=2, split="random")
     a = sorted(tuple(r) for r in fit_group_forests(_frame(spark), params=params).predictions.collect())
     b = sorted(tuple(r) for r in fit_group_forests(_frame(spark), params=params).predictions.collect())
     assert a == b and len(a) > 0
 
 
-def test_group_without_test_rows_reports_null_metrics(spark):
-    params = ForestParams(num_trees=2, max_depth=2, train_share=1.0)  # every bucket trains
+@pytest.mark.parametrize("trainer", ["levels", "ml"])
+def test_group_without_test_rows_reports_null_metrics(spark, trainer):
+    params = ForestParams(trainer=trainer, num_trees=2, max_depth=2, train_share=1.0)  # every bucket trains
     res = fit_group_forests(_frame(spark), params=params)
     rows = res.metrics.collect()
     assert {r["region"] for r in rows} == {"a", "b"}
@@ -47,15 +51,16 @@ def test_group_without_test_rows_reports_null_metrics(spark):
 
 def test_jvm_model_path_equals_pipeline_path(spark):
     base = dict(num_trees=4, max_depth=3)
-    jvm = fit_group_forests(_frame(spark), params=ForestParams(**base))
-    py = fit_group_forests(_frame(spark), params=ForestParams(**base, python_model=True))
+    jvm = fit_group_forests(_frame(spark), params=ForestParams(trainer="ml", **base))
+    py = fit_group_forests(_frame(spark), params=ForestParams(trainer="ml", **base, python_model=True))
     assert sorted(tuple(r) for r in jvm.predictions.collect()) == sorted(tuple(r) for r in py.predictions.collect())
 
 
-def test_any_key_value_and_a_whole_number_label(spark):
+@pytest.mark.parametrize("trainer", ["levels", "ml"])
+def test_any_key_value_and_a_whole_number_label(spark, trainer):
     rows = [(r, "NOX", y, y % 7, float(y)) for r in ("", "a/b", "x=1", "null") for y in range(1990, 2015)]
     df = spark.createDataFrame(rows, "region string, pollutant string, period int, label bigint, traffic double")
-    res = fit_group_forests(df.withColumn("year_feature", F.col("period").cast("double")), params=ForestParams(num_trees=2, max_depth=2))
+    res = fit_group_forests(df.withColumn("year_feature", F.col("period").cast("double")), params=ForestParams(trainer=trainer, num_trees=2, max_depth=2))
     assert {r["region"] for r in res.metrics.collect()} == {"", "a/b", "x=1", "null"}
     assert dict(res.predictions.dtypes)["actual"] == "double" and res.predictions.count() > 0
     assert {r["error"] for r in res.gate.collect()} == {None}
@@ -72,7 +77,7 @@ def test_a_failed_group_is_reported_and_stops_no_other(spark, monkeypatch):
         return real(forest, assembler, train, test, params)
 
     monkeypatch.setattr(model, "_score", score)
-    res = fit_group_forests(_frame(spark), params=ForestParams(num_trees=2, max_depth=2))
+    res = fit_group_forests(_frame(spark), params=ForestParams(trainer="ml", num_trees=2, max_depth=2))
     assert {r["region"] for r in res.metrics.collect()} == {"b"}
     assert {r["region"]: r["error"] for r in res.gate.collect()} == {"a": "ValueError: cannot be fitted", "b": None, "c": None}
 
@@ -80,16 +85,16 @@ def test_a_failed_group_is_reported_and_stops_no_other(spark, monkeypatch):
 def test_a_large_group_is_split_over_files(spark, monkeypatch):
     from regiopanel.operators import model
 
-    plain = fit_group_forests(_frame(spark), params=ForestParams(num_trees=3, max_depth=3))
+    plain = fit_group_forests(_frame(spark), params=ForestParams(trainer="ml", num_trees=3, max_depth=3))
     monkeypatch.setattr(model, "ROWS_PER_FILE", 7)
-    a, b = (fit_group_forests(_frame(spark), params=ForestParams(num_trees=3, max_depth=3)) for _ in range(2))
+    a, b = (fit_group_forests(_frame(spark), params=ForestParams(trainer="ml", num_trees=3, max_depth=3)) for _ in range(2))
     rows = lambda r: sorted(map(tuple, r.predictions.collect()))
     assert rows(a) == rows(b)
     assert [x[:4] for x in rows(a)] == [x[:4] for x in rows(plain)]
 
 
 def test_public_path_without_the_jvm_handle(spark, monkeypatch):
-    params = ForestParams(num_trees=2, max_depth=2)
+    params = ForestParams(trainer="ml", num_trees=2, max_depth=2)
     expected = sorted(map(tuple, fit_group_forests(_frame(spark), params=params).predictions.collect()))
     from regiopanel.operators import model
 
