@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regiopanel.functions.locale import format_decimal, separator_swap
+from regiopanel.sources.quoted import read_quoted
 
 # Text that a typed load treats as missing (pandas' documented default NA strings,
 # matched exactly, without trimming).
@@ -22,25 +23,43 @@ INTEGER_SHAPE = r"^[+-]?[0-9]+$"
 TRUE_VALUES, FALSE_VALUES = ("True", "TRUE", "true"), ("False", "FALSE", "false")
 
 
+#: The column that surplus fields are read into until they are reported.
+SURPLUS = "__surplus"
+
+
 def read_delimited(spark: SparkSession, path, sep: str = ";", header: bool = True,
-                   encoding: str = "utf-8", multi_line: bool = False) -> DataFrame:
+                   encoding: str = "utf-8", multi_line: bool = False, surplus: str | None = "raise") -> DataFrame:
     """IO1: delimited text, every column a string, no inference pass.
 
     A trailing separator yields an all-empty column named ``_c<i>`` (see ``drop_unnamed``).
     Files are split by Spark into ``maxPartitionBytes`` ranges, so large inputs scan in parallel.
     Spaces around a field belong to it, and a quote inside a quoted field is doubled.
-    ``multi_line`` accepts line breaks in quoted fields; each file is then read by one task, as a
-    split could start inside a field, so it is off by default.
+    ``multi_line`` accepts line breaks in quoted fields; UTF-8 files are split then too (:mod:`regiopanel.sources.quoted`), in
+    other encodings each file is read by one task. Missing fields at a row's end are null. A row with more fields than the header is
+    an error (``surplus="raise"``), has its first further field in a column of the given name, or loses them (None). An empty field doesn't count.
     """
-    return (spark.read.option("header", str(header).lower())
-            .option("sep", sep)
-            .option("escape", '"')
-            .option("ignoreLeadingWhiteSpace", "false")
-            .option("ignoreTrailingWhiteSpace", "false")
-            .option("multiLine", str(multi_line).lower())
-            .option("inferSchema", "false")
-            .option("encoding", encoding)
-            .csv(path))
+    reader = (spark.read.option("header", str(header).lower())
+              .option("sep", sep)
+              .option("escape", '"')
+              .option("ignoreLeadingWhiteSpace", "false")
+              .option("ignoreTrailingWhiteSpace", "false")
+              .option("inferSchema", "false")
+              .option("encoding", encoding))
+    in_parts = multi_line and encoding.lower().replace("-", "") == "utf8"
+    reader = reader.option("multiLine", str(multi_line and not in_parts).lower())
+    names = reader.csv(path).columns
+    if not names:
+        return reader.csv(path)
+    if in_parts:
+        df = read_quoted(spark, path, names, sep, header, SURPLUS)
+    else:
+        df = reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in [*names, SURPLUS]])).csv(path)
+    if surplus == "raise":
+        df = df.where(F.assert_true(F.col(SURPLUS).isNull(), F.concat(
+            F.lit(f"a row has more fields than the {len(names)} of the header: "), F.col(SURPLUS))).isNull())
+    elif surplus:
+        return df.withColumnRenamed(SURPLUS, surplus)
+    return df.drop(SURPLUS)
 
 
 def infer_locale_types(df: DataFrame, thousands: str | None = ".", decimal: str = ",",
@@ -113,13 +132,13 @@ def apply_locale_types(df: DataFrame, types: dict[str, str], thousands: str | No
 
 def load_locale_csv(spark: SparkSession, path, sep: str = ";", decimal: str = ",",
                     thousands: str | None = ".", encoding: str = "utf-8",
-                    na_values=DEFAULT_NA_VALUES, multi_line: bool = False) -> DataFrame:
+                    na_values=DEFAULT_NA_VALUES, multi_line: bool = False, surplus: str | None = "raise") -> DataFrame:
     """IO2: delimited text with local number format, typed per column (all-or-nothing rule).
 
     ``' 1.344,17 '`` in a column where every value parses gives 1344.17, while a column holding
     ``'1.000 t'`` stays text. Two scans: the typing pass and the consumer's own.
     """
-    raw = read_delimited(spark, path, sep=sep, header=True, encoding=encoding, multi_line=multi_line)
+    raw = read_delimited(spark, path, sep=sep, header=True, encoding=encoding, multi_line=multi_line, surplus=surplus)
     types = infer_locale_types(raw, thousands, decimal, na_values)
     return apply_locale_types(raw, types, thousands, decimal, na_values)
 
