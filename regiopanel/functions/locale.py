@@ -78,32 +78,27 @@ def year_int(c, on_error: str = "fail") -> Column:
     raise ValueError("on_error must be 'fail' or 'null'")
 
 
-def format_decimal(c, decimal: str = ",") -> Column:
+def format_decimal(c, decimal: str = ",", single: bool = False) -> Column:
     """Double -> text in plain notation with ``decimal`` as the decimal mark.
 
     Shortest round-trip digits as for a Python float repr, so ``1234.5 -> '1234,5'`` and
-    ``3.0 -> '3,0'``. Where Spark would print scientific notation (>= 1e7 or < 1e-3) the plain text
-    is used if it parses back to the same double; otherwise the shortest text stays, with its
-    exponent (``4.9E-324 -> '4,9E-324'``), so no finite double loses a digit.
+    ``3.0 -> '3,0'``. Where Spark prints an exponent (>= 1e7 or < 1e-3) its digits are written out, up to 30 before
+    the mark or 30 behind it; beyond that the exponent stays (``4.9E-324 -> '4,9E-324'``). No digit is computed anew, so no finite
+    double changes. ``single`` keeps the digits of a float column (``0.1``, not ``0.10000000149011612``).
     NaN and null become null (written as an empty field); infinities become 'inf' / '-inf'.
     """
-    c = as_col(c).cast("double")
-    mag = F.abs(c)
-
-    def plain(scale: int) -> Column:
-        text = c.try_cast(f"decimal(38,{scale})").cast("string")
-        text = F.regexp_replace(text, r"(\.\d*?)0+$", "$1")
-        text = F.regexp_replace(text, r"\.$", ".0")
-        return F.when(text.try_cast("double") == c, text).otherwise(c.cast("string"))
-
-    text = (
-        F.when(c.isNull() | F.isnan(c), F.lit(None).cast("string"))
-        .when(c == F.lit(float("inf")), F.lit("inf"))
-        .when(c == F.lit(float("-inf")), F.lit("-inf"))
-        .when(mag >= F.lit(1e7), plain(8))
-        .when((mag < F.lit(1e-3)) & (mag > F.lit(0.0)), plain(30))
-        .otherwise(c.cast("string"))
-    )
-    if decimal == ".":
-        return text
-    return F.translate(text, ".", decimal)
+    c = as_col(c) if single else as_col(c).cast("double")
+    text = c.cast("string")
+    sign = F.when(F.startswith(text, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
+    mantissa, power = F.substring_index(F.ltrim(text, F.lit("-")), "E", 1), F.substring_index(text, "E", -1).cast("int")
+    digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "^(.)0$", "$1")  # 1.0E7 has one digit
+    n = F.length(digits)
+    large = F.concat(sign, F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, F.lit("0")), F.lit("."),
+                     F.when(n > power + 1, F.substring(digits, power + 2, n)).otherwise(F.lit("0")))
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    plain = F.when((power > 0) & (power < 30), large).when((power < 0) & (n - power - 1 <= 30), small).otherwise(text)
+    out = (F.when(c.isNull() | F.isnan(c), F.lit(None).cast("string"))
+           .when(F.abs(c) == F.lit(float("inf")), F.when(c > 0, F.lit("inf")).otherwise(F.lit("-inf")))
+           .when(F.contains(text, F.lit("E")), plain)
+           .otherwise(text))
+    return out if decimal == "." else F.translate(out, ".", decimal)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from regiopanel.operators.order import with_positions
 from regiopanel.operators.schema import digit_columns, safe_names
+from regiopanel.session import materialize
 
 
 def unpivot_digit_columns(df: DataFrame, ids, name_col: str = "YEAR", value_col: str = "value",
@@ -67,3 +69,26 @@ def metric_matrix(metrics: DataFrame, row: str = "region", col: str = "pollutant
     else:
         out = metrics.groupBy(row).pivot(col).agg(F.first(F.col(value))).orderBy(row)
     return safe_names(out, safe) if safe else out
+
+
+#: Categories of a block of a pivot in blocks.
+PIVOT_BLOCK = 4096
+
+
+def pivot_blocks(df: DataFrame, keys, category: str, value, block: int = PIVOT_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """R2 for unknown and very many categories: a matrix in blocks of columns, and the dictionary of its columns.
+
+    ``value`` is an aggregate Column such as ``F.sum("x")``. Returns ``(cells, columns)``: ``cells`` has the keys, ``block`` and ``cells``, a map
+    from column number to value for the at most ``block`` columns of that block that the row has; ``columns`` has ``column`` (from 0, in the
+    order of the categories) and ``category`` (null included, first). No row grows with the number of categories, and
+    none is looked at by the driver.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    names = with_positions(df.select(F.col(f"`{category}`").alias("category")).distinct(), "category", name="column")
+    names = materialize(names.select((F.col("column") - 1).alias("column"), "category"), "pivot-columns")
+    found = df.groupBy(*keys, F.col(f"`{category}`").alias("category")).agg(value.alias("__value"))
+    found = found.join(names, found["category"].eqNullSafe(names["category"]))
+    cell = F.struct(F.col("column"), F.col("__value"))
+    cells = found.groupBy(*keys, F.floor(F.col("column") / block).cast("long").alias("block")).agg(
+        F.map_from_entries(F.sort_array(F.collect_list(cell))).alias("cells"))
+    return cells, names

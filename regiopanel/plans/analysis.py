@@ -90,6 +90,10 @@ def analyse_regions(traffic_wide: DataFrame, air_long: DataFrame, labels=LABELS,
         top=top_k_per_group(metrics, "pollutant", "r2", k=top_k, tie="region"), gate=gate)
 
 
+#: Files that a model's exported predictions are spread over.
+EXPORT_SALTS = 4
+
+
 def export_reports(result: RegionalAnalysis, out_dir: str) -> dict[str, str]:
     """IO9 for the whole analysis: the report tables as CSV folders, one distributed write each.
 
@@ -119,7 +123,9 @@ def export_reports(result: RegionalAnalysis, out_dir: str) -> dict[str, str]:
     export_csv(result.top.select("pollutant", "rank", "region", "rmse", "r2"), paths["top_by_pollutant"],
                partition_by="pollutant")
     predictions = result.forests.predictions.withColumnRenamed("Region", "region")
-    export_csv(predictions.repartition("region", "pollutant").sortWithinPartitions("region", "pollutant", "Jahr"),
+    # A model's rows go to as many tasks, and files, as ``EXPORT_SALTS``, told apart by a hash of the row: none writes a large group alone.
+    salt = F.pmod(F.xxhash64("Jahr", "actual", "predicted"), F.lit(EXPORT_SALTS))
+    export_csv(predictions.repartition("region", "pollutant", salt).sortWithinPartitions("region", "pollutant", "Jahr"),
                paths["predictions"], partition_by=["region", "pollutant"])
     export_csv(scatter_bounds(predictions, ["region", "pollutant"]), paths["scatter_bounds"])
     export_csv(result.gate.where("not eligible or error is not null"), paths["skipped_groups"])

@@ -24,12 +24,14 @@ from regiopanel.functions.locale import (
 )
 from regiopanel.functions.recode import mapping_frame, recode, recode_join
 from regiopanel.operators.aggregate import describe, distinct_values, mean_by, min_sample_gate
-from regiopanel.operators.evaluate import hash_split, regression_metrics
+from regiopanel.operators.evaluate import hash_split, quota_split, regression_metrics
 from regiopanel.operators.joins import intersect_values, keep_common
 from regiopanel.operators.model import ForestParams, fit_group_forests
 from regiopanel.operators.nulls import drop_incomplete, fill_nulls
+from regiopanel.operators.order import with_positions
 from regiopanel.operators.panel import build_panel
 from regiopanel.operators.panel import panel_features as build_long_features
+from regiopanel.operators.quantiles import group_quantiles
 from regiopanel.operators.report import (
     error_bars,
     metric_summary,
@@ -38,7 +40,7 @@ from regiopanel.operators.report import (
     sort_frame,
     top_k_per_group,
 )
-from regiopanel.operators.reshape import metric_matrix, pivot_categories, unpivot_digit_columns
+from regiopanel.operators.reshape import metric_matrix, pivot_blocks, pivot_categories, unpivot_digit_columns
 from regiopanel.operators.schema import drop_unnamed, preview, profile_shape, safe_names, trim_names
 from regiopanel.plans import frames
 from regiopanel.plans.frames import PRIORITIES, round_to, table
@@ -54,6 +56,7 @@ from regiopanel.sources.payload import payload_rows, payload_schema, read_payloa
 from regiopanel.sources.typed_json import read_document_dump
 from regiopanel.session import materialize, scratch_path
 from regiopanel.sources.unique import append_unique
+from regiopanel.sources.variant import kind_of, read_mixed_documents, typed_field
 from regiopanel.streaming.landing import land_payloads
 
 # The recode map applied to region names in the recode checks (3 of the 5 names).
@@ -296,6 +299,26 @@ def io_doc_dump_decode(spark: SparkSession, sf: str) -> DataFrame:
                           "event_type", "value")
 
 
+def io_mixed_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """IO7 + IO10 with conflicting types: events as JSON documents whose ``value`` is a number, text, an object or absent, stored as
+    VARIANT and read back; numbers stay numbers."""
+    events = table(spark, sf, "events")
+    k = F.col("event_id") % 4
+    value = F.when(k == 0, F.col("value").cast("string")).when(k == 1, F.concat(F.lit('"'), "event_type", F.lit('"'))).when(
+        k == 2, F.concat(F.lit('{"of": '), F.col("user_id").cast("string"), F.lit(', "unit": "u"}')))
+    json = F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"),
+                    F.coalesce(F.concat(F.lit(', "value": '), value), F.lit("")), F.lit("}"))
+    path = scratch_path(spark, "mixed-events")
+    events.select(json.alias("value")).write.mode("overwrite").text(path)
+    docs = materialize(read_mixed_documents(spark, path), "mixed-documents")
+    kind = F.regexp_extract(kind_of("doc", "value"), "^[A-Z]+", 0)
+    return docs.select(
+        typed_field("doc", "event_id", "bigint").alias("event_id"),
+        F.when(kind.isin("DECIMAL", "DOUBLE", "BIGINT"), "number").otherwise(F.lower(kind)).alias("kind"),
+        round_to(typed_field("doc", "value", "double"), 6).alias("number"), typed_field("doc", "value", "string").alias("text"),
+        typed_field("doc", "value.of", "bigint").alias("of"))
+
+
 # ---------------------------------------------------------------------------------------------
 # Schema operators
 # ---------------------------------------------------------------------------------------------
@@ -480,6 +503,21 @@ def reshape_pivot_categories(spark: SparkSession, sf: str) -> DataFrame:
     return _round_cols(pivot, {c: 4 for c in _label_names()})
 
 
+def reshape_pivot_many(spark: SparkSession, sf: str) -> DataFrame:
+    """R2 with as many columns as there are customers: total price by priority and customer, in blocks of columns; each block with its number
+    of cells, its first and last customer and their prices."""
+    orders = table(spark, sf, "orders").select("o_orderpriority", "o_custkey", "o_totalprice")
+    cells, columns = pivot_blocks(orders, "o_orderpriority", "o_custkey", F.max("o_totalprice"))
+    numbers = F.map_keys("cells")
+    ends = cells.select("o_orderpriority", "block", F.size("cells").cast("long").alias("n_cells"),
+                        numbers[0].alias("first"), F.element_at(numbers, -1).alias("last"), "cells")
+    name = lambda side: columns.select(F.col("column").alias(side), F.col("category").alias(f"{side}_customer"))
+    return ends.join(name("first"), "first").join(name("last"), "last").select(
+        "o_orderpriority", "block", "n_cells", "first_customer", "last_customer", F.element_at("cells", F.col("first")).alias("first_price"),
+        F.element_at("cells", F.col("last")).alias("last_price"),
+        F.array_max(F.map_values("cells")).alias("highest"))
+
+
 def panel_left_join(spark: SparkSession, sf: str) -> DataFrame:
     """J1 + SC4 + P10: the wide panel, traffic left-joined (null where a month has none)."""
     panel = _panel(spark, sf)
@@ -551,6 +589,16 @@ def ml_hash_split(spark: SparkSession, sf: str) -> DataFrame:
     return hash_split(keys, ["region", "pollutant", "period"], 0.8)
 
 
+def ml_quota_split(spark: SparkSession, sf: str) -> DataFrame:
+    """M2 with exact quotas: orders in groups of very different sizes (one holds a third), 20 % of each held out to the row, one row at
+    least."""
+    group = F.when(F.col("o_orderkey") % 3 == 0, F.lit("hot")).otherwise(F.concat_ws("-", "o_orderpriority", (F.col("o_custkey") % 97).cast("string")))
+    orders = table(spark, sf, "orders").select(group.alias("group"), "o_orderkey")
+    split = quota_split(orders, "group", "o_orderkey", 0.2)
+    return split.groupBy("group").agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("n_orders"),
+                                      F.count(F.when(F.col("is_train"), 1)).alias("n_train"))
+
+
 def _forests(spark: SparkSession, sf: str):
     return fit_group_forests(panel_features_frame(spark, sf), keys=("region", "pollutant"), label="label",
                              features=("traffic", "year_feature"), order="period", params=ForestParams())
@@ -610,6 +658,11 @@ def sort_predictions(spark: SparkSession, sf: str) -> DataFrame:
     return sort_frame(frames.scored(spark, sf), "region", "pollutant", "period")
 
 
+def sort_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """O1 / V1 with positions: the place of every prediction in the order of region, pollutant, period and values."""
+    return with_positions(frames.scored(spark, sf), "region", "pollutant", "period", "actual", "predicted")
+
+
 def _summary(spark: SparkSession, sf: str) -> DataFrame:
     return metric_summary(_metrics(spark, sf), by="pollutant", group="region")
 
@@ -653,6 +706,13 @@ def profile_describe(spark: SparkSession, sf: str) -> DataFrame:
     return _round_cols(d, {c: 4 for c in ("mean", "std", "min", "p25", "p50", "p75", "max")})
 
 
+def agg_group_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """A6 at scale: exact quartiles of the line price for each group; one group holds a third of all lines."""
+    group = F.when(F.col("l_orderkey") % 3 == 0, F.lit("hot")).otherwise(F.concat_ws("-", "l_returnflag", "l_linestatus"))
+    lines = table(spark, sf, "lineitem").select(group.alias("line_group"), "l_extendedprice")
+    return _round_cols(group_quantiles(lines, "line_group", "l_extendedprice"), {"p25": 4, "p50": 4, "p75": 4})
+
+
 def regional_panel(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: wide traffic text -> unpivot -> parse -> mean; measure -> pivot; left join ->
     fill -> features, for every region and label at once."""
@@ -677,6 +737,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "io_decimal_comma_roundtrip": io_decimal_comma_roundtrip,
     "io_result_export": io_result_export,
     "io_doc_dump_decode": io_doc_dump_decode,
+    "io_mixed_documents": io_mixed_documents,
     "schema_trim_names": schema_trim_names,
     "schema_safe_names": schema_safe_names,
     "schema_drop_unnamed": schema_drop_unnamed,
@@ -697,21 +758,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "null_drop_subset": null_drop_subset,
     "reshape_unpivot_years": reshape_unpivot_years,
     "reshape_pivot_categories": reshape_pivot_categories,
+    "reshape_pivot_many": reshape_pivot_many,
     "panel_left_join": panel_left_join,
     "join_common_regions_semi": join_common_regions_semi,
     "set_intersect_regions": set_intersect_regions,
     "agg_mean_traffic": agg_mean_traffic,
     "agg_mean_measure": agg_mean_measure,
     "agg_distinct_regions": agg_distinct_regions,
+    "agg_group_quantiles": agg_group_quantiles,
     "agg_min_sample_gate": agg_min_sample_gate,
     "panel_features": panel_features,
     "ml_hash_split": ml_hash_split,
+    "ml_quota_split": ml_quota_split,
     "ml_group_forest": ml_group_forest,
     "ml_predictions_long": ml_predictions_long,
     "ml_eval_metrics": ml_eval_metrics,
     "report_metrics_by_region": report_metrics_by_region,
     "sort_metrics": sort_metrics,
     "sort_predictions": sort_predictions,
+    "sort_positions": sort_positions,
     "report_metric_summary": report_metric_summary,
     "report_error_bars": report_error_bars,
     "report_metric_matrix": report_metric_matrix,

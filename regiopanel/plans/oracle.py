@@ -162,6 +162,29 @@ ORACLE: dict[str, str] = {
         SELECT pollutant, {SUMMARY_COLS}, n_regions FROM summary""",
     "io_doc_dump_decode": """
         SELECT event_id, ts, user_id, event_type, value FROM events""",
+    "io_mixed_documents": f"""
+        SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'number' WHEN 1 THEN 'string' WHEN 2 THEN 'object' END AS kind,
+               CASE WHEN event_id % 4 = 0 THEN {r('value', 6)} END AS number, CASE WHEN event_id % 4 = 1 THEN event_type END AS text,
+               CASE WHEN event_id % 4 = 2 THEN user_id END AS of FROM events""",
+    "reshape_pivot_many": """
+        WITH names AS (SELECT o_custkey, row_number() OVER (ORDER BY o_custkey) - 1 AS col FROM (SELECT DISTINCT o_custkey FROM orders)),
+        cells AS (SELECT o_orderpriority, col, o_custkey, max(o_totalprice) AS price FROM orders JOIN names USING (o_custkey) GROUP BY ALL)
+        SELECT o_orderpriority, CAST(col // 4096 AS BIGINT) AS block, count(*) AS n_cells, arg_min(o_custkey, col) AS first_customer,
+               arg_max(o_custkey, col) AS last_customer, arg_min(price, col) AS first_price, arg_max(price, col) AS last_price, max(price) AS highest
+        FROM cells GROUP BY 1, 2""",
+    "ml_quota_split": """
+        WITH g AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'hot' ELSE o_orderpriority || '-' || (o_custkey % 97) END AS "group" FROM orders)
+        SELECT "group", count(*) AS n, count(*) AS n_orders,
+               CAST(count(*) - CASE WHEN count(*) > 1 THEN greatest(round(count(*) * CAST(0.2 AS DOUBLE)), 1) ELSE round(count(*) * CAST(0.2 AS DOUBLE)) END AS BIGINT) AS n_train
+        FROM g GROUP BY 1""",
+    "sort_positions": f"""
+        WITH {SCORED}
+        SELECT *, row_number() OVER (ORDER BY region, pollutant, period, actual, predicted) AS position FROM scored""",
+    "agg_group_quantiles": f"""
+        SELECT CASE WHEN l_orderkey % 3 = 0 THEN 'hot' ELSE l_returnflag || '-' || l_linestatus END AS line_group, count(*) AS n,
+               {r('quantile_cont(l_extendedprice, 0.25)', 4)} AS p25, {r('quantile_cont(l_extendedprice, 0.5)', 4)} AS p50,
+               {r('quantile_cont(l_extendedprice, 0.75)', 4)} AS p75
+        FROM lineitem GROUP BY 1""",
     "schema_trim_names": """
         SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderpriority, CAST(o_custkey AS VARCHAR) AS o_custkey FROM orders""",
     "schema_safe_names": """

@@ -167,7 +167,7 @@ def save_decimal_csv(df: DataFrame, path: str, sep: str = ";", decimal: str = ",
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")
         if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            c = format_decimal(c, decimal)
+            c = format_decimal(c, decimal, single=isinstance(field.dataType, T.FloatType))
         cols.append(c.alias(field.name))
     _write_options(df.select(*cols).write.mode(mode), sep, True, encoding).csv(path)
 
