@@ -28,6 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from regiopanel.llm.ship import received, send_file
 from regiopanel.llm.words import column, expand, pieces, release, text_bytes
 
 #: Bytes of text whose distinct words share one trie.
@@ -49,9 +50,12 @@ def byte_alphabet() -> dict[str, int]:
 class ByteBPE:
     """The vocabulary and merges of a byte-level BPE tokenizer file."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, file: str | bytes):
+        """``file``: its path, or its bytes."""
+        if isinstance(file, str):
+            with open(file, "rb") as f:
+                file = f.read()
+        spec = json.loads(file)
         chars = byte_alphabet()
         as_bytes = lambda s: bytes(chars[c] for c in s)
         vocab = spec["model"]["vocab"]
@@ -230,7 +234,7 @@ def safe_cuts(data: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=2)
 def load(path: str) -> ByteBPE:
-    """The tokenizer of a file, read once in each Python worker."""
+    """The tokenizer of a file."""
     return ByteBPE(path)
 
 
@@ -241,10 +245,10 @@ def _ids_array(ids: np.ndarray, at: np.ndarray) -> pa.Array:
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False,
            piece: int = PIECE) -> DataFrame:
     """``doc_id, ids`` of every text; with ``decode`` also ``decoded``, the text of those ids."""
-    kind = dict(df.dtypes)[id_col]
+    kind, sent = dict(df.dtypes)[id_col], send_file(df.sparkSession, path)
 
     def run(batches):
-        bpe = load(path)
+        bpe = received(ByteBPE, sent)
         for batch in pieces(batches, "text", piece):
             ids, at = bpe.encode_batch(column(batch, "text"))
             out = [column(batch, "doc_id"), _ids_array(ids, at)]
@@ -261,10 +265,10 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """``doc_id, decoded`` of id lists (null list: empty text; ids outside the vocabulary are an error)."""
-    kind = dict(df.dtypes)[id_col]
+    kind, sent = dict(df.dtypes)[id_col], send_file(df.sparkSession, path)
 
     def run(batches):
-        bpe = load(path)
+        bpe = received(ByteBPE, sent)
         for batch in batches:
             lists = column(batch, "ids").fill_null([])
             counts = np.array([len(x) for x in lists], np.int64)

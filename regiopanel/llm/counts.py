@@ -18,17 +18,17 @@ repeated rows are counted each; extra columns are ignored; an empty table gives
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regiopanel.llm.bpe import load
+from regiopanel.llm.bpe import ByteBPE
+from regiopanel.llm.ship import received, send_file
 from regiopanel.llm.words import column, find_words, pieces, text_bytes
 
-PIECE = 8 << 20
+PIECE = 4 << 20
 
 
 class LongestMatch:
@@ -86,18 +86,18 @@ class LongestMatch:
         return total
 
 
-@lru_cache(maxsize=2)
-def automaton(path: str) -> LongestMatch:
-    return LongestMatch(load(path).tokens)
+def automaton(file: str | bytes) -> LongestMatch:
+    """The automaton of a tokenizer file's vocabulary."""
+    return LongestMatch(ByteBPE(file).tokens)
 
 
 def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
                  piece: int = PIECE) -> DataFrame:
     """``doc_id, n_words, n_tokens`` of every whole text."""
-    kind = dict(df.dtypes)[id_col]
+    kind, sent = dict(df.dtypes)[id_col], send_file(df.sparkSession, path)
 
     def run(batches):
-        count = automaton(path).count
+        count = received(automaton, sent).count
         for batch in pieces(batches, "text", piece):
             data, off = text_bytes(column(batch, "text"))
             words = find_words(data, off)

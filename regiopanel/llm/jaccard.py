@@ -11,7 +11,7 @@ is one shingle). Two documents link when ``100 * |intersection| >= 80 * |union|`
    Linked classes share a shingle of both prefixes, so candidates come from a shuffle on prefix
    shingles only. Frequent ones (which the order puts last) are salted.
 3. Candidates must pass the length filter, the positional filter (what can still follow the shared
-   shingle) and the suffix filter (512 parities of the sets: their Hamming distance bounds the
+   shingle) and the suffix filter (parities of the sets, as many as they have shingles: their Hamming distance bounds the
    symmetric difference from below). Each pair that passes is verified once on whole sets.
 4. A class of a large group shares shingles with all others of it, so pairs are not all listed. *Star* rounds
    first link the holders of a shingle to one leader; components follow, and other leaders for
@@ -28,7 +28,7 @@ bucket counts (``2**BUCKETS`` bytes) and checksums.
 Defined results: null, empty and blank texts have no shingles and link with nothing. Rows that share a
 ``doc_id`` are one document that links where any of its texts does; repeated rows come back each. A
 row with a null ``doc_id`` links with nothing and has a null component. Extra columns are ignored. An empty
-table gives an empty result.
+table gives an empty result. Ids are integers or text; others are refused with a ``ValueError``.
 """
 
 from __future__ import annotations
@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regiopanel.llm.components import components
+from regiopanel.llm.ship import ship
 from regiopanel.llm.words import (column, find_words, lower_ascii, mix, pieces, shingle_hashes, span_hashes,
                                   text_bytes)
 from regiopanel.session import materialize
@@ -59,6 +60,19 @@ HOT, SALTS = 2048, 128
 ROUNDS, DENSE = 1, 4
 
 
+#: Kinds of ids; others are refused.
+ID_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string()}
+#: Parities of a set at least; a larger set has as many as the next power of two above its size.
+PARITIES = 512
+
+
+def _parities(spread: np.ndarray) -> np.ndarray:
+    """Of how many shingles' hashes fall on each of ``PARITIES`` or more places, whether the number is odd."""
+    width = max(PARITIES, 1 << (len(spread) - 1).bit_length())
+    bits = np.bincount((spread & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     data, off = text_bytes(texts)
@@ -86,7 +100,7 @@ def _lists(arrays: list[np.ndarray], kind) -> pa.Array:
 def _scan(docs: DataFrame, kind: str, size: int) -> DataFrame:
     """A row for each document (set size and key), and each task's bucket counts, a row for each range."""
     shift = np.uint64(64 - BUCKETS)
-    schema = pa.schema([("doc_id", pa.int64() if kind == "bigint" else pa.int32()), ("n", pa.int64()),
+    schema = pa.schema([("doc_id", ID_TYPES[kind]), ("n", pa.int64()),
                         ("c1", pa.int64()), ("c2", pa.int64()), ("range", pa.int32()), ("counts", pa.binary())])
 
     def run(batches):
@@ -148,7 +162,7 @@ def prefix_length(n, percent: int = PERCENT):
 
 def _signatures(docs: DataFrame, kind: str, size: int, percent: int, levels) -> DataFrame:
     """``doc_id, c1, c2, n, prefix, cold, parity`` of each document with shingles: the prefix in global order, its
-    number of shingles that aren't hot, and 512 parities of the whole set."""
+    number of shingles that aren't hot, and parities of the whole set."""
     shift, byte = np.uint64(64 - BUCKETS), np.uint64(56)
 
     def run(batches):
@@ -172,8 +186,7 @@ def _signatures(docs: DataFrame, kind: str, size: int, percent: int, levels) ->
                 c2.append(key[1])
                 prefixes.append(s[at])
                 cold.append(int((level[at] < hot).sum()))
-                bits = (np.bincount((spread & np.uint64(511)).astype(np.int64), minlength=512) & 1).astype(np.uint8)
-                parity.append(np.packbits(bits).view(np.int64))
+                parity.append(_parities(spread))
             yield pa.RecordBatch.from_arrays([
                 ids.take(pa.array(keep, pa.int64())), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(n, pa.int64()),
                 _lists(prefixes, pa.int64()), pa.array(cold, pa.int32()), _lists(parity, pa.int64())],
@@ -193,7 +206,12 @@ def _enough(overlap, total, percent: int):
 
 def _suffix(percent: int):
     """By the parities ``pa`` and ``pb``: at least the Hamming distance of elements is in one set only."""
-    apart = sum(F.bit_count(F.col("pa")[i].bitwiseXOR(F.col("pb")[i])) for i in range(8))
+    # Sets that pass the length filter differ by a factor of two at most in their numbers of parities: of the longer list, the parities
+    # of both halves together are those of half as many places.
+    half = lambda a, b: F.when(F.size(a) > F.size(b), F.zip_with(
+        F.slice(a, 1, F.size(b)), F.slice(a, F.size(b) + 1, F.size(b)), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(a))
+    differ = F.zip_with(half("pa", "pb"), half("pb", "pa"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(differ, F.lit(0), lambda s, x: s + x)
     total = F.col("na") + F.col("nb")
     return (100 + percent) * (total - apart) >= 2 * percent * total
 
@@ -211,7 +229,10 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``df``."""
     spark = df.sparkSession
+    ship(spark)
     kind = dict(df.dtypes)[id_col]
+    if kind not in ID_TYPES:
+        raise ValueError(f"ids must be integers or text, not {kind}")
     docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     scan = materialize(_scan(docs, kind, size), "jaccard-scan")
     levels = spark.sparkContext.broadcast(_frequency_levels(scan))

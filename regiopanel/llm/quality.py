@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regiopanel.llm.words import SPACE, column, find_lines, find_words, pieces, span_hashes, text_bytes
+from regiopanel.llm.ship import ship
+from regiopanel.llm.words import SPACE, column, find_lines, find_words, pieces, rolling_spans, rolling_sums, span_hashes, text_bytes
 
 PIECE = 1 << 20
 #: Words in the windows of the base rule.
@@ -61,14 +62,13 @@ def repeats(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     rank = _dense(words)
     rank = text * n + rank if len(count) < (1 << 62) // max(n, 1) else _dense(text) * n + rank
     order = np.argsort(rank, kind="stable")
-    levels, size = [], 1
+    size = 1
     at = rank[order]
     head = np.concatenate([[True], at[1:] != at[:-1]])  # first of its group of ties
     group = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     rank = np.empty(n, np.int64)
     rank[order] = group
     while True:
-        levels.append(rank.copy())
         tied = ~head
         tied[:-1] |= ~head[1:]
         slots = np.flatnonzero(tied)
@@ -83,18 +83,22 @@ def repeats(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
         key = key[by]
         fresh = np.concatenate([[True], key[1:] != key[:-1]])
         head[slots] = fresh
-        rank = rank.copy()
         rank[suffix[by]] = slots[np.maximum.accumulate(np.where(fresh, np.arange(len(slots)), 0))]
         size *= 2
     left, right = order[:-1].copy(), order[1:].copy()
     lcp = np.zeros(max(n - 1, 0), np.int64)
-    for k in range(len(levels) - 1, -1, -1):  # add powers of two as long as the ranks agree
-        inside = (left < end[order[:-1]]) & (right < end[order[1:]])
-        same = np.flatnonzero(inside)
-        same = same[levels[k][left[same]] == levels[k][right[same]]]
-        lcp[same] += 1 << k
-        left[same] += 1 << k
-        right[same] += 1 << k
+    # No two neighbours agree in more than the last size (or they would still be tied): add its halves as long as the hashes of that many words agree.
+    sums = rolling_sums(words.astype(np.uint64))
+    last_left, last_right = end[order[:-1]], end[order[1:]]
+    last_left = np.where(last_left == last_right, last_left, 0)  # of two texts: nothing in common
+    while size > 1:
+        size //= 2
+        same = np.flatnonzero((left + size <= last_left) & (right + size <= last_right))
+        a, b = left[same], right[same]
+        same = same[rolling_spans(sums, a, a + size) == rolling_spans(sums, b, b + size)]
+        lcp[same] += size
+        left[same] += size
+        right[same] += size
     longest = np.zeros(n, np.int64)
     if n > 1:
         longest[order[:-1]] = lcp
@@ -153,6 +157,7 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
             min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST,
             piece: int = PIECE) -> DataFrame:
     """Counts and verdicts of every whole text; a repeat shorter than ``min_repeat`` words breaks no limit."""
+    ship(df.sparkSession)
     kind = dict(df.dtypes)[id_col]
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "longest_repeat"]
 

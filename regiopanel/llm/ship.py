@@ -1,40 +1,20 @@
 """What executors need besides the data: this package, and the bytes of tokenizer files.
 
-The package goes as a zip that Spark distributes, for clusters where it isn't installed. Tokenizer files (1 to 2 MB) are read
-where the driver runs and broadcast, so no executor needs the path.
+Tokenizer files (1 to 2 MB) are read where the driver runs and broadcast, so no executor needs the path.
 """
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import os
-import shutil
-import tempfile
-import zipfile
 from functools import lru_cache
 from pathlib import Path
 
 from pyspark import Broadcast
 from pyspark.sql import SparkSession
 
-_SHIPPED: set[str] = set()
+from regiopanel.shipping import ship
 
-
-def ship(spark: SparkSession) -> None:
-    """Let the Python workers of this application import this package, once. Operators call it themselves."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="regiopanel-")  # the driver's; Spark sends the file on
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    place = os.path.join(folder, "regiopanel.zip")
-    with zipfile.ZipFile(place, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    spark.sparkContext.addPyFile(place)
-    _SHIPPED.add(app)
+__all__ = ["received", "send_file", "ship"]
 
 
 def send_file(spark: SparkSession, path: str) -> Broadcast:
@@ -57,7 +37,7 @@ class _Sent:
         return self.digest == other.digest
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=4)
 def _build(kind, sent: _Sent):
     return kind(sent.raw)
 

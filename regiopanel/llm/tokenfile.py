@@ -19,21 +19,22 @@ library's model encodes the distinct parts; other words, and those that might ho
 token, go through the library's whole pipeline.
 
 Defined results: null, empty and blank texts consist of the end id alone; rows with a null ``doc_id`` come
-first; rows of equal ``doc_id`` follow each other in text order; extra columns are ignored; an empty table
+first; rows of equal ``doc_id`` follow each other in text order; ids are integers or text (others are refused with a ``ValueError``); extra columns are ignored; an empty table
 gives an empty file and an empty result.
 """
 
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from regiopanel.llm.ship import received, send_file
 from regiopanel.llm.words import SPACE, Words, column, expand, find_words, lower_ascii, pieces, text_bytes
 from regiopanel.session import scratch_path
 
@@ -51,11 +52,11 @@ _HEAD = np.dtype([("count", "<u4"), ("minimum", "<u4"), ("width", "u1"), ("excep
 class WordEncoder:
     """Ids of texts as the tokenizers library gives them, by distinct words."""
 
-    def __init__(self, path: str):
+    def __init__(self, raw: bytes):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
-        self.parts = Tokenizer.from_file(path)
+        self.whole = Tokenizer.from_buffer(raw)
+        self.parts = Tokenizer.from_buffer(raw)
         for t in (self.whole, self.parts):
             t.no_truncation()
             t.no_padding()
@@ -169,11 +170,6 @@ def find_parts(data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray,
     return low, starts, ends, kind[starts] == _ODD
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
-
-
 def pack_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
     low = int(ids.min())
     gap = (ids - low).astype(np.uint32)
@@ -210,13 +206,21 @@ def unpack(payload, starts) -> np.ndarray:
     return np.concatenate([unpack_block(payload, s) for s in starts]) if len(starts) else np.zeros(0, np.int64)
 
 
+def _arrow_type(kind: T.DataType) -> pa.DataType:
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return {T.ByteType: pa.int8(), T.ShortType: pa.int16(), T.IntegerType: pa.int32(), T.LongType: pa.int64()}[type(kind)]
+    if isinstance(kind, T.StringType):
+        return pa.string()
+    raise ValueError(f"ids must be integers or text, not {kind.simpleString()}")
+
+
 def write_tokens(df: DataFrame, path: str, out: str, id_col: str = "doc_id", text_col: str = "text",
                  partitions: int | None = None, segment: int = SEGMENT, block: int = BLOCK,
                  percentile: float = PERCENTILE, piece: int = PIECE) -> None:
     """Write the ids of every text to ``out``, in ascending id order."""
     spark = df.sparkSession
     kind = dict(df.dtypes)[id_col]
-    arrow = pa.list_({"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind])
+    arrow, sent = pa.list_(_arrow_type(df.schema[id_col].dataType)), send_file(spark, path)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
@@ -229,7 +233,7 @@ def write_tokens(df: DataFrame, path: str, out: str, id_col: str = "doc_id", tex
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], names)
 
         for batch in pieces(batches, "text", piece):
-            got, at = encoder(path).encode_batch(column(batch, "text"))
+            got, at = received(WordEncoder, sent).encode_batch(column(batch, "text"))
             for i, doc in enumerate(column(batch, "doc_id").to_pylist()):
                 ids.append(got[at[i]:at[i + 1]])
                 docs.append(doc)
@@ -244,7 +248,7 @@ def write_tokens(df: DataFrame, path: str, out: str, id_col: str = "doc_id", tex
     names = ["part", "segment", "doc_ids", "counts", "n_ids", "starts", "payload"]
     types = [pa.int32(), pa.int32(), arrow, pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()), pa.binary()]
     (df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-       .repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+       .repartitionByRange(n, "doc_id", F.substring("text", 1, 16)).sortWithinPartitions("doc_id", "text")  # rows of one id may be many
        .mapInArrow(run, f"part int, segment int, doc_ids array<{kind}>, counts array<long>, n_ids long, "
                         "starts array<long>, payload binary")
        .write.mode("overwrite").parquet(out))

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from regiopanel.llm.ship import ship
 from regiopanel.llm.words import column, expand, find_words, pieces, text_bytes
 from regiopanel.session import materialize
 
@@ -217,6 +218,7 @@ def solve(here: list, there: list, toxic: np.ndarray, size: int, penalty: float
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = FEATURES, folds: int = FOLDS, least: int = MIN_TEXTS,
         penalty: float = PENALTY) -> Model:
     """The model of ``docs`` (``doc_id, text``) as ``labels`` (``doc_id, toxic``) marks them."""
+    ship(docs.sparkSession)
     rows = materialize(_sample(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), sample, folds), "toxicity-sample")
     total = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = total.get(1, 0), total.get(0, 0)
@@ -244,6 +246,7 @@ def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
 
 def score(df: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """``df`` with a last column ``name``, the score of each whole text."""
+    ship(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     rest = F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`") for c in df.columns if c != text_col])
     rows = df.select(rest.alias("rest"), F.col(f"`{text_col}`").alias("text"))

@@ -105,3 +105,27 @@ def test_components_of_chains_stars_and_repeats(spark):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 130)}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_unrelated_long_texts_fail_the_suffix_filter(spark):
+    """Sets of 5,000 shingles, also of different numbers of parities, are told apart before they are verified; linked ones never."""
+    import numpy as np
+
+    from regiopanel.llm.jaccard import _parities, _suffix
+
+    r = np.random.default_rng(1)
+    some = lambda n: r.integers(0, 1 << 63, n, dtype=np.uint64)
+    a = some(5000)
+    pairs = {"unrelated": (a, some(5000)), "widths": (some(4500), some(3700)), "half": (a, np.concatenate([a[:2500], some(2500)])),
+             "near": (a, np.concatenate([a[:4700], some(300)])), "near widths": (a[:4200], a[:3900]), "equal": (a, a), "small": (a[:90], a[:80])}
+    rows = [(k, len(x), len(y), _parities(x).tolist(), _parities(y).tolist()) for k, (x, y) in pairs.items()]
+    df = spark.createDataFrame(rows, "k string, na long, nb long, pa array<long>, pb array<long>")
+    assert {x.k for x in df.where(_suffix(80)).collect()} == {"near", "near widths", "equal", "small"}
+
+
+def test_text_ids_and_refused_ids(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([("b", text), ("a", text), ("c", "other words"), (None, text)], "doc_id string, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard_join(df).collect() if r.doc_id) == [("a", "a"), ("b", "a"), ("c", "c")]
+    with pytest.raises(ValueError, match="ids"):
+        jaccard_join(df.selectExpr("1.5d as doc_id", "text"))

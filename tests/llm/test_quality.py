@@ -70,3 +70,50 @@ def test_verdicts(spark, documents):
     assert got[3].base_failed and got[4].base_failed and got[4].n_words == 0 and got[5].base_failed and got[7].base_failed
     assert quality.quality(documents(rows)).count() == len(rows)
     assert quality.quality(documents([])).collect() == []
+
+
+def test_two_million_equal_words_in_bounded_memory():
+    """The common prefixes need no table for each doubling: a few arrays of the text's length."""
+    import tracemalloc
+
+    text = pa.array(["w " * 2_000_000])
+    tracemalloc.start()
+    got = measure(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["longest_repeat"].tolist() == [1_999_999] and got["n_covered"].tolist() == [2_000_000]
+    assert peak < 450e6  # 4 MB of text
+
+
+def test_query_against_counting_every_window(spark, documents, tmp_path):
+    """The registered query's verdict: coverage by repeats of eight words and the longest repeat, by brute force."""
+    import random
+
+    from regiopanel.llm.quality import MAX_COVERED, MAX_LONGEST, MIN_REPEAT
+    from regiopanel.llm.queries import QUERIES
+
+    r = random.Random(4)
+    phrase = " ".join(f"p{i}" for i in range(12))
+    rows = []
+    for i in range(60):
+        words = [f"w{r.randrange(4000)}" for _ in range(r.randrange(0, 160))]
+        for _ in range(r.choice([0, 0, 1, 2, 3, 4])):
+            words.insert(r.randrange(len(words) + 1), phrase)
+        rows.append((i, " ".join(words)))
+    documents(rows + [(99, None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in QUERIES["op7_quality"](spark, str(tmp_path)).collect()}
+    verdicts = set()
+    for d, text in rows + [(99, "")]:
+        w = text.split()
+        longest = max((n for n in range(1, len(w)) for _ in [0] if len({tuple(w[i:i + n]) for i in range(len(w) - n + 1)}) < len(w) - n + 1), default=0) if len(w) < 400 else 0
+        seen, covered = {}, set()
+        for i in range(len(w) - MIN_REPEAT + 1):
+            seen.setdefault(tuple(w[i:i + MIN_REPEAT]), []).append(i)
+        for places in seen.values():
+            if len(places) > 1:
+                covered |= {p + k for p in places for k in range(MIN_REPEAT)}
+        failed = len(w) < 20 or 100 * len(covered) > 30 * len(w)
+        fine = len(covered) <= MAX_COVERED * len(w) and (longest < MIN_REPEAT or longest <= MAX_LONGEST * len(w))
+        assert (got[d].n_covered, got[d].longest_repeat, got[d].base_failed, got[d].kept) == (len(covered), longest, failed, not failed and fine), d
+        verdicts.add((failed, got[d].kept))
+    assert verdicts >= {(True, False), (False, True), (False, False)}

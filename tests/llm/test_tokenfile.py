@@ -26,7 +26,7 @@ def odd_texts(seed=1, n=3000):
 
 def test_ids_match_the_library():
     texts, lib = odd_texts(), Tokenizer.from_file(PATH)
-    ids, at = tokenfile.encoder(PATH).encode_batch(pa.array(texts))
+    ids, at = tokenfile.WordEncoder(open(PATH, "rb").read()).encode_batch(pa.array(texts))
     expected = [e.ids + [1] for e in lib.encode_batch(texts, add_special_tokens=False)]
     assert [ids[at[i]:at[i + 1]].tolist() for i in range(len(texts))] == expected
 
