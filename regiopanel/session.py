@@ -113,6 +113,23 @@ def unique_suffix() -> str:
     return uuid.uuid4().hex[:8]
 
 
+#: Files of an intermediate table at most, for each core of a cluster of fixed size.
+FILES_PER_CORE = 4
+
+
+def _few_files(df):
+    """``df`` in no more partitions than the cluster can use: each would be a file of its own, and small ones cost more than they hold.
+    Partitions are only put together, not shuffled. With dynamic allocation the size isn't known, so nothing changes."""
+    spark = df.sparkSession
+    try:
+        cores = spark.sparkContext.defaultParallelism
+    except Exception:  # Spark Connect
+        return df
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return df
+    return df.coalesce(max(1, FILES_PER_CORE * cores))
+
+
 def materialize(df, name: str):
     """Write ``df`` once as Parquet under the checkpoint root and return a scan of it.
 
@@ -121,7 +138,7 @@ def materialize(df, name: str):
     executor does not take the data with it.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
+    _few_files(df).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
