@@ -33,7 +33,7 @@ from regiopanel.llm.words import (_TABLE, bit_of, bitmap, column, expand, find_w
                                   rolling_spans, rolling_sums, span_texts, text_bytes)
 from regiopanel.session import materialize
 
-PIECE = 4 << 20
+PIECE = 2 << 20
 #: Words of a phrase at most, occurrences of a candidate, phrases of a language that are reported, the percentage of a candidate's
 #: occurrences from which a longer one replaces it, and the scale of scores.
 LONGEST, MIN_COUNT, TOP, COVERED, SCALE = 4, 30, 2000, 80, 2_000_000
