@@ -5,13 +5,12 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-import pyarrow as pa
 import test_jaccard
 import test_lines
 import test_mixing
 from tokenizers import Tokenizer
 
-from regiopanel.llm import mixing, toxicity
+from regiopanel.llm import mixing
 from regiopanel.llm.queries import tokenizer
 
 
@@ -42,9 +41,8 @@ def test_matches_brute_force(spark, documents, tmp_path):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = Counter((x.doc_id, x.n_tokens, x.ids_sha256, x.decoded_sha256) for x in corpus_pipeline.run(spark, str(tmp_path)).collect())
 
-    model = toxicity.fit(documents(rows), spark.read.parquet(f"{tmp_path}/labels.parquet"))
-    scores = toxicity.score_texts(model, pa.array([t for _, t, _ in rows], pa.string()))
-    docs = [x for x, s in zip(rows, scores) if s < 0.5]
+    # Documents with both words are the toxic ones; nothing of the classifier is used to say so.
+    docs = [x for x in rows if not {"nitwit", "scoundrel"} <= set((x[1] or "").split())]
     assert 0 < len(docs) < len(rows) - 15
 
     drop = test_lines.brute([(d, t) for d, t, _ in docs])

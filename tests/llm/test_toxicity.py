@@ -1,14 +1,18 @@
 """The toxicity classifier: held-out accuracy, fairness to identity terms, and odd rows."""
 
+import math
 import os
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from regiopanel.llm import toxicity
+from regiopanel.llm.queries import QUERIES
 from regiopanel.llm.toxicity import Model, fit, score, score_texts, solve
 from regiopanel.llm.toxicity import toxicity as run
 
@@ -98,3 +102,76 @@ def test_prefixes_and_presence():
     got = score_texts(model, pa.array(["bad Bad, BAD", "vequté, Vequté", "vequ", "vequa vequb", "fine", None]))
     assert np.allclose(np.log(got / (1 - got)), [2, 1, -1, 1.5, -1, -1])
     assert toxicity.features("abcdef") == ["abcdef", "abc*", "abcd*", "abcde*"]
+
+
+def plain_features(text):
+    """The features of a text, from its words one by one."""
+    words = set()
+    for w in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
+        w = w.lower()
+        w = w if w.isalnum() else re.sub(r"^[\W_]+|[\W_]+$", "", w)
+        words |= {w} if w else set()
+    found = set(words)
+    for k in (3, 4, 5, 6):
+        heads = Counter(w[:k] for w in words if len(w) > k)
+        found |= {h + "*" for h in heads} | {h + "**" for h, n in heads.items() if n > 1}
+    return found
+
+
+def newton(x, toxic, pairs, penalty, ridge):
+    """Weights and intercept that minimise log loss + ridge + penalty * mean squared change of the logit."""
+    n, m = x.shape
+    full = np.hstack([x, np.ones((n, 1))])
+    change = np.hstack([pairs, np.zeros((len(pairs), 1))])
+    fixed = 2 * ridge * np.diag([1.0] * m + [0.0]) + 2 * penalty * change.T @ change / max(1, len(pairs))
+    w = np.zeros(m + 1)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
+        grad = full.T @ (p - toxic) / n + fixed @ w
+        w = w - np.linalg.solve(full.T @ (full * (p * (1 - p))[:, None]) / n + fixed + 1e-9 * np.eye(m + 1), grad)
+    return w[:m], w[m]
+
+
+def test_query_against_plain_counting_and_another_solver(spark, documents, tmp_path):
+    """op4's scores from features counted text by text and weights by Newton's method."""
+    r = random.Random(8)
+    rows, labels = [], []
+    for i in range(400):
+        words = [f"word{r.randrange(60)}x" for _ in range(r.randrange(3, 25))]
+        toxic = int(r.random() < 0.4)
+        if toxic:
+            words += r.sample(["nitwit", "nitwits", "scoundrel", "Scoundrels!", "vermin"], 2)
+        if r.random() < 0.3:
+            words.append(r.choice(["women", "men", "muslims", "christians"]))
+        r.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, 0, toxic if r.random() > 0.03 else 1 - toxic))
+    documents(rows + [(900, None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {x.doc_id: x for x in QUERIES["op4_toxicity"](spark, str(tmp_path)).collect()}
+
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 0}
+    fit = [(plain_features(t), labels[i][2], t) for i, t in rows if i not in held]
+    n1 = sum(y for _, y, _ in fit)
+    n0 = len(fit) - n1
+    counts = {f: (sum(y for fs, y, _ in fit if f in fs), sum(1 - y for fs, y, _ in fit if f in fs)) for f in set().union(*(fs for fs, _, _ in fit))}
+
+    def gain(pos, neg):
+        both = math.log((pos + neg + 0.5) / (n1 + n0 + 1))
+        return pos * (math.log((pos + 0.5) / (n1 + 1)) - both) + neg * (math.log((neg + 0.5) / (n0 + 1)) - both)
+
+    index = {f: k for k, f in enumerate(sorted(f for f, (p, q) in counts.items() if p + q >= toxicity.MIN_TEXTS and gain(p, q) >= toxicity.MIN_GAIN))}
+    assert 5 < len(index) < 100
+    vector = lambda fs: np.array([float(f in fs) for f in index])
+    swap = {w: line.split()[(k + 1) % len(line.split())] for line in toxicity.IDENTITIES for k, w in enumerate(line.split())}
+    pairs = []
+    for fs, _, t in fit:
+        other = " ".join(swap.get(w, w) for w in t.split())
+        if other != t:
+            pairs.append(vector(plain_features(other)) - vector(fs))
+    w, b = newton(np.array([vector(fs) for fs, _, _ in fit]), np.array([y for _, y, _ in fit], float), np.array(pairs), toxicity.PENALTY, toxicity.RIDGE)
+    assert {i for i, x in got.items() if x.held_out} == held | ({900} if zlib.crc32(b"900") % 5 == 0 else set())
+    for i, t in rows + [(900, None)]:
+        expected = 1 / (1 + math.exp(-(vector(plain_features(t)) @ w + b)))
+        assert got[i].score == pytest.approx(expected, abs=0.08), (i, t)
+        assert got[i].predicted == int(got[i].score >= 0.5)
