@@ -10,7 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, is_remote
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -113,21 +113,21 @@ def unique_suffix() -> str:
     return uuid.uuid4().hex[:8]
 
 
-#: Files of an intermediate table at most, for each core of a cluster of fixed size.
-FILES_PER_CORE = 4
+#: Files of an intermediate table at most: so many for each core of a cluster of fixed size, or one for so many bytes that its plan reads.
+FILES_PER_CORE, BYTES_PER_FILE = 4, 32 << 20
 
 
 def _few_files(df):
-    """``df`` in no more partitions than the cluster can use: each would be a file of its own, and small ones cost more than they hold.
-    Partitions are only put together, not shuffled. With dynamic allocation the size isn't known, so nothing changes."""
+    """``df`` in no more partitions than the cluster and its input call for: each would be a file of its own, and small ones cost more
+    than they hold. Partitions are only put together, not shuffled, and large inputs keep all of theirs. With dynamic allocation the
+    size isn't known, so nothing changes."""
     spark = df.sparkSession
-    try:
-        cores = spark.sparkContext.defaultParallelism
-    except Exception:  # Spark Connect
-        return df
-    if spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+    if is_remote() or spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true":
         return df
-    return df.coalesce(max(1, FILES_PER_CORE * cores))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length()))
+    cores = spark.sparkContext.defaultParallelism
+    return df.coalesce(min((1 << 31) - 1, max(1, FILES_PER_CORE * cores, size // BYTES_PER_FILE)))
 
 
 def materialize(df, name: str):

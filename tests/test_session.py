@@ -1,6 +1,7 @@
 """Scratch location rules: the session's spark.checkpoint.dir, a local fallback only in local mode."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from regiopanel.session import checkpoint_root, clear_scratch, materialize, scratch_path
 
@@ -57,3 +58,15 @@ def test_scratch_is_removed_on_request(spark):
 def test_local_fallback_is_registered(spark):
     root = checkpoint_root(spark)
     assert root and spark.sparkContext.getCheckpointDir()
+
+
+def test_intermediate_tables_have_few_files_unless_their_input_is_large(spark, tmp_dir, monkeypatch):
+    from regiopanel import session
+
+    monkeypatch.setattr(session, "FILES_PER_CORE", 1)
+    df = spark.range(0, 1000, 1, 50).repartition(40)
+    files = lambda t: t.select(F.input_file_name().alias("f")).distinct().count()
+    few = materialize(df, "few")
+    assert few.count() == 1000 and files(few) <= spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(session, "BYTES_PER_FILE", 100)
+    assert files(materialize(df, "many")) == 40
