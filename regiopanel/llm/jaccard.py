@@ -16,8 +16,8 @@ is one shingle). Two documents link when ``100 * |intersection| >= 80 * |union|`
 4. A class of a large group shares shingles with all others of it, so pairs are not all listed. *Star* rounds
    first link the holders of a shingle to one leader; components follow, and other leaders for
    shingles whose holders are in different components. Then only pairs of
-   different components that share a prefix shingle are still open; all of those that pass the
-   filters are verified. No link between different components is lost, so components are exact.
+   different components that share a prefix shingle and aren't its leader are still open; all of those that
+   pass the filters are verified. No link between different components is lost, so components are exact.
 
 An aggregate that goes back to its rows by a join is written first: the join then has a shuffle of its own on both
 sides, and adaptive execution can split a hot shingle.
@@ -204,6 +204,11 @@ def _enough(overlap, total, percent: int):
     return (100 + percent) * overlap >= percent * total
 
 
+def _beside_leaders(posting: DataFrame) -> DataFrame:
+    """The postings without the leader of a shingle's holders; salted shingles have several, and keep them all."""
+    return posting.where((F.col("salt") > 0) | (F.struct("rep", "n", "pos") != F.col("lead")))
+
+
 def _suffix(percent: int):
     """By the parities ``pa`` and ``pb``: at least the Hamming distance of elements is in one set only."""
     # Sets that pass the length filter differ by a factor of two at most in their numbers of parities: of the longer list, the parities
@@ -299,7 +304,8 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return components(label.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
                           .unionByName(materialize(more, "jaccard-links")))
 
-    still = posting
+    # Every holder has been tried with its leader, so what is open is between the others: nothing where two classes share a shingle.
+    still = _beside_leaders(posting)
     for again in range(rounds + 1):
         still = materialize(open_postings(still), "jaccard-open")  # a shingle that is settled stays so
         n, pairs_at_most = still.groupBy("token").agg(F.count("*").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * F.col("n"))).first()

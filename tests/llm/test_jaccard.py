@@ -81,6 +81,30 @@ def test_hot_group_and_salted_shingles(documents, monkeypatch):
     assert sorted((tuple(x) for x in jaccard_join(documents(rows)).collect()), key=str) == brute(rows)
 
 
+def test_pairs_tried_with_their_leader_are_not_open(documents, monkeypatch):
+    """Pairs of texts with a common passage and no link stay open only where a shingle has other holders than its leader."""
+    import regiopanel.llm.jaccard as module
+
+    real, open_rows = module.materialize, []
+
+    def counting(df, name):
+        out = real(df, name)
+        if name == "jaccard-open":
+            open_rows.append({(r.token, r.rep) for r in out.select("token", "rep").collect()})
+        return out
+
+    monkeypatch.setattr(module, "materialize", counting)
+    text = lambda name, n: " ".join(f"{name}w{i}" for i in range(n))
+    two = [(10 * k + j, f"{text(f'p{k}', 30)} {text(f'own{k}x{j}', 30)}") for k in range(5) for j in range(2)]
+    assert sorted(map(tuple, jaccard_join(documents(two)).collect()), key=str) == brute(two)
+    assert open_rows and not any(open_rows)
+    open_rows.clear()
+    three = two + [(5, f"{text('p0', 30)} {text('near', 60)}"), (6, f"{text('p0', 30)} {text('near', 60)} end"), (7, f"{text('p0', 30)} {text('far', 30)}")]
+    got = sorted(map(tuple, jaccard_join(documents(three)).collect()), key=str)
+    assert got == brute(three) and (6, 87, 5) in got
+    assert {rep for _, rep in open_rows[0]} <= {1, 5, 7}
+
+
 def test_empty_table_and_clashing_columns(spark, documents):
     assert jaccard_join(documents([])).collect() == []
     df = documents([(1, "a b c d e f"), (2, "a b c d e f")]).selectExpr(
