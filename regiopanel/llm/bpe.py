@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ from regiopanel.llm.words import column, expand, pieces, release, text_bytes
 
 #: Bytes of text whose distinct words share one trie.
 PIECE = 2 << 20
-#: Bytes that are put together from tokens at a time, and remembered pairs of tokens.
-DECODE, PAIRS = 2 << 20, 300_000
+#: Bytes that are put together from tokens at a time, and remembered pairs of tokens and words.
+DECODE, PAIRS, WORDS = 2 << 20, 300_000, 200_000
 
 # Fixed value: the pattern of the byte-level pre-tokenizer.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -80,7 +81,7 @@ class ByteBPE:
         names = sorted(self.added, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, names))) if names else None
         self.split = regex.compile(SPLIT)
-        self.recent: dict[bytes, list[int]] = {}  # words of the piece before: many come again
+        self.recent: dict[bytes | int, tuple[int, ...]] = {}  # words of the pieces before: many come again
 
     def _apart(self, a: int, b: int, until: int | None = None) -> bool:
         """Whether no merge (of a rank below ``until``) joins a token ending in ``a`` with one starting ``b``.
@@ -106,9 +107,9 @@ class ByteBPE:
             else:
                 return True
 
-    def encode_words(self, words: list[bytes]) -> dict[bytes, list[int]]:
+    def encode_words(self, words: list[bytes]) -> dict[bytes, tuple[int, ...]]:
         """Ids of distinct words, in one depth-first walk over their trie."""
-        out: dict[bytes, list[int]] = {}
+        out: dict[bytes, tuple[int, ...]] = {}
         tokens, follow, longest, length = self.tokens, self.may_follow, self.longest, self.length
         last = [-1]  # last[d]: last token of the path's first d bytes
         before = b""
@@ -120,7 +121,7 @@ class ByteBPE:
                 shared += 1
             del last[shared + 1:]
             for end in range(shared + 1, len(word) + 1):
-                for start in range(max(0, end - longest), end):
+                for start in range(end - longest if end > longest else 0, end):
                     token = tokens.get(word[start:end])
                     if token is None:
                         continue
@@ -137,7 +138,7 @@ class ByteBPE:
             while end:
                 ids.append(last[end])
                 end -= length[last[end]]
-            out[word] = ids[::-1]
+            out[word] = tuple(ids[::-1])
         return out
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -151,37 +152,44 @@ class ByteBPE:
         coded = runs.dictionary_encode()
         code = coded.indices.to_numpy(zero_copy_only=False)
         split, special = self.split.findall, self.special
-        parts: list[list] = []
-        for run in coded.dictionary.to_pylist():
+        parts: list[bytes | int] = []  # of one run after another: words, and ids of added tokens
+        first = np.empty(len(coded.dictionary) + 1, np.int64)
+        for i, run in enumerate(coded.dictionary.to_pylist()):
+            first[i] = len(parts)
+            if run[:1] == b" " and run[1:].isalpha():  # a space and ASCII letters only: one word
+                parts.append(run)
+                continue
             text = run.decode("utf-8", "replace")
             if special is None or "<" not in text or not special.search(text):
-                parts.append([w.encode() for w in split(text)])
+                parts += [w.encode() for w in split(text)]
                 continue
-            words, at = [], 0
+            at = 0
             for m in special.finditer(text):
-                words += [w.encode() for w in split(text[at:m.start()])]
-                words.append(self.added[m[0]])
+                parts += [w.encode() for w in split(text[at:m.start()])]
+                parts.append(self.added[m[0]])
                 at = m.end()
-            parts.append(words + [w.encode() for w in split(text[at:])])
-        words = {w for p in parts for w in p if type(w) is bytes}
-        ids_of = {w: self.recent[w] for w in words if w in self.recent}
-        ids_of |= self.encode_words([w for w in words if w not in ids_of])
-        self.recent = ids_of
-        flat: list[int] = []
-        counts = np.empty(len(parts), np.int64)
-        for i, p in enumerate(parts):
-            n = len(flat)
-            for w in p:
-                if type(w) is bytes:
-                    flat += ids_of[w]
-                else:
-                    flat.append(w)
-            counts[i] = len(flat) - n
+            parts += [w.encode() for w in split(text[at:])]
+        first[-1] = len(parts)
+        ids_of = self._ids_of(parts)
+        each = [ids_of[w] for w in parts]
+        upto = np.concatenate([[0], np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))])
+        flat = np.fromiter(chain.from_iterable(each), np.int32, int(upto[-1]))
+        counts = np.diff(upto[first])
         starts = np.cumsum(counts) - counts
-        ids = np.array(flat, np.int32)[expand(starts[code], counts[code])]
+        ids = flat[expand(starts[code], counts[code])]
         at = np.concatenate([[0], np.cumsum(counts[code])])
         return ids, at[np.searchsorted(cuts, off)] if len(code) else np.zeros(len(off), np.int64)
 
+    def _ids_of(self, parts: list[bytes | int]) -> dict[bytes | int, tuple[int, ...]]:
+        """Ids of words, of which those that aren't remembered are walked; an added token's id is its own."""
+        words = set(parts).difference(self.added.values())
+        fresh = self.encode_words([w for w in words if w not in self.recent])
+        if len(self.recent) + len(fresh) > WORDS:
+            self.recent = {w: self.recent[w] for w in words if w in self.recent}
+        self.recent |= fresh
+        self.recent |= {i: (i,) for i in self.added.values()}
+        return self.recent
+
     def forget(self) -> None:
         """Drop what is remembered from piece to piece: a worker that is used again needn't keep it."""
         self.recent = {}

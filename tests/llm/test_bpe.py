@@ -56,6 +56,17 @@ def test_shared_prefixes_are_walked_once(monkeypatch):
     assert len(asked) <= alone + 25  # only the last letter of the longer word is new
 
 
+def test_words_of_earlier_pieces_are_not_walked_again(monkeypatch):
+    own, walked, real = bpe.ByteBPE(PATH), [], bpe.ByteBPE.encode_words
+    monkeypatch.setattr(bpe.ByteBPE, "encode_words", lambda self, words: walked.append(sorted(words)) or real(self, words))
+    monkeypatch.setattr(bpe, "WORDS", 8, raising=False)
+    texts = ["a one two<|endoftext|>", "a three", "a two one", "a b c d e f g", "a one"]
+    lib = Tokenizer.from_file(PATH)
+    for text in texts:
+        assert own.encode_batch(pa.array([text]))[0].tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert walked == [[b" one", b" two", b"a"], [b" three"], [], [b" b", b" c", b" d", b" e", b" f", b" g"], [b" one"]]
+
+
 def test_odd_rows_and_repeated_rows(spark, documents):
     long = "word " * 400_000
     df = documents([(1, None), (2, ""), (3, long), (3, long), (None, "a")]).selectExpr("*", "1 as ids", "2 as decoded")
